@@ -204,3 +204,28 @@ def backfill_sql(first_end, last_end, z_threshold: float, final: str) -> str:
     base = sql("SELECT 1", "metric_long")
     head = base[: base.rfind("\nSELECT 1")]
     return f"{head},{body}{final}"
+
+
+def artifacts_cte(name: str, cutoff: str | None = None) -> None:
+    """``bound_artifacts`` over events before ``cutoff`` (all when None)."""
+    where = f" AND created_at < TIMESTAMP '{cutoff}'" if cutoff else ""
+    cte(name + "_g", f"""
+  SELECT repo_name, number,
+         min(created_at) FILTER (WHERE action = 'opened') AS created_at,
+         max(created_at) FILTER (WHERE action = 'closed') AS last_close,
+         arg_min(actor_login, created_at) FILTER (WHERE action = 'opened') AS author_login
+  FROM bound_events WHERE type = 'PullRequestEvent'{where}
+  GROUP BY 1, 2 HAVING min(created_at) FILTER (WHERE action = 'opened') IS NOT NULL""", "bound_events")
+    cte(name, f"""
+  SELECT CAST(regexp_extract(g.repo_name, '(\\d+)$', 1) AS BIGINT) * 100 + g.number AS artifact_id,
+         g.repo_name, 'pull_request' AS type, g.number, left(doc.text, 80) AS title, doc.text AS body,
+         CASE WHEN g.last_close > g.created_at THEN 'closed' ELSE 'open' END AS state,
+         g.author_login, g.created_at,
+         CASE WHEN g.last_close > g.created_at THEN g.last_close END AS closed_at,
+         'https://github.com/' || g.repo_name || '/pull/' || CAST(g.number AS VARCHAR) AS url
+  FROM {name}_g g LEFT JOIN documents doc
+    ON doc.doc_id = CAST(regexp_extract(g.repo_name, '(\\d+)$', 1) AS BIGINT) * 100 + g.number""",
+        name + "_g")
+
+
+artifacts_cte("bound_artifacts")

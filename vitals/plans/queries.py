@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import bindings as B
+from ..sources import tables as _tables
 from . import oracle as O
 
 WINDOW_END = "2024-01-30"
@@ -110,3 +111,139 @@ def q_detect_anomalies(spark, sf):
 def q_detect_backfill(spark, sf):
     from ..operators.detect import detect_backfill
     return rounded(detect_backfill(_daily(spark, sf), BACKFILL_FIRST, BACKFILL_LAST, 3.5))
+
+
+# ============================================================================ ingest
+
+def _events(spark, sf):
+    return B.load(spark, sf, "events")
+
+
+_WATCH_SQL = ", ".join(f"'{r}'" for r in ["org/repo0", "org/repo3", "org/repo7"])
+_EV_COLS = "id, type, repo_name, actor_login, created_at, action, number"
+
+
+@register("ingest_scan", O.sql(f"SELECT {_EV_COLS} FROM bound_events", "bound_events"))
+def q_ingest_scan(spark, sf):
+    """Round trip: archive-shaped JSON lines (gzip, per day/hour) -> scan -> normalise."""
+    from ..operators.ingest import normalize_events, payload_fields
+    from ..session import scratch_path
+    from ..sources.event_files import read_event_lines, write_event_lines
+    path = scratch_path(spark, "event-lines")
+    write_event_lines(B.raw_events(_tables.table(spark, sf, "events")), path)
+    ev = normalize_events(read_event_lines(spark, path))
+    return ev.join(payload_fields(ev).select("id", "action", "number"), "id").select(
+        "id", "type", "repo_name", "actor_login", "created_at", "action", "number")
+
+
+@register("watchlist_filter", O.sql(
+    f"SELECT id, type, repo_name FROM bound_events WHERE repo_name IN ({_WATCH_SQL})", "bound_events"))
+def q_watchlist_filter(spark, sf):
+    from ..operators.ingest import WATCHED_REPOS, watchlist_filter
+    return watchlist_filter(_events(spark, sf), WATCHED_REPOS).select("id", "type", "repo_name")
+
+
+@register("normalize_events", O.sql(f"SELECT {_EV_COLS}, merged FROM bound_events", "bound_events"))
+def q_normalize_events(spark, sf):
+    from ..operators.ingest import normalize_events, payload_fields
+    ev = normalize_events(B.raw_events(_tables.table(spark, sf, "events")))
+    return payload_fields(ev).join(ev.select("id", "actor_login"), "id").select(
+        "id", "type", "repo_name", "actor_login", "created_at", "action", "number", "merged")
+
+
+@register("json_paths", O.sql(
+    "SELECT id, type, repo_name, created_at, action, number, merged, release_tag, "
+    "'Release ' || release_tag AS release_name, "
+    "left(repeat('Notes for ' || release_tag || '. ', 30), 300) AS release_notes FROM bound_events",
+    "bound_events"))
+def q_json_paths(spark, sf):
+    from ..operators.ingest import payload_fields
+    return payload_fields(_events(spark, sf))
+
+
+@register("upsert_ignore", O.sql(
+    "SELECT id, CASE WHEN created_at < TIMESTAMP '2024-01-16 00:00:00' THEN actor_login "
+    "ELSE 'late-' || actor_login END AS actor_login, created_at FROM bound_events", "bound_events"))
+def q_upsert_ignore(spark, sf):
+    """Existing rows (before Jan 16) win over a re-delivered batch (from Jan 10);
+    inside the batch the earlier delivery wins over a later duplicate."""
+    from ..operators.upsert import upsert_ignore
+    ev = _events(spark, sf).select("id", "actor_login", "created_at")
+    target = ev.filter(F.col("created_at") < F.lit("2024-01-16 00:00:00"))
+    late = ev.filter(F.col("created_at") >= F.lit("2024-01-10 00:00:00"))
+    batch = (late.select("id", F.concat(F.lit("late-"), "actor_login").alias("actor_login"),
+                         "created_at", F.lit(0).alias("delivery"))
+             .unionByName(late.filter(F.col("created_at") >= F.lit("2024-01-20 00:00:00"))
+                          .select("id", F.concat(F.lit("later-"), "actor_login").alias("actor_login"),
+                                  "created_at", F.lit(1).alias("delivery"))))
+    return upsert_ignore(target, batch, ["id"], ["delivery"]).select("id", "actor_login", "created_at")
+
+
+@register("upsert_replace", O.sql(
+    "SELECT repo_name, date, star_count, fork_count, issue_opened, issue_closed, pr_opened, "
+    "pr_merged, round(pr_median_merge_hours, 6) AS pr_median_merge_hours, commit_count "
+    "FROM daily_metrics", "daily_metrics"))
+def q_upsert_replace(spark, sf):
+    """A roll-up taken mid-day on Jan 20 is refreshed by a re-aggregation of
+    Jan 20..30: the result equals a full roll-up."""
+    from ..operators.metrics import daily_metrics
+    from ..operators.upsert import upsert_replace
+    ev = _events(spark, sf)
+    target = daily_metrics(ev.filter(F.col("created_at") < F.lit("2024-01-20 12:00:00")))
+    batch = daily_metrics(ev, "2024-01-20", "2024-01-30")
+    return rounded(upsert_replace(target, batch, ["repo_name", "date"]))
+
+
+O.artifacts_cte("artifacts_v1", "2024-01-20 00:00:00")
+
+
+@register("upsert_partial", O.sql(
+    "SELECT v2.artifact_id, v2.repo_name, v2.type, v2.number, "
+    "CASE WHEN v1.number IS NULL THEN '[v2] ' || v2.title ELSE v1.title END AS title, "
+    "v2.body || ' [refetched]' AS body, v2.state, "
+    "coalesce(v1.author_login, v2.author_login) AS author_login, "
+    "CASE WHEN v1.number IS NULL THEN v2.created_at ELSE v1.created_at END AS created_at, "
+    "v2.closed_at, v2.url, TIMESTAMP '2024-01-31 00:00:00' AS fetched_at "
+    "FROM bound_artifacts v2 LEFT JOIN artifacts_v1 v1 USING (repo_name, type, number)",
+    "bound_artifacts", "artifacts_v1"))
+def q_upsert_partial(spark, sf):
+    """Two fetches of the PR artifacts (Jan 20 and Jan 31): body, state and
+    closed_at follow the later fetch; title, author, created_at, url stay."""
+    from ..operators.upsert import upsert_partial
+    ev, docs = _tables.table(spark, sf, "events"), _tables.table(spark, sf, "documents")
+    cols = ["artifact_id", "repo_name", "type", "number", "title", "body", "state",
+            "author_login", "created_at", "closed_at", "url"]
+    v1 = (B.bound_artifacts(ev.filter(F.col("ts") < F.lit("2024-01-20 00:00:00")), docs).select(*cols)
+          .withColumn("fetched_at", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")))
+    v2 = (B.bound_artifacts(ev, docs).select(*cols)
+          .withColumn("title", F.concat(F.lit("[v2] "), "title"))
+          .withColumn("body", F.concat("body", F.lit(" [refetched]")))
+          .withColumn("fetched_at", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")))
+    return upsert_partial(v1.unionByName(v2), ["repo_name", "type", "number"], "fetched_at",
+                          ["body", "state", "closed_at"])
+
+
+_CAL_SQL = ("SELECT CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour FROM ("
+            "SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', "
+            "TIMESTAMP '2024-01-31 23:00:00', INTERVAL 1 HOUR)) AS ts)")
+_KEPT_SQL = (f"SELECT CAST(created_at AS DATE) AS date, CAST(hour(created_at) AS INTEGER) AS hour, "
+             f"count(*) AS events_kept FROM bound_events WHERE repo_name IN ({_WATCH_SQL}) GROUP BY 1, 2")
+
+
+@register("ingest_coverage", O.sql(
+    f"SELECT c.date, c.hour, coalesce(k.events_kept, 0) AS events_kept, "
+    f"k.events_kept IS NOT NULL AS ingested FROM ({_CAL_SQL}) c "
+    f"LEFT JOIN ({_KEPT_SQL}) k USING (date, hour)", "bound_events"))
+def q_ingest_coverage(spark, sf):
+    from ..operators.ingest import WATCHED_REPOS, ingest_coverage, watchlist_filter
+    ev = watchlist_filter(_events(spark, sf), WATCHED_REPOS)
+    return ingest_coverage(spark, ev, "2024-01-01", "2024-01-31")
+
+
+@register("missing_hours", O.sql(
+    f"SELECT c.date, c.hour FROM ({_CAL_SQL}) c ANTI JOIN ({_KEPT_SQL}) k USING (date, hour)",
+    "bound_events"))
+def q_missing_hours(spark, sf):
+    from ..operators.ingest import WATCHED_REPOS, missing_hours, watchlist_filter
+    ev = watchlist_filter(_events(spark, sf), WATCHED_REPOS)
+    return missing_hours(spark, ev, "2024-01-01", "2024-01-31")
