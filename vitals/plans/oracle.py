@@ -229,3 +229,142 @@ def artifacts_cte(name: str, cutoff: str | None = None) -> None:
 
 
 artifacts_cte("bound_artifacts")
+
+
+# --------------------------------------------------------------------------- anomalies, reports, cases
+
+cte("bound_anomalies", """
+  SELECT id, 'org/repo' || CAST(id % 10 AS VARCHAR) AS repo_name,
+         ['pr_slowdown', 'issue_spike', 'star_spike'][id % 3 + 1] AS anomaly_type,
+         TIMESTAMP '2024-01-31 00:00:00' AS detected_at,
+         CAST(DATE '2024-01-30' - INTERVAL (id % 14) DAY - INTERVAL 6 DAY AS DATE) AS window_start,
+         CAST(DATE '2024-01-30' - INTERVAL (id % 14) DAY AS DATE) AS window_end,
+         CASE id % 3 WHEN 0 THEN 'pr_median_merge_hours' WHEN 1 THEN 'issue_opened' ELSE 'star_count' END
+           AS metric_name,
+         CAST(1 + id % 7 AS DOUBLE) AS baseline_value,
+         CAST(1 + id % 7 AS DOUBLE) * (1 + (id % 9) / 2.0) AS observed_value,
+         (id % 17) / 2.0 AS z_score, 'pending' AS status
+  FROM (SELECT range AS id FROM range(0, 50))""")
+
+# --------------------------------------------------------------------------- chunks and search
+
+cte("doc_artifacts", """
+  SELECT doc_id AS artifact_id, 'org/repo' || CAST((doc_id // 100) % 10 AS VARCHAR) AS repo_name,
+         'pull_request' AS type, doc_id % 100 + (doc_id // 1000) * 100 AS number,
+         left(text, 80) AS title, text AS body,
+         'https://github.com/org/repo' || CAST((doc_id // 100) % 10 AS VARCHAR) || '/pull/'
+           || CAST(doc_id % 100 + (doc_id // 1000) * 100 AS VARCHAR) AS url
+  FROM documents""")
+
+
+def chunks_cte(name: str, source: str, *deps: str) -> None:
+    cte(name + "_n", f"""
+  SELECT *, greatest(1, CAST(ceil((length(b) - 200) / 1800.0) AS INTEGER)) AS nc
+  FROM (SELECT *, regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g') AS b FROM {source})
+  WHERE length(b) > 0""", *deps)
+    cte(name, f"""
+  SELECT artifact_id, chunk_index,
+         '[' || upper(type) || ' #' || CAST(number AS VARCHAR) || '] ' || coalesce(title, 'None')
+           || chr(10) || chr(10) || substring(b, chunk_index * 1800 + 1, 2000) AS text,
+         repo_name, type AS artifact_type, url AS artifact_url
+  FROM (SELECT *, unnest(range(0, nc)) AS chunk_index FROM {name}_n)""", name + "_n")
+
+
+chunks_cte("doc_chunks", "doc_artifacts", "doc_artifacts")
+
+cte("chunk_vecs", """
+  SELECT c.*, e.embedding FROM doc_chunks c LEFT JOIN embeddings e ON e.vec_id = c.artifact_id""",
+    "doc_chunks")
+
+STOP_SQL = f"[{_STOP_LIST}]"
+
+
+def toks(expr: str) -> str:
+    return (f"list_filter(regexp_extract_all(lower({expr}), '{TOKEN_RE}'), "
+            f"lambda t: NOT list_contains({STOP_SQL}, t))")
+
+
+cte("q_tok", f"""
+  SELECT item_id, unnest(tk) AS term, generate_subscripts(tk, 1) AS pos
+  FROM (SELECT item_id, {toks('text')} AS tk FROM benchmark)""")
+
+cte("q_terms", """
+  SELECT item_id AS query_id, 'org/repo' || CAST(item_id % 10 AS VARCHAR) AS repo_name, term
+  FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(pos)) AS r
+        FROM q_tok GROUP BY item_id, term)
+  WHERE r <= 2""", "q_tok")
+
+cte("q_vecs", """
+  SELECT b.item_id AS query_id, 'org/repo' || CAST(b.item_id % 10 AS VARCHAR) AS repo_name,
+         e.embedding AS query_vec
+  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id""")
+
+cte("v_pairs", """
+  SELECT q.query_id, c.artifact_url, c.artifact_id, c.chunk_index, c.text,
+         1.0 - list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.query_vec AS DOUBLE[])) AS dist
+  FROM chunk_vecs c JOIN q_vecs q USING (repo_name) WHERE c.embedding IS NOT NULL""",
+    "chunk_vecs", "q_vecs")
+
+
+def ranked_cte(name: str, pairs: str, score: str, asc: bool, limit: int) -> None:
+    o = "ASC" if asc else "DESC"
+    cte(name, f"""
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {score} {o}, artifact_url) AS BIGINT) AS rank,
+         artifact_url, artifact_id, chunk_index, {score}, left(text, 400) AS excerpt
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, artifact_url
+                                     ORDER BY {score} {o}, chunk_index, artifact_id) AS rb
+        FROM {pairs})
+  WHERE rb = 1
+  QUALIFY rank <= {limit}""", pairs)
+
+
+ranked_cte("v_ranked", "v_pairs", "dist", True, 20)
+
+cte("c_tok", f"""
+  SELECT artifact_id, chunk_index, repo_name, artifact_url, text, {toks('text')} AS tk FROM doc_chunks""",
+    "doc_chunks")
+cte("c_stats", "  SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM c_tok", "c_tok")
+cte("c_post", """
+  SELECT artifact_id, chunk_index, repo_name, artifact_url, len(tk) AS dl, unnest(tk) AS term FROM c_tok""",
+    "c_tok")
+cte("q_n", "  SELECT query_id, count(*) AS n_terms FROM q_terms GROUP BY 1", "q_terms")
+cte("t_df", """
+  SELECT term, count(DISTINCT (artifact_id, chunk_index)) AS df FROM c_post
+  WHERE term IN (SELECT term FROM q_terms) GROUP BY 1""", "c_post", "q_terms")
+cte("t_hits", """
+  SELECT q.query_id, p.artifact_id, p.chunk_index, p.artifact_url, p.term, p.dl, count(*) AS tf
+  FROM c_post p JOIN q_terms q ON q.term = p.term AND q.repo_name = p.repo_name
+  GROUP BY 1, 2, 3, 4, 5, 6""", "c_post", "q_terms")
+cte("t_pairs", """
+  SELECT h.query_id, h.artifact_id, h.chunk_index, h.artifact_url, any_value(c.text) AS text,
+         sum(ln(1.0 + (CAST(s.n AS DOUBLE) - d.df + 0.5) / (d.df + 0.5)) * h.tf * 2.2
+             / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / s.avgdl))) AS score,
+         count(*) AS matched, any_value(n.n_terms) AS n_terms
+  FROM t_hits h JOIN t_df d USING (term) JOIN q_n n USING (query_id)
+       JOIN doc_chunks c ON c.artifact_id = h.artifact_id AND c.chunk_index = h.chunk_index,
+       c_stats s
+  GROUP BY 1, 2, 3, 4
+  HAVING count(*) = any_value(n.n_terms)""", "t_hits", "t_df", "q_n", "c_stats", "doc_chunks")
+
+ranked_cte("t_ranked", "t_pairs", "score", False, 20)
+
+
+cte("win", "  SELECT DISTINCT repo_name, window_start, window_end FROM bound_anomalies", "bound_anomalies")
+cte("cand", """
+  SELECT w.repo_name, w.window_start, w.window_end, e.number
+  FROM win w JOIN bound_events e ON e.repo_name = w.repo_name AND e.type = 'PullRequestEvent'
+   AND CAST(e.created_at AS DATE) BETWEEN w.window_start AND w.window_end
+  WHERE e.number IS NOT NULL
+  UNION
+  SELECT w.repo_name, w.window_start, w.window_end, g.number
+  FROM win w JOIN bound_artifacts g ON g.repo_name = w.repo_name
+   AND CAST(g.closed_at AS DATE) BETWEEN w.window_start AND w.window_end""",
+    "win", "bound_events", "bound_artifacts")
+
+cte("comments_agg", """
+  SELECT artifact_id, count(*) AS n_c,
+         string_agg(chr(10) || '@' || coalesce(author_login, 'unknown') || ': ' || sb, chr(10) ORDER BY position)
+           FILTER (WHERE sb <> '') AS lines
+  FROM (SELECT conv_id AS artifact_id, turn AS position, role AS author_login,
+               regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS sb FROM conversations)
+  GROUP BY 1""")

@@ -247,3 +247,178 @@ def q_missing_hours(spark, sf):
     from ..operators.ingest import WATCHED_REPOS, missing_hours, watchlist_filter
     ev = watchlist_filter(_events(spark, sf), WATCHED_REPOS)
     return missing_hours(spark, ev, "2024-01-01", "2024-01-31")
+
+
+# ============================================================================ artifacts
+
+def _anoms(spark, sf):
+    return B.load(spark, sf, "anomalies")
+
+
+def _artifacts(spark, sf):
+    return B.load(spark, sf, "artifacts")
+
+
+def _rank_sql(inner: str, part: str, order: str, k: int, cols: str) -> str:
+    return (f"SELECT {cols} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY {order}) "
+            f"AS BIGINT) AS rank FROM ({inner})) WHERE rank <= {k}")
+
+
+@register("slow_prs", O.sql(_rank_sql(
+    "SELECT a.id AS anomaly_id, g.number, left(g.title, 80) AS title, "
+    "round(date_diff('microsecond', g.created_at, g.closed_at) / 3.6e9) AS hours_open, "
+    "CAST(g.created_at AS DATE) AS opened, CAST(g.closed_at AS DATE) AS closed, g.url "
+    "FROM bound_anomalies a JOIN bound_artifacts g ON g.repo_name = a.repo_name "
+    "AND CAST(g.closed_at AS DATE) BETWEEN a.window_start AND a.window_end "
+    "WHERE a.anomaly_type = 'pr_slowdown'",
+    "anomaly_id", "hours_open DESC NULLS LAST, number", 10,
+    "anomaly_id, rank, number, title, hours_open, opened, closed, url"),
+    "bound_anomalies", "bound_artifacts"))
+def q_slow_prs(spark, sf):
+    from ..operators.artifacts import slow_prs
+    a = _anoms(spark, sf).filter(F.col("anomaly_type") == "pr_slowdown")
+    return slow_prs(a, _artifacts(spark, sf), 10)
+
+
+@register("release_lookup", O.sql(_rank_sql(
+    "SELECT a.id AS anomaly_id, e.created_at, CAST(e.created_at AS DATE) AS release_date, "
+    "e.release_tag AS tag, 'Release ' || e.release_tag AS release_name, "
+    "left(repeat('Notes for ' || e.release_tag || '. ', 30), 300) AS notes "
+    "FROM bound_anomalies a JOIN bound_events e ON e.repo_name = a.repo_name "
+    "AND e.type = 'ReleaseEvent' AND CAST(e.created_at AS DATE) >= a.window_start",
+    "anomaly_id", "created_at DESC, tag", 10,
+    "anomaly_id, rank, release_date, tag, release_name, notes"),
+    "bound_anomalies", "bound_events"))
+def q_release_lookup(spark, sf):
+    from ..operators.artifacts import release_lookup
+    return release_lookup(_anoms(spark, sf), _events(spark, sf), 10)
+
+
+@register("enrichment_candidates", O.sql(_rank_sql(
+    "SELECT * FROM cand", "repo_name, window_start, window_end", "number DESC", 30,
+    "repo_name, window_start, window_end, number, rank"), "cand"))
+def q_enrichment_candidates(spark, sf):
+    from ..operators.artifacts import enrichment_candidates
+    return enrichment_candidates(_anoms(spark, sf), _events(spark, sf), _artifacts(spark, sf), 30)
+
+
+@register("artifact_text", O.sql(
+    "SELECT g.artifact_id, g.repo_name, g.number, "
+    "'PR #' || CAST(g.number AS VARCHAR) || ': ' || coalesce(g.title, 'None') || chr(10) || chr(10) || "
+    "CASE WHEN coalesce(g.body, '') = '' THEN '(no description)' ELSE g.body END || "
+    "CASE WHEN c.n_c > 0 THEN chr(10) || chr(10) || '---' || chr(10) || 'Discussion comments:' || "
+    "CASE WHEN c.lines IS NOT NULL THEN chr(10) || c.lines ELSE '' END ELSE '' END AS text "
+    "FROM bound_artifacts g LEFT JOIN comments_agg c USING (artifact_id)",
+    "bound_artifacts", "comments_agg"))
+def q_artifact_text(spark, sf):
+    from ..operators.artifacts import artifact_text
+    return artifact_text(_artifacts(spark, sf), B.load(spark, sf, "comments"))
+
+
+_STRIPPED = "length(regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g'))"
+
+
+@register("unembedded_artifacts", O.sql(_rank_sql(
+    "SELECT artifact_id, repo_name, number FROM bound_artifacts WHERE artifact_id NOT IN ("
+    "SELECT artifact_id FROM bound_artifacts WHERE created_at < TIMESTAMP '2024-01-15 00:00:00' "
+    f"AND {_STRIPPED} > 0)", "repo_name", "number DESC", 100,
+    "artifact_id, repo_name, number, rank"), "bound_artifacts"))
+def q_unembedded_artifacts(spark, sf):
+    """Chunk store = artifacts embedded by a run on Jan 15; the rest is due."""
+    from ..operators.artifacts import unembedded_artifacts
+    from ..operators.retrieval import chunk_artifacts
+    art = _artifacts(spark, sf)
+    chunks = chunk_artifacts(art.filter(F.col("created_at") < F.lit("2024-01-15 00:00:00")))
+    return unembedded_artifacts(art, chunks, 100)
+
+
+@register("unenriched_windows", O.sql(
+    "SELECT DISTINCT a.repo_name, a.window_start, a.window_end FROM bound_anomalies a "
+    "WHERE NOT EXISTS (SELECT 1 FROM artifacts_v1 g WHERE g.repo_name = a.repo_name "
+    "AND CAST(g.created_at AS DATE) BETWEEN a.window_start AND a.window_end)",
+    "bound_anomalies", "artifacts_v1"))
+def q_unenriched_windows(spark, sf):
+    """Artifact store = the enrichment fetch of Jan 20."""
+    from ..operators.artifacts import unenriched_windows
+    ev, docs = _tables.table(spark, sf, "events"), _tables.table(spark, sf, "documents")
+    snap = B.bound_artifacts(ev.filter(F.col("ts") < F.lit("2024-01-20 00:00:00")), docs)
+    return unenriched_windows(_anoms(spark, sf), snap)
+
+
+@register("investigation_queue", O.sql(
+    "SELECT id, repo_name, anomaly_type, z_score FROM bound_anomalies "
+    "WHERE id NOT IN (SELECT doc_id % 40 FROM documents) ORDER BY z_score DESC, id LIMIT 5",
+    "bound_anomalies"))
+def q_investigation_queue(spark, sf):
+    from ..operators.artifacts import investigation_queue
+    return investigation_queue(_anoms(spark, sf), B.load(spark, sf, "reports"), 5)
+
+
+# ============================================================================ retrieval
+
+def _doc_chunks(spark, sf):
+    from ..operators.retrieval import chunk_artifacts
+    return chunk_artifacts(B.load(spark, sf, "doc_artifacts"))
+
+
+def _chunk_vecs(spark, sf):
+    return _doc_chunks(spark, sf).join(B.load(spark, sf, "vectors"), "artifact_id", "left")
+
+
+@register("chunk_documents", O.sql(
+    "SELECT artifact_id, chunk_index, text, repo_name, artifact_type, artifact_url FROM doc_chunks",
+    "doc_chunks"))
+def q_chunk_documents(spark, sf):
+    return _doc_chunks(spark, sf)
+
+
+@register("embed_chunks", None)
+def q_embed_chunks(spark, sf):
+    """Built-in hashing embedder over every chunk (the pluggable hook)."""
+    from ..operators.retrieval import embed_chunks
+    e = embed_chunks(_doc_chunks(spark, sf))
+    return e.select("artifact_id", "chunk_index", F.size("embedding").alias("dim"),
+                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"),
+                                               lambda s, x: s + x * x)), 4).alias("norm"))
+
+
+@register("vector_search", O.sql(
+    "SELECT query_id, rank, artifact_url, artifact_id, chunk_index, round(dist, 6) AS dist, excerpt "
+    "FROM v_ranked", "v_ranked"))
+def q_vector_search(spark, sf):
+    from ..operators.retrieval import vector_search
+    r = vector_search(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 20)
+    return rounded(r.select("query_id", "rank", "artifact_url", "artifact_id", "chunk_index", "dist",
+                            "excerpt"))
+
+
+@register("text_search", O.sql(
+    "SELECT query_id, rank, artifact_url, artifact_id, chunk_index, round(score, 6) AS score, excerpt "
+    "FROM t_ranked", "t_ranked"))
+def q_text_search(spark, sf):
+    from ..operators.retrieval import text_search
+    r = text_search(B.load(spark, sf, "queries"), _doc_chunks(spark, sf), 20)
+    return rounded(r.select("query_id", "rank", "artifact_url", "artifact_id", "chunk_index", "score",
+                            "excerpt"))
+
+
+@register("hybrid_search", O.sql(_rank_sql(
+    "SELECT coalesce(v.query_id, t.query_id) AS query_id, "
+    "coalesce(v.artifact_url, t.artifact_url) AS artifact_url, coalesce(v.excerpt, t.excerpt) AS excerpt, "
+    "coalesce(CAST(1.0 AS DOUBLE) / (60.0 + v.rank), 0.0) + coalesce(CAST(1.0 AS DOUBLE) / (60.0 + t.rank), 0.0) "
+    "AS rrf_score, v.rank AS v_rank, t.rank AS t_rank "
+    "FROM v_ranked v FULL OUTER JOIN t_ranked t ON v.query_id = t.query_id AND v.artifact_url = t.artifact_url",
+    "query_id", "rrf_score DESC, artifact_url", 5,
+    "query_id, rank, artifact_url, round(rrf_score, 6) AS rrf_score, v_rank, t_rank, excerpt"),
+    "v_ranked", "t_ranked"))
+def q_hybrid_search(spark, sf):
+    from ..operators.retrieval import hybrid_search
+    r = hybrid_search(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 5)
+    return rounded(r.select("query_id", "rank", "artifact_url", "rrf_score", "v_rank", "t_rank", "excerpt"))
+
+
+@register("ann_recall", None)
+def q_ann_recall(spark, sf):
+    """recall@10 of LSH search against exact search, per query."""
+    from ..operators.retrieval import ann_recall
+    return rounded(ann_recall(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 10))

@@ -229,7 +229,7 @@ def bound_reports(documents: DataFrame) -> DataFrame:
                                     F.left(text, F.lit(60)).alias("excerpt"))))
     return documents.select(
         d.alias("id"), aid.alias("anomaly_id"),
-        F.timestampadd("MINUTE", d, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).alias("created_at"),
+        F.timestamp_add("MINUTE", d, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).alias("created_at"),
         F.element_at(lines, 1).alias("summary"),
         F.coalesce(F.element_at(lines, 2), F.lit("")).alias("root_cause"),
         conf.alias("confidence"),
