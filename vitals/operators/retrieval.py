@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,8 +93,6 @@ def hash_embedding(text: Column, dim: int = EMBED_DIM) -> Column:
     (Array higher-order functions are interpreted, not code-generated, and
     cost ~100x more for a 64-slot accumulator per token.)
     """
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(s: pd.Series) -> pd.Series:
         return pd.Series(list(_hash_vectors(s.tolist(), dim)))
@@ -115,7 +114,6 @@ def embed_chunks(chunks: DataFrame, embed_fn: Callable | None = None,
         T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches):
-        import pandas as pd
         for pdf in batches:
             vecs = []
             texts = pdf["text"].tolist()

@@ -368,3 +368,91 @@ cte("comments_agg", """
   FROM (SELECT conv_id AS artifact_id, turn AS position, role AS author_login,
                regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS sb FROM conversations)
   GROUP BY 1""")
+
+# --------------------------------------------------------------------------- reports and cases
+
+cte("bound_reports", """
+  SELECT doc_id AS id, doc_id % 40 AS anomaly_id,
+         TIMESTAMP '2024-02-01 00:00:00' + INTERVAL (doc_id) MINUTE AS created_at,
+         string_split(text, chr(10))[1] AS summary,
+         coalesce(string_split(text, chr(10))[2], '') AS root_cause,
+         ['high', 'medium', 'low', NULL][(doc_id // 40 + doc_id) % 4 + 1] AS confidence,
+         string_split(text, chr(10))[1:3] AS evidence,
+         CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 4 END AS n_citations,
+         'Inline review comments were not fetched.' AS limitations,
+         CAST(1 + doc_id % 10 AS INTEGER) AS tool_calls_used,
+         (n_chars % 1200) / CAST(10.0 AS DOUBLE) AS duration_seconds, text
+  FROM documents""")
+
+cte("bound_citations", """
+  SELECT id AS report_id, anomaly_id, CAST(i AS BIGINT) AS pos,
+         CASE WHEN i < 3 THEN 'artifact_chunk' ELSE 'sql_result' END AS citation_type,
+         CASE WHEN i < 3 THEN 'https://github.com/org/repo' || CAST(anomaly_id % 10 AS VARCHAR) || '/pull/'
+                              || CAST((anomaly_id * 7 + (i + id % 3) * 13) % 100 AS VARCHAR)
+              ELSE 'SQL: daily metrics' END AS source_url,
+         CASE WHEN i < 3 THEN substring(text, CAST(i * 50 + 1 AS INTEGER), 100) ELSE left(text, 60) END AS excerpt
+  FROM bound_reports, (SELECT range AS i FROM range(0, 4)) r WHERE n_citations > 0
+  UNION ALL
+  SELECT id, anomaly_id, NULL, NULL, NULL, NULL FROM bound_reports WHERE n_citations = 0""", "bound_reports")
+
+cte("latest", """
+  SELECT r.*, a.repo_name, a.anomaly_type, a.window_start, a.window_end, a.metric_name,
+         a.baseline_value, a.observed_value, a.z_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anomaly_id ORDER BY created_at DESC, id DESC) AS rn
+        FROM bound_reports WHERE confidence != 'error') r
+  JOIN bound_anomalies a ON a.id = r.anomaly_id WHERE r.rn = 1""", "bound_reports", "bound_anomalies")
+
+cte("feed", """
+  SELECT l.id, l.anomaly_id, l.repo_name AS repo, l.anomaly_type, l.window_start, l.window_end, l.metric_name,
+         round(coalesce(l.baseline_value, 0.0), 1) AS baseline, round(coalesce(l.observed_value, 0.0), 1) AS observed,
+         round(coalesce(l.z_score, 0.0), 2) AS z_score, l.confidence, l.summary, l.root_cause,
+         coalesce(c.n, 0) AS citations_count, l.tool_calls_used AS tool_calls,
+         round(coalesce(l.duration_seconds, 0.0), 1) AS duration_s, l.created_at
+  FROM latest l LEFT JOIN (SELECT report_id, count(*) AS n FROM bound_citations
+                           WHERE citation_type IS NOT NULL GROUP BY 1) c ON c.report_id = l.id""",
+    "latest", "bound_citations")
+
+cte("bound_cases", """
+  SELECT 'case_' || CAST(id AS VARCHAR) AS id, id AS anomaly_ref, 'org/repo' || CAST(id % 10 AS VARCHAR) AS repo_name,
+         ['pr_slowdown', 'issue_spike', 'star_spike'][id % 3 + 1] AS anomaly_type,
+         CASE id % 3 WHEN 0 THEN 'pr_median_merge_hours' WHEN 1 THEN 'issue_opened' ELSE 'star_count' END AS metric_name,
+         CAST(DATE '2024-01-30' - INTERVAL (id % 14) DAY - INTERVAL 6 DAY AS DATE) AS window_start,
+         CAST(DATE '2024-01-30' - INTERVAL (id % 14) DAY AS DATE) AS window_end,
+         CASE WHEN id % 6 = 4 THEN CAST([] AS VARCHAR[]) ELSE
+           [ 'https://github.com/org/repo' || CAST(id % 10 AS VARCHAR) || '/pull/' || CAST((id * 7) % 100 AS VARCHAR),
+             'https://github.com/org/repo' || CAST(id % 10 AS VARCHAR) || '/pull/' || CAST((id * 7 + 13) % 100 AS VARCHAR),
+             'https://github.com/org/repo' || CAST(id % 10 AS VARCHAR) || '/pull/' || CAST((id * 7 + 26) % 100 AS VARCHAR)]
+         END AS expected_evidence_urls,
+         CASE WHEN id % 2 = 0 THEN ['high', 'medium'] ELSE ['low', 'medium'] END AS expected_confidences,
+         CAST(1 + id % 7 AS DOUBLE) AS baseline_value,
+         CAST(1 + id % 7 AS DOUBLE) * (1 + (id % 9) / 2.0) AS observed_value,
+         (id % 17) / 2.0 AS z_score
+  FROM (SELECT range AS id FROM range(0, 60))""")
+
+cte("resolved", """
+  SELECT c.*, a.id AS anomaly_id, r.id AS report_id, r.confidence, r.tool_calls_used, r.duration_seconds,
+         r.summary, coalesce(u.cited, CAST([] AS VARCHAR[])) AS cited, coalesce(r.n_citations, 0) AS n_cited
+  FROM bound_cases c
+  LEFT JOIN bound_anomalies a ON a.repo_name = c.repo_name AND a.anomaly_type = c.anomaly_type
+       AND a.window_start = c.window_start AND a.window_end = c.window_end
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY anomaly_id ORDER BY created_at DESC, id DESC) AS rn
+             FROM bound_reports) r ON r.anomaly_id = a.id AND r.rn = 1
+  LEFT JOIN (SELECT report_id, list(DISTINCT source_url) AS cited FROM bound_citations
+             WHERE source_url IS NOT NULL GROUP BY 1) u ON u.report_id = r.id""",
+    "bound_cases", "bound_anomalies", "bound_reports", "bound_citations")
+
+COVERAGE_SQL = ("CASE WHEN len(expected_evidence_urls) = 0 THEN NULL ELSE round(len(list_filter("
+                "expected_evidence_urls, lambda x: list_contains(cited, x))) / len(expected_evidence_urls), 2) END")
+
+cte("scores", f"""
+  SELECT id AS case_id, repo_name AS repo, anomaly_type,
+         CASE WHEN report_id IS NOT NULL THEN {COVERAGE_SQL} END AS citation_coverage,
+         report_id IS NOT NULL AND n_cited > 0 AS has_citations,
+         report_id IS NOT NULL AND tool_calls_used <= 8 AS budget_ok,
+         report_id IS NOT NULL AND duration_seconds <= 90.0 AS latency_ok,
+         report_id IS NOT NULL AND coalesce(list_contains(expected_confidences, confidence), false) AS confidence_match,
+         CASE WHEN report_id IS NOT NULL THEN confidence ELSE 'error' END AS confidence,
+         CASE WHEN report_id IS NOT NULL THEN tool_calls_used ELSE 0 END AS tool_calls,
+         CASE WHEN report_id IS NOT NULL THEN round(duration_seconds, 1) END AS latency_s,
+         CASE WHEN report_id IS NOT NULL THEN left(summary, 120) ELSE 'ERROR: no report' END AS summary
+  FROM resolved WHERE anomaly_id IS NOT NULL""", "resolved")

@@ -422,3 +422,189 @@ def q_ann_recall(spark, sf):
     """recall@10 of LSH search against exact search, per query."""
     from ..operators.retrieval import ann_recall
     return rounded(ann_recall(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 10))
+
+
+# ============================================================================ reports and feed
+
+def _reports(spark, sf):
+    return B.load(spark, sf, "reports")
+
+
+def _citations(spark, sf):
+    from ..operators.reports import flatten_citations
+    return flatten_citations(_reports(spark, sf))
+
+
+def _latest(spark, sf):
+    from ..operators.reports import latest_reports
+    return latest_reports(_reports(spark, sf), _anoms(spark, sf))
+
+
+def _feed(spark, sf):
+    from ..operators.reports import report_feed
+    return report_feed(_latest(spark, sf), _citations(spark, sf))
+
+
+_FEED_COLS = ("id, anomaly_id, repo, anomaly_type, window_start, window_end, metric_name, baseline, observed, "
+              "z_score, confidence, summary, root_cause, citations_count, tool_calls, duration_s, created_at")
+
+
+@register("report_contract", O.sql(
+    "SELECT id, anomaly_id, summary IS NULL AS missing_fields, "
+    "(confidence IS NULL OR confidence NOT IN ('high', 'medium', 'low')) AS bad_confidence, "
+    "false AS bad_citation_type, (len(evidence) > 0 AND n_citations = 0) AS uncited_evidence, "
+    "NOT (summary IS NULL OR confidence IS NULL OR confidence NOT IN ('high', 'medium', 'low') "
+    "OR (len(evidence) > 0 AND n_citations = 0)) AS valid FROM bound_reports", "bound_reports"))
+def q_report_contract(spark, sf):
+    from ..operators.reports import report_contract
+    return report_contract(_reports(spark, sf))
+
+
+@register("flatten_citations", O.sql(
+    "SELECT report_id, anomaly_id, pos, citation_type, source_url, excerpt FROM bound_citations",
+    "bound_citations"))
+def q_flatten_citations(spark, sf):
+    return _citations(spark, sf)
+
+
+@register("latest_reports", O.sql(
+    "SELECT id, anomaly_id, created_at, confidence, repo_name, anomaly_type, window_end, z_score FROM latest",
+    "latest"))
+def q_latest_reports(spark, sf):
+    return _latest(spark, sf).select("id", "anomaly_id", "created_at", "confidence", "repo_name",
+                                     "anomaly_type", "window_end", "z_score")
+
+
+@register("report_feed", O.sql(f"SELECT {_FEED_COLS} FROM feed", "feed"))
+def q_report_feed(spark, sf):
+    return _feed(spark, sf)
+
+
+@register("report_detail", O.sql(
+    "SELECT l.id, l.repo_name AS repo, l.anomaly_type, l.window_start, l.window_end, l.metric_name, "
+    "round(coalesce(l.baseline_value, 0.0), 1) AS baseline, round(coalesce(l.observed_value, 0.0), 1) AS observed, "
+    "round(coalesce(l.z_score, 0.0), 2) AS z_score, l.summary, l.root_cause, l.confidence, "
+    "array_to_string(l.evidence, chr(10)) AS evidence_text, coalesce(c.n, 0) AS n_citations, "
+    "coalesce(c.urls, '') AS citation_urls, l.limitations, l.tool_calls_used AS tool_calls, "
+    "round(coalesce(l.duration_seconds, 0.0), 1) AS duration_s, l.created_at "
+    "FROM latest l LEFT JOIN (SELECT report_id, count(*) AS n, string_agg(source_url, ' ' ORDER BY pos) AS urls "
+    "FROM bound_citations WHERE citation_type IS NOT NULL GROUP BY 1) c ON c.report_id = l.id",
+    "latest", "bound_citations"))
+def q_report_detail(spark, sf):
+    from ..operators.reports import report_detail
+    d = report_detail(_latest(spark, sf), _citations(spark, sf))
+    return d.select(
+        "id", "repo", "anomaly_type", "window_start", "window_end", "metric_name", "baseline", "observed",
+        "z_score", "summary", "root_cause", "confidence",
+        F.array_join("evidence", "\n").alias("evidence_text"), F.size("citations").cast("long").alias("n_citations"),
+        F.array_join(F.transform("citations", lambda c: c["url"]), " ").alias("citation_urls"),
+        "limitations", "tool_calls", "duration_s", "created_at")
+
+
+_FMT = ("CASE WHEN {v} % 1 = 0 THEN CAST(CAST({v} AS BIGINT) AS VARCHAR) ELSE CAST(round({v}, 1) AS VARCHAR) END "
+        "|| CASE metric_name WHEN 'pr_median_merge_hours' THEN 'h' WHEN 'issue_opened' THEN ' /day' "
+        "WHEN 'star_count' THEN ' /day' ELSE '' END")
+_OBS, _BASE = _FMT.format(v="observed"), _FMT.format(v="baseline")
+_M = "(observed / baseline)"
+_HM = "(CASE WHEN baseline > 0 THEN observed / baseline ELSE 0.0 END)"
+_T = "CAST(CAST(round({x}) AS BIGINT) AS VARCHAR)"
+_P = "CAST(CAST(round(({x}) * 100) AS BIGINT) AS VARCHAR)"
+_MX = (f"(CASE WHEN {_HM} >= 2 THEN {_T.format(x=_HM)} || '×' "
+       f"WHEN {_HM} > 1.05 THEN '+' || {_P.format(x=_HM + ' - 1')} || '%' ELSE '' END)")
+_SHORT = "split_part(repo, '/', 2)"
+
+
+@register("feed_cards", O.sql(
+    "SELECT id, split_part(repo, '/', 1) AS owner, " + _SHORT + " AS name, "
+    "CASE WHEN baseline IS NULL OR baseline = 0 THEN NULL "
+    f"WHEN {_M} >= 2 THEN {_T.format(x=_M)} || '× normal' "
+    f"WHEN {_M} > 1.1 THEN {_P.format(x=_M + ' - 1')} || '% above normal' "
+    f"WHEN {_M} < 0.5 THEN {_T.format(x='1 / ' + _M)} || '× below normal' "
+    f"WHEN {_M} < 0.9 THEN {_P.format(x='1 - ' + _M)} || '% below normal' "
+    f"ELSE {_OBS} END AS change_label, "
+    "CASE WHEN baseline IS NULL OR baseline = 0 THEN NULL "
+    f"WHEN {_M} >= 2 OR {_M} > 1.1 OR {_M} < 0.9 THEN {_OBS} || ' vs ' || {_BASE} || ' typical' "
+    f"ELSE 'vs ' || {_BASE} || ' typical' END AS change_detail, "
+    "CASE anomaly_type "
+    f"WHEN 'pr_slowdown' THEN CASE WHEN {_MX} <> '' THEN {_SHORT} || ': PR merge time was ' || {_MX} "
+    f"|| ' slower than normal' ELSE {_SHORT} || ': PR merge time anomaly detected' END "
+    f"WHEN 'issue_spike' THEN CASE WHEN {_MX} <> '' THEN {_SHORT} || ': issue rate spiked ' || {_MX} "
+    f"|| ' above normal' ELSE {_SHORT} || ': unusual spike in new issues' END "
+    f"WHEN 'star_spike' THEN CASE WHEN {_MX} <> '' THEN {_SHORT} || ': starred ' || {_MX} "
+    f"|| ' more than usual this week' ELSE {_SHORT} || ': unusual star activity detected' END "
+    f"ELSE {_SHORT} || ': ' || anomaly_type || ' detected' END AS headline, "
+    "z_score > 5 AS high_severity FROM feed", "feed"))
+def q_feed_cards(spark, sf):
+    from ..operators.reports import feed_cards
+    return feed_cards(_feed(spark, sf))
+
+
+@register("feed_filtered", O.sql(
+    f"SELECT {_FEED_COLS} FROM feed WHERE anomaly_type = 'pr_slowdown' AND confidence = 'high'", "feed"))
+def q_feed_filtered(spark, sf):
+    from ..operators.reports import feed_filtered
+    return feed_filtered(_feed(spark, sf), anomaly_type="pr_slowdown", confidence="high")
+
+
+@register("feed_stats", O.sql(
+    "SELECT count(*) AS n_reports, count(DISTINCT repo) AS n_repos, min(window_start) AS first_window_start, "
+    "max(window_end) AS last_window_end FROM feed", "feed"))
+def q_feed_stats(spark, sf):
+    from ..operators.reports import feed_stats
+    return feed_stats(_feed(spark, sf))
+
+
+@register("citation_view", O.sql(
+    "SELECT report_id, pos, CASE citation_type WHEN 'sql_result' THEN 'Query' WHEN 'artifact_chunk' THEN "
+    "'GitHub PR' WHEN 'release_note' THEN 'Release' ELSE citation_type END AS label, "
+    "(source_url IS NOT NULL AND NOT starts_with(source_url, 'SQL')) AS is_link, "
+    "CASE WHEN source_url IS NOT NULL AND NOT starts_with(source_url, 'SQL') THEN "
+    "regexp_extract(source_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^?#]*)', 1) "
+    "ELSE coalesce(source_url, '') END AS short_url, left(excerpt, 100) AS excerpt "
+    "FROM bound_citations WHERE citation_type IS NOT NULL", "bound_citations"))
+def q_citation_view(spark, sf):
+    from ..operators.reports import citation_view
+    return citation_view(_citations(spark, sf))
+
+
+# ============================================================================ evaluation
+
+def _cases(spark, sf):
+    return B.load(spark, sf, "cases")
+
+
+@register("citation_coverage", O.sql(
+    f"SELECT id AS case_id, anomaly_id, report_id, {O.COVERAGE_SQL} AS citation_coverage "
+    "FROM resolved WHERE report_id IS NOT NULL", "resolved"))
+def q_citation_coverage(spark, sf):
+    from ..operators.evaluate import citation_coverage
+    return citation_coverage(_cases(spark, sf), _anoms(spark, sf), _reports(spark, sf))
+
+
+@register("eval_scores", O.sql("SELECT * FROM scores", "scores"))
+def q_eval_scores(spark, sf):
+    from ..operators.evaluate import eval_scores
+    return eval_scores(_cases(spark, sf), _anoms(spark, sf), _reports(spark, sf))
+
+
+@register("eval_summary", O.sql(
+    "SELECT count(*) AS n_cases, round(avg(citation_coverage), 4) AS avg_citation_coverage, "
+    "count(*) FILTER (WHERE budget_ok) AS budget_ok, count(*) FILTER (WHERE latency_ok) AS latency_ok, "
+    "count(*) FILTER (WHERE confidence_match) AS confidence_match, round(avg(latency_s), 4) AS avg_latency_s "
+    "FROM scores", "scores"))
+def q_eval_summary(spark, sf):
+    from ..operators.evaluate import eval_scores, eval_summary
+    return eval_summary(eval_scores(_cases(spark, sf), _anoms(spark, sf), _reports(spark, sf)))
+
+
+@register("ensure_anomalies", O.sql(
+    "SELECT repo_name, anomaly_type, window_start, window_end, metric_name, baseline_value, observed_value, "
+    "z_score, false AS inserted FROM bound_anomalies UNION ALL "
+    "SELECT repo_name, anomaly_type, window_start, window_end, arg_min(metric_name, id), "
+    "arg_min(baseline_value, id), arg_min(observed_value, id), arg_min(z_score, id), true "
+    "FROM bound_cases c WHERE NOT EXISTS (SELECT 1 FROM bound_anomalies a WHERE a.repo_name = c.repo_name "
+    "AND a.anomaly_type = c.anomaly_type AND a.window_start = c.window_start AND a.window_end = c.window_end) "
+    "GROUP BY 1, 2, 3, 4", "bound_anomalies", "bound_cases"))
+def q_ensure_anomalies(spark, sf):
+    from ..operators.evaluate import ensure_anomalies
+    return ensure_anomalies(_cases(spark, sf), _anoms(spark, sf))

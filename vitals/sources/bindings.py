@@ -230,8 +230,8 @@ def bound_reports(documents: DataFrame) -> DataFrame:
     return documents.select(
         d.alias("id"), aid.alias("anomaly_id"),
         F.timestamp_add("MINUTE", d, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).alias("created_at"),
-        F.element_at(lines, 1).alias("summary"),
-        F.coalesce(F.element_at(lines, 2), F.lit("")).alias("root_cause"),
+        F.try_element_at(lines, F.lit(1)).alias("summary"),
+        F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("root_cause"),
         conf.alias("confidence"),
         F.slice(lines, 1, 3).alias("evidence"),
         cites.alias("citations"),
