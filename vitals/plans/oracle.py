@@ -299,14 +299,18 @@ cte("q_vecs", """
          e.embedding AS query_vec
   FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id""")
 
-cte("v_pairs", """
-  SELECT q.query_id, c.artifact_url, c.artifact_id, c.chunk_index, c.text,
-         1.0 - list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.query_vec AS DOUBLE[])) AS dist
-  FROM chunk_vecs c JOIN q_vecs q USING (repo_name) WHERE c.embedding IS NOT NULL""",
-    "chunk_vecs", "q_vecs")
+
+cte("c_tok", f"""
+  SELECT artifact_id, chunk_index, repo_name, artifact_url, text, {toks('text')} AS tk FROM doc_chunks""",
+    "doc_chunks")
+cte("c_stats", "  SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM c_tok", "c_tok")
+cte("c_post", """
+  SELECT artifact_id, chunk_index, repo_name, artifact_url, len(tk) AS dl, unnest(tk) AS term FROM c_tok""",
+    "c_tok")
 
 
 def ranked_cte(name: str, pairs: str, score: str, asc: bool, limit: int) -> None:
+    """Best chunk per (query, artifact_url), then the first ``limit`` per query."""
     o = "ASC" if asc else "DESC"
     cte(name, f"""
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {score} {o}, artifact_url) AS BIGINT) AS rank,
@@ -318,35 +322,46 @@ def ranked_cte(name: str, pairs: str, score: str, asc: bool, limit: int) -> None
   QUALIFY rank <= {limit}""", pairs)
 
 
-ranked_cte("v_ranked", "v_pairs", "dist", True, 20)
-
-cte("c_tok", f"""
-  SELECT artifact_id, chunk_index, repo_name, artifact_url, text, {toks('text')} AS tk FROM doc_chunks""",
-    "doc_chunks")
-cte("c_stats", "  SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM c_tok", "c_tok")
-cte("c_post", """
-  SELECT artifact_id, chunk_index, repo_name, artifact_url, len(tk) AS dl, unnest(tk) AS term FROM c_tok""",
-    "c_tok")
-cte("q_n", "  SELECT query_id, count(*) AS n_terms FROM q_terms GROUP BY 1", "q_terms")
-cte("t_df", """
+def search_ctes(p: str, q_terms: str, q_vecs: str, limit: int = 20) -> None:
+    """Vector and BM25 legs for a query set: ``{p}v_ranked`` and ``{p}t_ranked``."""
+    cte(p + "v_pairs", f"""
+  SELECT q.query_id, c.artifact_url, c.artifact_id, c.chunk_index, c.text,
+         1.0 - list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.query_vec AS DOUBLE[])) AS dist
+  FROM chunk_vecs c JOIN {q_vecs} q USING (repo_name) WHERE c.embedding IS NOT NULL""", "chunk_vecs", q_vecs)
+    ranked_cte(p + "v_ranked", p + "v_pairs", "dist", True, limit)
+    cte(p + "q_n", f"  SELECT query_id, count(*) AS n_terms FROM {q_terms} GROUP BY 1", q_terms)
+    cte(p + "t_df", f"""
   SELECT term, count(DISTINCT (artifact_id, chunk_index)) AS df FROM c_post
-  WHERE term IN (SELECT term FROM q_terms) GROUP BY 1""", "c_post", "q_terms")
-cte("t_hits", """
+  WHERE term IN (SELECT term FROM {q_terms}) GROUP BY 1""", "c_post", q_terms)
+    cte(p + "t_hits", f"""
   SELECT q.query_id, p.artifact_id, p.chunk_index, p.artifact_url, p.term, p.dl, count(*) AS tf
-  FROM c_post p JOIN q_terms q ON q.term = p.term AND q.repo_name = p.repo_name
-  GROUP BY 1, 2, 3, 4, 5, 6""", "c_post", "q_terms")
-cte("t_pairs", """
+  FROM c_post p JOIN {q_terms} q ON q.term = p.term AND q.repo_name = p.repo_name
+  GROUP BY 1, 2, 3, 4, 5, 6""", "c_post", q_terms)
+    cte(p + "t_pairs", f"""
   SELECT h.query_id, h.artifact_id, h.chunk_index, h.artifact_url, any_value(c.text) AS text,
          sum(ln(1.0 + (CAST(s.n AS DOUBLE) - d.df + 0.5) / (d.df + 0.5)) * h.tf * 2.2
              / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / s.avgdl))) AS score,
          count(*) AS matched, any_value(n.n_terms) AS n_terms
-  FROM t_hits h JOIN t_df d USING (term) JOIN q_n n USING (query_id)
+  FROM {p}t_hits h JOIN {p}t_df d USING (term) JOIN {p}q_n n USING (query_id)
        JOIN doc_chunks c ON c.artifact_id = h.artifact_id AND c.chunk_index = h.chunk_index,
        c_stats s
   GROUP BY 1, 2, 3, 4
-  HAVING count(*) = any_value(n.n_terms)""", "t_hits", "t_df", "q_n", "c_stats", "doc_chunks")
+  HAVING count(*) = any_value(n.n_terms)""", p + "t_hits", p + "t_df", p + "q_n", "c_stats", "doc_chunks")
+    ranked_cte(p + "t_ranked", p + "t_pairs", "score", False, limit)
+
+
+def hybrid_sql(p: str, k: int, cols: str) -> str:
+    return (f"SELECT {cols} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, "
+            f"artifact_url) AS BIGINT) AS rank FROM ("
+            "SELECT coalesce(v.query_id, t.query_id) AS query_id, "
+            "coalesce(v.artifact_url, t.artifact_url) AS artifact_url, coalesce(v.excerpt, t.excerpt) AS excerpt, "
+            "coalesce(CAST(1.0 AS DOUBLE) / (60.0 + v.rank), 0.0) + coalesce(CAST(1.0 AS DOUBLE) / (60.0 + t.rank), 0.0) "
+            f"AS rrf_score, v.rank AS v_rank, t.rank AS t_rank FROM {p}v_ranked v FULL OUTER JOIN {p}t_ranked t "
+            f"ON v.query_id = t.query_id AND v.artifact_url = t.artifact_url)) WHERE rank <= {k}")
+
+
+search_ctes("", "q_terms", "q_vecs")
 
-ranked_cte("t_ranked", "t_pairs", "score", False, 20)
 
 
 cte("win", "  SELECT DISTINCT repo_name, window_start, window_end FROM bound_anomalies", "bound_anomalies")
@@ -456,3 +471,33 @@ cte("scores", f"""
          CASE WHEN report_id IS NOT NULL THEN round(duration_seconds, 1) END AS latency_s,
          CASE WHEN report_id IS NOT NULL THEN left(summary, 120) ELSE 'ERROR: no report' END AS summary
   FROM resolved WHERE anomaly_id IS NOT NULL""", "resolved")
+
+
+cte("slow", """
+  SELECT * FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY anomaly_id ORDER BY hours_open DESC NULLS LAST, number)
+                   AS BIGINT) AS rank
+    FROM (SELECT a.id AS anomaly_id, a.repo_name, g.number, left(g.title, 80) AS title,
+                 round(date_diff('microsecond', g.created_at, g.closed_at) / 3.6e9) AS hours_open,
+                 CAST(g.created_at AS DATE) AS opened, CAST(g.closed_at AS DATE) AS closed, g.url
+          FROM bound_anomalies a JOIN bound_artifacts g ON g.repo_name = a.repo_name
+           AND CAST(g.closed_at AS DATE) BETWEEN a.window_start AND a.window_end
+          WHERE a.anomaly_type = 'pr_slowdown'))
+  WHERE rank <= 10""", "bound_anomalies", "bound_artifacts")
+
+cte("ev_q_tok", f"""
+  SELECT anomaly_id, repo_name, unnest(tk) AS term, generate_subscripts(tk, 1) AS pos
+  FROM (SELECT anomaly_id, repo_name, {toks('title')} AS tk FROM slow WHERE rank = 1)""", "slow")
+cte("ev_q_terms", """
+  SELECT query_id, repo_name, term FROM (
+    SELECT anomaly_id AS query_id, repo_name, term,
+           row_number() OVER (PARTITION BY anomaly_id ORDER BY min(pos)) AS r
+    FROM ev_q_tok GROUP BY anomaly_id, repo_name, term)
+  WHERE r <= 2""", "ev_q_tok")
+cte("ev_q_vecs", """
+  SELECT s.anomaly_id AS query_id, s.repo_name, e.embedding AS query_vec
+  FROM slow s JOIN embeddings e
+    ON e.vec_id = CAST(regexp_extract(s.repo_name, '(\\d+)$', 1) AS BIGINT) * 100 + s.number
+  WHERE s.rank = 1""", "slow")
+search_ctes("ev_", "ev_q_terms", "ev_q_vecs")
+cte("ev_hits", hybrid_sql("ev_", 5, "query_id, rank, artifact_url, excerpt"), "ev_v_ranked", "ev_t_ranked")

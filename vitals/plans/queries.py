@@ -608,3 +608,130 @@ def q_eval_summary(spark, sf):
 def q_ensure_anomalies(spark, sf):
     from ..operators.evaluate import ensure_anomalies
     return ensure_anomalies(_cases(spark, sf), _anoms(spark, sf))
+
+
+# ============================================================================ evidence
+
+@register("evidence_bundle", O.sql(
+    "SELECT a.id AS anomaly_id, 'metric' AS source, CAST(1 AS BIGINT) AS rank, 'sql_result' AS citation_type, "
+    "'SQL: ' || a.metric_name || ' daily values ' || CAST(a.window_start AS VARCHAR) || '..' "
+    "|| CAST(a.window_end AS VARCHAR) AS source_url, "
+    "'baseline=' || CAST(round(a.baseline_value, 1) AS VARCHAR) || ' observed=' "
+    "|| CAST(round(a.observed_value, 1) AS VARCHAR) || ' days=' || CAST(coalesce(s.n_days, 0) AS VARCHAR) "
+    "|| ' window_mean=' || coalesce(CAST(round(s.mean, 2) AS VARCHAR), 'None') AS excerpt "
+    "FROM bound_anomalies a LEFT JOIN (SELECT a.id, count(*) AS n_days, avg(m.value) AS mean "
+    "FROM bound_anomalies a JOIN metric_long m ON m.repo_name = a.repo_name AND m.metric_name = a.metric_name "
+    "AND m.date BETWEEN a.window_start AND a.window_end GROUP BY 1) s ON s.id = a.id "
+    "UNION ALL SELECT anomaly_id, 'slow_pr', rank, 'artifact_chunk', url, 'PR #' || CAST(number AS VARCHAR) "
+    "|| ' (' || coalesce(CAST(CAST(hours_open AS BIGINT) AS VARCHAR), 'None') || 'h open): ' "
+    "|| coalesce(title, 'None') FROM slow "
+    "UNION ALL SELECT anomaly_id, 'release', rank, 'release_note', "
+    "'https://github.com/' || repo_name || '/releases/tag/' || tag, left(notes, 100) FROM ("
+    "SELECT a.id AS anomaly_id, e.repo_name, e.release_tag AS tag, "
+    "left(repeat('Notes for ' || e.release_tag || '. ', 30), 300) AS notes, "
+    "CAST(row_number() OVER (PARTITION BY a.id ORDER BY e.created_at DESC, e.release_tag) AS BIGINT) AS rank "
+    "FROM bound_anomalies a JOIN bound_events e ON e.repo_name = a.repo_name AND e.type = 'ReleaseEvent' "
+    "AND CAST(e.created_at AS DATE) BETWEEN a.window_start AND a.window_end) WHERE rank <= 10 "
+    "UNION ALL SELECT query_id, 'search', rank, 'artifact_chunk', artifact_url, left(excerpt, 100) FROM ev_hits",
+    "bound_anomalies", "metric_long", "slow", "bound_events", "ev_hits"))
+def q_evidence_bundle(spark, sf):
+    from ..operators.evidence import evidence_bundle
+    return evidence_bundle(_anoms(spark, sf), _daily(spark, sf), _artifacts(spark, sf), _events(spark, sf),
+                           _chunk_vecs(spark, sf), B.load(spark, sf, "vectors"))
+
+
+# ============================================================================ checks
+
+_ADHOC = ("SELECT repo_name, date, star_count, pr_opened, round(pr_median_merge_hours, 1) AS pr_hours "
+          "FROM repo_metrics_daily ORDER BY date DESC, repo_name LIMIT 100")
+
+
+@register("adhoc_table_text", O.sql(
+    "SELECT concat_ws(' | ', repo_name, CAST(date AS VARCHAR), CAST(star_count AS VARCHAR), "
+    "CAST(pr_opened AS VARCHAR), coalesce(CAST(pr_hours AS VARCHAR), 'None')) AS line FROM ("
+    "SELECT repo_name, date, star_count, pr_opened, round(pr_median_merge_hours, 1) AS pr_hours "
+    "FROM daily_metrics ORDER BY date DESC, repo_name LIMIT 50)", "daily_metrics"))
+def q_adhoc_table_text(spark, sf):
+    """The ad-hoc SQL tool over ``repo_metrics_daily``: read-only gate, 50-row cap."""
+    from ..operators.checks import adhoc_table_text
+    return adhoc_table_text(spark, {"repo_metrics_daily": _daily(spark, sf)}, _ADHOC, 50)
+
+
+@register("statement_audit", O.sql(
+    "SELECT conv_id, turn, reason IS NULL AS is_safe, reason FROM (SELECT conv_id, turn, CASE "
+    "WHEN NOT coalesce(regexp_matches(upper(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), "
+    "'^[\\-– \\n]+', '')), '^(SELECT|WITH)([^\\p{L}\\p{N}_]|$)'), false) THEN 'not_select' "
+    "WHEN coalesce(contains(text, ';'), false) THEN 'semicolon' END AS reason FROM conversations)"))
+def q_statement_audit(spark, sf):
+    """The read-only gate applied to every conversation turn as a candidate statement."""
+    from ..operators.checks import statement_audit
+    return statement_audit(_tables.table(spark, sf, "conversations"), "text", ["conv_id", "turn"])
+
+
+_RULES_SQL = [
+    ("events", "pk_id_unique",
+     "SELECT count(*) AS n FROM (SELECT id FROM bound_events GROUP BY id HAVING count(*) > 1)"),
+    ("events", "not_null",
+     "SELECT count(*) FILTER (WHERE id IS NULL OR type IS NULL OR repo_name IS NULL OR created_at IS NULL) "
+     "AS n FROM bound_events"),
+    ("repo_metrics_daily", "unique_repo_date",
+     "SELECT count(*) AS n FROM (SELECT 1 FROM daily_metrics GROUP BY repo_name, date HAVING count(*) > 1)"),
+    ("github_artifacts", "unique_repo_type_number",
+     "SELECT count(*) AS n FROM (SELECT 1 FROM bound_artifacts GROUP BY repo_name, type, number "
+     "HAVING count(*) > 1)"),
+    ("github_artifacts", "check_type",
+     "SELECT count(*) FILTER (WHERE type NOT IN ('issue', 'pull_request')) AS n FROM bound_artifacts"),
+    ("artifact_chunks", "unique_artifact_chunk",
+     "SELECT count(*) AS n FROM (SELECT 1 FROM doc_chunks GROUP BY artifact_id, chunk_index "
+     "HAVING count(*) > 1)"),
+    ("artifact_chunks", "fk_artifact",
+     "SELECT count(*) AS n FROM doc_chunks WHERE artifact_id NOT IN (SELECT artifact_id FROM doc_artifacts)"),
+    ("anomalies", "check_type",
+     "SELECT count(*) FILTER (WHERE anomaly_type NOT IN ('issue_spike', 'pr_slowdown', 'star_spike')) AS n "
+     "FROM bound_anomalies"),
+    ("anomalies", "check_status",
+     "SELECT count(*) FILTER (WHERE status NOT IN ('pending', 'investigating', 'done')) AS n FROM bound_anomalies"),
+    ("investigation_reports", "check_confidence",
+     "SELECT count(*) FILTER (WHERE confidence NOT IN ('high', 'medium', 'low')) AS n FROM bound_reports"),
+    ("investigation_reports", "fk_anomaly",
+     "SELECT count(*) AS n FROM bound_reports WHERE anomaly_id NOT IN (SELECT id FROM bound_anomalies)"),
+    ("report_citations", "check_type",
+     "SELECT count(*) FILTER (WHERE citation_type NOT IN ('sql_result', 'artifact_chunk', 'release_note')) "
+     "AS n FROM bound_citations"),
+    ("report_citations", "fk_report",
+     "SELECT count(*) AS n FROM bound_citations WHERE report_id NOT IN (SELECT id FROM bound_reports)"),
+    ("embeddings", "fk_document",
+     "SELECT count(*) AS n FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)"),
+]
+
+
+@register("constraint_violations", O.sql(" UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{r}' AS rule, CAST(n AS BIGINT) AS violations FROM ({q})"
+    for t, r, q in _RULES_SQL),
+    "bound_events", "daily_metrics", "bound_artifacts", "doc_chunks", "doc_artifacts", "bound_anomalies",
+    "bound_reports", "bound_citations"))
+def q_constraint_violations(spark, sf):
+    from ..operators.checks import constraint_violations, duplicate_keys, not_in, orphans, rows_where
+    from ..schemas import ANOMALY_STATUSES, ANOMALY_TYPES, CITATION_TYPES, CONFIDENCES
+    ev, daily, art = _events(spark, sf), _daily(spark, sf), _artifacts(spark, sf)
+    chunks, docart = _doc_chunks(spark, sf), B.load(spark, sf, "doc_artifacts")
+    an, rep, cit = _anoms(spark, sf), _reports(spark, sf), _citations(spark, sf)
+    emb, docs = _tables.table(spark, sf, "embeddings"), _tables.table(spark, sf, "documents")
+    c = F.col
+    return constraint_violations([
+        ("events", "pk_id_unique", duplicate_keys(ev, ["id"])),
+        ("events", "not_null", rows_where(ev, c("id").isNull() | c("type").isNull() | c("repo_name").isNull()
+                                          | c("created_at").isNull())),
+        ("repo_metrics_daily", "unique_repo_date", duplicate_keys(daily, ["repo_name", "date"])),
+        ("github_artifacts", "unique_repo_type_number", duplicate_keys(art, ["repo_name", "type", "number"])),
+        ("github_artifacts", "check_type", rows_where(art, not_in(c("type"), ["issue", "pull_request"]))),
+        ("artifact_chunks", "unique_artifact_chunk", duplicate_keys(chunks, ["artifact_id", "chunk_index"])),
+        ("artifact_chunks", "fk_artifact", orphans(chunks, "artifact_id", docart, "artifact_id")),
+        ("anomalies", "check_type", rows_where(an, not_in(c("anomaly_type"), ANOMALY_TYPES))),
+        ("anomalies", "check_status", rows_where(an, not_in(c("status"), ANOMALY_STATUSES))),
+        ("investigation_reports", "check_confidence", rows_where(rep, not_in(c("confidence"), CONFIDENCES))),
+        ("investigation_reports", "fk_anomaly", orphans(rep, "anomaly_id", an, "id")),
+        ("report_citations", "check_type", rows_where(cit, not_in(c("citation_type"), CITATION_TYPES))),
+        ("report_citations", "fk_report", orphans(cit, "report_id", rep, "id")),
+        ("embeddings", "fk_document", orphans(emb, "vec_id", docs, "doc_id")),
+    ])
