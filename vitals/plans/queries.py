@@ -735,3 +735,67 @@ def q_constraint_violations(spark, sf):
         ("report_citations", "fk_report", orphans(cit, "report_id", rep, "id")),
         ("embeddings", "fk_document", orphans(emb, "vec_id", docs, "doc_id")),
     ])
+
+
+# ============================================================================ streaming
+
+def _staged(spark, sf, name, first, second, job):
+    from ..streaming.streams import staged_run
+    raw = B.raw_events(_tables.table(spark, sf, "events"))
+    return staged_run(spark, raw, name, first, second, job)
+
+
+def _stream_events_out(spark, path):
+    from ..operators.ingest import payload_fields
+    from ..streaming.streams import EVENT_TABLE
+    ev = spark.read.schema(EVENT_TABLE).parquet(path)
+    return ev.join(payload_fields(ev).select("id", "action", "number"), "id").select(
+        "id", "type", "repo_name", "actor_login", "created_at", "action", "number")
+
+
+@register("stream_ingest", O.sql(f"SELECT {_EV_COLS} FROM bound_events", "bound_events"))
+def q_stream_ingest(spark, sf):
+    """File stream of daily archive files; a second delivery brings a late day
+    (Jan 3) and a duplicate of Jan 10. Insert-if-absent per epoch."""
+    from ..streaming.streams import day_is, ingest_stream
+    p = _staged(spark, sf, "ingest", ~day_is("2024-01-03"), day_is("2024-01-03") | day_is("2024-01-10"),
+                lambda p: ingest_stream(spark, p["glob"], p["out"], p["ckpt"]))
+    return _stream_events_out(spark, p["out"])
+
+
+@register("stream_dedup", O.sql("SELECT id, type, repo_name, created_at FROM bound_events", "bound_events"))
+def q_stream_dedup(spark, sf):
+    """Watermarked de-duplication: a re-delivered day (Jan 10) after the rest
+    is dropped; every event is kept once."""
+    from ..streaming.streams import day_is, dedup_stream
+    from ..schemas import EVENT
+    p = _staged(spark, sf, "dedup", F.lit(True), day_is("2024-01-10"),
+                lambda p: dedup_stream(spark, p["glob"], p["out"], p["ckpt"]))
+    return spark.read.schema(EVENT).parquet(p["out"]).select("id", "type", "repo_name", "created_at")
+
+
+_COUNT_COLS = "repo_name, date, star_count, fork_count, issue_opened, issue_closed, pr_opened, pr_merged, commit_count"
+
+
+@register("stream_window_counts", O.sql(f"SELECT {_COUNT_COLS} FROM daily_counts", "daily_counts"))
+def q_stream_window_counts(spark, sf):
+    """Watermarked daily counts (update mode) merged into a date-partitioned table."""
+    from ..streaming.streams import window_counts_stream
+    p = _staged(spark, sf, "wcounts", F.lit(True), F.lit(False),
+                lambda p: window_counts_stream(spark, p["glob"], p["out"], p["ckpt"]))
+    return spark.read.parquet(p["out"]).select(*[c.strip() for c in _COUNT_COLS.split(",")])
+
+
+@register("stream_daily_metrics", O.sql(
+    "SELECT repo_name, date, star_count, fork_count, issue_opened, issue_closed, pr_opened, "
+    "pr_merged, round(pr_median_merge_hours, 6) AS pr_median_merge_hours, commit_count "
+    "FROM daily_metrics", "daily_metrics"))
+def q_stream_daily_metrics(spark, sf):
+    """Exact daily metrics from a stream where Jan 3 and Jan 5 arrive last
+    (late): each epoch refreshes only the dates it can change."""
+    from ..streaming.streams import daily_metrics_stream, day_is
+    late = day_is("2024-01-03") | day_is("2024-01-05")
+    p = _staged(spark, sf, "dmetrics", ~late, late,
+                lambda p: daily_metrics_stream(spark, p["glob"], p["out2"], p["out"], p["ckpt"]))
+    from ..operators.metrics import METRIC_COLUMNS
+    return rounded(spark.read.parquet(p["out"]).select("repo_name", "date", *METRIC_COLUMNS))
