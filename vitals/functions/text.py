@@ -49,9 +49,13 @@ def query_terms_expr(text: Column) -> Column:
     return F.array_distinct(content_tokens(text))
 
 
+# Characters removed by ``strip``: space, \t, \n, \x0b, \f, \r.
+WHITESPACE = " \t\n\x0b\f\r"
+
+
 def strip(text: Column) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Python ``str.strip()`` for ASCII whitespace (a plain trim, no regex)."""
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def chunk_header(artifact_type: Column, number: Column, title: Column) -> Column:
