@@ -24,3 +24,15 @@ def day_range_filter(ts: Column, start: str | _dt.date, end: str | _dt.date) ->
     # String literals are coerced to the column's own type (TIMESTAMP or
     # TIMESTAMP_NTZ), so no session-zone shift is introduced.
     return (ts >= F.lit(f"{s.isoformat()} 00:00:00")) & (ts < F.lit(f"{e.isoformat()} 00:00:00"))
+
+
+def filter_days(df, start, end, ts_col: str = "created_at", part_col: str = "event_date"):
+    """Rows with ``ts_col::date BETWEEN start AND end``; when the table carries
+    the day partition column the same range is applied to it too, so whole
+    day partitions are pruned before any file is opened."""
+    cond = day_range_filter(F.col(ts_col), start, end)
+    if part_col in df.columns:
+        s = _dt.date.fromisoformat(str(start))
+        e = _dt.date.fromisoformat(str(end))
+        cond = cond & F.col(part_col).between(F.lit(s), F.lit(e))
+    return df.filter(cond)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json_paths as J
-from ..functions.time import day_range_filter, hours_between
+from ..functions.time import filter_days, hours_between
 
 METRIC_COLUMNS = ["star_count", "fork_count", "issue_opened", "issue_closed",
                   "pr_opened", "pr_merged", "pr_median_merge_hours", "commit_count"]
@@ -29,7 +29,7 @@ def _typed(events: DataFrame) -> DataFrame:
 
 def daily_counts(events: DataFrame, start=None, end=None) -> DataFrame:
     """Seven conditional counts per (repo_name, date) in one aggregate."""
-    e = events if start is None else events.filter(day_range_filter(F.col("created_at"), start, end))
+    e = events if start is None else filter_days(events, start, end)
     e = _typed(e)
     t, a = F.col("type"), F.col("action")
     pr = t == "PullRequestEvent"
@@ -49,9 +49,12 @@ def pr_cycle_pairs(events: DataFrame, start=None, end=None) -> DataFrame:
     pr = (events.filter(F.col("type") == "PullRequestEvent")
           .select("repo_name", "created_at", J.action().alias("action"),
                   J.pr_number().alias("number")))
-    closes = pr.filter(F.col("action") == "closed")
     if start is not None:
-        closes = closes.filter(day_range_filter(F.col("created_at"), start, end))
+        closes = filter_days(events.filter(F.col("type") == "PullRequestEvent"), start, end).select(
+            "repo_name", "created_at", J.action().alias("action"), J.pr_number().alias("number"))
+        closes = closes.filter(F.col("action") == "closed")
+    else:
+        closes = pr.filter(F.col("action") == "closed")
     c = closes.select("repo_name", "number", F.col("created_at").alias("closed_ts"))
     o = pr.filter(F.col("action") == "opened").select(
         "repo_name", "number", F.col("created_at").alias("opened_ts"))

@@ -42,8 +42,11 @@ def bound_events(events: DataFrame) -> DataFrame:
     merged NULL (k%10=1, newer payload), false (k%10=0) or true; click ->
     ForkEvent (k%4=0), ReleaseEvent (k=1) or PushEvent.
     """
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    et = F.col("event_type")
+    # props.k is parsed once in an inner projection; the payload is built from
+    # the projected column.
+    base = events.select("event_id", "ts", "user_id", "event_type",
+                         F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+    k, et = F.col("k"), F.col("event_type")
     etype = (F.when(et == "view", "WatchEvent")
              .when(et == "error", "IssuesEvent")
              .when(et.isin("signup", "purchase"), "PullRequestEvent")
@@ -59,17 +62,18 @@ def bound_events(events: DataFrame) -> DataFrame:
     tag = F.concat(F.lit("v"), (F.col("user_id") % N_REPOS).cast("string"), F.lit("."),
                    (F.col("event_id") % 100).cast("string"))
     is_pr = et.isin("signup", "purchase")
+    is_release = (et == "click") & (k == 1)
     payload = F.to_json(F.struct(
         act.alias("action"),
         F.when(is_pr | (et == "error"), k).alias("number"),
         F.when(is_pr, F.struct(k.alias("number"), merged.alias("merged"))).alias("pull_request"),
-        F.when(etype == "ReleaseEvent", F.struct(
+        F.when(is_release, F.struct(
             tag.alias("tag_name"),
             F.concat(F.lit("Release "), tag).alias("name"),
             F.repeat(F.concat(F.lit("Notes for "), tag, F.lit(". ")), 30).alias("body"),
         )).alias("release"),
     ))
-    return events.select(
+    return base.select(
         F.col("event_id").cast("string").alias("id"),
         etype.alias("type"),
         _repo_of(F.col("user_id") % N_REPOS).alias("repo_name"),
@@ -261,11 +265,34 @@ def bound_cases(spark: SparkSession, n: int = 60) -> DataFrame:
 
 # --------------------------------------------------------------------------- loaders
 
+_EVENT_TABLES: dict[tuple[str, str], str] = {}
+
+
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as stored in production: normalised events in Parquet
+    partitioned by ``event_date``, written once per session into the shared
+    scratch folder (``spark.checkpoint.dir``) and read back from there."""
+    from ..schemas import EVENT
+    from ..session import scratch_path
+    from pyspark.sql import types as T
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _EVENT_TABLES.get(key)
+    if path is None:
+        path = scratch_path(spark, "events")
+        (bound_events(_t.table(spark, sf_dir, "events"))
+         .withColumn("event_date", F.to_date("created_at"))
+         .sortWithinPartitions("event_date")
+         .write.mode("overwrite").partitionBy("event_date").parquet(path))
+        _EVENT_TABLES[key] = path
+    schema = T.StructType(EVENT.fields + [T.StructField("event_date", T.DateType())])
+    return spark.read.schema(schema).parquet(path)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Bound table by name, read from ``sf_dir``."""
     t = lambda n: _t.table(spark, sf_dir, n)
     if name == "events":
-        return bound_events(t("events"))
+        return event_table(spark, sf_dir)
     if name == "artifacts":
         return bound_artifacts(t("events"), t("documents"))
     if name == "comments":
