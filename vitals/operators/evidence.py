@@ -32,7 +32,8 @@ def _num(c) -> F.Column:
 
 def evidence_bundle(anomalies: DataFrame, daily: DataFrame, artifacts: DataFrame, events: DataFrame,
                     chunks: DataFrame, vectors: DataFrame, k_prs: int = 10, k_releases: int = 10,
-                    k_hits: int = 5) -> DataFrame:
+                    k_hits: int = 5, index: DataFrame | None = None,
+                    doc_len: DataFrame | None = None) -> DataFrame:
     """(anomaly_id, source, rank, citation_type, source_url, excerpt)."""
     a = anomalies.select(F.col("id").alias("anomaly_id"), "repo_name", "anomaly_type", "metric_name",
                          "window_start", "window_end", "baseline_value", "observed_value")
@@ -55,7 +56,8 @@ def evidence_bundle(anomalies: DataFrame, daily: DataFrame, artifacts: DataFrame
                  F.coalesce(F.round("mean", 2).cast("string"), F.lit("None"))).alias("excerpt"))
 
     # artifact_chunk: slowest PRs of pr_slowdown windows
-    prs = slow_prs(anomalies.filter(F.col("anomaly_type") == "pr_slowdown"), artifacts, k_prs)
+    # Small (anomalies x k rows) and used twice: cut its lineage once.
+    prs = slow_prs(anomalies.filter(F.col("anomaly_type") == "pr_slowdown"), artifacts, k_prs).checkpoint()
     pr_rows = prs.select(
         "anomaly_id", F.lit("slow_pr").alias("source"), "rank", F.lit("artifact_chunk").alias("citation_type"),
         F.col("url").alias("source_url"),
@@ -82,7 +84,7 @@ def evidence_bundle(anomalies: DataFrame, daily: DataFrame, artifacts: DataFrame
         (F.regexp_extract("repo_name", r"(\d+)$", 1).cast("long") * 100 + F.col("number")).alias("artifact_id"))
     q = q.join(vectors.select("artifact_id", F.col("embedding").alias("query_vec")), "artifact_id", "left") \
         .drop("artifact_id")
-    hits = hybrid_search(q, chunks, k_hits)
+    hits = hybrid_search(q, chunks, k_hits, index=index, doc_len=doc_len)
     hit_rows = hits.select(
         F.col("query_id").alias("anomaly_id"), F.lit("search").alias("source"), "rank",
         F.lit("artifact_chunk").alias("citation_type"), F.col("artifact_url").alias("source_url"),

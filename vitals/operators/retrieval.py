@@ -191,11 +191,32 @@ def postings(chunks: DataFrame) -> DataFrame:
     return t.filter(~F.col("term").isin(*STOP_WORDS))
 
 
-def corpus_stats(chunks: DataFrame, post: DataFrame) -> tuple[int, float]:
+INDEX_BUCKETS = 64
+
+
+def term_bucket(term: Column, buckets: int = INDEX_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+MAX_LOOKUP_TERMS = 10_000
+
+
+def build_index(chunks: DataFrame, buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """Postings laid out for storage: hash bucket of the term as partition
+    column (a search reads only its terms' buckets), rows clustered by term."""
+    p = postings(chunks).withColumn("bucket", term_bucket(F.col("term"), buckets))
+    return p.repartition(buckets, "bucket").sortWithinPartitions("term")
+
+
+def doc_lengths(post: DataFrame) -> DataFrame:
+    """Indexed tokens per chunk (BM25 document length)."""
+    return post.groupBy("artifact_id", "chunk_index").agg(F.count("*").alias("dl"))
+
+
+def corpus_stats(doc_len: DataFrame) -> tuple[int, float]:
     """(N chunks, average chunk length in indexed tokens) — two scalars."""
-    n = chunks.count()
-    total = post.count()
-    return n, (total / n if n else 0.0)
+    r = doc_len.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    return int(r["n"]), float(r["avgdl"] or 0.0)
 
 
 def parse_query(query_text: Column) -> tuple[Column, Column]:
@@ -212,18 +233,33 @@ def parse_query(query_text: Column) -> tuple[Column, Column]:
 
 def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
                 k1: float = BM25_K1, b: float = BM25_B,
-                index: DataFrame | None = None) -> DataFrame:
+                index: DataFrame | None = None, doc_len: DataFrame | None = None) -> DataFrame:
     """BM25 search: chunks of the query's repository containing every query
     term (and none of the excluded ones), best chunk per artifact, ranked by
-    score DESC, first ``search_k``. ``index`` may be a stored ``postings``."""
+    score DESC, first ``search_k``.
+
+    ``index`` / ``doc_len`` are the stored ``build_index`` / ``doc_lengths``
+    tables; without them both are derived from ``chunks`` in the same job.
+    A stored index is read only in the hash buckets of the query terms.
+    """
     post = index if index is not None else postings(chunks)
-    n_docs, avgdl = corpus_stats(chunks, post)
+    dlen = doc_len if doc_len is not None else doc_lengths(post)
+    n_docs, avgdl = corpus_stats(dlen)
     req, excl = parse_query(F.col("query_text"))
     qt = queries.select("query_id", "repo_name", req.alias("req"), excl.alias("excl"))
     terms = broadcast_if_small(qt.select("query_id", "repo_name", F.size("req").alias("n_terms"),
                                          F.explode("req").alias("term")))
     negs = broadcast_if_small(qt.select("query_id", "repo_name", F.explode("excl").alias("term")))
-    qterms = terms.select("term").distinct()
+    qterms = terms.select("term").unionByName(negs.select("term")).distinct()
+    if "bucket" in post.columns:
+        # Index lookup: with a bounded term list, read only its hash buckets
+        # (partition pruning) and let Parquet skip row groups by the term's
+        # min/max statistics (postings are clustered by term).
+        listed = qterms.select("term", term_bucket(F.col("term")).alias("b")) \
+            .limit(MAX_LOOKUP_TERMS + 1).collect()
+        if len(listed) <= MAX_LOOKUP_TERMS:
+            buckets = sorted({r["b"] for r in listed})
+            post = post.filter(F.col("bucket").isin(buckets) & F.col("term").isin([r["term"] for r in listed]))
     df_t = (post.join(qterms, "term", "left_semi")
             .groupBy("term").agg(F.count_distinct("artifact_id", "chunk_index").alias("df")))
     hits = (post.join(terms, ["term", "repo_name"])
@@ -233,12 +269,7 @@ def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf").cast("double")
     part = idf * tf * (k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
-    # Document length only for chunks that matched some query term: one
-    # count over their postings (a semi join on the chunk key).
-    matched_keys = hits.select("artifact_id", "chunk_index").distinct()
-    dl = (post.join(matched_keys, ["artifact_id", "chunk_index"], "left_semi")
-          .groupBy("artifact_id", "chunk_index").agg(F.count("*").alias("dl")))
-    hits = hits.join(dl, ["artifact_id", "chunk_index"])
+    hits = hits.join(dlen, ["artifact_id", "chunk_index"])
     per_chunk = (hits.groupBy("query_id", "artifact_id", "chunk_index", "artifact_url", "n_terms")
                  .agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
                  .filter(F.col("matched") == F.col("n_terms")))
@@ -264,10 +295,12 @@ def rrf_fuse(vec: DataFrame, txt: DataFrame, k: int = 5, rrf_k: int = RRF_K) ->
     return top_k(f, ["query_id"], [F.col("rrf_score").desc(), F.col("artifact_url").asc()], k)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, index: DataFrame | None = None,
+                  doc_len: DataFrame | None = None) -> DataFrame:
     """Vector + BM25 legs over-fetched to 4k each, fused by RRF, first k."""
     k = min(k, 10)
-    return rrf_fuse(vector_search(queries, chunks, 4 * k), text_search(queries, chunks, 4 * k), k)
+    return rrf_fuse(vector_search(queries, chunks, 4 * k),
+                    text_search(queries, chunks, 4 * k, index=index, doc_len=doc_len), k)
 
 
 # --------------------------------------------------------------------------- approximate search (H5)
@@ -281,12 +314,16 @@ def ann_search(queries: DataFrame, chunks: DataFrame, k: int = 10, bucket_length
 
     def unit(c):
         n = F.sqrt(F.aggregate(c, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double")))
-        return array_to_vector(F.transform(c, lambda x: x.cast("double") / n))
-
-    ch = chunks.filter(F.col("embedding").isNotNull()).select(
-        "artifact_id", "chunk_index", "artifact_url", "repo_name", unit(F.col("embedding")).alias("v"))
-    q = queries.filter(F.col("query_vec").isNotNull()).select(
-        "query_id", F.col("repo_name").alias("q_repo"), unit(F.col("query_vec")).alias("v"))
+        # CASE keeps the vector conversion away from NULL arrays even if the
+        # optimiser evaluates the projection before the NOT NULL filter.
+        return F.when(c.isNotNull() & (n > 0), array_to_vector(F.transform(c, lambda x: x.cast("double") / n)))
+
+    # Checkpointed (reliably, into spark.checkpoint.dir) so the optimiser
+    # cannot move the LSH hash UDF below the NOT NULL filter.
+    ch = chunks.select("artifact_id", "chunk_index", "artifact_url", "repo_name",
+                       unit(F.col("embedding")).alias("v")).filter(F.col("v").isNotNull()).checkpoint()
+    q = queries.select("query_id", F.col("repo_name").alias("q_repo"),
+                       unit(F.col("query_vec")).alias("v")).filter(F.col("v").isNotNull()).checkpoint()
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(ch)
     pairs = model.approxSimilarityJoin(q, ch, threshold, distCol="d").select(

@@ -362,7 +362,12 @@ def _doc_chunks(spark, sf):
 
 
 def _chunk_vecs(spark, sf):
-    return _doc_chunks(spark, sf).join(B.load(spark, sf, "vectors"), "artifact_id", "left")
+    """The stored chunk table with document vectors (built once per session)."""
+    return B.load(spark, sf, "chunk_store")
+
+
+def _index(spark, sf):
+    return {"index": B.load(spark, sf, "postings"), "doc_len": B.load(spark, sf, "doc_lengths")}
 
 
 @register("chunk_documents", O.sql(
@@ -397,7 +402,7 @@ def q_vector_search(spark, sf):
     "FROM t_ranked", "t_ranked"))
 def q_text_search(spark, sf):
     from ..operators.retrieval import text_search
-    r = text_search(B.load(spark, sf, "queries"), _doc_chunks(spark, sf), 20)
+    r = text_search(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 20, **_index(spark, sf))
     return rounded(r.select("query_id", "rank", "artifact_url", "artifact_id", "chunk_index", "score",
                             "excerpt"))
 
@@ -413,7 +418,7 @@ def q_text_search(spark, sf):
     "v_ranked", "t_ranked"))
 def q_hybrid_search(spark, sf):
     from ..operators.retrieval import hybrid_search
-    r = hybrid_search(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 5)
+    r = hybrid_search(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 5, **_index(spark, sf))
     return rounded(r.select("query_id", "rank", "artifact_url", "rrf_score", "v_rank", "t_rank", "excerpt"))
 
 
@@ -637,7 +642,7 @@ def q_ensure_anomalies(spark, sf):
 def q_evidence_bundle(spark, sf):
     from ..operators.evidence import evidence_bundle
     return evidence_bundle(_anoms(spark, sf), _daily(spark, sf), _artifacts(spark, sf), _events(spark, sf),
-                           _chunk_vecs(spark, sf), B.load(spark, sf, "vectors"))
+                           _chunk_vecs(spark, sf), B.load(spark, sf, "vectors"), **_index(spark, sf))
 
 
 # ============================================================================ checks

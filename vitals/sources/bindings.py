@@ -99,13 +99,19 @@ def raw_events(events: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- artifacts
 
 def bound_artifacts(events: DataFrame, documents: DataFrame) -> DataFrame:
+    """Pull-request artifacts from the raw ``events`` table (see
+    ``artifacts_from_events``)."""
+    return artifacts_from_events(bound_events(events), documents)
+
+
+def artifacts_from_events(events: DataFrame, documents: DataFrame) -> DataFrame:
     """Pull-request artifacts: one row per (repo, number) with an open event.
 
     created_at = first open, closed_at = last close when it is later than the
     open; body = the document ``(repo index) * 100 + number`` (may be absent),
     title = its first 80 characters.
     """
-    pr = (bound_events(events)
+    pr = (events
           .filter(F.col("type") == "PullRequestEvent")
           .select("repo_name", "actor_login", "created_at",
                   F.get_json_object("payload", "$.action").alias("action"),
@@ -288,17 +294,46 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None = None) -> DataFrame:
+    """Write ``build()`` once per session into the shared scratch folder and
+    read it back (the engine's persisted tables: chunk store, index)."""
+    from ..session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _STORED.get(key)
+    if path is None:
+        path = scratch_path(spark, name)
+        w = build().write.mode("overwrite")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Bound table by name, read from ``sf_dir``."""
     t = lambda n: _t.table(spark, sf_dir, n)
     if name == "events":
         return event_table(spark, sf_dir)
     if name == "artifacts":
-        return bound_artifacts(t("events"), t("documents"))
+        return stored(spark, sf_dir, "artifacts",
+                      lambda: artifacts_from_events(event_table(spark, sf_dir), t("documents")))
     if name == "comments":
         return bound_comments(t("conversations"))
     if name == "doc_artifacts":
         return document_artifacts(t("documents"))
+    if name == "chunk_store":
+        from ..operators.retrieval import chunk_artifacts
+        return stored(spark, sf_dir, "chunk-store", lambda: chunk_artifacts(document_artifacts(t("documents")))
+                      .join(document_vectors(t("embeddings")), "artifact_id", "left"))
+    if name == "postings":
+        from ..operators.retrieval import build_index
+        return stored(spark, sf_dir, "postings", lambda: build_index(load(spark, sf_dir, "chunk_store")),
+                      partition_by="bucket")
+    if name == "doc_lengths":
+        from ..operators.retrieval import doc_lengths
+        return stored(spark, sf_dir, "doc-lengths", lambda: doc_lengths(load(spark, sf_dir, "postings")))
     if name == "vectors":
         return document_vectors(t("embeddings"))
     if name == "queries":
