@@ -44,3 +44,25 @@ def test_vector_ranks(spark):
     q = spark.createDataFrame([(7, "org/r", [1.0, 0.1])], "query_id long, repo_name string, query_vec array<float>")
     res = sorted((r["rank"], r["artifact_url"]) for r in vector_search(q, ch, 2).collect())
     assert res == [(1, "u0"), (2, "u1")]
+
+
+def test_websearch_syntax(spark):
+    from vitals.operators.retrieval import split_websearch
+    assert split_websearch('a "b c" or d -e') == [
+        {"clause": 0, "alt": 0, "neg": False, "text": "a"},
+        {"clause": 1, "alt": 0, "neg": False, "text": "b c"},
+        {"clause": 1, "alt": 1, "neg": False, "text": "d"},
+        {"clause": 2, "alt": 0, "neg": True, "text": "e"}]
+    texts = ["fix the parser bug today", "parser fix bug", "the bug in parser", "memory leak fixed", "leak parser"]
+    ch = _chunks(spark, texts)
+    qs = {1: '"parser bug"', 2: '"fix the parser"', 3: "leak or bug", 4: "parser -bug", 5: "parser leak or today"}
+    q = spark.createDataFrame([(i, "org/r", t) for i, t in qs.items()],
+                              "query_id long, repo_name string, query_text string")
+    got = {}
+    for r in text_search(q, ch, 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["artifact_url"])
+    assert got[1] == {"u0"}
+    assert got[2] == {"u0"}
+    assert got[3] == {"u0", "u1", "u2", "u3", "u4"}
+    assert got[4] == {"u4"}
+    assert got[5] == {"u0", "u4"}

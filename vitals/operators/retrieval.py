@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import STOP_WORDS, chunk_header, query_terms_expr, strip, tokens
+from ..functions.text import STOP_WORDS, chunk_header, strip, tokens
 from ..schemas import CHUNK_OVERLAP, CHUNK_SIZE, RRF_K
 from .artifacts import top_k
 
@@ -219,62 +219,105 @@ def corpus_stats(doc_len: DataFrame) -> tuple[int, float]:
     return int(r["n"]), float(r["avgdl"] or 0.0)
 
 
-def parse_query(query_text: Column) -> tuple[Column, Column]:
-    """websearch-style query -> (required terms, excluded terms).
+def split_websearch(q: str | None) -> list[dict]:
+    """websearch-style query -> clause structure (a small per-query helper).
 
-    Plain words are required (AND), ``-word`` is excluded; stop words and
-    duplicates are dropped, tokens are lower-cased like the documents.
+    Space-separated items are ANDed clauses; ``or`` between two items makes
+    them alternatives of one clause; ``"..."`` is a phrase; a leading ``-``
+    negates the item (the text must not occur). Returns rows
+    (clause, alt, neg, text); tokenising happens in Spark afterwards.
     """
-    words = F.split(F.trim(query_text), r"\s+")
-    neg = F.filter(words, lambda w: w.startswith("-"))
-    pos = F.filter(words, lambda w: ~w.startswith("-"))
-    return (query_terms_expr(F.array_join(pos, " ")), query_terms_expr(F.array_join(neg, " ")))
+    import re
+    clauses: list[tuple[bool, list[str]]] = []
+    pending_or = False
+    for item in re.findall(r'-?"[^"]*"?|[^\s"]+', q or ""):
+        if item.lower() == "or" and clauses and not clauses[-1][0]:
+            pending_or = True
+            continue
+        neg = item.startswith("-")
+        text = (item[1:] if neg else item).strip('"')
+        if pending_or and not neg:
+            clauses[-1][1].append(text)
+        else:
+            clauses.append((neg, [text]))
+        pending_or = False
+    return [{"clause": c, "alt": a, "neg": neg, "text": t}
+            for c, (neg, alts) in enumerate(clauses) for a, t in enumerate(alts)]
+
+
+_QUERY_ITEMS = T.ArrayType(T.StructType([
+    T.StructField("clause", T.IntegerType()), T.StructField("alt", T.IntegerType()),
+    T.StructField("neg", T.BooleanType()), T.StructField("text", T.StringType())]))
+
+
+@F.pandas_udf(_QUERY_ITEMS)
+def _query_items(q: pd.Series) -> pd.Series:
+    return q.map(split_websearch)
+
+
+def query_alternatives(queries: DataFrame) -> DataFrame:
+    """(query_id, repo_name, clause, alt, neg, offset, term, n_alt_terms):
+    one row per indexed token of each alternative; ``offset`` is the token's
+    position in the alternative (stop words keep their slot, as in the index)."""
+    items = queries.select("query_id", "repo_name", F.explode(_query_items("query_text")).alias("i")) \
+        .select("query_id", "repo_name", "i.*")
+    toks = items.select("query_id", "repo_name", "clause", "alt", "neg",
+                        F.posexplode(tokens(F.col("text"))).alias("offset", "term")) \
+        .filter(~F.col("term").isin(*STOP_WORDS))
+    n = toks.groupBy("query_id", "clause", "alt").agg(F.count_distinct("offset").alias("n_alt_terms"))
+    return toks.join(n, ["query_id", "clause", "alt"])
 
 
 def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
                 k1: float = BM25_K1, b: float = BM25_B,
                 index: DataFrame | None = None, doc_len: DataFrame | None = None) -> DataFrame:
-    """BM25 search: chunks of the query's repository containing every query
-    term (and none of the excluded ones), best chunk per artifact, ranked by
-    score DESC, first ``search_k``.
+    """BM25 search over the query's repository: a chunk matches when every
+    positive clause has a matching alternative (term, or phrase at adjacent
+    positions) and no negated item matches. Score = BM25 over the distinct
+    positive terms present. Best chunk per artifact, first ``search_k``.
 
     ``index`` / ``doc_len`` are the stored ``build_index`` / ``doc_lengths``
     tables; without them both are derived from ``chunks`` in the same job.
-    A stored index is read only in the hash buckets of the query terms.
+    A stored index is read only for the query terms (bucket pruning plus
+    Parquet statistics on the term-clustered files).
     """
     post = index if index is not None else postings(chunks)
     dlen = doc_len if doc_len is not None else doc_lengths(post)
     n_docs, avgdl = corpus_stats(dlen)
-    req, excl = parse_query(F.col("query_text"))
-    qt = queries.select("query_id", "repo_name", req.alias("req"), excl.alias("excl"))
-    terms = broadcast_if_small(qt.select("query_id", "repo_name", F.size("req").alias("n_terms"),
-                                         F.explode("req").alias("term")))
-    negs = broadcast_if_small(qt.select("query_id", "repo_name", F.explode("excl").alias("term")))
-    qterms = terms.select("term").unionByName(negs.select("term")).distinct()
+    qa = broadcast_if_small(query_alternatives(queries).checkpoint())
+    n_pos = qa.filter(~F.col("neg")).groupBy("query_id").agg(F.count_distinct("clause").alias("n_clauses"))
+    qterms = qa.select("term").distinct()
     if "bucket" in post.columns:
-        # Index lookup: with a bounded term list, read only its hash buckets
-        # (partition pruning) and let Parquet skip row groups by the term's
-        # min/max statistics (postings are clustered by term).
         listed = qterms.select("term", term_bucket(F.col("term")).alias("b")) \
             .limit(MAX_LOOKUP_TERMS + 1).collect()
         if len(listed) <= MAX_LOOKUP_TERMS:
             buckets = sorted({r["b"] for r in listed})
             post = post.filter(F.col("bucket").isin(buckets) & F.col("term").isin([r["term"] for r in listed]))
-    df_t = (post.join(qterms, "term", "left_semi")
+    chunk_key = ["artifact_id", "chunk_index", "artifact_url"]
+    hits = post.join(qa, ["term", "repo_name"]).select(
+        "query_id", "clause", "alt", "neg", "n_alt_terms", "offset", "term", "pos", *chunk_key)
+    # an alternative occurs where all its tokens line up from one start position
+    occ = (hits.groupBy("query_id", "clause", "alt", "neg", "n_alt_terms", *chunk_key,
+                        (F.col("pos") - F.col("offset")).alias("start"))
+           .agg(F.count_distinct("offset").alias("k"))
+           .filter(F.col("k") == F.col("n_alt_terms"))
+           .select("query_id", "clause", "neg", *chunk_key).distinct())
+    ok = (occ.filter(~F.col("neg")).groupBy("query_id", *chunk_key)
+          .agg(F.count("*").alias("n_ok")).join(n_pos, "query_id")
+          .filter(F.col("n_ok") == F.col("n_clauses")).select("query_id", *chunk_key))
+    ok = ok.join(occ.filter(F.col("neg")).select("query_id", *chunk_key).distinct(),
+                 ["query_id", *chunk_key], "left_anti")
+    qt = qa.filter(~F.col("neg")).select("query_id", "term").distinct()
+    df_t = (post.join(qt.select("term").distinct(), "term", "left_semi")
             .groupBy("term").agg(F.count_distinct("artifact_id", "chunk_index").alias("df")))
-    hits = (post.join(terms, ["term", "repo_name"])
-            .groupBy("query_id", "artifact_id", "chunk_index", "artifact_url", "term", "n_terms")
-            .agg(F.count("*").alias("tf"))
-            .join(df_t, "term"))
+    tf = (hits.filter(~F.col("neg")).select("query_id", "term", "pos", *chunk_key).distinct()
+          .join(ok, ["query_id", *chunk_key], "left_semi")
+          .groupBy("query_id", "term", *chunk_key).agg(F.count("*").alias("tf")))
+    scored = tf.join(df_t, "term").join(dlen, ["artifact_id", "chunk_index"])
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf").cast("double")
-    part = idf * tf * (k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
-    hits = hits.join(dlen, ["artifact_id", "chunk_index"])
-    per_chunk = (hits.groupBy("query_id", "artifact_id", "chunk_index", "artifact_url", "n_terms")
-                 .agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
-                 .filter(F.col("matched") == F.col("n_terms")))
-    excluded = post.join(negs, ["term", "repo_name"]).select("query_id", "artifact_id", "chunk_index")
-    per_chunk = per_chunk.join(excluded, ["query_id", "artifact_id", "chunk_index"], "left_anti")
+    tfc = F.col("tf").cast("double")
+    part = idf * tfc * (k1 + 1) / (tfc + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
+    per_chunk = scored.groupBy("query_id", *chunk_key).agg(F.sum(part).alias("score"))
     best = _best_per_artifact(per_chunk, "score", ascending=False)
     ranked = top_k(best, ["query_id"], [F.col("score").desc(), F.col("artifact_url").asc()], search_k)
     return _with_excerpt(ranked, chunks)
