@@ -2,13 +2,13 @@
 
 Case -> anomaly is a natural-key join on (repo, type, window_start,
 window_end) (duplicate keys fan in to the same anomaly); anomaly -> latest
-report is a ``row_number`` over created_at. Array membership (expected URLs
-vs cited URLs) stays inside each row.
+report is a partial ``max_by`` over (created_at, id). Array membership
+(expected URLs vs cited URLs) stays inside each row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CONFIDENCES, LATENCY_THRESHOLD_S, MAX_TOOL_CALLS
@@ -22,8 +22,8 @@ def _case_keys(cases: DataFrame) -> DataFrame:
 
 def latest_report_any(reports: DataFrame) -> DataFrame:
     """Most recent report per anomaly, whatever its confidence."""
-    w = Window.partitionBy("anomaly_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return reports.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    from .reports import last_per_key
+    return last_per_key(reports, "anomaly_id", ["created_at", "id"])
 
 
 def resolve_cases(cases: DataFrame, anomalies: DataFrame, reports: DataFrame) -> DataFrame:
@@ -96,3 +96,8 @@ def ensure_anomalies(cases: DataFrame, anomalies: DataFrame) -> DataFrame:
     existing = anomalies.select(*NATURAL_KEY, "metric_name", "baseline_value", "observed_value", "z_score",
                                 F.lit(False).alias("inserted"))
     return existing.unionByName(missing)
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Eval-result sink (A14): scored rows as JSON lines."""
+    scores.orderBy("case_id").coalesce(1).write.mode("overwrite").json(path)

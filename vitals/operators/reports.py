@@ -7,7 +7,7 @@ citations table is grouped once by report id and joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CITATION_TYPES, CONFIDENCES
@@ -60,12 +60,21 @@ def flatten_citations(reports: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- latest report
 
+def last_per_key(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
+    """Row with the greatest ``order_cols`` per ``key`` (DISTINCT ON ... DESC).
+
+    ``max_by`` is a partial aggregate: an anomaly with a huge number of
+    reports is folded map-side instead of sorted in one task.
+    """
+    vals = [c for c in df.columns if c != key]
+    g = df.groupBy(key).agg(F.max_by(F.struct(*vals), F.struct(*order_cols)).alias("_r"))
+    return g.select(key, "_r.*")
+
+
 def latest_reports(reports: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Latest report per anomaly among ``confidence != 'error'`` (which also
     drops NULL confidence), joined to its anomaly."""
-    r = reports.filter(F.col("confidence") != "error")
-    w = Window.partitionBy("anomaly_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    latest = r.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    latest = last_per_key(reports.filter(F.col("confidence") != "error"), "anomaly_id", ["created_at", "id"])
     a = anomalies.select(F.col("id").alias("anomaly_id"), "repo_name", "anomaly_type", "window_start",
                          "window_end", "metric_name", "baseline_value", "observed_value", "z_score")
     return latest.join(a, "anomaly_id")

@@ -804,3 +804,18 @@ def q_stream_daily_metrics(spark, sf):
                 lambda p: daily_metrics_stream(spark, p["glob"], p["out2"], p["out"], p["ckpt"]))
     from ..operators.metrics import METRIC_COLUMNS
     return rounded(spark.read.parquet(p["out"]).select("repo_name", "date", *METRIC_COLUMNS))
+
+
+@register("stream_detect", O.backfill_sql(
+    BACKFILL_FIRST, BACKFILL_LAST, LOW_Z, "SELECT " + _AUDIT_COLS + " FROM backfill WHERE status = 'anomaly'"))
+def q_stream_detect(spark, sf):
+    """Detect on arrival: the late-data stream re-scores every window end its
+    refreshed days reach; the anomaly rows equal a full backfill."""
+    from ..streaming.streams import daily_metrics_stream, day_is
+    late = day_is("2024-01-03") | day_is("2024-01-05")
+    p = _staged(spark, sf, "detect", ~late, late,
+                lambda p: daily_metrics_stream(spark, p["glob"], p["out2"], p["out"], p["ckpt"],
+                                               audit_path=p["out3"], z_threshold=LOW_Z))
+    a = spark.read.parquet(p["out3"]).filter(F.col("status") == "anomaly")
+    return rounded(a.select("repo_name", "anomaly_type", "metric_name", "window_start", "window_end", "n_prior",
+                            "n_recent", "baseline_value", "mad", "observed_value", "z_score", "status"))

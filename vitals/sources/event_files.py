@@ -45,3 +45,9 @@ def write_event_lines(raw: DataFrame, path: str, compression: str = "gzip") -> N
         .option("timestampNTZFormat", TS_FORMAT)
         .partitionBy("event_date", "hour")
         .json(path))
+
+
+def read_golden_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Golden cases stored as one multi-line JSON array."""
+    from ..schemas import GOLDEN_CASE
+    return spark.read.schema(GOLDEN_CASE).option("multiLine", True).json(path)

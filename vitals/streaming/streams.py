@@ -28,9 +28,10 @@ from pyspark.sql import types as T
 
 from ..functions import json_paths as J
 from ..operators.ingest import normalize_events
+from ..operators.detect import SPAN, detect_backfill
 from ..operators.metrics import METRIC_COLUMNS
 from ..operators.upsert import first_per_key
-from ..schemas import EVENT, RAW_EVENT
+from ..schemas import DEFAULT_Z_THRESHOLD, EVENT, RAW_EVENT
 from ..session import scratch_path
 from ..sources.event_files import TS_FORMAT
 
@@ -160,8 +161,11 @@ def affected_dates(batch: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def daily_metrics_stream(spark: SparkSession, glob: str, events_path: str, metrics_path: str,
-                         checkpoint: str) -> None:
-    """K4/K5: exact daily metrics under late data, refreshed per epoch."""
+                         checkpoint: str, audit_path: str | None = None,
+                         z_threshold: float = DEFAULT_Z_THRESHOLD) -> None:
+    """K4/K5: exact daily metrics under late data, refreshed per epoch; with
+    ``audit_path`` every window end the refreshed days can move (day .. day+34,
+    up to the last day with data) is re-scored and its partition replaced."""
     out_schema = T.StructType([T.StructField("repo_name", T.StringType()), T.StructField("date", T.DateType())]
                               + [T.StructField(c, T.DoubleType() if c == "pr_median_merge_hours"
                                                else T.LongType()) for c in METRIC_COLUMNS])
@@ -179,11 +183,36 @@ def daily_metrics_stream(spark: SparkSession, glob: str, events_path: str, metri
         closes_scope = scope.drop("event_date")
         m = daily_metrics_for(events.drop("event_date"), closes_scope)
         replace_partitions(spark, m, metrics_path, ["repo_name", "date"], "date", out_schema)
+        if audit_path is not None:
+            detect_on_arrival(spark, dates, metrics_path, audit_path, z_threshold)
 
     ev = event_file_stream(spark, glob)
     _run(ev.writeStream.foreachBatch(epoch), checkpoint)
 
 
+AUDIT_SCHEMA = T.StructType([
+    T.StructField("repo_name", T.StringType()), T.StructField("anomaly_type", T.StringType()),
+    T.StructField("metric_name", T.StringType()), T.StructField("window_start", T.DateType()),
+    T.StructField("window_end", T.DateType()), T.StructField("n_prior", T.LongType()),
+    T.StructField("n_recent", T.LongType()), T.StructField("baseline_value", T.DoubleType()),
+    T.StructField("mad", T.DoubleType()), T.StructField("observed_value", T.DoubleType()),
+    T.StructField("z_score", T.DoubleType()), T.StructField("status", T.StringType())])
+
+
+def detect_on_arrival(spark: SparkSession, dates: DataFrame, metrics_path: str, audit_path: str,
+                      z_threshold: float = DEFAULT_Z_THRESHOLD) -> None:
+    """K5: re-score the window ends reachable from the refreshed days."""
+    metrics = spark.read.parquet(metrics_path)
+    lo, hi = dates.agg(F.min("date"), F.max("date")).first()
+    last = metrics.agg(F.max("date")).first()[0]
+    if lo is None or last is None:
+        return
+    hi = min(hi + _dt.timedelta(days=SPAN - 1), last)
+    audit = detect_backfill(metrics, lo, hi, z_threshold)
+    replace_partitions(spark, audit, audit_path, ["repo_name", "anomaly_type", "window_end"], "window_end",
+                       AUDIT_SCHEMA)
+
+
 def daily_metrics_for(all_events: DataFrame, scoped: DataFrame) -> DataFrame:
     """``daily_metrics`` restricted to the days present in ``scoped``: counts
     from ``scoped``; cycle medians pair its closes with opens from
@@ -219,7 +248,7 @@ def staged_run(spark: SparkSession, raw: DataFrame, name: str, first, second, jo
     root = scratch_path(spark, f"{name}-in")
     paths = {"root": root, "glob": f"{root}/*/event_date=*/*.json",
              "out": scratch_path(spark, f"{name}-out"), "out2": scratch_path(spark, f"{name}-out2"),
-             "ckpt": scratch_path(spark, f"{name}-ckpt")}
+             "out3": scratch_path(spark, f"{name}-out3"), "ckpt": scratch_path(spark, f"{name}-ckpt")}
     stage_day_files(raw, root, "a", first)
     job(paths)
     stage_day_files(raw, root, "b", second)
