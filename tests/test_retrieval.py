@@ -66,3 +66,13 @@ def test_websearch_syntax(spark):
     assert got[3] == {"u0", "u1", "u2", "u3", "u4"}
     assert got[4] == {"u4"}
     assert got[5] == {"u0", "u4"}
+
+
+def test_render_hits_and_label_json(spark):
+    from vitals.functions.json_paths import label_names_json
+    from vitals.operators.retrieval import render_hits
+    h = spark.createDataFrame([(1, 2, "u2", 0.0161, "b"), (1, 1, "u1", 0.03252, "a")],
+                              "query_id long, rank long, artifact_url string, rrf_score double, excerpt string")
+    assert render_hits(h).first()["text"] == "[score=0.0325] u1\na\n\n---\n\n[score=0.0161] u2\nb"
+    lab = spark.createDataFrame([([("bug",), ("docs",)],), (None,)], "labels array<struct<name:string>>")
+    assert [r[0] for r in lab.select(label_names_json("labels")).collect()] == ['["bug","docs"]', "[]"]

@@ -42,3 +42,9 @@ def release_name(payload="payload") -> Column:
 
 def release_body(payload="payload") -> Column:
     return jtext(payload, "$.release.body")
+
+
+def label_names_json(labels: Column | str) -> Column:
+    """GitHub label objects -> JSON array of their names (``["bug","docs"]``)."""
+    c = F.col(labels) if isinstance(labels, str) else labels
+    return F.to_json(F.transform(F.coalesce(c, F.array()), lambda x: x["name"]))

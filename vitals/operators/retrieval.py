@@ -338,6 +338,16 @@ def rrf_fuse(vec: DataFrame, txt: DataFrame, k: int = 5, rrf_k: int = RRF_K) ->
     return top_k(f, ["query_id"], [F.col("rrf_score").desc(), F.col("artifact_url").asc()], k)
 
 
+def render_hits(hits: DataFrame) -> DataFrame:
+    """Search hits as the text handed to a reader: ``[score=0.0325] url``
+    followed by the 400-character excerpt, best first per query."""
+    line = F.format_string("[score=%.4f] %s\n%s", F.col("rrf_score"), F.col("artifact_url"),
+                           F.coalesce(F.col("excerpt"), F.lit("")))
+    return hits.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))),
+                                 lambda x: x["l"]), "\n\n---\n\n").alias("text"))
+
+
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, index: DataFrame | None = None,
                   doc_len: DataFrame | None = None) -> DataFrame:
     """Vector + BM25 legs over-fetched to 4k each, fused by RRF, first k."""
