@@ -100,4 +100,4 @@ def ensure_anomalies(cases: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 def write_scores(scores: DataFrame, path: str) -> None:
     """Eval-result sink (A14): scored rows as JSON lines."""
-    scores.orderBy("case_id").coalesce(1).write.mode("overwrite").json(path)
+    scores.orderBy("case_id").write.mode("overwrite").json(path)

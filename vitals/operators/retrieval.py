@@ -70,34 +70,34 @@ def chunk_artifacts(artifacts: DataFrame, size: int = CHUNK_SIZE,
 
 # --------------------------------------------------------------------------- embedding (H3)
 
-def _hash_vectors(texts, dim: int):
-    """Signed feature hashing of lower-cased letter/digit tokens, L2-normalised."""
+def _vectors_from_codes(codes: pd.Series, dim: int) -> pd.Series:
+    """Token codes (slot * 2 + sign bit) of each row -> L2-normalised signed
+    counts, for a whole Arrow batch at once (one ``bincount``)."""
     import numpy as np
-    import regex
-    import xxhash
-    pat = regex.compile(r"[\p{L}\p{N}]+")
-    out = np.zeros((len(texts), dim), dtype=np.float64)
-    for r, t in enumerate(texts):
-        if t is None:
-            continue
-        for tok in pat.findall(t.lower()):
-            h = xxhash.xxh64_intdigest(tok)
-            out[r, h % dim] += 1.0 if (h >> 63) == 0 else -1.0
-    n = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, n, out=np.zeros_like(out), where=n > 0).astype(np.float32)
+    lens = codes.map(lambda c: 0 if c is None else len(c)).to_numpy()
+    flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes if c is not None and len(c)] or
+                          [np.zeros(0, dtype=np.int64)])
+    rows = np.repeat(np.arange(len(codes)), lens)
+    counts = np.bincount(rows * (2 * dim) + flat, minlength=len(codes) * 2 * dim).reshape(len(codes), dim, 2)
+    v = (counts[:, :, 0] - counts[:, :, 1]).astype(np.float64)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.divide(v, n, out=np.zeros_like(v), where=n > 0).astype(np.float32)
+    return pd.Series(list(v))
 
 
 def hash_embedding(text: Column, dim: int = EMBED_DIM) -> Column:
-    """Deterministic hashing embedder as an Arrow-batched pandas UDF.
+    """Deterministic signed feature hashing of the tokens, L2-normalised.
 
-    (Array higher-order functions are interpreted, not code-generated, and
-    cost ~100x more for a 64-slot accumulator per token.)
+    Tokenising and hashing run JVM-side (one ``xxhash64`` per token); the
+    per-row scatter-add into ``dim`` slots is a vectorised pandas UDF.
     """
+    codes = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)).cast("int"))
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _embed(s: pd.Series) -> pd.Series:
-        return pd.Series(list(_hash_vectors(s.tolist(), dim)))
+    def _embed(c: pd.Series) -> pd.Series:
+        return _vectors_from_codes(c, dim)
 
-    return _embed(text)
+    return _embed(codes)
 
 
 def embed_chunks(chunks: DataFrame, embed_fn: Callable | None = None,
@@ -203,9 +203,15 @@ MAX_LOOKUP_TERMS = 10_000
 
 def build_index(chunks: DataFrame, buckets: int = INDEX_BUCKETS) -> DataFrame:
     """Postings laid out for storage: hash bucket of the term as partition
-    column (a search reads only its terms' buckets), rows clustered by term."""
+    column (a search reads only its terms' buckets), rows clustered by term.
+
+    Range partitioning on (bucket, term, artifact_id) keeps each task's
+    output to few buckets while splitting a hot bucket, or even one hot term,
+    over several tasks.
+    """
     p = postings(chunks).withColumn("bucket", term_bucket(F.col("term"), buckets))
-    return p.repartition(buckets, "bucket").sortWithinPartitions("term")
+    return (p.repartitionByRange(buckets, "bucket", "term", "artifact_id")
+            .sortWithinPartitions("bucket", "term"))
 
 
 def doc_lengths(post: DataFrame) -> DataFrame:
