@@ -71,3 +71,19 @@ def test_golden_cases_and_scores_sink(spark, tmp_path):
     out = tmp_path / "scores"
     write_scores(df.select(F.col("id").alias("case_id"), "z_score"), str(out))
     assert spark.read.json(str(out)).count() == 2
+
+
+def test_reingest_is_insert_if_absent(spark, tmp_path):
+    from vitals.operators.ingest import reingest
+    e = {"id": "9", "type": "PushEvent", "created_at": "2024-01-05T00:00:00.000000", "repo": {"name": "o/r"},
+         "actor": {"login": "new"}, "payload": {}}
+    old = dict(e, actor={"login": "old"})
+    fresh = dict(e, id="10")
+    p = tmp_path / "f.jsonl"
+    p.write_text("\n".join([json.dumps(e), "", "garbage", json.dumps(fresh)]) + "\n")
+    target = normalize_events(spark.createDataFrame([json.dumps(old)], "string").select(
+        F.from_json("value", "id string, type string, created_at timestamp_ntz, repo struct<name:string>, "
+                             "actor struct<login:string>, payload string").alias("r")).select("r.*"))
+    out = {r["id"]: r["actor_login"] for r in reingest(spark, str(p), target).collect()}
+    assert out == {"9": "old", "10": "new"}
+    assert reingest(spark, str(p), reingest(spark, str(p), target)).count() == 2

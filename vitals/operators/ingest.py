@@ -87,3 +87,12 @@ def missing_hours(spark: SparkSession, events: DataFrame, start, end) -> DataFra
     """Hours of the range with no landed events (``left_anti`` against the data)."""
     landed = events.select(F.to_date("created_at").alias("date"), F.hour("created_at").alias("hour"))
     return hour_calendar(spark, start, end).join(landed, ["date", "hour"], "left_anti")
+
+
+def reingest(spark: SparkSession, path: str, target: DataFrame) -> DataFrame:
+    """Re-ingest filtered event files (A6): blank and malformed lines are
+    skipped, events already in ``target`` (by id) are left untouched."""
+    from ..sources.event_files import read_event_lines
+    from .upsert import upsert_ignore
+    batch = normalize_events(read_event_lines(spark, path))
+    return upsert_ignore(target.select(*batch.columns), batch, ["id"], ["created_at"])

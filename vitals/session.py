@@ -47,18 +47,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is set by the deployment (a shared file system path).
     Only when it is unset — local tests — a fresh private folder is created.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        sc = None
+    d = sc.getCheckpointDir() if sc is not None else None
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("VITALS_TMP", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
+    if sc is None:
+        return d
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identifies the running application (for per-session stored tables)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path below the shared scratch folder for staged tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -281,7 +281,8 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..schemas import EVENT
     from ..session import scratch_path
     from pyspark.sql import types as T
-    key = (spark.sparkContext.applicationId, sf_dir)
+    from ..session import session_key
+    key = (session_key(spark), sf_dir)
     path = _EVENT_TABLES.get(key)
     if path is None:
         path = scratch_path(spark, "events")
@@ -300,8 +301,8 @@ _STORED: dict[tuple[str, str, str], str] = {}
 def stored(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None = None) -> DataFrame:
     """Write ``build()`` once per session into the shared scratch folder and
     read it back (the engine's persisted tables: chunk store, index)."""
-    from ..session import scratch_path
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    from ..session import scratch_path, session_key
+    key = (session_key(spark), sf_dir, name)
     path = _STORED.get(key)
     if path is None:
         path = scratch_path(spark, name)

@@ -55,9 +55,13 @@ def event_file_stream(spark: SparkSession, glob: str, max_files: int = MAX_FILES
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether a Parquet table exists at ``path`` (any file system)."""
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.parquet(path).schema
+        return True
+    except AnalysisException:
+        return False
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
