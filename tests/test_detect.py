@@ -76,3 +76,31 @@ def test_backfill_matches_single_window(spark):
         got = sorted(tuple(x) for x in bf.filter(F.col("window_end") == F.lit(e)).select(*cols).collect())
         want = sorted(tuple(x) for x in one.select(*cols).collect())
         assert got == want
+
+
+def test_zero_fill_option(spark):
+    # events on only 10 of the 35 days: without zero-fill the series is short
+    rows = [("r", o, 4, None, 7) for o in range(7, 35, 3)] + [("r", o, 9, None, 7) for o in (0, 2)]
+    d = _daily(spark, rows)
+    a = _z(detection_audit(d, WE), "r", "issue_spike")
+    z = _z(detection_audit(d, WE, zero_fill=True), "r", "issue_spike")
+    assert a["n_prior"] == 10 and z["n_prior"] == 28 and z["n_recent"] == 7
+    assert z["baseline_value"] == 0.0                 # most days now count 0 issues
+    p = _z(detection_audit(d, WE, zero_fill=True), "r", "pr_slowdown")
+    assert p["n_prior"] == 0                          # the median time is not filled
+    bf = detect_backfill(d, WE, WE, zero_fill=True).filter(F.col("anomaly_type") == "issue_spike").first()
+    assert bf["n_prior"] == 28 and bf["baseline_value"] == z["baseline_value"]
+
+
+def test_merged_only_option(spark):
+    from vitals.operators.metrics import pr_cycles
+    import json
+    ev = [("1", "PullRequestEvent", "o/r", "2024-01-01 00:00:00", {"action": "opened", "number": 5}),
+          ("2", "PullRequestEvent", "o/r", "2024-01-01 10:00:00",
+           {"action": "closed", "number": 5, "pull_request": {"merged": False}}),
+          ("3", "PullRequestEvent", "o/r", "2024-01-01 04:00:00", {"action": "closed", "number": 5})]
+    df = spark.createDataFrame([(i, t, r, None, ts, json.dumps(p)) for i, t, r, ts, p in ev],
+                               "id string, type string, repo_name string, actor_login string, created_at string, "
+                               "payload string").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    assert pr_cycles(df).first()["median_hours"] == pytest.approx(7.0)
+    assert pr_cycles(df, merged_only=True).first()["median_hours"] == pytest.approx(4.0)

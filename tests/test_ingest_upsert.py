@@ -87,3 +87,19 @@ def test_reingest_is_insert_if_absent(spark, tmp_path):
     out = {r["id"]: r["actor_login"] for r in reingest(spark, str(p), target).collect()}
     assert out == {"9": "old", "10": "new"}
     assert reingest(spark, str(p), reingest(spark, str(p), target)).count() == 2
+
+
+def test_feed_and_detail_sinks(spark, tmp_path):
+    from vitals.plans.queries import REGISTRY
+    from vitals.operators.reports import report_detail, write_details, write_feed, latest_reports, flatten_citations
+    from vitals.sources import bindings as B
+    sf = "/root/testdata/sf0.001"
+    feed = REGISTRY["report_feed"][0](spark, sf)
+    write_feed(feed, str(tmp_path / "feed"))
+    back = spark.read.json(str(tmp_path / "feed"))
+    assert back.count() == feed.count()
+    reps = B.load(spark, sf, "reports")
+    det = report_detail(latest_reports(reps, B.load(spark, sf, "anomalies")), flatten_citations(reps))
+    write_details(det, str(tmp_path / "detail"))
+    d = spark.read.json(str(tmp_path / "detail"))
+    assert d.select("id").distinct().count() == det.count()

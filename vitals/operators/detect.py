@@ -70,6 +70,25 @@ def _score(series: DataFrame, keys: list[str], z_threshold: float) -> DataFrame:
                     observed.alias("observed_value"), z.alias("z_score"), status.alias("status"))
 
 
+COUNT_METRICS = ["star_count", "fork_count", "issue_opened", "issue_closed", "pr_opened", "pr_merged",
+                 "commit_count"]
+
+
+def zero_filled(daily: DataFrame, first, last) -> DataFrame:
+    """Daily metrics with a row for every repository and every day in
+    [first, last]: missing days count 0 events (the median time stays NULL).
+    The calendar is generated per repository (``explode(sequence)``), no join
+    with a cross product."""
+    f = _dt.date.fromisoformat(str(first))
+    l = _dt.date.fromisoformat(str(last))
+    cal = daily.select("repo_name").distinct().select(
+        "repo_name", F.explode(F.sequence(F.lit(f), F.lit(l))).alias("date"))
+    d = cal.join(daily.filter(F.col("date").between(F.lit(f), F.lit(l))), ["repo_name", "date"], "left")
+    return d.select("repo_name", "date", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+                                           for c in COUNT_METRICS if c in daily.columns],
+                    *[c for c in daily.columns if c not in COUNT_METRICS + ["repo_name", "date"]])
+
+
 def metric_series(daily: DataFrame, window_end, checks=ANOMALY_CHECKS) -> DataFrame:
     """Non-NULL daily values of each repo x check in the 35 days up to
     ``window_end``, tagged prior (first 28) or recent (last 7)."""
@@ -83,7 +102,8 @@ def metric_series(daily: DataFrame, window_end, checks=ANOMALY_CHECKS) -> DataFr
 
 
 def detection_audit(daily: DataFrame, window_end, z_threshold: float = DEFAULT_Z_THRESHOLD,
-                    checks=ANOMALY_CHECKS, repos: DataFrame | None = None) -> DataFrame:
+                    checks=ANOMALY_CHECKS, repos: DataFrame | None = None,
+                    zero_fill: bool = False) -> DataFrame:
     """One row per repository x check with counts, baseline, MAD, observed,
     z and a status (insufficient_history / low_baseline / anomaly / normal).
 
@@ -92,6 +112,8 @@ def detection_audit(daily: DataFrame, window_end, z_threshold: float = DEFAULT_Z
     the 35 days get a row with n_prior = 0.
     """
     we = _dt.date.fromisoformat(str(window_end))
+    if zero_fill:
+        daily = zero_filled(daily, we - _dt.timedelta(days=SPAN - 1), we)
     s = metric_series(daily, we, checks)
     scored = _score(s.select("repo_name", "anomaly_type", "metric_name", "min_baseline",
                              "value", "is_prior"),
@@ -130,7 +152,8 @@ def detect_anomalies(daily: DataFrame, window_end, z_threshold: float = DEFAULT_
 
 
 def detect_backfill(daily: DataFrame, first_end, last_end,
-                    z_threshold: float = DEFAULT_Z_THRESHOLD, checks=ANOMALY_CHECKS) -> DataFrame:
+                    z_threshold: float = DEFAULT_Z_THRESHOLD, checks=ANOMALY_CHECKS,
+                    zero_fill: bool = False) -> DataFrame:
     """Score every window end in [first_end, last_end] in one job.
 
     Emits one row per (repo, check, window_end) that has at least one value
@@ -139,6 +162,8 @@ def detect_backfill(daily: DataFrame, first_end, last_end,
     f = _dt.date.fromisoformat(str(first_end))
     l = _dt.date.fromisoformat(str(last_end))
     d = daily.filter(F.col("date").between(F.lit(f - _dt.timedelta(days=SPAN - 1)), F.lit(l)))
+    if zero_fill:
+        d = zero_filled(d, f - _dt.timedelta(days=SPAN - 1), l)
     long = metric_long(d, checks)
     fan = (long.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPAN - 1))).alias("off"))
            .withColumn("window_end", F.date_add(F.col("date"), F.col("off")))

@@ -43,18 +43,22 @@ def daily_counts(events: DataFrame, start=None, end=None) -> DataFrame:
                  F.count_if(t == "PushEvent").alias("commit_count")))
 
 
-def pr_cycle_pairs(events: DataFrame, start=None, end=None) -> DataFrame:
+def pr_cycle_pairs(events: DataFrame, start=None, end=None, merged_only: bool = False) -> DataFrame:
     """Every (close, earlier open) pair of the same PR: repo, number, close day,
-    hours open. Only the close side is date-filtered (lookback is unbounded)."""
-    pr = (events.filter(F.col("type") == "PullRequestEvent")
-          .select("repo_name", "created_at", J.action().alias("action"),
-                  J.pr_number().alias("number")))
-    if start is not None:
-        closes = filter_days(events.filter(F.col("type") == "PullRequestEvent"), start, end).select(
-            "repo_name", "created_at", J.action().alias("action"), J.pr_number().alias("number"))
-        closes = closes.filter(F.col("action") == "closed")
-    else:
-        closes = pr.filter(F.col("action") == "closed")
+    hours open. Only the close side is date-filtered (lookback is unbounded).
+
+    By default every close counts (the metric is open->close); with
+    ``merged_only`` a close needs the merged flag (absent flag = merged).
+    """
+    def typed(df):
+        return df.select("repo_name", "created_at", J.action().alias("action"),
+                         J.pr_number().alias("number"), J.merged_or_true().alias("merged"))
+    prs = events.filter(F.col("type") == "PullRequestEvent")
+    pr = typed(prs)
+    closes = typed(filter_days(prs, start, end)) if start is not None else pr
+    closes = closes.filter(F.col("action") == "closed")
+    if merged_only:
+        closes = closes.filter(F.col("merged"))
     c = closes.select("repo_name", "number", F.col("created_at").alias("closed_ts"))
     o = pr.filter(F.col("action") == "opened").select(
         "repo_name", "number", F.col("created_at").alias("opened_ts"))
@@ -65,23 +69,23 @@ def pr_cycle_pairs(events: DataFrame, start=None, end=None) -> DataFrame:
 
 
 def pr_cycles(events: DataFrame, start=None, end=None, exact: bool = True,
-              accuracy: int = 10000) -> DataFrame:
+              accuracy: int = 10000, merged_only: bool = False) -> DataFrame:
     """Median open->close hours per (repo_name, close_date).
 
     ``exact`` uses ``median`` (same as PERCENTILE_CONT(0.5)); ``exact=False``
     switches to ``percentile_approx`` for very large groups.
     """
-    p = pr_cycle_pairs(events, start, end)
+    p = pr_cycle_pairs(events, start, end, merged_only)
     med = (F.median("hours") if exact
            else F.percentile_approx("hours", 0.5, accuracy).cast("double"))
     return (p.groupBy("repo_name", "close_date")
             .agg(med.alias("median_hours"), F.count("*").alias("n_pairs")))
 
 
-def daily_metrics(events: DataFrame, start=None, end=None) -> DataFrame:
+def daily_metrics(events: DataFrame, start=None, end=None, merged_only: bool = False) -> DataFrame:
     """``repo_metrics_daily``: counts LEFT JOIN cycle medians on (repo, day)."""
     d = daily_counts(events, start, end)
-    c = pr_cycles(events, start, end).select(
+    c = pr_cycles(events, start, end, merged_only=merged_only).select(
         "repo_name", F.col("close_date").alias("date"),
         F.col("median_hours").alias("pr_median_merge_hours"))
     return d.join(c, ["repo_name", "date"], "left").select("repo_name", "date", *METRIC_COLUMNS)
