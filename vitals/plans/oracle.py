@@ -171,7 +171,7 @@ def detection_sql(window_end, z_threshold: float, final: str) -> str:
     return f"{head},{body}{final}"
 
 
-def backfill_sql(first_end, last_end, z_threshold: float, final: str) -> str:
+def backfill_sql(first_end, last_end, z_threshold: float, final: str, *extra: str) -> str:
     """All window ends in [first_end, last_end], exposed as CTE ``backfill``."""
     body = f"""
   fan AS (
@@ -201,7 +201,7 @@ def backfill_sql(first_end, last_end, z_threshold: float, final: str) -> str:
            {status_expr(z_threshold)} AS status
     FROM bz)
 """
-    base = sql("SELECT 1", "metric_long")
+    base = sql("SELECT 1", "metric_long", *extra)
     head = base[: base.rfind("\nSELECT 1")]
     return f"{head},{body}{final}"
 

@@ -602,17 +602,27 @@ def q_eval_summary(spark, sf):
     return eval_summary(eval_scores(_cases(spark, sf), _anoms(spark, sf), _reports(spark, sf)))
 
 
-@register("ensure_anomalies", O.sql(
-    "SELECT repo_name, anomaly_type, window_start, window_end, metric_name, baseline_value, observed_value, "
-    "z_score, false AS inserted FROM bound_anomalies UNION ALL "
+_NK = "a.repo_name = c.repo_name AND a.anomaly_type = c.anomaly_type AND a.window_start = c.window_start " \
+      "AND a.window_end = c.window_end"
+
+
+@register("ensure_anomalies", O.backfill_sql(
+    BACKFILL_FIRST, BACKFILL_LAST, LOW_Z,
+    "SELECT repo_name, anomaly_type, window_start, window_end, metric_name, round(baseline_value, 6) AS "
+    "baseline_value, round(observed_value, 6) AS observed_value, round(z_score, 6) AS z_score, "
+    "false AS inserted FROM backfill WHERE status = 'anomaly' UNION ALL "
     "SELECT repo_name, anomaly_type, window_start, window_end, arg_min(metric_name, id), "
-    "arg_min(baseline_value, id), arg_min(observed_value, id), arg_min(z_score, id), true "
-    "FROM bound_cases c WHERE NOT EXISTS (SELECT 1 FROM bound_anomalies a WHERE a.repo_name = c.repo_name "
-    "AND a.anomaly_type = c.anomaly_type AND a.window_start = c.window_start AND a.window_end = c.window_end) "
-    "GROUP BY 1, 2, 3, 4", "bound_anomalies", "bound_cases"))
+    "round(arg_min(baseline_value, id), 6), round(arg_min(observed_value, id), 6), "
+    "round(arg_min(z_score, id), 6), true FROM bound_cases c WHERE NOT EXISTS (SELECT 1 FROM backfill a "
+    f"WHERE a.status = 'anomaly' AND {_NK}) GROUP BY 1, 2, 3, 4", "bound_cases"))
 def q_ensure_anomalies(spark, sf):
+    """Anomalies detected in the data (every window end, z >= 1.5) plus a row
+    for each golden case whose (repo, type, window) was not detected."""
+    from ..operators.detect import detect_backfill
     from ..operators.evaluate import ensure_anomalies
-    return ensure_anomalies(_cases(spark, sf), _anoms(spark, sf))
+    detected = detect_backfill(_daily(spark, sf), BACKFILL_FIRST, BACKFILL_LAST, LOW_Z) \
+        .filter(F.col("status") == "anomaly")
+    return rounded(ensure_anomalies(_cases(spark, sf), detected))
 
 
 # ============================================================================ evidence
