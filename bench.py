@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
     "daily_metrics", "pr_cycles", "detection_audit", "detect_anomalies", "detect_backfill",
-    "ingest_coverage", "upsert_replace", "upsert_partial", "slow_prs", "release_lookup",
+    "ingest_scan", "ingest_coverage", "upsert_replace", "upsert_partial", "slow_prs", "release_lookup",
     "enrichment_candidates", "artifact_text", "chunk_documents", "embed_chunks", "vector_search",
     "text_search", "hybrid_search", "evidence_bundle", "report_feed", "report_detail", "feed_cards",
     "eval_scores", "constraint_violations",

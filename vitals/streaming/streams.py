@@ -42,9 +42,19 @@ EVENT_TABLE = T.StructType(EVENT.fields + [T.StructField("event_date", T.DateTyp
 
 # --------------------------------------------------------------------------- sources and table helpers
 
-def event_file_stream(spark: SparkSession, glob: str, max_files: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
-    """Archive lines as a stream; malformed lines are dropped."""
-    raw = (spark.readStream.schema(RAW_EVENT)
+def event_file_stream(spark: SparkSession, glob: str, max_files: int = MAX_FILES_PER_TRIGGER,
+                      clean_source: str | None = None, archive_dir: str | None = None) -> DataFrame:
+    """Archive lines as a stream; malformed lines are dropped.
+
+    ``clean_source`` = ``"delete"`` removes raw files once committed (or
+    ``"archive"`` moves them to ``archive_dir``).
+    """
+    reader = spark.readStream.schema(RAW_EVENT)
+    if clean_source:
+        reader = reader.option("cleanSource", clean_source)
+        if archive_dir:
+            reader = reader.option("sourceArchiveDir", archive_dir)
+    raw = (reader
            .option("maxFilesPerTrigger", max_files)
            .option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record")
@@ -241,7 +251,7 @@ def daily_metrics_for(all_events: DataFrame, scoped: DataFrame) -> DataFrame:
 def stage_day_files(raw: DataFrame, root: str, phase: str, day_filter) -> None:
     """Write archive lines as one folder per UTC day below ``root/phase``."""
     (raw.filter(day_filter).withColumn("event_date", F.to_date("created_at"))
-     .sortWithinPartitions("event_date")
+     .repartitionByRange("event_date", "id")
      .write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT)
      .partitionBy("event_date").json(f"{root}/{phase}"))
 
