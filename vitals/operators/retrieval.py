@@ -156,17 +156,76 @@ def _best_per_artifact(pairs: DataFrame, score: str, ascending: bool) -> DataFra
                     F.col("_k.artifact_id").alias("artifact_id"))
 
 
+MAX_BLOCK_QUERIES = 50_000
+_CAND_SCHEMA = "query_id long, artifact_url string, artifact_id long, chunk_index long, dist double"
+
+
+def _block_top_k(batches, qs, k: int):
+    """Score one Arrow batch of chunks against the broadcast query vectors of
+    their repository (BLAS matrix product) and emit, per query, only the
+    batch's best ``k`` artifacts (best chunk per URL; order: distance, URL)."""
+    import numpy as np
+    for pdf in batches:
+        out = []
+        for repo, grp in pdf.groupby("repo_name", sort=False):
+            if repo not in qs:
+                continue
+            ids, qm = qs[repo]
+            x = np.vstack(grp["embedding"].to_numpy()).astype(np.float64)
+            nx = np.linalg.norm(x, axis=1)
+            keep = nx > 0
+            if not keep.any():
+                continue
+            g = grp[keep]
+            dist = 1.0 - (x[keep] @ qm.T) / nx[keep][:, None]
+            base = pd.DataFrame({"artifact_url": g["artifact_url"].to_numpy(),
+                                 "artifact_id": g["artifact_id"].to_numpy(),
+                                 "chunk_index": g["chunk_index"].to_numpy()})
+            for j, qid in enumerate(ids):
+                c = base.assign(dist=dist[:, j])
+                c = (c.sort_values(["artifact_url", "dist", "chunk_index", "artifact_id"])
+                     .drop_duplicates("artifact_url")
+                     .sort_values(["dist", "artifact_url"]).head(k))
+                out.append(c.assign(query_id=qid))
+        if out:
+            yield pd.concat(out)[["query_id", "artifact_url", "artifact_id", "chunk_index", "dist"]]
+
+
 def vector_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20) -> DataFrame:
     """Exact cosine search: per query, artifacts of its repository ranked by
-    the distance of their best chunk (1 - cosine), first ``search_k``."""
-    q = broadcast_if_small(queries.filter(F.col("query_vec").isNotNull())
-                           .select("query_id", "repo_name", "query_vec"))
+    the distance of their best chunk (1 - cosine), first ``search_k``.
+
+    Query vectors up to ``MAX_BLOCK_QUERIES`` (checked) are broadcast and each
+    chunk batch is scored as one matrix product, emitting only its per-query
+    top-k candidates, so query x chunk pairs are never materialised as rows;
+    the global top-k is contained in the union of the batch top-k lists.
+    Above the bound the queries are joined to the chunks on ``repo_name``.
+    """
+    import numpy as np
+    q = queries.filter(F.col("query_vec").isNotNull()).select("query_id", "repo_name", "query_vec")
     c = chunks.filter(F.col("embedding").isNotNull()).select(
         "artifact_id", "chunk_index", "repo_name", "artifact_url", "embedding")
-    pairs = c.join(q, "repo_name").select(
-        "query_id", "artifact_url", "artifact_id", "chunk_index",
-        (F.lit(1.0) - cosine(F.col("embedding"), F.col("query_vec"))).alias("dist"))
-    best = _best_per_artifact(pairs, "dist", ascending=True)
+    rows = q.limit(MAX_BLOCK_QUERIES + 1).collect()
+    try:
+        sc = queries.sparkSession.sparkContext
+    except Exception:  # noqa: BLE001
+        sc = None
+    if len(rows) <= MAX_BLOCK_QUERIES and sc is not None:
+        by_repo: dict[str, list] = {}
+        for r in rows:
+            v = np.asarray(r["query_vec"], dtype=np.float64)
+            n = np.linalg.norm(v)
+            if n > 0:
+                by_repo.setdefault(r["repo_name"], []).append((r["query_id"], v / n))
+        qs = sc.broadcast({repo: (np.array([i for i, _ in vs]), np.vstack([v for _, v in vs]))
+                           for repo, vs in by_repo.items()})
+        cand = c.mapInPandas(lambda it: _block_top_k(it, qs.value, search_k), _CAND_SCHEMA)
+    else:
+        qb = broadcast_if_small(q)
+        cand = c.join(qb, "repo_name").select(
+            "query_id", "artifact_url", "artifact_id", "chunk_index",
+            (F.lit(1.0) - cosine(F.col("embedding"), F.col("query_vec"))).alias("dist"))
+    best = _best_per_artifact(cand, "dist", ascending=True)
     ranked = top_k(best, ["query_id"], [F.col("dist").asc(), F.col("artifact_url").asc()], search_k)
     return _with_excerpt(ranked, chunks)
 
