@@ -162,8 +162,12 @@ _CAND_SCHEMA = "query_id long, artifact_url string, artifact_id long, chunk_inde
 
 def _block_top_k(batches, qs, k: int):
     """Score one Arrow batch of chunks against the broadcast query vectors of
-    their repository (BLAS matrix product) and emit, per query, only the
-    batch's best ``k`` artifacts (best chunk per URL; order: distance, URL)."""
+    their repository and emit, per query, only the batch's best ``k``
+    artifacts (best chunk per URL; order: distance, URL).
+
+    Dot products are row-wise reductions (not a blocked matrix product), so
+    identical vectors give bit-identical distances in any batch and ties are
+    broken the same way everywhere."""
     import numpy as np
     for pdf in batches:
         out = []
@@ -177,12 +181,12 @@ def _block_top_k(batches, qs, k: int):
             if not keep.any():
                 continue
             g = grp[keep]
-            dist = 1.0 - (x[keep] @ qm.T) / nx[keep][:, None]
+            xk, nk = x[keep], nx[keep]
             base = pd.DataFrame({"artifact_url": g["artifact_url"].to_numpy(),
                                  "artifact_id": g["artifact_id"].to_numpy(),
                                  "chunk_index": g["chunk_index"].to_numpy()})
             for j, qid in enumerate(ids):
-                c = base.assign(dist=dist[:, j])
+                c = base.assign(dist=1.0 - (xk * qm[j]).sum(axis=1) / nk)
                 c = (c.sort_values(["artifact_url", "dist", "chunk_index", "artifact_id"])
                      .drop_duplicates("artifact_url")
                      .sort_values(["dist", "artifact_url"]).head(k))
@@ -196,8 +200,8 @@ def vector_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20) ->
     the distance of their best chunk (1 - cosine), first ``search_k``.
 
     Query vectors up to ``MAX_BLOCK_QUERIES`` (checked) are broadcast and each
-    chunk batch is scored as one matrix product, emitting only its per-query
-    top-k candidates, so query x chunk pairs are never materialised as rows;
+    chunk batch is scored in numpy, emitting only its per-query top-k
+    candidates, so query x chunk pairs are never materialised as rows;
     the global top-k is contained in the union of the batch top-k lists.
     Above the bound the queries are joined to the chunks on ``repo_name``.
     """
