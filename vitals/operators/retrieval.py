@@ -242,14 +242,15 @@ def _with_excerpt(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- full text (H6, H7)
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """Inverted index rows (term, artifact_id, chunk_index, pos, repo_name,
-    artifact_url): lower-cased letter/digit tokens, stop words removed.
+    """Inverted index rows (term, artifact_id, chunk_index, pos, repo_name):
+    lower-cased letter/digit tokens, stop words removed. The URL is not
+    repeated per posting; it is joined onto the few scored chunks.
 
     Tokens are exploded first and stop words dropped with an ``IN`` filter,
     which stays in generated code (an array ``filter`` lambda would be
     interpreted per token). ``pos`` keeps the original token position.
     """
-    t = chunks.select("artifact_id", "chunk_index", "repo_name", "artifact_url",
+    t = chunks.select("artifact_id", "chunk_index", "repo_name",
                       F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
     return t.filter(~F.col("term").isin(*STOP_WORDS))
 
@@ -362,7 +363,7 @@ def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
         if len(listed) <= MAX_LOOKUP_TERMS:
             buckets = sorted({r["b"] for r in listed})
             post = post.filter(F.col("bucket").isin(buckets) & F.col("term").isin([r["term"] for r in listed]))
-    chunk_key = ["artifact_id", "chunk_index", "artifact_url"]
+    chunk_key = ["artifact_id", "chunk_index"]
     hits = post.join(qa, ["term", "repo_name"]).select(
         "query_id", "clause", "alt", "neg", "n_alt_terms", "offset", "term", "pos", *chunk_key)
     # an alternative occurs where all its tokens line up from one start position
@@ -387,6 +388,8 @@ def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
     tfc = F.col("tf").cast("double")
     part = idf * tfc * (k1 + 1) / (tfc + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
     per_chunk = scored.groupBy("query_id", *chunk_key).agg(F.sum(part).alias("score"))
+    urls = chunks.select("artifact_id", "chunk_index", "artifact_url")
+    per_chunk = per_chunk.join(urls, chunk_key)
     best = _best_per_artifact(per_chunk, "score", ascending=False)
     ranked = top_k(best, ["query_id"], [F.col("score").desc(), F.col("artifact_url").asc()], search_k)
     return _with_excerpt(ranked, chunks)
