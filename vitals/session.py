@@ -41,6 +41,32 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 executor_memory_gb: float = 16.0, target_partition_mb: int = 128) -> dict[str, str]:
+    """Sizing for a cluster run over ``input_bytes`` of Parquet.
+
+    Shuffle partitions are sized so one partition is about
+    ``target_partition_mb`` (and at least 3 waves of tasks), scan splits are
+    capped so a task's input fits comfortably in its share of executor memory,
+    and AQE may coalesce small partitions / split skewed ones at runtime.
+    """
+    slots = max(1, executors * cores_per_executor)
+    per_task_mb = executor_memory_gb * 1024 * 0.6 / max(1, cores_per_executor)
+    split_mb = int(max(32, min(512, per_task_mb / 4)))
+    shuffle = max(3 * slots, int(input_bytes / (target_partition_mb * 1024 * 1024)))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": f"{split_mb}m",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared scratch folder named by ``spark.checkpoint.dir``.
 
