@@ -42,18 +42,22 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
-                 executor_memory_gb: float = 16.0, target_partition_mb: int = 128) -> dict[str, str]:
+                 executor_memory_gb: float = 16.0, target_partition_mb: int = 128,
+                 shuffle_fraction: float = 0.1, max_shuffle_partitions: int = 50_000) -> dict[str, str]:
     """Sizing for a cluster run over ``input_bytes`` of Parquet.
 
-    Shuffle partitions are sized so one partition is about
-    ``target_partition_mb`` (and at least 3 waves of tasks), scan splits are
-    capped so a task's input fits comfortably in its share of executor memory,
-    and AQE may coalesce small partitions / split skewed ones at runtime.
+    Shuffled data is a fraction of the input (column pruning, partial
+    aggregation), so shuffle partitions target ``target_partition_mb`` of the
+    estimated shuffle volume — at least 3 waves of tasks, at most
+    ``max_shuffle_partitions`` (AQE coalesces below that). Scan splits are
+    capped so a task's input fits its share of executor memory; AQE splits
+    skewed partitions at runtime.
     """
     slots = max(1, executors * cores_per_executor)
     per_task_mb = executor_memory_gb * 1024 * 0.6 / max(1, cores_per_executor)
     split_mb = int(max(32, min(512, per_task_mb / 4)))
-    shuffle = max(3 * slots, int(input_bytes / (target_partition_mb * 1024 * 1024)))
+    est = input_bytes * shuffle_fraction / (target_partition_mb * 1024 * 1024)
+    shuffle = int(min(max_shuffle_partitions, max(3 * slots, est)))
     return {
         "spark.sql.shuffle.partitions": str(shuffle),
         "spark.sql.files.maxPartitionBytes": f"{split_mb}m",
