@@ -1,8 +1,6 @@
 """The read-only statement gate and the report contract, on the reference's
 own cases (statements and reports as data)."""
 
-import pytest
-from pyspark.sql import functions as F
 
 from vitals.operators.checks import is_safe_statement, statement_audit
 from vitals.operators.reports import report_contract
