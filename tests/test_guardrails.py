@@ -72,3 +72,10 @@ def test_contract_cases(spark):
     assert got[2]["uncited_evidence"] and not got[2]["valid"]
     assert got[4]["bad_confidence"] and not got[4]["valid"]
     assert got[5]["bad_citation_type"] and not got[5]["valid"]
+
+
+def test_injection_payloads_cannot_pass_uncited(spark):
+    rows = [(i, 0, p, "r", "high", [p], [], "none") for i, p in enumerate(PAYLOADS)]
+    got = report_contract(_report(spark, rows)).collect()
+    assert len(got) == len(PAYLOADS) and not any(r["valid"] for r in got)
+    assert all(r["uncited_evidence"] for r in got)

@@ -59,11 +59,18 @@ def releases(events: DataFrame) -> DataFrame:
 
 
 def release_lookup(anomalies: DataFrame, events: DataFrame, k: int = 10) -> DataFrame:
-    """Releases of the anomaly's repository since its window start, newest first."""
-    r = releases(events)
+    """Releases of the anomaly's repository since its window start, newest first.
+
+    The newest ``k`` releases on/after a date are always among the
+    repository's newest ``k`` overall (same order), so the per-repository
+    top-k is taken first and only those rows meet the anomalies: the join
+    is bounded by anomalies x k instead of anomalies x releases.
+    """
+    order = [F.col("created_at").desc(), F.col("tag").asc()]
+    newest = top_k(releases(events), ["repo_name"], order, k).drop("rank")
     a = anomalies.select(F.col("id").alias("anomaly_id"), "repo_name", "window_start")
-    j = a.join(r, "repo_name").filter(F.col("release_date") >= F.col("window_start"))
-    return top_k(j, ["anomaly_id"], [F.col("created_at").desc(), F.col("tag").asc()], k) \
+    j = a.join(newest, "repo_name").filter(F.col("release_date") >= F.col("window_start"))
+    return top_k(j, ["anomaly_id"], order, k) \
         .select("anomaly_id", "rank", "release_date", "tag", "release_name", "notes")
 
 
