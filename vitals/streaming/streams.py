@@ -165,8 +165,11 @@ def affected_dates(batch: DataFrame, events: DataFrame) -> DataFrame:
     close dates of PRs whose opens arrived in the batch (a late open adds
     open->close pairs to a later day)."""
     own = batch.select(F.to_date("created_at").alias("date"))
+    # Only the earliest new open per PR matters: aggregate first, so the join
+    # below is linear in the PR's closes (no open x close pairs).
     opens = (batch.filter((F.col("type") == "PullRequestEvent") & (J.action() == "opened"))
-             .select("repo_name", J.pr_number().alias("number"), F.col("created_at").alias("open_ts")))
+             .groupBy("repo_name", J.pr_number().alias("number"))
+             .agg(F.min("created_at").alias("open_ts")))
     closes = (events.filter((F.col("type") == "PullRequestEvent") & (J.action() == "closed"))
               .select("repo_name", J.pr_number().alias("number"), F.col("created_at").alias("close_ts")))
     later = (opens.join(closes, ["repo_name", "number"]).filter(F.col("close_ts") > F.col("open_ts"))
