@@ -269,13 +269,12 @@ def build_index(chunks: DataFrame, buckets: int = INDEX_BUCKETS) -> DataFrame:
     """Postings laid out for storage: hash bucket of the term as partition
     column (a search reads only its terms' buckets), rows clustered by term.
 
-    Range partitioning on (bucket, term, artifact_id) keeps each task's
-    output to few buckets while splitting a hot bucket, or even one hot term,
-    over several tasks.
+    The ``REBALANCE`` hint groups rows by bucket (few files per bucket) and
+    lets AQE split a skewed bucket — even a single hot term — over several
+    tasks at runtime, without a sampling pass over the corpus.
     """
     p = postings(chunks).withColumn("bucket", term_bucket(F.col("term"), buckets))
-    return (p.repartitionByRange(buckets, "bucket", "term", "artifact_id")
-            .sortWithinPartitions("bucket", "term"))
+    return p.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
 
 
 def doc_lengths(post: DataFrame) -> DataFrame:

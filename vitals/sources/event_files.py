@@ -32,13 +32,14 @@ def write_event_lines(raw: DataFrame, path: str, compression: str = "gzip") -> N
     """Filtered JSON-lines sink partitioned by UTC day and hour (A5).
 
     ``raw`` is in the nested archive shape. Re-running for the same hours
-    replaces only those hour partitions (dynamic partition overwrite). A range
-    partitioning on (day, hour, id) gives about one file per hour, while an
-    hour holding many rows is still split over several tasks.
+    replaces only those hour partitions (dynamic partition overwrite). The
+    ``REBALANCE`` hint gives about one file per hour, and AQE splits an hour
+    holding many rows over several tasks.
     """
     (raw.withColumn("event_date", F.to_date("created_at"))
         .withColumn("hour", F.hour("created_at"))
-        .repartitionByRange("event_date", "hour", "id")
+        .hint("rebalance", "event_date", "hour")
+        .sortWithinPartitions("event_date", "hour")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)

@@ -254,7 +254,7 @@ def daily_metrics_for(all_events: DataFrame, scoped: DataFrame) -> DataFrame:
 def stage_day_files(raw: DataFrame, root: str, phase: str, day_filter) -> None:
     """Write archive lines as one folder per UTC day below ``root/phase``."""
     (raw.filter(day_filter).withColumn("event_date", F.to_date("created_at"))
-     .repartitionByRange("event_date", "id")
+     .hint("rebalance", "event_date")
      .write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT)
      .partitionBy("event_date").json(f"{root}/{phase}"))
 
