@@ -45,10 +45,11 @@ def normalize_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def payload_fields(events: DataFrame) -> DataFrame:
-    """The JSON paths the jobs read, as columns (B1)."""
+def payload_fields(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The JSON paths the jobs read, as columns (B1); ``keep`` passes other
+    event columns through (a projection — no join back on ``id``)."""
     return events.select(
-        "id", "type", "repo_name", "created_at",
+        "id", "type", "repo_name", "created_at", *keep,
         J.action().alias("action"),
         J.pr_number().alias("number"),
         J.jtext("payload", "$.pull_request.merged").try_cast("boolean").alias("merged"),

@@ -132,7 +132,7 @@ def q_ingest_scan(spark, sf):
     path = scratch_path(spark, "event-lines")
     write_event_lines(B.raw_events(_tables.table(spark, sf, "events")), path)
     ev = normalize_events(read_event_lines(spark, path))
-    return ev.join(payload_fields(ev).select("id", "action", "number"), "id").select(
+    return payload_fields(ev, keep=("actor_login",)).select(
         "id", "type", "repo_name", "actor_login", "created_at", "action", "number")
 
 
@@ -147,7 +147,7 @@ def q_watchlist_filter(spark, sf):
 def q_normalize_events(spark, sf):
     from ..operators.ingest import normalize_events, payload_fields
     ev = normalize_events(B.raw_events(_tables.table(spark, sf, "events")))
-    return payload_fields(ev).join(ev.select("id", "actor_login"), "id").select(
+    return payload_fields(ev, keep=("actor_login",)).select(
         "id", "type", "repo_name", "actor_login", "created_at", "action", "number", "merged")
 
 
@@ -764,7 +764,7 @@ def _stream_events_out(spark, path):
     from ..operators.ingest import payload_fields
     from ..streaming.streams import EVENT_TABLE
     ev = spark.read.schema(EVENT_TABLE).parquet(path)
-    return ev.join(payload_fields(ev).select("id", "action", "number"), "id").select(
+    return payload_fields(ev, keep=("actor_login",)).select(
         "id", "type", "repo_name", "actor_login", "created_at", "action", "number")
 
 
