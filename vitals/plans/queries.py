@@ -41,8 +41,8 @@ def rounded(df: DataFrame, dp: int = DP) -> DataFrame:
 
 
 def _daily(spark, sf):
-    from ..operators.metrics import daily_metrics
-    return daily_metrics(B.load(spark, sf, "events"))
+    """The stored ``repo_metrics_daily`` table (the roll-up job's output)."""
+    return B.load(spark, sf, "daily")
 
 
 # ============================================================================ metrics
@@ -52,7 +52,8 @@ def _daily(spark, sf):
     "pr_merged, round(pr_median_merge_hours, 6) AS pr_median_merge_hours, commit_count "
     "FROM daily_metrics", "daily_metrics"))
 def q_daily_metrics(spark, sf):
-    return rounded(_daily(spark, sf))
+    from ..operators.metrics import daily_metrics
+    return rounded(daily_metrics(B.load(spark, sf, "events")))
 
 
 @register("pr_cycles", O.sql(

@@ -317,6 +317,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     t = lambda n: _t.table(spark, sf_dir, n)
     if name == "events":
         return event_table(spark, sf_dir)
+    if name == "daily":
+        from ..operators.metrics import daily_metrics
+        return stored(spark, sf_dir, "repo-metrics-daily", lambda: daily_metrics(event_table(spark, sf_dir)))
     if name == "artifacts":
         return stored(spark, sf_dir, "artifacts",
                       lambda: artifacts_from_events(event_table(spark, sf_dir), t("documents")))
