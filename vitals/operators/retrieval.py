@@ -235,8 +235,12 @@ def vector_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20) ->
 
 
 def _with_excerpt(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Attach the 400-character excerpt. ``ranked`` (queries x k rows) is
+    checkpointed and broadcast after a size check, so the chunk store is
+    streamed past it instead of being shuffled."""
+    r = broadcast_if_small(ranked.checkpoint())
     ex = chunks.select("artifact_id", "chunk_index", F.left("text", F.lit(400)).alias("excerpt"))
-    return ranked.join(ex, ["artifact_id", "chunk_index"], "left")
+    return r.join(ex, ["artifact_id", "chunk_index"], "left")
 
 
 # --------------------------------------------------------------------------- full text (H6, H7)
@@ -273,10 +277,16 @@ def build_index(chunks: DataFrame, buckets: int = INDEX_BUCKETS) -> DataFrame:
     lets AQE split a skewed bucket — even a single hot term — over several
     tasks at runtime, without a sampling pass over the corpus.
     """
-    p = postings(chunks).withColumn("bucket", term_bucket(F.col("term"), buckets))
+    p = with_doc_length(postings(chunks)).withColumn("bucket", term_bucket(F.col("term"), buckets))
     return p.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
 
 
+def with_doc_length(post: DataFrame) -> DataFrame:
+    """Postings with their chunk's indexed length ``dl`` (computed once, at
+    index build, so a search needs no join with the document lengths)."""
+    return post.join(doc_lengths(post), ["artifact_id", "chunk_index"])
+
+
 def doc_lengths(post: DataFrame) -> DataFrame:
     """Indexed tokens per chunk (BM25 document length)."""
     return post.groupBy("artifact_id", "chunk_index").agg(F.count("*").alias("dl"))
@@ -350,7 +360,7 @@ def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
     A stored index is read only for the query terms (bucket pruning plus
     Parquet statistics on the term-clustered files).
     """
-    post = index if index is not None else postings(chunks)
+    post = index if index is not None else with_doc_length(postings(chunks))
     dlen = doc_len if doc_len is not None else doc_lengths(post)
     n_docs, avgdl = corpus_stats(dlen)
     qa = broadcast_if_small(query_alternatives(queries).checkpoint())
@@ -364,7 +374,7 @@ def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
             post = post.filter(F.col("bucket").isin(buckets) & F.col("term").isin([r["term"] for r in listed]))
     chunk_key = ["artifact_id", "chunk_index"]
     hits = post.join(qa, ["term", "repo_name"]).select(
-        "query_id", "clause", "alt", "neg", "n_alt_terms", "offset", "term", "pos", *chunk_key)
+        "query_id", "clause", "alt", "neg", "n_alt_terms", "offset", "term", "pos", "dl", *chunk_key)
     # an alternative occurs where all its tokens line up from one start position
     occ = (hits.groupBy("query_id", "clause", "alt", "neg", "n_alt_terms", *chunk_key,
                         (F.col("pos") - F.col("offset")).alias("start"))
@@ -377,16 +387,18 @@ def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
     ok = ok.join(occ.filter(F.col("neg")).select("query_id", *chunk_key).distinct(),
                  ["query_id", *chunk_key], "left_anti")
     qt = qa.filter(~F.col("neg")).select("query_id", "term").distinct()
-    df_t = (post.join(qt.select("term").distinct(), "term", "left_semi")
-            .groupBy("term").agg(F.count_distinct("artifact_id", "chunk_index").alias("df")))
-    tf = (hits.filter(~F.col("neg")).select("query_id", "term", "pos", *chunk_key).distinct()
+    # df per query term; at most one row per (checked) query term.
+    df_t = F.broadcast(post.join(qt.select("term").distinct(), "term", "left_semi")
+                       .groupBy("term").agg(F.count_distinct("artifact_id", "chunk_index").alias("df")))
+    tf = (hits.filter(~F.col("neg")).select("query_id", "term", "pos", "dl", *chunk_key).distinct()
           .join(ok, ["query_id", *chunk_key], "left_semi")
-          .groupBy("query_id", "term", *chunk_key).agg(F.count("*").alias("tf")))
-    scored = tf.join(df_t, "term").join(dlen, ["artifact_id", "chunk_index"])
+          .groupBy("query_id", "term", "dl", *chunk_key).agg(F.count("*").alias("tf")))
+    scored = tf.join(df_t, "term")
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tfc = F.col("tf").cast("double")
     part = idf * tfc * (k1 + 1) / (tfc + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
-    per_chunk = scored.groupBy("query_id", *chunk_key).agg(F.sum(part).alias("score"))
+    per_chunk = broadcast_if_small(
+        scored.groupBy("query_id", *chunk_key).agg(F.sum(part).alias("score")).checkpoint())
     urls = chunks.select("artifact_id", "chunk_index", "artifact_url")
     per_chunk = per_chunk.join(urls, chunk_key)
     best = _best_per_artifact(per_chunk, "score", ascending=False)
