@@ -79,3 +79,22 @@ def test_injection_payloads_cannot_pass_uncited(spark):
     got = report_contract(_report(spark, rows)).collect()
     assert len(got) == len(PAYLOADS) and not any(r["valid"] for r in got)
     assert all(r["uncited_evidence"] for r in got)
+
+
+def test_split_valid_quarantines(spark):
+    from vitals.operators.reports import split_valid
+    c = ("sql_result", "SQL: x", "e")
+    rows = [(1, 0, "s", "r", "high", ["a"], [c], "l"), (2, 0, "s", "r", "high", ["a"], [], "l"),
+            (3, 0, "s", "r", None, [], [], "l")]
+    valid, bad = split_valid(_report(spark, rows))
+    assert [r["id"] for r in valid.collect()] == [1]
+    assert sorted(r["id"] for r in bad.collect()) == [2, 3]
+
+
+def test_cluster_conf_bounds():
+    from vitals.session import cluster_conf
+    big = cluster_conf(100 * 1024 ** 4, 1000, 8)
+    assert int(big["spark.sql.shuffle.partitions"]) == 50_000
+    small = cluster_conf(10 * 1024 ** 3, 10, 4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 120          # three waves of 40 slots
+    assert small["spark.sql.adaptive.skewJoin.enabled"] == "true"
