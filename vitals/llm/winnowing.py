@@ -8,8 +8,8 @@ k-gram on both sides, so the join on kept k-grams misses no such span.
 * A fixed-size bit map of the benchmark's kept hashes travels to the document
   scan, so only k-grams that may match leave it (a false bit costs a row, no
   more); the map's size does not depend on either side.
-* Each kept k-gram carries the few words around it that decide whether it lies
-  in a shared window. After the equi-join, the hit is extended over equal words
+* Each kept k-gram carries the few words around it (as 64-bit hashes) that decide
+  whether it lies in a shared window. After the equi-join, the hit is extended over equal words
   to both sides and kept if it reaches ``window`` words.
 * An item shorter than ``window`` words is one window: for every such length in
   the benchmark (``window - 1`` values at most) all document n-grams of that
@@ -37,10 +37,7 @@ MAP_BITS = 23  # one MiB
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
-_SEED = "array<struct<pos:int,size:int,hash:long,gram:string,left:array<string>,right:array<string>>>"
-_SEED_TYPE = pa.list_(pa.struct([
-    ("pos", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("gram", pa.string()),
-    ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))]))
+_SEED = "array<struct<pos:int,size:int,hash:long,left:array<long>,right:array<long>>>"
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -78,26 +75,35 @@ def _every_gram(h: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray,
     return pos, g[pos]
 
 
-def _seeds(w: Words, found: list[tuple[int, np.ndarray, np.ndarray]], window: int) -> pa.Array:
+def _around(h: np.ndarray, start: np.ndarray, count: np.ndarray, step: int) -> pa.Array:
+    """Lists of ``count`` word hashes from ``start`` on, forwards or backwards."""
+    ends = np.cumsum(count)
+    at = np.repeat(start, count) + step * (np.arange(int(count.sum())) - np.repeat(ends - count, count))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(h[at].view(np.int64)))
+
+
+def _seeds(w: Words, h: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray]], window: int) -> pa.Array:
     """The seeds of each row, given (size, positions, hashes).
 
-    A k-gram carries the words around it, nearest first. A whole short item has
-    a negative size and needs none.
+    A k-gram carries the hashes of the words around it, nearest first. A whole
+    short item has a negative size and needs none.
     """
-    rows: list[list[dict]] = [[] for _ in range(len(w.counts))]
-    first = np.cumsum(w.counts) - w.counts
-    for size, pos, h in found:
-        n = abs(size)
-        reach = window - n if size > 0 else 0
-        for p, x in zip(pos.tolist(), h.view(np.int64).tolist()):
-            d = int(w.doc[p])
-            lo, hi = int(first[d]), int(first[d] + w.counts[d])
-            rows[d].append({
-                "pos": p - lo, "size": size, "hash": x,
-                "gram": " ".join(w.text(i) for i in range(p, p + n)),
-                "left": [w.text(i) for i in range(p - 1, max(lo, p - reach) - 1, -1)],
-                "right": [w.text(i) for i in range(p + n, min(hi, p + n + reach))]})
-    return pa.array(rows, _SEED_TYPE)
+    size = np.concatenate([np.full(len(p), s, np.int32) for s, p, _ in found])
+    pos = np.concatenate([p for _, p, _ in found]).astype(np.int64)
+    hashes = np.concatenate([x for *_, x in found]).view(np.int64)
+    order = np.argsort(w.doc[pos], kind="stable")
+    size, pos, hashes = size[order], pos[order], hashes[order]
+    doc = w.doc[pos]
+    first = (np.cumsum(w.counts) - w.counts)[doc]
+    last = first + w.counts[doc]
+    after = pos + np.abs(size)
+    reach = np.where(size > 0, window - size, 0)
+    seeds = pa.StructArray.from_arrays(
+        [pa.array((pos - first).astype(np.int32)), pa.array(size), pa.array(hashes),
+         _around(h, pos - 1, np.minimum(reach, pos - first), -1),
+         _around(h, after, np.minimum(reach, last - after), 1)], ["pos", "size", "hash", "left", "right"])
+    per_doc = np.bincount(doc, minlength=len(w.counts))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]), pa.int32()), seeds)
 
 
 def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text",
@@ -115,7 +121,7 @@ def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text",
             pos = np.searchsorted(w.doc, np.flatnonzero(w.counts == size))
             if len(pos):
                 found.append((-size, pos, _grams(h, size)[pos]))
-        return pa.RecordBatch.from_arrays([block.column("item"), _seeds(w, found, window)], ["item", "seeds"])
+        return pa.RecordBatch.from_arrays([block.column("item"), _seeds(w, h, found, window)], ["item", "seeds"])
 
     return (map_blocks(src, "text", fn, f"item string, seeds {_SEED}")
             .select("item", F.explode("seeds").alias("s")).select("item", "s.*").distinct())
@@ -154,7 +160,7 @@ def document_seeds(docs: DataFrame, bitmap: np.ndarray, short: list[int], text:
         for size, (pos, g) in [(k, winnow(h, w.doc, k, window)), *((-n, _every_gram(h, w.doc, n)) for n in short)]:
             use = _in_map(shared.value, g)
             found.append((size, pos[use], g[use]))
-        seeds = _seeds(w, found, window)
+        seeds = _seeds(w, h, found, window)
         return pa.RecordBatch.from_arrays(
             [*(block.column(n) for n in names), pa.array(w.counts.astype(np.int64)), seeds],
             [*names, "n_words", "seeds"])
@@ -172,8 +178,8 @@ def _common(a: str, b: str) -> Column:
 def hits(doc_seeds: DataFrame, seeds: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     """(key, lo, hi, item): word ranges of documents that occur in an item, extended."""
     d = doc_seeds.select(key, F.explode("seeds").alias("s")).select(key, "s.*")
-    i = seeds.select("item", "size", "hash", "gram", F.col("left").alias("i_left"), F.col("right").alias("i_right"))
-    j = (d.join(i, ["size", "hash", "gram"])
+    i = seeds.select("item", "size", "hash", F.col("left").alias("i_left"), F.col("right").alias("i_right"))
+    j = (d.join(i, ["size", "hash"])
          .withColumn("l", _common("left", "i_left")).withColumn("r", _common("right", "i_right"))
          .where((F.col("size") < 0) | (F.col("l") + F.col("size") + F.col("r") >= window)))
     return j.select(key, (F.col("pos") - F.col("l")).alias("lo"),
