@@ -7,8 +7,8 @@ rank is found by scanning, its boundary is deleted and the two neighbouring
 ranks are refreshed, until no pair has a rank. Words are short, so the scan
 beats a heap.
 
-Texts are cut at ASCII white space, at which neither normaliser, pre-tokeniser
-nor merges can join anything, and the pieces' ids are kept in a bounded cache.
+Texts are cut into pieces that encode alone (``pieces``), whose ids are kept in
+a bounded cache.
 Null is the empty text: no ids, empty decoding.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from hashlib import sha256
 
 import numpy as np
@@ -27,8 +28,7 @@ from pyspark.sql.types import DataType
 from tokenizers import Tokenizer
 
 from vitals.llm.blocks import text_blocks, utf8_list
-
-CACHE_PIECES = 300_000
+from vitals.llm.pieces import PieceCache, cuts_into_words
 
 _NO_RANK = 1 << 30
 
@@ -70,6 +70,8 @@ class WordBPE:
     """Encoder and decoder for a byte-level BPE file with word-end suffixes."""
 
     def __init__(self, path: str):
+        if not cuts_into_words(path):
+            raise ValueError(f"{path} is not a word-level BPE file")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -93,23 +95,17 @@ class WordBPE:
         self.text_bytes = [c.encode() for c in self.text]
         self.id_bytes = [str(i).encode() for i in range(size)]
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
-        self.pieces: dict[bytes, bytes] = _Pieces(self)
-        self.words: dict[str, list[int]] = {}
+        self.code = "H" if size <= 1 << 16 else "I"
+        self.pieces = PieceCache(self.encode_piece, list(added))
 
     def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            chars = [self.letters[b] for b in word.encode()]
-            chars[-1] += self.suffix
-            # a byte letter without an id of its own is left out
-            ids = merge_ids([self.symbol[c] for c in chars if c in self.symbol], self.ranks_of, self.merged)
-            if len(self.words) >= CACHE_PIECES:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of a piece without ASCII white space."""
+        chars = [self.letters[b] for b in word.encode()]
+        chars[-1] += self.suffix
+        # a byte letter without an id of its own is left out
+        return merge_ids([self.symbol[c] for c in chars if c in self.symbol], self.ranks_of, self.merged)
+
+    def encode_piece(self, piece: bytes) -> bytes:
+        """Packed ids of a piece without ASCII white space."""
         text = piece.decode("utf-8", "replace")
         parts = [text]
         if self.added_split and any(m in piece for m in self.added_mark):
@@ -121,33 +117,17 @@ class WordBPE:
             elif part:
                 for word in self.pretokens(self.normalize(part)):
                     out += self._word(word)
-        return out
+        return array(self.code, out).tobytes()
 
     def encode(self, text: bytes) -> np.ndarray:
         """Ids of a whole UTF-8 text."""
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.split())), self.dtype)
+        return np.frombuffer(self.pieces.text(text), self.dtype)
 
     def decode(self, ids) -> bytes:
         """The token texts joined by one space, which is what the file's missing decoder means."""
         return b" ".join(map(self.text_bytes.__getitem__, ids))
 
 
-class _Pieces(dict):
-    """Bounded cache of piece -> packed ids."""
-
-    def __init__(self, bpe: WordBPE):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, piece: bytes) -> bytes:
-        packed = np.array(self.bpe.encode_piece(piece), self.bpe.dtype).tobytes()
-        if len(piece) <= 256:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = packed
-        return packed
-
-
 _LOADED: dict[str, WordBPE] = {}
 
 

@@ -19,6 +19,7 @@ the end id alone.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,39 +29,29 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vitals.llm.blocks import text_blocks, utf8_list
+from vitals.llm.pieces import PieceCache, cuts_into_words
 from vitals.llm.shared_files import folder, fresh_name, mapped
 from vitals.session import scratch_path
 
-CACHE_PIECES = 300_000
-
-
-class LibraryEncoder(dict):
+class LibraryEncoder:
     """Ids of the ``tokenizers`` library for whole texts.
 
-    Neither its normaliser nor its pre-tokeniser joins anything over ASCII white
-    space (true of the byte-level and word-level files used here), so the ids of
-    a text are those of its pieces between white space, which repeat a lot and
-    are kept in a bounded cache.
+    Where the file's rules allow it (``pieces``), a text's ids are those of its
+    pieces, which repeat a lot: the library encodes each once per cache filling.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.encode = PieceCache(self.encode_whole, added).text if cuts_into_words(path) else self.encode_whole
 
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = np.array(ids, self.dtype).tobytes()
-        if len(piece) <= 256:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = packed
-        return packed
-
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+    def encode_whole(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
