@@ -53,6 +53,19 @@ def utf8_list(col: pa.Array) -> list[bytes]:
     return pc.fill_null(col, "").cast(pa.binary()).to_pylist()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that carry texts to and from Python workers.
+
+    The usual bound counts rows alone, and ten thousand long texts would fill a
+    worker. A smaller bound that the session already has stays.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str,
                 max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``max_bytes`` of text (one row at least)."""
@@ -73,6 +86,7 @@ def map_blocks(df: DataFrame, text_column: str, fn: Callable[[pa.RecordBatch], p
     def run(batches):
         for block in text_blocks(batches, text_column, max_bytes):
             yield fn(block)
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

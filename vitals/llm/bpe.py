@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 from tokenizers import Tokenizer
 
-from vitals.llm.blocks import text_blocks, utf8_list
+from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list
 from vitals.llm.pieces import PieceCache, cuts_into_words
 
+CACHE_PIECES = 100_000
+CACHE_WORDS = 250_000
+
 _NO_RANK = 1 << 30
 
 
@@ -96,7 +99,7 @@ class WordBPE:
         self.id_bytes = [str(i).encode() for i in range(size)]
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.code = "H" if size <= 1 << 16 else "I"
-        self.pieces = PieceCache(self.encode_piece, list(added))
+        self.pieces = PieceCache(self.encode_piece, list(added), CACHE_PIECES, CACHE_WORDS)
 
     def _word(self, word: str) -> list[int]:
         chars = [self.letters[b] for b in word.encode()]
@@ -157,7 +160,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
     def run(batches):
         bpe = load(path)
-        for b in text_blocks(batches, "__text", 4 << 20):
+        for b in text_blocks(batches, "__text"):
             got: dict[str, list] = {"n_tokens": [], "ids": [], "decoded": [], "ids_sha256": [], "decoded_sha256": []}
             for t in utf8_list(b.column("__text")):
                 x = bpe.encode(t)
@@ -176,4 +179,5 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(n) for n in keep), *(pa.array(got[n], kinds.get(n, pa.string())) for n in names[len(keep):])],
                 names)
+    bounded_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)

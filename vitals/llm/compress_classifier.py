@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitals.llm.blocks import text_blocks, utf8_list
+from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list
 
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 32 << 10
@@ -150,8 +150,9 @@ def score(docs: DataFrame, model: CompressionModel, keep: tuple[str, ...] = ("do
 
     def run(batches):
         c = shared.value.compressors()
-        for b in text_blocks(batches, "__text", 8 << 20):
+        for b in text_blocks(batches, "__text"):
             s = shared.value.score(utf8_list(b.column("__text")), c)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column("__text" if n == text else n) for n in keep), pa.array(s)], [*keep, out])
+    bounded_batches(docs.sparkSession)
     return src.mapInArrow(run, kept.schema.add(out, "double"))

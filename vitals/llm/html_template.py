@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitals.llm.blocks import text_blocks, utf8_list, written
+from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list, written
 
 SUPPORT = 0.05
 MIN_PAGES = 3
@@ -237,6 +237,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                 [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_TOKEN_FIELDS)],
                 [n for n, _ in _TOKEN_FIELDS])
 
+    bounded_batches(pages.sparkSession)
     parts = pages.mapInArrow(run, _TOKEN_SCHEMA)
     return parts.groupBy("host", "key").agg(
         F.min("parent").alias("parent"), F.min("name").alias("name"), F.bool_or("outside").alias("outside"),
@@ -248,8 +249,9 @@ def templates(tokens: DataFrame) -> DataFrame:
     """Per host with a template: the keys of content slots, menu slots and constant texts."""
     size = tokens.where(F.col("key") == ROOT).select("host", F.col("support").alias("pages"),
                                                      F.col("chars").alias("all_chars"))
-    frequent = tokens.join(size, "host").where(
-        F.col("support") >= F.greatest(F.lit(MIN_PAGES), F.col("pages") * SUPPORT))
+    # a fixed bound first: the texts that are a page's own never reach the join
+    repeated = tokens.where(F.col("support") >= F.when(F.col("name") == "#text", TEXT_PAGES).otherwise(MIN_PAGES))
+    frequent = repeated.join(size, "host").where(F.col("support") >= F.col("pages") * SUPPORT)
     classes = frequent.groupBy("host", "support", "vec", "vec_sum").agg(F.count("*").alias("members"))
     large = written(frequent.join(classes.where(F.col("members") >= CLASS_SIZE),
                                   ["host", "support", "vec", "vec_sum"]), "template-tokens")
@@ -279,7 +281,7 @@ def templates(tokens: DataFrame) -> DataFrame:
         F.collect_list(F.when(menu, F.col("key"))).alias("menus"))
     around = elements.select("host", F.col("key").alias("parent"), F.col("vec").alias("p_vec"),
                              F.col("vec_sum").alias("p_sum"))
-    fixed = (large.where((F.col("name") == "#text") & (F.col("support") >= TEXT_PAGES))
+    fixed = (large.where(F.col("name") == "#text")
              .join(around, ["host", "parent"]).where("vec = p_vec AND vec_sum = p_sum")
              .groupBy("host").agg(F.collect_list("key").alias("constant")))
     return slots.join(fixed, "host", "left")
@@ -293,7 +295,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = src.join(template, "host", "left").select("page_id", "url", "html", "roots", "menus", "constant")
 
     def run(batches):
-        for b in text_blocks(batches, "html", 4 << 20):
+        for b in text_blocks(batches, "html"):
             slots = zip(*(b.column(c).to_pylist() for c in ("roots", "menus", "constant")))
             out = [Page(source.decode()).text(*(set(x or ()) for x in keys))
                    for source, keys in zip(utf8_list(b.column("html")), slots)]

@@ -17,8 +17,6 @@ import json
 import re
 from collections.abc import Callable
 
-CACHE_PIECES = 200_000
-CACHE_WORDS = 800_000
 CACHE_BYTES = 64
 
 #: Fixed value: the split pattern of the tokenizer files these rules hold for.
@@ -41,13 +39,13 @@ def cuts_into_words(path: str) -> bool:
 
 
 class _Words(dict):
-    def __init__(self, encode: Callable[[bytes], bytes]):
+    def __init__(self, encode: Callable[[bytes], bytes], most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: bytes) -> bytes:
         packed = self.encode(word)
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         if len(word) <= CACHE_BYTES:
             self[word] = packed
@@ -57,11 +55,11 @@ class _Words(dict):
 class PieceCache(dict):
     """Bounded cache from pieces to packed ids over an encoder of uncut pieces."""
 
-    def __init__(self, encode: Callable[[bytes], bytes], added: list[str]):
+    def __init__(self, encode: Callable[[bytes], bytes], added: list[str], pieces: int, words: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, pieces
         self.marks = bytes({t.encode()[0] for t in added})
-        self.words = _Words(encode)
+        self.words = _Words(encode, words)
 
     def __missing__(self, piece: bytes) -> bytes:
         if piece.isalnum():
@@ -71,7 +69,7 @@ class PieceCache(dict):
         else:
             words = _CUT.split(piece.lower() if piece.isascii() else piece)
             packed = self.words[words[0]] if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
-        if len(self) >= CACHE_PIECES:
+        if len(self) >= self.most:
             self.clear()
         if len(piece) <= CACHE_BYTES:
             self[piece] = packed

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitals.llm.blocks import text_blocks, utf8_list, written
+from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list, written
 from vitals.llm.components import connected_components
 
 SAMPLE_EVERY = 16
@@ -68,10 +68,11 @@ def with_simhash(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc_
     names = [*keep]
 
     def run(batches):
-        for b in text_blocks(batches, "__text", 8 << 20):
+        for b in text_blocks(batches, "__text"):
             h = np.array([simhash(t, words) for t in utf8_list(b.column("__text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(h.view(np.int64))],
                                              [*names, out])
+    bounded_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)
 
 

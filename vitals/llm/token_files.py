@@ -28,11 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vitals.llm.blocks import text_blocks, utf8_list
+from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list
 from vitals.llm.pieces import PieceCache, cuts_into_words
 from vitals.llm.shared_files import folder, fresh_name, mapped
 from vitals.session import scratch_path
 
+CACHE_PIECES = 200_000
+CACHE_WORDS = 600_000
+
+
 class LibraryEncoder:
     """Ids of the ``tokenizers`` library for whole texts.
 
@@ -47,7 +51,7 @@ class LibraryEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.encode = PieceCache(self.encode_whole, added).text if cuts_into_words(path) else self.encode_whole
+        self.encode = PieceCache(self.encode_whole, added, CACHE_PIECES, CACHE_WORDS).text if cuts_into_words(path) else self.encode_whole
 
     def encode_whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -91,11 +95,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id
         encoder = _load(tokenizer_path)
         fs, path = folder(out_dir)
         shard = TaskContext.get().partitionId()
-        got = _write_shard(fs, path, f"shard-{shard:06d}", text_blocks(batches, "__text", 4 << 20), encoder, end_id)
+        got = _write_shard(fs, path, f"shard-{shard:06d}", text_blocks(batches, "__text"), encoder, end_id)
         yield pa.RecordBatch.from_pylist(
             [{"shard": shard, "name": got[0], "docs": got[1], "ids": got[2]}],
             pa.schema([("shard", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
+    bounded_batches(docs.sparkSession)
     tie = F.xxhash64("__text")
     order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"))
     order = order.repartitionByRange(shards, F.asc_nulls_first("doc_id"), tie)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitals.llm.blocks import text_blocks, utf8_list, written
+from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list, written
 from vitals.llm.shared_files import folder, fresh_name, mapped
 from vitals.session import scratch_path
 
@@ -78,7 +78,7 @@ def write_archives(pages: DataFrame, out_dir: str) -> list[tuple[str, int]]:
         name = fresh_name(f"part-{TaskContext.get().partitionId():06d}", ".warc.gz")
         size = 0
         out = None
-        for b in text_blocks(batches, "html", 4 << 20):
+        for b in text_blocks(batches, "html"):
             out = out or fs.open_output_stream(f"{path}/{name}", compression=None)
             cols = [b.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to")]
             for page_id, url, digest, refers, payload in zip(*cols, utf8_list(b.column("html"))):
@@ -91,6 +91,7 @@ def write_archives(pages: DataFrame, out_dir: str) -> list[tuple[str, int]]:
             yield pa.RecordBatch.from_pylist([{"name": name, "bytes": size}],
                                              pa.schema([("name", pa.string()), ("bytes", pa.int64())]))
 
+    bounded_batches(pages.sparkSession)
     return sorted(tuple(r) for r in rows.mapInArrow(run, "name string, bytes long").collect())
 
 
