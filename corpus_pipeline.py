@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; all but the last return the columns of ``documents``. ``run`` writes each
 stage's rows as Parquet in the shared folder and reads them back, so a lost
-executor costs one stage at most. Rows are handled as rows: equal or null
+executor costs one stage at most. The joins that filter rows are merge joins at every
+size, as their lists of row numbers grow with the corpus. Rows are handled as rows: equal or null
 doc_ids never merge or multiply them.
 """
 
@@ -39,14 +40,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash_vp.near_duplicates(rows, words=3, radius=2, keep=("doc_id", _ROW))
     first = found.groupBy("component").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", _ROW)).alias("first"))
-    return rows.join(first.select(F.col(f"first.{_ROW}").alias(_ROW)), _ROW, "left_semi").drop(_ROW)
+    keep = first.select(F.col(f"first.{_ROW}").alias(_ROW)).hint("merge")
+    return rows.join(keep, _ROW, "left_semi").drop(_ROW)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that share a window with a benchmark item."""
     rows = _numbered(docs, "decontaminate-docs")
     found = winnowing.contamination(rows, table(spark, sf_dir, "benchmark"), keep=(_ROW,))
-    return rows.join(found.where("n_hit > 0").select(_ROW), _ROW, "left_anti").drop(_ROW)
+    hit = found.where("n_hit > 0").select(_ROW).hint("merge")
+    return rows.join(hit, _ROW, "left_anti").drop(_ROW)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
