@@ -48,14 +48,15 @@ def test_vector_ranks(spark):
 
 def test_websearch_syntax(spark):
     from vitals.operators.retrieval import split_websearch
-    assert split_websearch('a "b c" or d -e') == [
+    assert split_websearch('or a "b c" or d -e OR') == [
         {"clause": 0, "alt": 0, "neg": False, "text": "a"},
-        {"clause": 1, "alt": 0, "neg": False, "text": "b c"},
-        {"clause": 1, "alt": 1, "neg": False, "text": "d"},
-        {"clause": 2, "alt": 0, "neg": True, "text": "e"}]
+        {"clause": 0, "alt": 1, "neg": False, "text": "b c"},
+        {"clause": 1, "alt": 0, "neg": False, "text": "d"},
+        {"clause": 1, "alt": 1, "neg": True, "text": "e"}]
     texts = ["fix the parser bug today", "parser fix bug", "the bug in parser", "memory leak fixed", "leak parser"]
     ch = _chunks(spark, texts)
-    qs = {1: '"parser bug"', 2: '"fix the parser"', 3: "leak or bug", 4: "parser -bug", 5: "parser leak or today"}
+    qs = {1: '"parser bug"', 2: '"fix the parser"', 3: "leak or bug", 4: "parser -bug", 5: "parser leak or today",
+          6: "fix bug or memory", 7: "-parser", 8: "leak or -bug -parser", 9: "the -the", 10: ""}
     q = spark.createDataFrame([(i, "org/r", t) for i, t in qs.items()],
                               "query_id long, repo_name string, query_text string")
     got = {}
@@ -66,6 +67,22 @@ def test_websearch_syntax(spark):
     assert got[3] == {"u0", "u1", "u2", "u3", "u4"}
     assert got[4] == {"u4"}
     assert got[5] == {"u0", "u4"}
+    assert got[6] == {"u0", "u1", "u3"}                 # AND binds tighter than or
+    assert got[7] == {"u3"}                             # only negated items
+    assert got[8] == {"u3", "u4"}
+    assert 9 not in got and 10 not in got               # nothing indexed
+
+
+def test_zero_vectors_match_nothing_on_either_path(spark, monkeypatch):
+    from vitals.operators import retrieval
+    vecs = [[1.0, 0.0], [0.0, 0.0], [0.6, 0.8], None]
+    ch = _chunks(spark, ["w", "x", "y", "z"], vecs)
+    q = spark.createDataFrame([(7, "org/r", [1.0, 0.1]), (8, "org/r", [0.0, 0.0]), (9, "org/r", None)],
+                              "query_id long, repo_name string, query_vec array<float>")
+    rows = [sorted((r["query_id"], r["rank"], r["artifact_url"]) for r in vector_search(q, ch, 5).collect())]
+    monkeypatch.setattr(retrieval, "MAX_BLOCK_QUERIES", 0)
+    rows.append(sorted((r["query_id"], r["rank"], r["artifact_url"]) for r in vector_search(q, ch, 5).collect()))
+    assert rows[0] == rows[1] == [(7, 1, "u0"), (7, 2, "u2")]
 
 
 def test_render_hits_and_label_json(spark):

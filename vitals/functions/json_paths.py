@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def jtext(payload: Column | str, path: str) -> Column:
-    """``payload->>'a'`` / ``payload->'a'->>'b'`` written as a JSONPath."""
+    """Text at a JSONPath of the payload; missing paths are null."""
     return F.get_json_object(F.col(payload) if isinstance(payload, str) else payload, path)
 
 
@@ -27,7 +27,7 @@ def pr_number(payload="payload") -> Column:
 
 
 def merged_or_true(payload="payload") -> Column:
-    """``COALESCE((payload->'pull_request'->>'merged')::boolean, true)``."""
+    """The merged flag of the pull request; absent or unreadable flags count as merged."""
     return F.coalesce(jtext(payload, "$.pull_request.merged").try_cast("boolean"), F.lit(True))
 
 

@@ -135,7 +135,7 @@ def unenriched_windows(anomalies: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def investigation_queue(anomalies: DataFrame, reports: DataFrame, k: int = 5) -> DataFrame:
     """Anomalies without a report, highest z first, first ``k``."""
-    todo = anomalies.join(reports.select(F.col("anomaly_id").alias("id")), "id", "left_anti")
+    todo = anomalies.join(reports.select(F.col("anomaly_id").alias("id")).distinct(), "id", "left_anti")
     # A global top-k: Spark plans this as TakeOrderedAndProject (per-task top-k,
     # then a merge of k rows per task) — no full sort or single-partition shuffle.
     return (todo.orderBy(F.col("z_score").desc(), F.col("id").asc()).limit(k)

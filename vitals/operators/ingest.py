@@ -86,7 +86,7 @@ def ingest_coverage(spark: SparkSession, events: DataFrame, start, end) -> DataF
 
 def missing_hours(spark: SparkSession, events: DataFrame, start, end) -> DataFrame:
     """Hours of the range with no landed events (``left_anti`` against the data)."""
-    landed = events.select(F.to_date("created_at").alias("date"), F.hour("created_at").alias("hour"))
+    landed = events.select(F.to_date("created_at").alias("date"), F.hour("created_at").alias("hour")).distinct()
     return hour_calendar(spark, start, end).join(landed, ["date", "hour"], "left_anti")
 
 

@@ -89,3 +89,10 @@ def daily_metrics(events: DataFrame, start=None, end=None, merged_only: bool = F
         "repo_name", F.col("close_date").alias("date"),
         F.col("median_hours").alias("pr_median_merge_hours"))
     return d.join(c, ["repo_name", "date"], "left").select("repo_name", "date", *METRIC_COLUMNS)
+
+
+def event_date_range(events: DataFrame) -> DataFrame:
+    """First and last event day per repository (D10): the range that a roll-up
+    without given dates covers."""
+    day = F.to_date("created_at")
+    return events.groupBy("repo_name").agg(F.min(day).alias("first_date"), F.max(day).alias("last_date"))

@@ -145,7 +145,8 @@ def _fmt(v: Column, metric: Column) -> Column:
 
 def feed_cards(feed: DataFrame) -> DataFrame:
     """Card columns: owner/name, change multiplier label and detail, headline,
-    high-severity flag (z > 5)."""
+    high-severity flag (z > 5). An observed 0 is ``100% below normal``."""
+    # label and headline wordings are fixed values: the feed page shows them
     b, o = F.col("baseline"), F.col("observed")
     mult = o / b
     pct = lambda x: F.round(x * 100).cast("long").cast("string")
@@ -155,7 +156,7 @@ def feed_cards(feed: DataFrame) -> DataFrame:
     label = (F.when(~has_base, F.lit(None).cast("string"))
              .when(mult >= 2, F.concat(times(mult), F.lit("× normal")))
              .when(mult > 1.1, F.concat(pct(mult - 1), F.lit("% above normal")))
-             .when(mult < 0.5, F.concat(times(1 / mult), F.lit("× below normal")))
+             .when((mult < 0.5) & (mult != 0), F.concat(times(F.try_divide(F.lit(1.0), mult)), F.lit("× below normal")))
              .when(mult < 0.9, F.concat(pct(1 - mult), F.lit("% below normal")))
              .otherwise(obs))
     detail = F.when(~has_base, F.lit(None).cast("string")).when(

@@ -131,12 +131,12 @@ def _cosine_np(a: pd.Series, b: pd.Series) -> pd.Series:
     x = np.vstack(a.to_numpy()).astype(np.float64)
     y = np.vstack(b.to_numpy()).astype(np.float64)
     den = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
-    return pd.Series(np.einsum("ij,ij->i", x, y) / den)
+    return pd.Series(np.einsum("ij,ij->i", x, y) / np.where(den > 0, den, np.nan))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two equal-length float arrays, in double
-    precision, vectorised with numpy over Arrow batches (array lambdas are
+    """Cosine similarity of two equal-length float arrays (NaN or null for a
+    zero vector), in double precision, vectorised with numpy over Arrow batches (array lambdas are
     interpreted row by row and cost ~10x more)."""
     @F.pandas_udf(T.DoubleType())
     def _cos(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -229,6 +229,8 @@ def vector_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20) ->
         cand = c.join(qb, "repo_name").select(
             "query_id", "artifact_url", "artifact_id", "chunk_index",
             (F.lit(1.0) - cosine(F.col("embedding"), F.col("query_vec"))).alias("dist"))
+        # zero vectors have no direction: they match nothing on either path
+        cand = cand.filter(F.col("dist").isNotNull() & ~F.isnan("dist"))
     best = _best_per_artifact(cand, "dist", ascending=True)
     ranked = top_k(best, ["query_id"], [F.col("dist").asc(), F.col("artifact_url").asc()], search_k)
     return _with_excerpt(ranked, chunks)
@@ -236,11 +238,11 @@ def vector_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20) ->
 
 def _with_excerpt(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Attach the 400-character excerpt. ``ranked`` (queries x k rows) is
-    checkpointed and broadcast after a size check, so the chunk store is
-    streamed past it instead of being shuffled."""
-    r = broadcast_if_small(ranked.checkpoint())
+    checkpointed and, where its size allows, the broadcast right side of an
+    inner join (its chunks all exist), so the chunk store is streamed past it."""
+    r = ranked.checkpoint()
     ex = chunks.select("artifact_id", "chunk_index", F.left("text", F.lit(400)).alias("excerpt"))
-    return r.join(ex, ["artifact_id", "chunk_index"], "left")
+    return ex.join(broadcast_if_small(r), ["artifact_id", "chunk_index"]).select(*r.columns, "excerpt")
 
 
 # --------------------------------------------------------------------------- full text (H6, H7)
@@ -299,29 +301,22 @@ def corpus_stats(doc_len: DataFrame) -> tuple[int, float]:
 
 
 def split_websearch(q: str | None) -> list[dict]:
-    """websearch-style query -> clause structure (a small per-query helper).
+    """websearch-style query -> rows (clause, alt, neg, text), a small helper.
 
-    Space-separated items are ANDed clauses; ``or`` between two items makes
-    them alternatives of one clause; ``"..."`` is a phrase; a leading ``-``
-    negates the item (the text must not occur). Returns rows
-    (clause, alt, neg, text); tokenising happens in Spark afterwards.
+    ``or`` separates clauses and binds looser than the items of a clause, which
+    must all match; ``"..."`` is a phrase; a leading ``-`` negates an item (its
+    text must not occur). Tokenising happens in Spark afterwards.
     """
     import re
-    clauses: list[tuple[bool, list[str]]] = []
-    pending_or = False
+    clauses: list[list[tuple[bool, str]]] = [[]]
     for item in re.findall(r'-?"[^"]*"?|[^\s"]+', q or ""):
-        if item.lower() == "or" and clauses and not clauses[-1][0]:
-            pending_or = True
+        if item.lower() == "or":
+            clauses.append([])
             continue
         neg = item.startswith("-")
-        text = (item[1:] if neg else item).strip('"')
-        if pending_or and not neg:
-            clauses[-1][1].append(text)
-        else:
-            clauses.append((neg, [text]))
-        pending_or = False
+        clauses[-1].append((neg, (item[1:] if neg else item).strip('"')))
     return [{"clause": c, "alt": a, "neg": neg, "text": t}
-            for c, (neg, alts) in enumerate(clauses) for a, t in enumerate(alts)]
+            for c, items in enumerate(x for x in clauses if x) for a, (neg, t) in enumerate(items)]
 
 
 _QUERY_ITEMS = T.ArrayType(T.StructType([
@@ -350,10 +345,12 @@ def query_alternatives(queries: DataFrame) -> DataFrame:
 def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
                 k1: float = BM25_K1, b: float = BM25_B,
                 index: DataFrame | None = None, doc_len: DataFrame | None = None) -> DataFrame:
-    """BM25 search over the query's repository: a chunk matches when every
-    positive clause has a matching alternative (term, or phrase at adjacent
-    positions) and no negated item matches. Score = BM25 over the distinct
-    positive terms present. Best chunk per artifact, first ``search_k``.
+    """BM25 search over the query's repository: a chunk matches when it meets a
+    clause: all its positive items occur (terms, or phrases at adjacent
+    positions) and none of its negated ones. A clause of negated items alone is
+    met by every chunk of the repository without them. Score = BM25 over the
+    distinct positive terms present, else 0. Best chunk per artifact, first
+    ``search_k``.
 
     ``index`` / ``doc_len`` are the stored ``build_index`` / ``doc_lengths``
     tables; without them both are derived from ``chunks`` in the same job.
@@ -364,7 +361,8 @@ def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
     dlen = doc_len if doc_len is not None else doc_lengths(post)
     n_docs, avgdl = corpus_stats(dlen)
     qa = broadcast_if_small(query_alternatives(queries).checkpoint())
-    n_pos = qa.filter(~F.col("neg")).groupBy("query_id").agg(F.count_distinct("clause").alias("n_clauses"))
+    wanted = qa.groupBy("query_id", "repo_name", "clause").agg(
+        F.count_distinct(F.when(~F.col("neg"), F.col("alt"))).alias("n_items"))
     qterms = qa.select("term").distinct()
     if "bucket" in post.columns:
         listed = qterms.select("term", term_bucket(F.col("term")).alias("b")) \
@@ -380,16 +378,20 @@ def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
                         (F.col("pos") - F.col("offset")).alias("start"))
            .agg(F.count_distinct("offset").alias("k"))
            .filter(F.col("k") == F.col("n_alt_terms"))
-           .select("query_id", "clause", "neg", *chunk_key).distinct())
-    ok = (occ.filter(~F.col("neg")).groupBy("query_id", *chunk_key)
-          .agg(F.count("*").alias("n_ok")).join(n_pos, "query_id")
-          .filter(F.col("n_ok") == F.col("n_clauses")).select("query_id", *chunk_key))
-    ok = ok.join(occ.filter(F.col("neg")).select("query_id", *chunk_key).distinct(),
-                 ["query_id", *chunk_key], "left_anti")
+           .select("query_id", "clause", "alt", "neg", *chunk_key).distinct())
+    clause_key = ["query_id", "clause"]
+    met = (occ.filter(~F.col("neg")).groupBy(*clause_key, *chunk_key)
+           .agg(F.count("*").alias("n_ok")).join(wanted.drop("repo_name"), clause_key)
+           .filter(F.col("n_ok") == F.col("n_items")).select(*clause_key, *chunk_key))
+    negated = wanted.filter(F.col("n_items") == 0).select("repo_name", *clause_key)
+    met = met.union(chunks.select("repo_name", *chunk_key).join(broadcast_if_small(negated.checkpoint()), "repo_name")
+                    .select(*clause_key, *chunk_key))
+    ok = met.join(occ.filter(F.col("neg")).select(*clause_key, *chunk_key).distinct(),
+                  [*clause_key, *chunk_key], "left_anti").select("query_id", *chunk_key).distinct()
     qt = qa.filter(~F.col("neg")).select("query_id", "term").distinct()
-    # df per query term; at most one row per (checked) query term.
-    df_t = F.broadcast(post.join(qt.select("term").distinct(), "term", "left_semi")
-                       .groupBy("term").agg(F.count_distinct("artifact_id", "chunk_index").alias("df")))
+    # df per query term; the planner broadcasts it where its size allows
+    df_t = (post.join(qt.select("term").distinct(), "term", "left_semi")
+            .groupBy("term").agg(F.count_distinct("artifact_id", "chunk_index").alias("df")))
     tf = (hits.filter(~F.col("neg")).select("query_id", "term", "pos", "dl", *chunk_key).distinct()
           .join(ok, ["query_id", *chunk_key], "left_semi")
           .groupBy("query_id", "term", "dl", *chunk_key).agg(F.count("*").alias("tf")))
@@ -397,8 +399,9 @@ def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tfc = F.col("tf").cast("double")
     part = idf * tfc * (k1 + 1) / (tfc + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
+    summed = scored.groupBy("query_id", *chunk_key).agg(F.sum(part).alias("score"))
     per_chunk = broadcast_if_small(
-        scored.groupBy("query_id", *chunk_key).agg(F.sum(part).alias("score")).checkpoint())
+        ok.join(summed, ["query_id", *chunk_key], "left").fillna(0.0, ["score"]).checkpoint())
     urls = chunks.select("artifact_id", "chunk_index", "artifact_url")
     per_chunk = per_chunk.join(urls, chunk_key)
     best = _best_per_artifact(per_chunk, "score", ascending=False)
@@ -434,7 +437,6 @@ def render_hits(hits: DataFrame) -> DataFrame:
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, index: DataFrame | None = None,
                   doc_len: DataFrame | None = None) -> DataFrame:
     """Vector + BM25 legs over-fetched to 4k each, fused by RRF, first k."""
-    k = min(k, 10)
     return rrf_fuse(vector_search(queries, chunks, 4 * k),
                     text_search(queries, chunks, 4 * k, index=index, doc_len=doc_len), k)
 

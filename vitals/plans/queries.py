@@ -56,6 +56,14 @@ def q_daily_metrics(spark, sf):
     return rounded(daily_metrics(B.load(spark, sf, "events")))
 
 
+@register("event_date_range", O.sql(
+    "SELECT repo_name, min(CAST(created_at AS DATE)) AS first_date, max(CAST(created_at AS DATE)) AS last_date "
+    "FROM bound_events GROUP BY repo_name", "bound_events"))
+def q_event_date_range(spark, sf):
+    from ..operators.metrics import event_date_range
+    return event_date_range(B.load(spark, sf, "events"))
+
+
 @register("pr_cycles", O.sql(
     "SELECT repo_name, close_date, round(median_hours, 6) AS median_hours, n_pairs FROM pr_cycles",
     "pr_cycles"))
@@ -781,11 +789,11 @@ def q_stream_ingest(spark, sf):
 
 @register("stream_dedup", O.sql("SELECT id, type, repo_name, created_at FROM bound_events", "bound_events"))
 def q_stream_dedup(spark, sf):
-    """Watermarked de-duplication: a re-delivered day (Jan 10) after the rest
-    is dropped; every event is kept once."""
+    """De-duplication: the second delivery brings a new late day (Jan 3) and a
+    day again (Jan 10); every event is kept once, the late ones too."""
     from ..streaming.streams import day_is, dedup_stream
     from ..schemas import EVENT
-    p = _staged(spark, sf, "dedup", F.lit(True), day_is("2024-01-10"),
+    p = _staged(spark, sf, "dedup", ~day_is("2024-01-03"), day_is("2024-01-03") | day_is("2024-01-10"),
                 lambda p: dedup_stream(spark, p["glob"], p["out"], p["ckpt"]))
     return spark.read.schema(EVENT).parquet(p["out"]).select("id", "type", "repo_name", "created_at")
 
@@ -795,11 +803,11 @@ _COUNT_COLS = "repo_name, date, star_count, fork_count, issue_opened, issue_clos
 
 @register("stream_window_counts", O.sql(f"SELECT {_COUNT_COLS} FROM daily_counts", "daily_counts"))
 def q_stream_window_counts(spark, sf):
-    """Watermarked daily counts (update mode) merged into a date-partitioned table."""
-    from ..streaming.streams import window_counts_stream
-    p = _staged(spark, sf, "wcounts", F.lit(True), F.lit(False),
+    """Daily counts added up over epochs; a new late day (Jan 3) comes second."""
+    from ..streaming.streams import day_is, window_counts, window_counts_stream
+    p = _staged(spark, sf, "wcounts", ~day_is("2024-01-03"), day_is("2024-01-03"),
                 lambda p: window_counts_stream(spark, p["glob"], p["out"], p["ckpt"]))
-    return spark.read.parquet(p["out"]).select(*[c.strip() for c in _COUNT_COLS.split(",")])
+    return window_counts(spark, p["out"]).select(*[c.strip() for c in _COUNT_COLS.split(",")])
 
 
 @register("stream_daily_metrics", O.sql(

@@ -43,13 +43,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
                  executor_memory_gb: float = 16.0, target_partition_mb: int = 128,
-                 shuffle_fraction: float = 0.1, max_shuffle_partitions: int = 50_000) -> dict[str, str]:
+                 shuffle_fraction: float = 0.1) -> dict[str, str]:
     """Sizing for a cluster run over ``input_bytes`` of Parquet.
 
     Shuffled data is a fraction of the input (column pruning, partial
     aggregation), so shuffle partitions target ``target_partition_mb`` of the
-    estimated shuffle volume — at least 3 waves of tasks, at most
-    ``max_shuffle_partitions`` (AQE coalesces below that). Scan splits are
+    estimated shuffle volume, at least 3 waves of tasks. Scan splits are
     capped so a task's input fits its share of executor memory; AQE splits
     skewed partitions at runtime.
     """
@@ -57,7 +56,7 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
     per_task_mb = executor_memory_gb * 1024 * 0.6 / max(1, cores_per_executor)
     split_mb = int(max(32, min(512, per_task_mb / 4)))
     est = input_bytes * shuffle_fraction / (target_partition_mb * 1024 * 1024)
-    shuffle = int(min(max_shuffle_partitions, max(3 * slots, est)))
+    shuffle = int(max(3 * slots, est))
     return {
         "spark.sql.shuffle.partitions": str(shuffle),
         "spark.sql.files.maxPartitionBytes": f"{split_mb}m",
@@ -74,8 +73,9 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared scratch folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment (a shared file system path).
-    Only when it is unset — local tests — a fresh private folder is created.
+    On a cluster this is set by the deployment (a shared file system path);
+    without it the call fails, as executors would write to their own disks.
+    Only a local master gets a fresh private folder.
     """
     try:
         sc = spark.sparkContext
@@ -86,6 +86,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("VITALS_TMP", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is None:

@@ -97,13 +97,13 @@ def replace_partitions(spark: SparkSession, rows: DataFrame, path: str, key: lis
 
 
 def insert_if_absent(spark: SparkSession, batch: DataFrame, path: str) -> None:
-    """Insert-if-absent of events into the event table (key ``id``),
-    comparing only against the event dates present in the batch."""
+    """Insert-if-absent of events into the event table. The key is ``id``
+    alone, so an id that comes again under another day stays out too; of the
+    stored events only the id column is read, and only ids of the batch meet."""
     b = first_per_key(batch, ["id"], ["created_at"]).withColumn("event_date", F.to_date("created_at"))
     schema = EVENT_TABLE
-    dates = b.select("event_date").distinct()
-    old = _read_or_empty(spark, path, schema).join(F.broadcast(dates), "event_date", "left_semi")
-    fresh = b.join(old.select("id", "event_date"), ["id", "event_date"], "left_anti").checkpoint()
+    old = _read_or_empty(spark, path, schema).select("id")
+    fresh = b.join(old, "id", "left_anti").checkpoint()
     fresh.select(*schema.fieldNames()).write.mode("append").partitionBy("event_date").parquet(path)
 
 
@@ -122,55 +122,62 @@ def ingest_stream(spark: SparkSession, glob: str, table_path: str, checkpoint: s
     _run(ev.writeStream.foreachBatch(lambda df, _: insert_if_absent(spark, df, table_path)), checkpoint)
 
 
-def dedup_stream(spark: SparkSession, glob: str, out_path: str, checkpoint: str,
-                 delay: str = "1 day") -> None:
-    """K2 with bounded state: de-duplicate ids within the watermark delay."""
-    ev = (event_file_stream(spark, glob)
-          .withColumn("event_ts", F.col("created_at").cast("timestamp"))
-          .withWatermark("event_ts", delay)
-          .dropDuplicatesWithinWatermark(["id"])
-          .drop("event_ts"))
-    _run(ev.writeStream.format("parquet").option("path", out_path).outputMode("append"), checkpoint)
+def dedup_stream(spark: SparkSession, glob: str, out_path: str, checkpoint: str) -> None:
+    """K2: every id once, however late it comes. The seen ids are the table
+    itself, so no watermark bounds them and no new late event is lost."""
+    ingest_stream(spark, glob, out_path, checkpoint)
 
 
-def window_counts_stream(spark: SparkSession, glob: str, out_path: str, checkpoint: str,
-                         delay: str = "1 day") -> None:
-    """K3: watermarked daily conditional counts per repository (update mode)."""
-    ev = event_file_stream(spark, glob)
+COUNT_COLUMNS = ["star_count", "fork_count", "issue_opened", "issue_closed", "pr_opened", "pr_merged", "commit_count"]
+
+
+def window_counts_stream(spark: SparkSession, glob: str, out_path: str, checkpoint: str) -> None:
+    """K3: daily conditional counts per repository, by tumbling UTC day.
+
+    Every epoch writes the counts of its own events to its own partition, which
+    a retried epoch replaces; ``window_counts`` adds them up. So there is no
+    state to expire and late days count like any other.
+    """
     t, a = F.col("type"), J.action()
     pr = t == "PullRequestEvent"
-    counts = (ev.withColumn("day_ts", F.to_date("created_at").cast("timestamp"))
-              .withWatermark("day_ts", delay)
-              .groupBy("repo_name", "day_ts")
-              .agg(F.count_if(t == "WatchEvent").alias("star_count"),
-                   F.count_if(t == "ForkEvent").alias("fork_count"),
-                   F.count_if((t == "IssuesEvent") & (a == "opened")).alias("issue_opened"),
-                   F.count_if((t == "IssuesEvent") & (a == "closed")).alias("issue_closed"),
-                   F.count_if(pr & (a == "opened")).alias("pr_opened"),
-                   F.count_if(pr & (a == "closed") & J.merged_or_true()).alias("pr_merged"),
-                   F.count_if(t == "PushEvent").alias("commit_count")))
-    cols = ["star_count", "fork_count", "issue_opened", "issue_closed", "pr_opened", "pr_merged", "commit_count"]
-    out_schema = T.StructType([T.StructField("repo_name", T.StringType()), T.StructField("date", T.DateType())]
-                              + [T.StructField(c, T.LongType()) for c in cols])
 
-    def merge(df: DataFrame, _epoch: int) -> None:
-        rows = df.select("repo_name", F.to_date("day_ts").alias("date"), *cols)
-        replace_partitions(spark, rows, out_path, ["repo_name", "date"], "date", out_schema)
+    def epoch(df: DataFrame, number: int) -> None:
+        counts = (df.groupBy("repo_name", F.to_date("created_at").alias("date"))
+                  .agg(F.count_if(t == "WatchEvent").alias("star_count"),
+                       F.count_if(t == "ForkEvent").alias("fork_count"),
+                       F.count_if((t == "IssuesEvent") & (a == "opened")).alias("issue_opened"),
+                       F.count_if((t == "IssuesEvent") & (a == "closed")).alias("issue_closed"),
+                       F.count_if(pr & (a == "opened")).alias("pr_opened"),
+                       F.count_if(pr & (a == "closed") & J.merged_or_true()).alias("pr_merged"),
+                       F.count_if(t == "PushEvent").alias("commit_count")))
+        (counts.withColumn("epoch", F.lit(number)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_path))
+
+    _run(event_file_stream(spark, glob).writeStream.foreachBatch(epoch), checkpoint)
+
 
-    _run(counts.writeStream.outputMode("update").foreachBatch(merge), checkpoint)
+def window_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The daily counts over all epochs of ``window_counts_stream``."""
+    return spark.read.parquet(path).groupBy("repo_name", "date").agg(
+        *[F.sum(c).alias(c) for c in COUNT_COLUMNS])
 
 
 def affected_dates(batch: DataFrame, events: DataFrame) -> DataFrame:
     """Dates whose roll-up a batch can change: its own event dates, plus the
     close dates of PRs whose opens arrived in the batch (a late open adds
-    open->close pairs to a later day)."""
+    open->close pairs to a later day). Only event days from the earliest new
+    open on are read."""
     own = batch.select(F.to_date("created_at").alias("date"))
     # Only the earliest new open per PR matters: aggregate first, so the join
     # below is linear in the PR's closes (no open x close pairs).
     opens = (batch.filter((F.col("type") == "PullRequestEvent") & (J.action() == "opened"))
              .groupBy("repo_name", J.pr_number().alias("number"))
              .agg(F.min("created_at").alias("open_ts")))
-    closes = (events.filter((F.col("type") == "PullRequestEvent") & (J.action() == "closed"))
+    first = opens.agg(F.min("open_ts")).first()[0]
+    if first is None:
+        return own.distinct()
+    closes = (events.filter((F.col("type") == "PullRequestEvent") & (J.action() == "closed")
+                            & (F.col("event_date") >= F.lit(first.date())))
               .select("repo_name", J.pr_number().alias("number"), F.col("created_at").alias("close_ts")))
     later = (opens.join(closes, ["repo_name", "number"]).filter(F.col("close_ts") > F.col("open_ts"))
              .select(F.to_date("close_ts").alias("date")))
@@ -218,14 +225,19 @@ AUDIT_SCHEMA = T.StructType([
 
 def detect_on_arrival(spark: SparkSession, dates: DataFrame, metrics_path: str, audit_path: str,
                       z_threshold: float = DEFAULT_Z_THRESHOLD) -> None:
-    """K5: re-score the window ends reachable from the refreshed days."""
+    """K5: re-score the window ends that a refreshed day reaches, day .. day+34,
+    and no others between a late day and the newest one."""
     metrics = spark.read.parquet(metrics_path)
     lo, hi = dates.agg(F.min("date"), F.max("date")).first()
     last = metrics.agg(F.max("date")).first()[0]
     if lo is None or last is None:
         return
     hi = min(hi + _dt.timedelta(days=SPAN - 1), last)
-    audit = detect_backfill(metrics, lo, hi, z_threshold)
+    ends = dates.select(F.explode(F.sequence("date", F.date_add("date", SPAN - 1))).alias("window_end")).distinct()
+    # the values of a window end come from the 35 days up to it
+    days = ends.select(F.explode(F.sequence(F.date_sub("window_end", SPAN - 1), "window_end")).alias("date")).distinct()
+    scope = metrics.join(days, "date", "left_semi").select(*metrics.columns)
+    audit = detect_backfill(scope, lo, hi, z_threshold).join(ends, "window_end", "left_semi")
     replace_partitions(spark, audit, audit_path, ["repo_name", "anomaly_type", "window_end"], "window_end",
                        AUDIT_SCHEMA)
 
