@@ -52,7 +52,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
             OR 10 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 4 * word_chars
             OR word_chars > 25 * n_words OR word_chars < 2 * n_words
             OR 10 * n_dup_lines > 8 * len(string_split(t, chr(10)))) AS kept

@@ -100,7 +100,7 @@ def rules(text: Column, n_words: Column, chars: Column, symbols: Column, dups: C
     return {
         "few_words": n_words < 50,
         "repeated_words": 100 * repeats > 50 * n_words,
-        "symbols": 10 * symbols > 3 * n_words,
+        "symbols": 10 * symbols > n_words,  # one symbol in ten words, the usual published ratio
         "capitals": 10 * removed(text, "[A-Z]") > 4 * chars,
         "word_length": (chars > 25 * n_words) | (chars < 2 * n_words),
         "same_lines": 10 * dups > 8 * F.size(F.split(text, "\n")),
