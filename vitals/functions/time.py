@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,12 @@ def day_range_filter(ts: Column, start: str | _dt.date, end: str | _dt.date) ->
     return (ts >= F.lit(f"{s.isoformat()} 00:00:00")) & (ts < F.lit(f"{e.isoformat()} 00:00:00"))
 
 
+def event_day(events: DataFrame) -> Column:
+    """UTC day of an event: the partition column of a stored event table (so
+    that joins on the day prune its partitions), else taken from the timestamp."""
+    return F.col("event_date") if "event_date" in events.columns else F.to_date("created_at")
+
+
 def filter_days(df, start, end, ts_col: str = "created_at", part_col: str = "event_date"):
     """Rows with ``ts_col::date BETWEEN start AND end``; when the table carries
     the day partition column the same range is applied to it too, so whole

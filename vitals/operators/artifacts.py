@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_paths as J
 from ..functions.text import strip
-from ..functions.time import hours_between
+from ..functions.time import event_day, hours_between
 
 
 def window_days(anomalies: DataFrame, id_col: str = "id") -> DataFrame:
@@ -37,23 +37,24 @@ def top_k(df: DataFrame, part: list[str], order: list, k: int, rank_col: str = "
             .withColumn(rank_col, F.col(rank_col).cast("long")))
 
 
-def slow_prs(anomalies: DataFrame, artifacts: DataFrame, k: int = 10) -> DataFrame:
-    """Slowest PRs closed inside each anomaly window (F1), hours DESC NULLS LAST."""
+def slow_prs(anomalies: DataFrame, artifacts: DataFrame, k: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Slowest PRs closed inside each anomaly window (F1), hours DESC NULLS LAST,
+    with the columns ``keep`` (``artifact_id``, ``repo_name``) besides."""
     days = window_days(anomalies)
     a = artifacts.filter((F.col("type") == "pull_request") & F.col("closed_at").isNotNull()).select(
-        "repo_name", "number", F.left("title", F.lit(80)).alias("title"),
+        "artifact_id", "repo_name", "number", F.left("title", F.lit(80)).alias("title"),
         F.round(hours_between(F.col("created_at"), F.col("closed_at"))).alias("hours_open"),
         F.to_date("created_at").alias("opened"), F.to_date("closed_at").alias("closed"), "url")
     j = days.join(a, (days["repo_name"] == a["repo_name"]) & (days["day"] == a["closed"])) \
         .drop(a["repo_name"])
     return top_k(j, ["anomaly_id"], [F.col("hours_open").desc_nulls_last(), F.col("number").asc()], k) \
-        .select("anomaly_id", "rank", "number", "title", "hours_open", "opened", "closed", "url")
+        .select("anomaly_id", "rank", "number", "title", "hours_open", "opened", "closed", "url", *keep)
 
 
 def releases(events: DataFrame) -> DataFrame:
     """Release events with tag, name and notes (first 300 characters)."""
     return events.filter(F.col("type") == "ReleaseEvent").select(
-        "repo_name", "created_at", F.to_date("created_at").alias("release_date"),
+        "repo_name", "created_at", event_day(events).alias("release_date"),
         J.release_tag().alias("tag"), J.release_name().alias("release_name"),
         F.left(J.release_body(), F.lit(300)).alias("notes"))
 
@@ -82,9 +83,9 @@ def enrichment_candidates(anomalies: DataFrame, events: DataFrame, artifacts: Da
     win = anomalies.select("repo_name", "window_start", "window_end").distinct()
     wd = win.select("*", F.explode(F.sequence("window_start", "window_end")).alias("day"))
     from_events = (events.filter(F.col("type") == "PullRequestEvent")
-                   .select("repo_name", F.to_date("created_at").alias("day"),
+                   .select("repo_name", event_day(events).alias("day"),
                            J.jtext("payload", "$.pull_request.number").try_cast("int").alias("number"))
-                   .filter(F.col("number").isNotNull()))
+                   .filter(F.col("number").isNotNull()).distinct())
     from_closed = artifacts.filter(F.col("closed_at").isNotNull()).select(
         "repo_name", F.to_date("closed_at").alias("day"), "number")
     keys = ["repo_name", "window_start", "window_end", "number"]

@@ -4,8 +4,9 @@ anomaly at once, emitted as typed citation rows.
 * ``sql_result``     the anomaly's metric over its window (days with a value,
                      window mean) next to baseline / observed.
 * ``artifact_chunk`` the slowest PRs closed in the window (pr_slowdown only),
-                     then the hybrid-search hits for a query built from the
-                     slowest PR's title (vector = that PR's document vector).
+                     then, for every type, the hybrid-search hits for all terms
+                     of the slowest PR's title (vector = that PR's document
+                     vector); a window without a closed PR has no search.
 * ``release_note``   releases published inside the window, newest first.
 
 Window membership is an equi-join on (repo_name, day) over the window's
@@ -55,10 +56,11 @@ def evidence_bundle(anomalies: DataFrame, daily: DataFrame, artifacts: DataFrame
                  F.coalesce(F.col("n_days"), F.lit(0)).cast("string"), F.lit(" window_mean="),
                  F.coalesce(F.round("mean", 2).cast("string"), F.lit("None"))).alias("excerpt"))
 
-    # artifact_chunk: slowest PRs of pr_slowdown windows
+    # artifact_chunk: slowest PRs; listed for pr_slowdown windows, searched with for all
     # Small (anomalies x k rows) and used twice: cut its lineage once.
-    prs = slow_prs(anomalies.filter(F.col("anomaly_type") == "pr_slowdown"), artifacts, k_prs).checkpoint()
-    pr_rows = prs.select(
+    prs = slow_prs(anomalies, artifacts, k_prs, keep=("artifact_id", "repo_name")).checkpoint()
+    slowdowns = a.filter(F.col("anomaly_type") == "pr_slowdown").select("anomaly_id")
+    pr_rows = prs.join(slowdowns, "anomaly_id", "left_semi").select(
         "anomaly_id", F.lit("slow_pr").alias("source"), "rank", F.lit("artifact_chunk").alias("citation_type"),
         F.col("url").alias("source_url"),
         F.concat(F.lit("PR #"), F.col("number").cast("string"), F.lit(" ("),
@@ -75,13 +77,9 @@ def evidence_bundle(anomalies: DataFrame, daily: DataFrame, artifacts: DataFrame
         F.left(F.col("notes"), F.lit(100)).alias("excerpt"))
 
     # artifact_chunk: hybrid hits for a query built from the slowest PR
-    top1 = prs.filter(F.col("rank") == 1).select(
-        "anomaly_id", "number", "title",
-        F.regexp_extract("url", r"github\.com/([^/]+/[^/]+)/pull/", 1).alias("repo_name"))
-    q = top1.select(
+    q = prs.filter(F.col("rank") == 1).select(
         F.col("anomaly_id").alias("query_id"), "repo_name",
-        F.array_join(F.slice(query_terms_expr(F.col("title")), 1, 2), " ").alias("query_text"),
-        (F.regexp_extract("repo_name", r"(\d+)$", 1).cast("long") * 100 + F.col("number")).alias("artifact_id"))
+        F.array_join(query_terms_expr(F.col("title")), " ").alias("query_text"), "artifact_id")
     q = q.join(vectors.select("artifact_id", F.col("embedding").alias("query_vec")), "artifact_id", "left") \
         .drop("artifact_id")
     hits = hybrid_search(q, chunks, k_hits, index=index, doc_len=doc_len)

@@ -65,7 +65,7 @@ cte("bound_events", """
          ts AS created_at,
          CASE event_type WHEN 'error' THEN CASE WHEN k < 60 THEN 'opened' ELSE 'closed' END
               WHEN 'signup' THEN 'opened' WHEN 'purchase' THEN 'closed' END AS action,
-         CASE WHEN event_type IN ('error', 'signup', 'purchase') THEN k END AS number,
+         CASE WHEN event_type IN ('error', 'signup', 'purchase') THEN CAST(event_id // 10000 * 100 + k AS INTEGER) END AS number,
          CASE WHEN event_type = 'purchase' THEN
               CASE WHEN k % 10 = 1 THEN NULL WHEN k % 10 = 0 THEN false ELSE true END END AS merged,
          CASE WHEN event_type = 'click' AND k % 4 <> 0 AND k = 1 THEN
@@ -217,14 +217,14 @@ def artifacts_cte(name: str, cutoff: str | None = None) -> None:
   FROM bound_events WHERE type = 'PullRequestEvent'{where}
   GROUP BY 1, 2 HAVING min(created_at) FILTER (WHERE action = 'opened') IS NOT NULL""", "bound_events")
     cte(name, f"""
-  SELECT CAST(regexp_extract(g.repo_name, '(\\d+)$', 1) AS BIGINT) * 100 + g.number AS artifact_id,
+  SELECT (g.number // 100) * 1000 + CAST(regexp_extract(g.repo_name, '(\\d+)$', 1) AS BIGINT) * 100 + g.number % 100 AS artifact_id,
          g.repo_name, 'pull_request' AS type, g.number, left(doc.text, 80) AS title, doc.text AS body,
          CASE WHEN g.last_close > g.created_at THEN 'closed' ELSE 'open' END AS state,
          g.author_login, g.created_at,
          CASE WHEN g.last_close > g.created_at THEN g.last_close END AS closed_at,
          'https://github.com/' || g.repo_name || '/pull/' || CAST(g.number AS VARCHAR) AS url
   FROM {name}_g g LEFT JOIN documents doc
-    ON doc.doc_id = CAST(regexp_extract(g.repo_name, '(\\d+)$', 1) AS BIGINT) * 100 + g.number""",
+    ON doc.doc_id = (g.number // 100) * 1000 + CAST(regexp_extract(g.repo_name, '(\\d+)$', 1) AS BIGINT) * 100 + g.number % 100""",
         name + "_g")
 
 
@@ -285,14 +285,12 @@ def toks(expr: str) -> str:
 
 
 cte("q_tok", f"""
-  SELECT item_id, unnest(tk) AS term, generate_subscripts(tk, 1) AS pos
+  SELECT item_id, unnest(tk) AS term
   FROM (SELECT item_id, {toks('text')} AS tk FROM benchmark)""")
 
 cte("q_terms", """
-  SELECT item_id AS query_id, 'org/repo' || CAST(item_id % 10 AS VARCHAR) AS repo_name, term
-  FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(pos)) AS r
-        FROM q_tok GROUP BY item_id, term)
-  WHERE r <= 2""", "q_tok")
+  SELECT DISTINCT item_id AS query_id, 'org/repo' || CAST(item_id % 10 AS VARCHAR) AS repo_name, term
+  FROM q_tok""", "q_tok")
 
 cte("q_vecs", """
   SELECT b.item_id AS query_id, 'org/repo' || CAST(b.item_id % 10 AS VARCHAR) AS repo_name,
@@ -323,7 +321,8 @@ def ranked_cte(name: str, pairs: str, score: str, asc: bool, limit: int) -> None
 
 
 def search_ctes(p: str, q_terms: str, q_vecs: str, limit: int = 20) -> None:
-    """Vector and BM25 legs for a query set: ``{p}v_ranked`` and ``{p}t_ranked``."""
+    """Vector and BM25 legs for a query set: ``{p}v_ranked``, ``{p}t_ranked``
+    (chunks with all terms) and ``{p}a_ranked`` (chunks with any term)."""
     cte(p + "v_pairs", f"""
   SELECT q.query_id, c.artifact_url, c.artifact_id, c.chunk_index, c.text,
          1.0 - list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.query_vec AS DOUBLE[])) AS dist
@@ -337,16 +336,17 @@ def search_ctes(p: str, q_terms: str, q_vecs: str, limit: int = 20) -> None:
   SELECT q.query_id, p.artifact_id, p.chunk_index, p.artifact_url, p.term, p.dl, count(*) AS tf
   FROM c_post p JOIN {q_terms} q ON q.term = p.term AND q.repo_name = p.repo_name
   GROUP BY 1, 2, 3, 4, 5, 6""", "c_post", q_terms)
-    cte(p + "t_pairs", f"""
+    cte(p + "a_pairs", f"""
   SELECT h.query_id, h.artifact_id, h.chunk_index, h.artifact_url, any_value(c.text) AS text,
-         sum(ln(1.0 + (CAST(s.n AS DOUBLE) - d.df + 0.5) / (d.df + 0.5)) * h.tf * 2.2
-             / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / s.avgdl))) AS score,
+         round(sum(ln(1.0 + (CAST(s.n AS DOUBLE) - d.df + 0.5) / (d.df + 0.5)) * h.tf * 2.2
+                   / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / s.avgdl))), 9) AS score,
          count(*) AS matched, any_value(n.n_terms) AS n_terms
   FROM {p}t_hits h JOIN {p}t_df d USING (term) JOIN {p}q_n n USING (query_id)
        JOIN doc_chunks c ON c.artifact_id = h.artifact_id AND c.chunk_index = h.chunk_index,
        c_stats s
-  GROUP BY 1, 2, 3, 4
-  HAVING count(*) = any_value(n.n_terms)""", p + "t_hits", p + "t_df", p + "q_n", "c_stats", "doc_chunks")
+  GROUP BY 1, 2, 3, 4""", p + "t_hits", p + "t_df", p + "q_n", "c_stats", "doc_chunks")
+    cte(p + "t_pairs", f"  SELECT * FROM {p}a_pairs WHERE matched = n_terms", p + "a_pairs")
+    ranked_cte(p + "a_ranked", p + "a_pairs", "score", False, limit)
     ranked_cte(p + "t_ranked", p + "t_pairs", "score", False, limit)
 
 
@@ -392,7 +392,7 @@ cte("bound_reports", """
          string_split(text, chr(10))[1] AS summary,
          coalesce(string_split(text, chr(10))[2], '') AS root_cause,
          ['high', 'medium', 'low', NULL][(doc_id // 40 + doc_id) % 4 + 1] AS confidence,
-         string_split(text, chr(10))[1:3] AS evidence,
+         string_split(text, chr(10)) AS evidence,
          CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 4 END AS n_citations,
          'Inline review comments were not fetched.' AS limitations,
          CAST(1 + doc_id % 10 AS INTEGER) AS tool_calls_used,
@@ -477,27 +477,21 @@ cte("slow", """
   SELECT * FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY anomaly_id ORDER BY hours_open DESC NULLS LAST, number)
                    AS BIGINT) AS rank
-    FROM (SELECT a.id AS anomaly_id, a.repo_name, g.number, left(g.title, 80) AS title,
+    FROM (SELECT a.id AS anomaly_id, a.anomaly_type, a.repo_name, g.artifact_id, g.number, left(g.title, 80) AS title,
                  round(date_diff('microsecond', g.created_at, g.closed_at) / 3.6e9) AS hours_open,
                  CAST(g.created_at AS DATE) AS opened, CAST(g.closed_at AS DATE) AS closed, g.url
           FROM bound_anomalies a JOIN bound_artifacts g ON g.repo_name = a.repo_name
-           AND CAST(g.closed_at AS DATE) BETWEEN a.window_start AND a.window_end
-          WHERE a.anomaly_type = 'pr_slowdown'))
+           AND CAST(g.closed_at AS DATE) BETWEEN a.window_start AND a.window_end))
   WHERE rank <= 10""", "bound_anomalies", "bound_artifacts")
 
 cte("ev_q_tok", f"""
-  SELECT anomaly_id, repo_name, unnest(tk) AS term, generate_subscripts(tk, 1) AS pos
+  SELECT anomaly_id, repo_name, unnest(tk) AS term
   FROM (SELECT anomaly_id, repo_name, {toks('title')} AS tk FROM slow WHERE rank = 1)""", "slow")
 cte("ev_q_terms", """
-  SELECT query_id, repo_name, term FROM (
-    SELECT anomaly_id AS query_id, repo_name, term,
-           row_number() OVER (PARTITION BY anomaly_id ORDER BY min(pos)) AS r
-    FROM ev_q_tok GROUP BY anomaly_id, repo_name, term)
-  WHERE r <= 2""", "ev_q_tok")
+  SELECT DISTINCT anomaly_id AS query_id, repo_name, term FROM ev_q_tok""", "ev_q_tok")
 cte("ev_q_vecs", """
   SELECT s.anomaly_id AS query_id, s.repo_name, e.embedding AS query_vec
-  FROM slow s JOIN embeddings e
-    ON e.vec_id = CAST(regexp_extract(s.repo_name, '(\\d+)$', 1) AS BIGINT) * 100 + s.number
+  FROM slow s JOIN embeddings e ON e.vec_id = s.artifact_id
   WHERE s.rank = 1""", "slow")
 search_ctes("ev_", "ev_q_terms", "ev_q_vecs")
 cte("ev_hits", hybrid_sql("ev_", 5, "query_id, rank, artifact_url, excerpt"), "ev_v_ranked", "ev_t_ranked")

@@ -416,6 +416,18 @@ def q_text_search(spark, sf):
                             "excerpt"))
 
 
+@register("text_search_any", O.sql(
+    "SELECT query_id, rank, artifact_url, artifact_id, chunk_index, round(score, 6) AS score, excerpt "
+    "FROM a_ranked", "a_ranked"))
+def q_text_search_any(spark, sf):
+    """The same searches with ``or`` between all terms: chunks with any of them."""
+    from ..operators.retrieval import text_search
+    q = B.load(spark, sf, "queries").withColumn("query_text", F.replace("query_text", F.lit(" "), F.lit(" or ")))
+    r = text_search(q, _chunk_vecs(spark, sf), 20, **_index(spark, sf))
+    return rounded(r.select("query_id", "rank", "artifact_url", "artifact_id", "chunk_index", "score",
+                            "excerpt"))
+
+
 @register("hybrid_search", O.sql(_rank_sql(
     "SELECT coalesce(v.query_id, t.query_id) AS query_id, "
     "coalesce(v.artifact_url, t.artifact_url) AS artifact_url, coalesce(v.excerpt, t.excerpt) AS excerpt, "
@@ -648,7 +660,7 @@ def q_ensure_anomalies(spark, sf):
     "AND m.date BETWEEN a.window_start AND a.window_end GROUP BY 1) s ON s.id = a.id "
     "UNION ALL SELECT anomaly_id, 'slow_pr', rank, 'artifact_chunk', url, 'PR #' || CAST(number AS VARCHAR) "
     "|| ' (' || coalesce(CAST(CAST(hours_open AS BIGINT) AS VARCHAR), 'None') || 'h open): ' "
-    "|| coalesce(title, 'None') FROM slow "
+    "|| coalesce(title, 'None') FROM slow WHERE anomaly_type = 'pr_slowdown' "
     "UNION ALL SELECT anomaly_id, 'release', rank, 'release_note', "
     "'https://github.com/' || repo_name || '/releases/tag/' || tag, left(notes, 100) FROM ("
     "SELECT a.id AS anomaly_id, e.repo_name, e.release_tag AS tag, "

@@ -16,6 +16,7 @@ from . import tables as _t
 
 GITHUB = "https://github.com/"
 N_REPOS = 10
+EVENTS_PER_SERIES = 10_000
 
 
 def _repo_of(idx: Column) -> Column:
@@ -27,6 +28,11 @@ def repo_index(repo_name: Column) -> Column:
     return F.regexp_extract(repo_name, r"(\d+)$", 1).cast("long")
 
 
+def artifact_key(repo_name: Column, number: Column) -> Column:
+    """(repository, number) -> the document id that ``document_artifacts`` maps to the same pair."""
+    return F.floor(number / 100) * 1000 + repo_index(repo_name) * 100 + number % 100
+
+
 def pr_url(repo_name: Column, number: Column) -> Column:
     return F.concat(F.lit(GITHUB), repo_name, F.lit("/pull/"), number.cast("string"))
 
@@ -40,7 +46,8 @@ def bound_events(events: DataFrame) -> DataFrame:
     event_type view -> WatchEvent; error -> IssuesEvent opened (k<60) / closed;
     signup -> PullRequestEvent opened; purchase -> PullRequestEvent closed with
     merged NULL (k%10=1, newer payload), false (k%10=0) or true; click ->
-    ForkEvent (k%4=0), ReleaseEvent (k=1) or PushEvent.
+    ForkEvent (k%4=0), ReleaseEvent (k=1) or PushEvent. Issue and PR numbers are
+    k plus 100 per 10,000 event ids, so artifacts grow with the event table.
     """
     # props.k is parsed once in an inner projection; the payload is built from
     # the projected column.
@@ -62,11 +69,12 @@ def bound_events(events: DataFrame) -> DataFrame:
     tag = F.concat(F.lit("v"), (F.col("user_id") % N_REPOS).cast("string"), F.lit("."),
                    (F.col("event_id") % 100).cast("string"))
     is_pr = et.isin("signup", "purchase")
+    number = (F.floor(F.col("event_id") / EVENTS_PER_SERIES) * 100 + k).cast("int")
     is_release = (et == "click") & (k == 1)
     payload = F.to_json(F.struct(
         act.alias("action"),
-        F.when(is_pr | (et == "error"), k).alias("number"),
-        F.when(is_pr, F.struct(k.alias("number"), merged.alias("merged"))).alias("pull_request"),
+        F.when(is_pr | (et == "error"), number).alias("number"),
+        F.when(is_pr, F.struct(number.alias("number"), merged.alias("merged"))).alias("pull_request"),
         F.when(is_release, F.struct(
             tag.alias("tag_name"),
             F.concat(F.lit("Release "), tag).alias("name"),
@@ -108,7 +116,7 @@ def artifacts_from_events(events: DataFrame, documents: DataFrame) -> DataFrame:
     """Pull-request artifacts: one row per (repo, number) with an open event.
 
     created_at = first open, closed_at = last close when it is later than the
-    open; body = the document ``(repo index) * 100 + number`` (may be absent),
+    open; body = the document ``artifact_key(repo, number)`` (may be absent),
     title = its first 80 characters.
     """
     pr = (events
@@ -124,7 +132,7 @@ def artifacts_from_events(events: DataFrame, documents: DataFrame) -> DataFrame:
               .alias("author_login"))
          .filter(F.col("created_at").isNotNull()))
     docs = documents.select(F.col("doc_id"), F.col("text").alias("body"))
-    a = g.withColumn("artifact_id", repo_index(F.col("repo_name")) * 100 + F.col("number"))
+    a = g.withColumn("artifact_id", artifact_key(F.col("repo_name"), F.col("number")))
     a = a.join(docs, a["artifact_id"] == docs["doc_id"], "left")
     closed_at = F.when(F.col("last_close") > F.col("created_at"), F.col("last_close"))
     return a.select(
@@ -153,7 +161,7 @@ def document_artifacts(documents: DataFrame) -> DataFrame:
     """Every document as a pull-request artifact to chunk and search.
 
     doc_id d -> repo ``org/repo((d div 100) % 10)``, number
-    ``d % 100 + 100 * (d div 1000)`` (so ids below 1000 coincide with
+    ``d % 100 + 100 * (d div 1000)`` (so ids coincide with those of
     ``bound_artifacts``), title = first 80 characters.
     """
     d = F.col("doc_id")
@@ -172,7 +180,7 @@ def document_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def search_queries(benchmark: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """One search per benchmark item: query text = its first two distinct
+    """One search per benchmark item: query text = all its distinct
     non-stop tokens, vector = ``embeddings`` row ``vec_id = item_id``, repo
     ``org/repo(item_id % 10)``."""
     from ..functions.text import query_terms_expr
@@ -180,7 +188,7 @@ def search_queries(benchmark: DataFrame, embeddings: DataFrame) -> DataFrame:
     q = benchmark.select(
         F.col("item_id").alias("query_id"),
         _repo_of(F.col("item_id") % N_REPOS).alias("repo_name"),
-        F.array_join(F.slice(terms, 1, 2), " ").alias("query_text"),
+        F.array_join(terms, " ").alias("query_text"),
     )
     v = embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     return q.join(v, "query_id", "left")
@@ -220,7 +228,7 @@ def bound_reports(documents: DataFrame) -> DataFrame:
     """Investigation reports, one per document, in the nested report shape.
 
     anomaly_id = doc_id % 40; created 2024-02-01 + doc_id minutes; confidence
-    cycles high/medium/low/NULL; evidence = first three lines; no citations
+    cycles high/medium/low/NULL; evidence = every line; no citations
     when doc_id % 5 = 0 (those break the contract), else three artifact
     citations and one SQL citation.
     """
@@ -243,7 +251,7 @@ def bound_reports(documents: DataFrame) -> DataFrame:
         F.try_element_at(lines, F.lit(1)).alias("summary"),
         F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("root_cause"),
         conf.alias("confidence"),
-        F.slice(lines, 1, 3).alias("evidence"),
+        lines.alias("evidence"),
         cites.alias("citations"),
         F.lit("Inline review comments were not fetched.").alias("limitations"),
         (1 + d % 10).cast("int").alias("tool_calls_used"),
