@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import CITATION_TYPES, CONFIDENCES
+from ..schemas import CITATION_TYPES, CONFIDENCES, REPORT
+from .artifacts import top_k
 
 # Citation labels and metric units of the report pages.
 CITATION_LABELS = {"sql_result": "Query", "artifact_chunk": "GitHub PR", "release_note": "Release"}
@@ -47,6 +48,22 @@ def split_valid(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     return j.filter("valid").select(*reports.columns), j.filter(~F.col("valid"))
 
 
+# --------------------------------------------------------------------------- stored reports
+
+def parse_reports(stored: DataFrame, raw: str = "raw_output") -> DataFrame:
+    """Stored report text (one JSON object per row) -> the nested report columns
+    beside the other columns of ``stored``.
+
+    A missing or null list is empty; text that is no JSON object gives null
+    fields and empty lists, which the contract check then rejects.
+    """
+    lists = {"evidence", "citations"}
+    parsed = stored.withColumn("__r", F.from_json(raw, REPORT))
+    return parsed.select(*[c for c in stored.columns if c != raw], *[
+        (F.coalesce(F.col("__r")[f.name], F.array().cast(f.dataType)) if f.name in lists else F.col("__r")[f.name])
+        .alias(f.name) for f in REPORT.fields])
+
+
 # --------------------------------------------------------------------------- flatten
 
 def flatten_citations(reports: DataFrame) -> DataFrame:
@@ -63,12 +80,12 @@ def flatten_citations(reports: DataFrame) -> DataFrame:
 def last_per_key(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     """Row with the greatest ``order_cols`` per ``key`` (DISTINCT ON ... DESC).
 
-    ``max_by`` is a partial aggregate: an anomaly with a huge number of
-    reports is folded map-side instead of sorted in one task.
+    ``row_number`` = 1 is planned with a partial ``WindowGroupLimit``: every task
+    passes on one row per key, so a key with a huge number of reports does not
+    meet in one task. Rows with a null key have no last row.
     """
-    vals = [c for c in df.columns if c != key]
-    g = df.groupBy(key).agg(F.max_by(F.struct(*vals), F.struct(*order_cols)).alias("_r"))
-    return g.select(key, "_r.*")
+    first = top_k(df.filter(F.col(key).isNotNull()), [key], [F.col(c).desc() for c in order_cols], 1, "__place")
+    return first.drop("__place").select(key, *[c for c in df.columns if c != key])
 
 
 def latest_reports(reports: DataFrame, anomalies: DataFrame) -> DataFrame:

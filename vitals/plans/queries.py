@@ -145,6 +145,19 @@ def q_ingest_scan(spark, sf):
         "id", "type", "repo_name", "actor_login", "created_at", "action", "number")
 
 
+@register("reingest", O.sql(f"SELECT {_EV_COLS} FROM bound_events", "bound_events"))
+def q_reingest(spark, sf):
+    """Filtered event files read again over a table that lost its odd ids: every event once."""
+    from ..operators.ingest import payload_fields, reingest
+    from ..session import scratch_path
+    from ..sources.event_files import write_event_lines
+    path = scratch_path(spark, "event-lines-again")
+    write_event_lines(B.raw_events(_tables.table(spark, sf, "events")), path)
+    left = _events(spark, sf).where(F.col("id").cast("long") % 2 == 0)
+    return payload_fields(reingest(spark, path, left), keep=("actor_login",)).select(
+        "id", "type", "repo_name", "actor_login", "created_at", "action", "number")
+
+
 @register("watchlist_filter", O.sql(
     f"SELECT id, type, repo_name FROM bound_events WHERE repo_name IN ({_WATCH_SQL})", "bound_events"))
 def q_watchlist_filter(spark, sf):
@@ -443,6 +456,16 @@ def q_hybrid_search(spark, sf):
     return rounded(r.select("query_id", "rank", "artifact_url", "rrf_score", "v_rank", "t_rank", "excerpt"))
 
 
+@register("render_hits", O.sql(
+    "SELECT query_id, string_agg(printf('[score=%.4f] %s', rrf_score, artifact_url) || chr(10) || coalesce(excerpt, ''), "
+    "chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS text FROM ("
+    + O.hybrid_sql("", 5, "query_id, rank, artifact_url, excerpt, rrf_score") + ") GROUP BY query_id",
+    "v_ranked", "t_ranked"))
+def q_render_hits(spark, sf):
+    from ..operators.retrieval import hybrid_search, render_hits
+    return render_hits(hybrid_search(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 5, **_index(spark, sf)))
+
+
 @register("ann_recall", None)
 def q_ann_recall(spark, sf):
     """recall@10 of LSH search against exact search, per query."""
@@ -493,6 +516,22 @@ def q_flatten_citations(spark, sf):
     return _citations(spark, sf)
 
 
+@register("stored_report_citations", O.sql(
+    "SELECT r.id, r.anomaly_id, CASE WHEN r.id % 11 <> 7 THEN r.confidence END AS confidence, "
+    "CASE WHEN r.id % 11 <> 7 THEN len(r.evidence) ELSE 0 END AS n_evidence, "
+    "CASE WHEN r.id % 11 <> 7 THEN array_to_string(r.evidence, chr(10)) ELSE '' END AS evidence_text, "
+    "c.pos, c.citation_type, c.source_url, c.excerpt "
+    "FROM bound_reports r LEFT JOIN bound_citations c ON c.report_id = r.id AND c.citation_type IS NOT NULL "
+    "AND r.id % 11 <> 7",
+    "bound_reports", "bound_citations"))
+def q_stored_report_citations(spark, sf):
+    from ..operators.reports import flatten_citations, parse_reports
+    parsed = parse_reports(B.load(spark, sf, "stored_reports"))
+    head = parsed.select(F.col("id").alias("report_id"), "confidence", F.size("evidence").cast("long").alias("n_evidence"),
+                         F.array_join("evidence", "\n").alias("evidence_text"))
+    return flatten_citations(parsed).join(head, "report_id").withColumnRenamed("report_id", "id")
+
+
 @register("latest_reports", O.sql(
     "SELECT id, anomaly_id, created_at, confidence, repo_name, anomaly_type, window_end, z_score FROM latest",
     "latest"))
@@ -613,6 +652,17 @@ def q_eval_scores(spark, sf):
     return eval_scores(_cases(spark, sf), _anoms(spark, sf), _reports(spark, sf))
 
 
+@register("eval_results", O.sql("SELECT * FROM scores", "scores"))
+def q_eval_results(spark, sf):
+    """The scored cases as the eval-result sink stores them, read back."""
+    from ..operators.evaluate import eval_scores, write_scores
+    from ..session import scratch_path
+    scores = eval_scores(_cases(spark, sf), _anoms(spark, sf), _reports(spark, sf))
+    path = scratch_path(spark, "eval-results")
+    write_scores(scores, path)
+    return spark.read.schema(scores.schema).json(path)
+
+
 @register("eval_summary", O.sql(
     "SELECT count(*) AS n_cases, round(avg(citation_coverage), 4) AS avg_citation_coverage, "
     "count(*) FILTER (WHERE budget_ok) AS budget_ok, count(*) FILTER (WHERE latency_ok) AS latency_ok, "

@@ -259,6 +259,18 @@ def bound_reports(documents: DataFrame) -> DataFrame:
     )
 
 
+def stored_reports(documents: DataFrame) -> DataFrame:
+    """The reports as stored: (id, anomaly_id, raw_output), the report a JSON text.
+
+    Reports without citations leave the key out; ids with ``id % 11 = 7`` hold
+    an error message that is no JSON.
+    """
+    cites = F.when(F.size("citations") > 0, F.col("citations")).alias("citations")
+    raw = F.to_json(F.struct("summary", "root_cause", "confidence", "evidence", cites, "limitations"))
+    return bound_reports(documents).select(
+        "id", "anomaly_id", F.when(F.col("id") % 11 == 7, "model stopped: no report").otherwise(raw).alias("raw_output"))
+
+
 def bound_cases(spark: SparkSession, n: int = 60) -> DataFrame:
     """Golden cases for anomaly ids 0..n-1 (ids 50.. have no anomaly row)."""
     a = bound_anomalies(spark, n)
@@ -354,6 +366,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return bound_anomalies(spark)
     if name == "reports":
         return bound_reports(t("documents"))
+    if name == "stored_reports":
+        return stored_reports(t("documents"))
     if name == "cases":
         return bound_cases(spark)
     raise KeyError(name)
