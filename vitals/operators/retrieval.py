@@ -399,8 +399,9 @@ def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tfc = F.col("tf").cast("double")
     part = idf * tfc * (k1 + 1) / (tfc + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
-    # rounded, so that equal texts tie whatever the order in which their terms were added
-    summed = scored.groupBy("query_id", *chunk_key).agg(F.round(F.sum(part), 9).alias("score"))
+    # added as decimals, so that equal texts tie whatever the order of their terms
+    summed = scored.groupBy("query_id", *chunk_key).agg(
+        F.sum(part.cast("decimal(38,18)")).cast("double").alias("score"))
     per_chunk = broadcast_if_small(
         ok.join(summed, ["query_id", *chunk_key], "left").fillna(0.0, ["score"]).checkpoint())
     urls = chunks.select("artifact_id", "chunk_index", "artifact_url")
