@@ -211,6 +211,28 @@ def test_template_extraction(spark):
     assert Counter((r[0], r[2]) for r in got.collect()) == Counter(want)
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    rng = random.Random(6)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    page = "<html><body><nav>menu</nav><article><h1>{h}</h1><p>{p}</p>{more}</article><p>note {i}</p></body></html>"
+    one = page.format(h="The title", p="Its only paragraph", more="", i=0)
+    rows = [(i, "http://one/", one, "The title Its only paragraph") for i in range(25)]
+    # each page again with another note beside the article
+    rows += [(100 + i, "http://notes/", page.format(h="The title", p="Its only paragraph", more="", i=i),
+              "The title Its only paragraph") for i in range(25)]
+    for i in range(40):
+        h, p = words(4), words(20)
+        rows.append((200 + i, "http://mixed/", page.format(h=h, p=p, more="", i=i), f"{h} {p}"))
+    lone = page.format(h="With table", p="above", more="<blockquote>quoted</blockquote><h3>below</h3>", i=0)
+    rows += [(300 + i, "http://mixed/", lone, "With table above quoted below") for i in range(20)]
+    got = html_template.extract(spark.createDataFrame(
+        [r[:3] for r in rows], "page_id long, url string, html string").repartition(4)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {r[0]: r[3] for r in rows}
+    assert len(got) == len(rows)
+
+
 def test_deep_and_broken_markup():
     page = html_template.Page("<div>" * 2000 + "x" + "</p></section>" + "<td>y<td>z" + "<" * 50)
     assert page.text(set(), set(), set()).startswith("x y z")

@@ -2,8 +2,8 @@
 
 Tokens of a page are its elements, named by their path of block elements
 (class and id included, digits levelled), and its text blocks, named by path and
-text. A token's occurrence vector over the pages of a host is folded to a
-commutative hash of (page, count), so equal vectors meet in a group-by without
+text. A token's occurrence vector over the distinct pages of a host is folded to
+a commutative hash of (page, count), so equal vectors meet in a group-by without
 any host's pages being gathered, however many it has.
 
 1. Tokens of a host with equal vectors form an equivalence class. Classes that
@@ -14,15 +14,16 @@ any host's pages being gathered, however many it has.
    slots. The content slots are its article (else main) elements; without any,
    the smallest element that holds ``CONTENT_SHARE`` of the host's text.
 3. A text token in the same class as the element around it is constant: template
-   text and no data (from ``TEXT_PAGES`` pages on). A slot that is nearly all
-   links is a menu.
+   text and no data (from ``TEXT_PAGES`` pages and ``TEXT_ARTICLES`` different
+   article texts on). A slot that is nearly all links is a menu.
 4. What remains in the content slots of a page is its text. Elements of the kinds
    that never hold the article (navigation, forms, adverts, comments ...) are left
    out by name or class, also where a host has too few pages for a template;
    there the page's own article, main or body is the content.
 
 Null html gives the empty text, a null or odd url the empty host. Rows are
-extracted one by one; repeated rows count as further pages of their host.
+extracted one by one; copies of a page count as one page of their host in the
+template, which is then applied to each of them.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ CLASS_SIZE = 2
 CONTENT_SHARE = 0.6
 LINK_SHARE = 0.8
 TEXT_PAGES = 10
+TEXT_ARTICLES = 5
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*)*+)(?:>|\Z)""",
@@ -175,18 +177,23 @@ class Page:
                     self._close(name)
         self._flush()
 
+    def own(self) -> list[tuple[tuple[int, ...], bool, str]]:
+        """The blocks of the page's own article, main or body."""
+        own = [b for b in self.blocks if not b[1]]
+        for name in ("article", "main"):
+            keys = {k for k, v in self.tokens.items() if v[1] == name and not v[2]}
+            kept = [b for b in own if not keys.isdisjoint(b[0])]
+            if kept:
+                return kept
+        return own
+
+    def article_bit(self) -> int:
+        """One of 64 bits, by the text of the page's own article."""
+        return 1 << xxhash.xxh64_intdigest(" ".join(t for _, _, t in self.own()).encode()) % 64
+
     def text(self, roots: set[int], menus: set[int], constant: set[int]) -> str:
         """The content slots' text; falls back on the page's own article, main or body."""
-        own = [(k, o, t) for k, o, t in self.blocks if not o]
-        kept = [b for b in own if not roots.isdisjoint(b[0])]
-        if not kept:
-            for name in ("article", "main"):
-                keys = {k for k, v in self.tokens.items() if v[1] == name and not v[2]}
-                kept = [b for b in own if not keys.isdisjoint(b[0])]
-                if kept:
-                    break
-            else:
-                kept = own
+        kept = [b for b in self.blocks if not b[1] and not roots.isdisjoint(b[0])] or self.own()
         return " ".join(t for k, _, t in kept
                         if menus.isdisjoint(k) and (not constant or text_key(k[-1], t) not in constant))
 
@@ -197,9 +204,9 @@ def text_key(path: int, text: str) -> int:
 
 _TOKEN_FIELDS = [("host", pa.string()), ("key", pa.int64()), ("parent", pa.int64()), ("name", pa.string()),
                  ("outside", pa.bool_()), ("support", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()),
-                 ("vec", pa.int64()), ("vec_sum", pa.int64())]
+                 ("vec", pa.int64()), ("vec_sum", pa.int64()), ("articles", pa.int64())]
 _TOKEN_SCHEMA = ("host string, key long, parent long, name string, outside boolean, support long, chars long, "
-                 "links long, vec long, vec_sum long")
+                 "links long, vec long, vec_sum long, articles long")
 
 
 def host_of(url: Column) -> Column:
@@ -211,6 +218,8 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     """One row per host and token: its support and the hash of its occurrence vector.
 
     A text token has the name ``#text`` and the element around it as parent.
+    ``articles`` has a bit for each article text of the token's pages (64 bits, so
+    some share one: never more bits than texts).
     """
     def run(batches):
         for b in text_blocks(batches, "html", 2 << 20):
@@ -218,6 +227,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             for i, (host, source) in enumerate(zip(b.column("host").to_pylist(), utf8_list(b.column("html")))):
                 page = Page(source.decode())
                 page_key = b.column("page")[i].as_py() & 0xFFFFFFFFFFFFFFFF
+                article = page.article_bit()
                 counts = [(k, p, n, o, c, ch, li) for k, (p, n, o, c, ch, li) in page.tokens.items()]
                 texts: dict[tuple[int, int, bool], int] = defaultdict(int)
                 for keys, outside, text in page.blocks:
@@ -226,13 +236,14 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                 counts += [(k, p, "#text", o, c, 0, 0) for (k, p, o), c in texts.items()]
                 for k, p, n, o, c, ch, li in counts:
                     h = xxhash.xxh64_intdigest(c.to_bytes(8, "little"), page_key)
-                    row = found.setdefault((host, k), [p, n, o, 0, 0, 0, 0, 0])
+                    row = found.setdefault((host, k), [p, n, o, 0, 0, 0, 0, 0, 0])
                     row[3] += 1
                     row[4] += ch
                     row[5] += li
                     row[6] ^= h
                     row[7] += h >> 34
-            rows = [(h, k, *v[:6], _signed(v[6]), v[7]) for (h, k), v in found.items()]
+                    row[8] |= article
+            rows = [(h, k, *v[:6], _signed(v[6]), v[7], _signed(v[8])) for (h, k), v in found.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_TOKEN_FIELDS)],
                 [n for n, _ in _TOKEN_FIELDS])
@@ -242,7 +253,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host", "key").agg(
         F.min("parent").alias("parent"), F.min("name").alias("name"), F.bool_or("outside").alias("outside"),
         F.sum("support").alias("support"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
-        F.bit_xor("vec").alias("vec"), F.sum("vec_sum").alias("vec_sum"))
+        F.bit_xor("vec").alias("vec"), F.sum("vec_sum").alias("vec_sum"), F.bit_or("articles").alias("articles"))
 
 
 def templates(tokens: DataFrame) -> DataFrame:
@@ -281,7 +292,7 @@ def templates(tokens: DataFrame) -> DataFrame:
         F.collect_list(F.when(menu, F.col("key"))).alias("menus"))
     around = elements.select("host", F.col("key").alias("parent"), F.col("vec").alias("p_vec"),
                              F.col("vec_sum").alias("p_sum"))
-    fixed = (large.where(F.col("name") == "#text")
+    fixed = (large.where((F.col("name") == "#text") & (F.bit_count("articles") >= TEXT_ARTICLES))
              .join(around, ["host", "parent"]).where("vec = p_vec AND vec_sum = p_sum")
              .groupBy("host").agg(F.collect_list("key").alias("constant")))
     return slots.join(fixed, "host", "left")
@@ -290,7 +301,9 @@ def templates(tokens: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of ``pages`` (page_id, url, html)."""
     src = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    vectors = token_vectors(src.withColumn("page", F.xxhash64("page_id", "url", "html")))
+    # copies of a page are one page of the template, or its own text would pass as constant
+    distinct = src.select("host", "html").distinct()
+    vectors = token_vectors(distinct.withColumn("page", F.xxhash64("html")))
     template = written(templates(written(vectors, "template-vectors")), "templates")
     rows = src.join(template, "host", "left").select("page_id", "url", "html", "roots", "menus", "constant")
 
