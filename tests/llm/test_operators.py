@@ -233,6 +233,24 @@ def test_copies_of_a_page_are_no_template(spark):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="Hidden costs"', "style='a:b; overflow: hidden' id=x",
+                                   'data-x = "hidden" data-hidden', "href=/hidden/hidden", 'title="""hidden"'])
+def test_hidden_in_a_value_hides_nothing(attrs):
+    page = html_template.Page(f"<body><article {attrs}><p>shown</p></article><p>rest</p>")
+    assert page.text(set(), set(), set()) == "shown"
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", 'class=a hidden="until-found"', 'title="x"hidden'])
+def test_hidden_elements_are_left_out(attrs):
+    page = html_template.Page(f"<body><article><p {attrs}>not this</p><p>shown</p></article>")
+    assert page.text(set(), set(), set()) == "shown"
+
+
+def test_class_in_a_value_is_no_class():
+    a, b = (html_template.Page(f"<div {x}class='one'>x</div>").tokens for x in ("title='my class' ", ""))
+    assert a.keys() == b.keys()
+
+
 def test_deep_and_broken_markup():
     page = html_template.Page("<div>" * 2000 + "x" + "</p></section>" + "<td>y<td>z" + "<" * 50)
     assert page.text(set(), set(), set()).startswith("x y z")

@@ -50,7 +50,8 @@ TEXT_ARTICLES = 5
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*)*+)(?:>|\Z)""",
     re.S)
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# a name and its value, or a quoted string without a name, so that no name is looked for within a value
+_ATTR = re.compile(r"""([^\s"'=>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 
