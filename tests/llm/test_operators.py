@@ -251,6 +251,37 @@ def test_class_in_a_value_is_no_class():
     assert a.keys() == b.keys()
 
 
+LAYOUTS = ['<body class="single-post has-sidebar"><article><p>{t}</p></article>',
+           '<body><article class="post comment-open"><p>{t}</p></article>',
+           '<body><div id="search-results"><article><p>{t}</p></article></div>',
+           '<body><div class="skip-ad"><div class="widget-wrap"><main><p>{t}</p></main></div></div>',
+           '<body><div class="page-with-sidebar"><div class="text"><p>{t}</p></div></div>',
+           '<body><article><div class="share-box"><p>{t}</p></div></article>']
+BESIDE = ('<div id="comments"><article class="comment"><p>Nice {i}</p></article></div>'
+          '<div class="related"><p>See also {i}</p></div>')
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_listed_words_never_take_out_the_content(layout):
+    text = "the text of the page " * 5
+    for page in (layout, layout + BESIDE.replace("article", "section")):
+        got = html_template.Page(page.format(t=text, i=1)).text(set(), set(), set())
+        assert got == text.strip()
+
+
+def test_slots_decide_before_listed_words(spark):
+    rng = random.Random(7)
+    rows = []
+    for n, layout in enumerate(LAYOUTS):
+        for i in range(30):
+            t = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30))
+            beside = BESIDE if "<article" in layout and "search" not in layout else BESIDE.replace("article", "section")
+            page = "<html>" + (layout + beside + "<footer>{i}</footer>").format(t=t, i=i)
+            rows.append((n * 100 + i, f"http://h{n}/", page, t))
+    got = html_template.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {r[0]: r[3] for r in rows}
+
+
 def test_deep_and_broken_markup():
     page = html_template.Page("<div>" * 2000 + "x" + "</p></section>" + "<td>y<td>z" + "<" * 50)
     assert page.text(set(), set(), set()).startswith("x y z")

@@ -17,9 +17,13 @@ any host's pages being gathered, however many it has.
    text and no data (from ``TEXT_PAGES`` pages and ``TEXT_ARTICLES`` different
    article texts on). A slot that is nearly all links is a menu.
 4. What remains in the content slots of a page is its text. Elements of the kinds
-   that never hold the article (navigation, forms, adverts, comments ...) are left
-   out by name or class, also where a host has too few pages for a template;
-   there the page's own article, main or body is the content.
+   that never hold the article (navigation, forms ...) are left out by name, also
+   where a host has too few pages for a template; there the page's own article,
+   main or body is the content.
+5. The slots decide before the list of class words (adverts, comments ...): it
+   takes out elements beside or below a slot, never one around it, html, body,
+   main or article, one that holds the page's only articles or mains, or one with
+   ``CONTENT_SHARE`` of the text.
 
 Null html gives the empty text, a null or odd url the empty host. Rows are
 extracted one by one; copies of a page count as one page of their host in the
@@ -71,6 +75,7 @@ NOT_CONTENT_WORDS = {
     "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related",
     "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe",
     "widget", "contentinfo", "complementary", "alert"}
+WHOLE = {"html", "body", "main", "article"}
 
 ROOT = 0
 
@@ -85,6 +90,8 @@ class Page:
     ``tokens``: key -> [parent, name, outside, count, chars, link chars], where
     ``outside`` says that the element or one around it never holds the article.
     ``blocks``: (keys of the open elements, outside, text) in page order.
+    ``listed``: keys of the elements that the word list takes out where no slot
+    says otherwise.
     """
 
     def __init__(self, source: str):
@@ -95,7 +102,9 @@ class Page:
         self._links = 0
         self._in_link = 0
         self._hidden: list[str] = []
+        self._worded: set[int] = set()
         self._parse(source)
+        self.listed = self._listed()
 
     def _flush(self) -> None:
         if not self._text:
@@ -127,11 +136,13 @@ class Page:
             sig = ".".join([name, *(_DIGITS.sub("0", v) for v in named)])
         _, parent, outside = self._stack[-1]
         # a header outside an article is the site's
-        outside = (outside or hidden or name in NOT_CONTENT or bool(words & NOT_CONTENT_WORDS)
+        outside = (outside or hidden or name in NOT_CONTENT
                    or (name == "header" and not any(n in ("article", "main") for n, _, _ in self._stack)))
         key = _signed(xxhash.xxh64_intdigest(sig.encode(), parent & 0xFFFFFFFFFFFFFFFF))
         token = self.tokens.setdefault(key, [parent, name, outside, 0, 0, 0])
         token[3] += 1
+        if words & NOT_CONTENT_WORDS:
+            self._worded.add(key)
         if name not in VOID:
             self._stack.append((name, key, outside))
 
@@ -178,9 +189,27 @@ class Page:
                     self._close(name)
         self._flush()
 
-    def own(self) -> list[tuple[tuple[int, ...], bool, str]]:
+    def _listed(self) -> set[int]:
+        listed = {k for k in self._worded if self.tokens[k][1] not in WHOLE}
+        for name in ("article", "main") if listed else ():
+            around = {}
+            for key, token in self.tokens.items():
+                if token[1] == name and not token[2]:
+                    at, above = key, set()
+                    while at != ROOT:
+                        at = self.tokens[at][0]
+                        above.add(at)
+                    around[key] = above & listed
+            # with one elsewhere, those within are cards or comments; so are those with a listed word of their own
+            if all(around.values()):
+                listed = listed.difference(*(a for k, a in around.items() if k not in self._worded))
+        return listed
+
+    def own(self, spared: set[int] = frozenset()) -> list[tuple[tuple[int, ...], bool, str]]:
         """The blocks of the page's own article, main or body."""
-        own = [b for b in self.blocks if not b[1]]
+        enough = CONTENT_SHARE * self.tokens[ROOT][4]
+        cut = {k for k in self.listed - spared if self.tokens[k][4] < enough}
+        own = [b for b in self.blocks if not b[1] and cut.isdisjoint(b[0])]
         for name in ("article", "main"):
             keys = {k for k, v in self.tokens.items() if v[1] == name and not v[2]}
             kept = [b for b in own if not keys.isdisjoint(b[0])]
@@ -192,9 +221,15 @@ class Page:
         """One of 64 bits, by the text of the page's own article."""
         return 1 << xxhash.xxh64_intdigest(" ".join(t for _, _, t in self.own()).encode()) % 64
 
-    def text(self, roots: set[int], menus: set[int], constant: set[int]) -> str:
+    def text(self, roots: set[int], menus: set[int], constant: set[int], spared: set[int] = frozenset()) -> str:
         """The content slots' text; falls back on the page's own article, main or body."""
-        kept = [b for b in self.blocks if not b[1] and not roots.isdisjoint(b[0])] or self.own()
+        cut = self.listed - spared
+        kept = []
+        for b in self.blocks:
+            slot = next((i for i, k in enumerate(b[0]) if k in roots), None)
+            if slot is not None and not b[1] and cut.isdisjoint(b[0][slot + 1:]):
+                kept.append(b)
+        kept = kept or self.own(spared)
         return " ".join(t for k, _, t in kept
                         if menus.isdisjoint(k) and (not constant or text_key(k[-1], t) not in constant))
 
@@ -204,10 +239,10 @@ def text_key(path: int, text: str) -> int:
 
 
 _TOKEN_FIELDS = [("host", pa.string()), ("key", pa.int64()), ("parent", pa.int64()), ("name", pa.string()),
-                 ("outside", pa.bool_()), ("support", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()),
+                 ("outside", pa.bool_()), ("listed", pa.bool_()), ("support", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()),
                  ("vec", pa.int64()), ("vec_sum", pa.int64()), ("articles", pa.int64())]
-_TOKEN_SCHEMA = ("host string, key long, parent long, name string, outside boolean, support long, chars long, "
-                 "links long, vec long, vec_sum long, articles long")
+_TOKEN_SCHEMA = ("host string, key long, parent long, name string, outside boolean, listed boolean, support long, "
+                 "chars long, links long, vec long, vec_sum long, articles long")
 
 
 def host_of(url: Column) -> Column:
@@ -229,22 +264,24 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                 page = Page(source.decode())
                 page_key = b.column("page")[i].as_py() & 0xFFFFFFFFFFFFFFFF
                 article = page.article_bit()
-                counts = [(k, p, n, o, c, ch, li) for k, (p, n, o, c, ch, li) in page.tokens.items()]
+                counts = [(k, p, n, o, k in page.listed, c, ch, li)
+                          for k, (p, n, o, c, ch, li) in page.tokens.items()]
                 texts: dict[tuple[int, int, bool], int] = defaultdict(int)
                 for keys, outside, text in page.blocks:
                     if not outside:
                         texts[text_key(keys[-1], text), keys[-1], outside] += 1
-                counts += [(k, p, "#text", o, c, 0, 0) for (k, p, o), c in texts.items()]
-                for k, p, n, o, c, ch, li in counts:
+                counts += [(k, p, "#text", o, False, c, 0, 0) for (k, p, o), c in texts.items()]
+                for k, p, n, o, listed, c, ch, li in counts:
                     h = xxhash.xxh64_intdigest(c.to_bytes(8, "little"), page_key)
-                    row = found.setdefault((host, k), [p, n, o, 0, 0, 0, 0, 0, 0])
-                    row[3] += 1
-                    row[4] += ch
-                    row[5] += li
-                    row[6] ^= h
-                    row[7] += h >> 34
-                    row[8] |= article
-            rows = [(h, k, *v[:6], _signed(v[6]), v[7], _signed(v[8])) for (h, k), v in found.items()]
+                    row = found.setdefault((host, k), [p, n, o, True, 0, 0, 0, 0, 0, 0])
+                    row[3] &= listed
+                    row[4] += 1
+                    row[5] += ch
+                    row[6] += li
+                    row[7] ^= h
+                    row[8] += h >> 34
+                    row[9] |= article
+            rows = [(h, k, *v[:7], _signed(v[7]), v[8], _signed(v[9])) for (h, k), v in found.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_TOKEN_FIELDS)],
                 [n for n, _ in _TOKEN_FIELDS])
@@ -253,12 +290,14 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     parts = pages.mapInArrow(run, _TOKEN_SCHEMA)
     return parts.groupBy("host", "key").agg(
         F.min("parent").alias("parent"), F.min("name").alias("name"), F.bool_or("outside").alias("outside"),
+        F.bool_and("listed").alias("listed"),
         F.sum("support").alias("support"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
         F.bit_xor("vec").alias("vec"), F.sum("vec_sum").alias("vec_sum"), F.bit_or("articles").alias("articles"))
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """Per host with a template: the keys of content slots, menu slots and constant texts."""
+    """Per host with a template: the keys of content slots, menu slots, constant texts, and of elements that
+    the word list would take out but for their share of the text."""
     size = tokens.where(F.col("key") == ROOT).select("host", F.col("support").alias("pages"),
                                                      F.col("chars").alias("all_chars"))
     # a fixed bound first: the texts that are a page's own never reach the join
@@ -268,16 +307,17 @@ def templates(tokens: DataFrame) -> DataFrame:
     large = written(frequent.join(classes.where(F.col("members") >= CLASS_SIZE),
                                   ["host", "support", "vec", "vec_sum"]), "template-tokens")
     # valid: below the root through tokens of large classes; one level per round
-    valid = written(large.where(F.col("key") == ROOT).select("host", "key"), "template-valid")
+    enough = F.col("chars") >= CONTENT_SHARE * F.col("all_chars")
+    valid = written(large.where(F.col("key") == ROOT).select("host", "key", F.lit(False).alias("cut")), "template-valid")
     done = level = valid
     while level.take(1):
         below = large.where((F.col("name") != "#text") & (F.col("key") != ROOT)).join(
-            level.select("host", F.col("key").alias("parent")), ["host", "parent"])
-        level = written(below.select("host", "key"), "template-valid")
+            level.select("host", F.col("key").alias("parent"), "cut"), ["host", "parent"])
+        cut = F.col("cut") | (F.col("listed") & ~enough)
+        level = written(below.select("host", "key", cut.alias("cut")), "template-valid")
         done = done.union(level)
     elements = large.join(done, ["host", "key"])
-    inside = elements.where(~F.col("outside") & (F.col("key") != ROOT))
-    enough = F.col("chars") >= CONTENT_SHARE * F.col("all_chars")
+    inside = elements.where(~F.col("outside") & ~F.col("cut") & (F.col("key") != ROOT))
     per_host = Window.partitionBy("host")
     ranked = inside.withColumn("kind", F.when(F.col("name") == "article", 1).when(F.col("name") == "main", 2)
                                .when(enough & ~F.col("name").isin("html", "body"), 3))
@@ -290,7 +330,8 @@ def templates(tokens: DataFrame) -> DataFrame:
             & ~F.col("name").isin("html", "body"))
     slots = ranked.groupBy("host").agg(
         F.collect_list(F.when(content, F.col("key"))).alias("roots"),
-        F.collect_list(F.when(menu, F.col("key"))).alias("menus"))
+        F.collect_list(F.when(menu, F.col("key"))).alias("menus"),
+        F.collect_list(F.when(F.col("listed") & enough, F.col("key"))).alias("spared"))
     around = elements.select("host", F.col("key").alias("parent"), F.col("vec").alias("p_vec"),
                              F.col("vec_sum").alias("p_sum"))
     fixed = (large.where((F.col("name") == "#text") & (F.bit_count("articles") >= TEXT_ARTICLES))
@@ -306,11 +347,11 @@ def extract(pages: DataFrame) -> DataFrame:
     distinct = src.select("host", "html").distinct()
     vectors = token_vectors(distinct.withColumn("page", F.xxhash64("html")))
     template = written(templates(written(vectors, "template-vectors")), "templates")
-    rows = src.join(template, "host", "left").select("page_id", "url", "html", "roots", "menus", "constant")
+    rows = src.join(template, "host", "left").select("page_id", "url", "html", "roots", "menus", "constant", "spared")
 
     def run(batches):
         for b in text_blocks(batches, "html"):
-            slots = zip(*(b.column(c).to_pylist() for c in ("roots", "menus", "constant")))
+            slots = zip(*(b.column(c).to_pylist() for c in ("roots", "menus", "constant", "spared")))
             out = [Page(source.decode()).text(*(set(x or ()) for x in keys))
                    for source, keys in zip(utf8_list(b.column("html")), slots)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())],
