@@ -51,6 +51,26 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert not any(got[i] for i in range(len(keys), len(rows)))
 
 
+def test_random_values_after_an_equals_sign_are_found(spark):
+    rng = random.Random(8)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    shapes = ["AUTH={k} end", "get https://h.org/file?id=1&sig={k}&x=2 now", "key={k}== end", "{k}=value", "a=b={k}"]
+    rows, want = [], []
+    for i in range(100):
+        k, shape = "".join(rng.choices(b64, k=44)), shapes[i % len(shapes)]
+        at = shape.index("{k}")
+        rows.append((i, shape.format(k=k)))
+        want.append(f"random:{at}:{at + 44 + {2: 2, 3: 1}.get(i % len(shapes), 0)}")
+    rows += [(100 + i, "name=thinkingofsomethinglonger&other=internationalisationofwords==") for i in range(20)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in found.select("doc_id", secrets.listed(F.col("spans")).alias("s"),
+                                                secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    hits = [i for i in range(100) if got[i]["s"] == want[i]]
+    assert len(hits) >= 90 and {i % len(shapes) for i in hits} == set(range(len(shapes)))
+    assert {got[i]["t"] for i in hits if i % len(shapes) == 0} == {"AUTH=[SECRET] end"}
+    assert not any(got[i]["s"] for i in range(100, len(rows)))
+
+
 def test_normal_tail(spark):
     import math
     zs = [0.0, 0.5, 1.0, 2.0, 5.0, 8.0]

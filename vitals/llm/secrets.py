@@ -4,8 +4,8 @@ Patterns (per kind, leftmost and non-overlapping, spans in code points of the
 whole match): ``assign`` a named credential whose value has 12 characters or
 more, ``access`` a key id of 18 or more, ``hex`` a run of 16 or more.
 
-Battery: every run of ``[A-Za-z0-9+/_=-]`` of ``MIN_LENGTH`` characters or more
-is a candidate. Its encoding (hex, base32, base64) is inferred from its letters;
+Battery: every run of ``[A-Za-z0-9+/_-]`` of ``MIN_LENGTH`` characters or more,
+with up to two ``=`` behind it, is a candidate. Its encoding (hex, base32, base64) is inferred from its letters;
 runs of digits alone are none. Three tests ask whether it looks drawn evenly
 from that alphabet: chi-squared over the letter counts, Wald-Wolfowitz runs
 around the alphabet's middle, and the lag-1 serial correlation. A candidate that
@@ -39,7 +39,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # maximal runs: the same spans as runs of any len
 HEX = r"[0-9a-f]{16,}"
 MIN_ASSIGN = 12
 MIN_LENGTH = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH
+CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_LENGTH  # '=' only as padding: in 'sig=...' it stands before the value
 REJECT = 0.001
 FDR = 0.01
 BINS_PER_DECADE = 20
