@@ -65,8 +65,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the corpus: doc_id, lang, source, n_tokens, ids."""
-    return bpe.encode_documents(docs, tokenizer_path(), keep=("doc_id", "lang", "source"))
+    """Token ids of the corpus, decoded again: doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256."""
+    return bpe.encode_documents(docs, tokenizer_path(), keep=("doc_id", "lang", "source"), digests=True)
 
 
 STAGES = [

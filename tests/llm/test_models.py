@@ -6,13 +6,14 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 import corpus_pipeline
 from tests.conftest import SF_SMALL
 from vitals.llm import compress_classifier, toxicity_cnn
 from vitals.llm.blocks import crc32_fold, written
-from vitals.llm.queries import REGISTRY
+from vitals.llm.queries import REGISTRY, tokenizer_path
 
 from . import brute as B
 
@@ -89,6 +90,16 @@ def _stages(spark, docs, sf_dir):
     return out
 
 
+def test_last_stage_decodes(spark, docs, doc_rows):
+    library = Tokenizer.from_file(tokenizer_path())
+    got = corpus_pipeline.encode(spark, docs, SF_SMALL).select("doc_id", "ids", "decoded_sha256").collect()
+    want = []
+    for r in doc_rows:
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], tuple(ids), B.sha(library.decode(ids, skip_special_tokens=False))))
+    assert Counter((r[0], tuple(r[1]), r[2]) for r in got) == Counter(want)
+
+
 def test_stages_on_odd_rows(spark, docs, doc_rows, monkeypatch):
     """Each stage against brute force over what the one before kept."""
     columns = docs.columns
