@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -186,6 +187,21 @@ def test_merge_order():
     assert bpe.merge_ids([9], ranks, merged) == [9]
 
 
+def test_long_runs_merge_as_short_ones(monkeypatch, library):
+    rng = random.Random(9)
+    word = bpe.WordBPE(PATH)._word
+    runs = ["".join(rng.choices(letters, k=n)) for letters in ("a", "ab", "etaoinshrdlu") for n in (401, 999, 3000)]
+    by_heap = [word(r) for r in runs]
+    monkeypatch.setattr(bpe, "SCAN_PARTS", 1 << 30)
+    assert by_heap == [word(r) for r in runs]
+    monkeypatch.undo()
+    run = "".join(rng.choices("etaoinshrdlu", k=200_000))
+    start = time.process_time()
+    ids = word(run)
+    assert time.process_time() - start < 20
+    assert ids == library.encode(run, add_special_tokens=False).ids
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 def test_quality_measures(docs, doc_rows):

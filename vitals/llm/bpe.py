@@ -5,7 +5,8 @@ the normaliser and the pre-tokeniser. A pre-token's parts are kept as an array
 of boundaries with the merge rank of each adjacent pair beside it; the smallest
 rank is found by scanning, its boundary is deleted and the two neighbouring
 ranks are refreshed, until no pair has a rank. Words are short, so the scan
-beats a heap.
+beats a heap; runs of more than ``SCAN_PARTS`` parts use a heap over linked parts,
+with the same merges.
 
 Texts are cut into pieces that encode alone (``pieces``), whose ids are kept in
 a bounded cache.
@@ -18,6 +19,7 @@ import json
 import re
 from array import array
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from vitals.llm.pieces import PieceCache, cuts_into_words
 CACHE_PIECES = 100_000
 CACHE_WORDS = 250_000
 
+SCAN_PARTS = 400
+
 _NO_RANK = 1 << 30
 
 
@@ -40,6 +44,8 @@ def merge_ids(parts: list[int], ranks_of: dict[tuple[int, int], int], merged: li
     """Merge symbol ids by rank: ``ranks_of`` two ids, ``merged`` the id that a rank makes."""
     if len(parts) < 2:
         return parts
+    if len(parts) > SCAN_PARTS:
+        return _merge_long(parts, ranks_of, merged)
     rank = ranks_of.get
     ranks = [rank(p, _NO_RANK) for p in zip(parts, parts[1:])]
     while ranks:
@@ -56,6 +62,37 @@ def merge_ids(parts: list[int], ranks_of: dict[tuple[int, int], int], merged: li
     return parts
 
 
+def _merge_long(parts: list[int], ranks_of: dict[tuple[int, int], int], merged: list[int]) -> list[int]:
+    """``merge_ids`` in n log n: the lowest rank, leftmost first, from a heap; outdated entries are skipped."""
+    n = len(parts)
+    rank = ranks_of.get
+    ranks = [*(rank(p, _NO_RANK) for p in zip(parts, parts[1:])), _NO_RANK]
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i) for i, r in enumerate(ranks) if r != _NO_RANK]
+    heapify(heap)
+    gone = bytearray(n)
+
+    def refresh(i: int) -> None:
+        ranks[i] = rank((parts[i], parts[after[i]]), _NO_RANK) if after[i] < n else _NO_RANK
+        if ranks[i] != _NO_RANK:
+            heappush(heap, (ranks[i], i))
+
+    while heap:
+        low, i = heappop(heap)
+        if gone[i] or ranks[i] != low:
+            continue
+        j = after[i]
+        parts[i] = merged[low]
+        gone[j] = 1
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        refresh(i)
+        if before[i] >= 0:
+            refresh(before[i])
+    return [p for p, g in zip(parts, gone) if not g]
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
