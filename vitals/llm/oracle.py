@@ -71,8 +71,29 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
+_NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (
+  SELECT r, r AS other FROM v
+  UNION
+  SELECT reach.r, link.b FROM reach JOIN link ON reach.other = link.a),
+low AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.other GROUP BY reach.r),
+n AS (SELECT a AS r, count(*) AS n_links FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, low.component_id,
+       coalesce(v.vec_id = low.component_id, false) AS kept
+FROM v JOIN low ON v.r = low.r LEFT JOIN n ON v.r = n.r
+"""
+
 ORACLE = {
     "op3_decontamination": _DECONTAMINATION,
     "op5_quality_rules": _QUALITY,
     "op9_warc": _WARC,
+    "op11_embedding_near_dedup": _NEAR_VECTORS,
 }

@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitals.llm import (bpe, compress_classifier, html_template, quality_rules, secrets, simhash_vp, token_files,
-                        toxicity_cnn, warc, winnowing)
+from vitals.llm import (bpe, compress_classifier, grid_order, html_template, quality_rules, secrets, simhash_vp,
+                        token_files, toxicity_cnn, warc, winnowing)
 from vitals.llm.blocks import crc32_fold
 from vitals.llm.oracle import ORACLE
 from vitals.sources.tables import table
@@ -104,13 +104,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          toxicity_cnn.flagged(scored, model).alias("flagged_by_lang"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_order.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 _QUERIES = (op1_secret_scan, op2_simhash_near_dedup, op3_decontamination, op4_bpe, op5_quality_rules,
-            op6_html_extraction, op7_quality_classifier, op8_token_files, op9_warc, op10_toxicity, pipeline)
+            op6_html_extraction, op7_quality_classifier, op8_token_files, op9_warc, op10_toxicity,
+            op11_embedding_near_dedup, pipeline)
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     fn.__name__: (fn, ORACLE.get(fn.__name__)) for fn in _QUERIES}
