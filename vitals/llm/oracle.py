@@ -91,9 +91,44 @@ SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, low.component_id,
 FROM v JOIN low ON v.r = low.r LEFT JOIN n ON v.r = n.r
 """
 
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _share_sql(n: str, of: str) -> str:
+    return f"CAST(1 + (CAST(1000000000 AS HUGEINT) * ({n} + 1)) // ({of}) AS HUGEINT)"
+
+
+_DIVERGENCE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_LETTERS}') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+t AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM t GROUP BY lang),
+c AS (SELECT w.lang, source, term, count(*) AS n FROM w JOIN t USING (lang, term) GROUP BY w.lang, source, term),
+m AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) + any_value(l.v) AS m
+      FROM g JOIN l ON g.lang = l.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+s AS (SELECT m.lang, m.source, t.term, coalesce(c.n, 0) AS n, {_share_sql("coalesce(c.n, 0)", "m.m")} AS p,
+             {_share_sql("t.total", "l.n + l.v")} AS q
+      FROM m JOIN t ON m.lang = t.lang JOIN l ON l.lang = m.lang
+      LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = t.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM s WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+           FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLE = {
     "op3_decontamination": _DECONTAMINATION,
     "op5_quality_rules": _QUALITY,
     "op9_warc": _WARC,
     "op11_embedding_near_dedup": _NEAR_VECTORS,
+    "op12_source_divergence_audit": _DIVERGENCE,
 }

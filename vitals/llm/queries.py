@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitals.llm import (bpe, compress_classifier, grid_order, html_template, quality_rules, secrets, simhash_vp,
-                        token_files, toxicity_cnn, warc, winnowing)
+                        source_divergence, spelling_variants, token_files, toxicity_cnn, warc, winnowing)
 from vitals.llm.blocks import crc32_fold
 from vitals.llm.oracle import ORACLE
 from vitals.sources.tables import table
@@ -108,6 +108,14 @@ def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_order.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -115,7 +123,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (op1_secret_scan, op2_simhash_near_dedup, op3_decontamination, op4_bpe, op5_quality_rules,
             op6_html_extraction, op7_quality_classifier, op8_token_files, op9_warc, op10_toxicity,
-            op11_embedding_near_dedup, pipeline)
+            op11_embedding_near_dedup, op12_source_divergence_audit,
+            op13_spelling_variant_grouping, pipeline)
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     fn.__name__: (fn, ORACLE.get(fn.__name__)) for fn in _QUERIES}
