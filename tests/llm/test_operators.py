@@ -172,6 +172,21 @@ def test_bpe_round_trip(docs, doc_rows, library):
     assert Counter((r[0], r[1], tuple(r[2]), *r[3:]) for r in got) == Counter(want)
 
 
+def test_letters_of_every_block_encode_as_in_the_library(spark, library):
+    """Also letters that are newer than the library's tables, next to ASCII letters and digits."""
+    letters = [chr(c) for c in range(0x80, 0x33480) if not 0xD800 <= c < 0xE000]
+    newer = [0x0C5C, 0x088F, 0x10940, 0x1C89, 0x1C8A, 0xA7CB, 0x10D4A, 0x11380, 0x16100, 0x1E5D0, 0x32400, 0xE0100]
+    texts = [" ".join(f"a{x}B1" for x in letters[k:k + 500]) for k in range(0, len(letters), 500)]
+    texts += [f"a{chr(c)}B1 {chr(c)}{chr(c)}'s" for c in newer]
+    texts += ["\x1cx\x1dy \x85 \xa0z", " " * 9, "\u200b \u200b a", "x" + "\u0301" * 40 + " e\u0301'S"]
+    got = bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    files = token_files.token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, 1,
+                                    with_ids=True).collect()
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids"] for r in got} == want
+    assert {r["doc_id"]: r["ids"][:-1] for r in files} == want
+
+
 def test_only_word_level_files(tmp_path):
     assert pieces.cuts_into_words(PATH)
     other = public_tokenizers.path("byte_bpe_50k.json")
@@ -189,7 +204,10 @@ def test_merge_order():
 
 def test_long_runs_merge_as_short_ones(monkeypatch, library):
     rng = random.Random(9)
-    word = bpe.WordBPE(PATH)._word
+    one = bpe.WordBPE(PATH)
+
+    def word(run):
+        return one._word(one.pretokens(run)[0][0])
     runs = ["".join(rng.choices(letters, k=n)) for letters in ("a", "ab", "etaoinshrdlu") for n in (401, 999, 3000)]
     by_heap = [word(r) for r in runs]
     monkeypatch.setattr(bpe, "SCAN_PARTS", 1 << 30)

@@ -8,8 +8,9 @@ ranks are refreshed, until no pair has a rank. Words are short, so the scan
 beats a heap; runs of more than ``SCAN_PARTS`` parts use a heap over linked parts,
 with the same merges.
 
-Texts are cut into pieces that encode alone (``pieces``), whose ids are kept in
-a bounded cache.
+Pre-tokens are those of the library's own pre-tokenizer. Texts are cut into pieces that
+encode alone (``pieces``); each distinct piece of a block is looked up in a
+bounded cache, and a text's ids, digests and decoded text are joined from its pieces.
 Null is the empty text: no ids, empty decoding.
 """
 
@@ -23,17 +24,17 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 from tokenizers import Tokenizer
 
-from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list
-from vitals.llm.pieces import PieceCache, cuts_into_words
+from vitals.llm.blocks import bounded_batches, text_blocks
+from vitals.llm.pieces import CutBlock, PieceCache, cuts_into_words
 
-CACHE_PIECES = 100_000
-CACHE_WORDS = 250_000
+CACHE_PIECES = 200_000
+CACHE_WORDS = 400_000
+BLOCK_BYTES = 4 << 20
 
 SCAN_PARTS = 400
 
@@ -93,19 +94,6 @@ def _merge_long(parts: list[int], ranks_of: dict[tuple[int, int], int], merged:
     return [p for p, g in zip(parts, gone) if not g]
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters, extra = [""] * 256, 256
-    for b in range(256):
-        if b in printable:
-            letters[b] = chr(b)
-        else:
-            letters[b] = chr(extra)
-            extra += 1
-    return letters
-
-
 class WordBPE:
     """Encoder and decoder for a byte-level BPE file with word-end suffixes."""
 
@@ -117,10 +105,10 @@ class WordBPE:
         model = spec["model"]
         vocab = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pretokens = regex.compile(split["pattern"]["Regex"]).findall
-        self.letters = byte_letters()
+        library = Tokenizer.from_file(path)
+        self.normalize = library.normalizer.normalize_str
+        # words in the printable letters that stand for bytes, as the vocabulary has them
+        self.pretokens = library.pre_tokenizer.pre_tokenize_str
         self.symbol = {c: i for c, i in vocab.items()}
         self.ranks_of = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(model["merges"])}
         self.merged = [vocab[a + b] for a, b in model["merges"]]
@@ -139,7 +127,7 @@ class WordBPE:
         self.pieces = PieceCache(self.encode_piece, list(added), CACHE_PIECES, CACHE_WORDS)
 
     def _word(self, word: str) -> list[int]:
-        chars = [self.letters[b] for b in word.encode()]
+        chars = list(word)
         chars[-1] += self.suffix
         # a byte letter without an id of its own is left out
         return merge_ids([self.symbol[c] for c in chars if c in self.symbol], self.ranks_of, self.merged)
@@ -155,14 +143,10 @@ class WordBPE:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                for word in self.pretokens(self.normalize(part)):
+                for word, _ in self.pretokens(self.normalize(part)):
                     out += self._word(word)
         return array(self.code, out).tobytes()
 
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of a whole UTF-8 text."""
-        return np.frombuffer(self.pieces.text(text), self.dtype)
-
     def decode(self, ids) -> bytes:
         """The token texts joined by one space, which is what the file's missing decoder means."""
         return b" ".join(map(self.text_bytes.__getitem__, ids))
@@ -197,24 +181,22 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
     def run(batches):
         bpe = load(path)
-        for b in text_blocks(batches, "__text"):
-            got: dict[str, list] = {"n_tokens": [], "ids": [], "decoded": [], "ids_sha256": [], "decoded_sha256": []}
-            for t in utf8_list(b.column("__text")):
-                x = bpe.encode(t)
-                got["n_tokens"].append(len(x))
-                if ids:
-                    got["ids"].append(x.astype(np.int32))
-                if decoded or digests:
-                    listed = x.tolist()
-                    back = bpe.decode(listed)
-                    if decoded:
-                        got["decoded"].append(back.decode())
-                    if digests:
-                        got["ids_sha256"].append(sha256(b" ".join(map(bpe.id_bytes.__getitem__, listed))).hexdigest())
-                        got["decoded_sha256"].append(sha256(back).hexdigest())
-            kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in keep), *(pa.array(got[n], kinds.get(n, pa.string())) for n in names[len(keep):])],
-                names)
+        for b in text_blocks(batches, "__text", BLOCK_BYTES):
+            block = CutBlock(b.column("__text"), bpe.pieces.__getitem__, bpe.dtype().itemsize)
+            columns = [*(b.column(n) for n in keep), pa.array(block.n_ids)]
+            if ids:
+                flat = np.frombuffer(b"".join(block.joined(block.packed, b"").to_pylist()), bpe.dtype)
+                ends = np.concatenate([[0], np.cumsum(block.n_ids)])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
+            if decoded or digests:
+                listed = [np.frombuffer(p, bpe.dtype).tolist() for p in block.packed]
+                back = block.joined([bpe.decode(x) for x in listed], b" ")
+                if decoded:
+                    columns.append(back.cast(pa.large_string()).cast(pa.string()))
+                if digests:
+                    decimal = block.joined([b" ".join(map(bpe.id_bytes.__getitem__, x)) for x in listed], b" ")
+                    columns += [pa.array([sha256(x).hexdigest() for x in texts.to_pylist()], pa.string())
+                                for texts in (decimal, back)]
+            yield pa.RecordBatch.from_arrays(columns, names)
     bounded_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)

@@ -1,5 +1,9 @@
 """Cutting texts into pieces that a word-level tokenizer file encodes alone.
 
+A block of texts is cut in Arrow and its pieces are dictionary-encoded, so Python
+sees every distinct piece once per block; what belongs to a text is put together
+from its pieces in Arrow again.
+
 For files whose normaliser is NFC, white space to one space and lower case, and
 whose pre-tokeniser keeps the matches of ``WORD_PATTERN``:
 
@@ -17,6 +21,10 @@ import json
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 CACHE_BYTES = 64
 
 #: Fixed value: the split pattern of the tokenizer files these rules hold for.
@@ -75,6 +83,30 @@ class PieceCache(dict):
             self[piece] = packed
         return packed
 
-    def text(self, text: bytes) -> bytes:
-        """Packed ids of a whole UTF-8 text (``bytes.split``: ASCII white space)."""
-        return b"".join(map(self.__getitem__, text.split()))
+
+class CutBlock:
+    """The pieces of a block of texts (``ascii white space`` parts them) and their packed ids.
+
+    ``code_bytes`` is the size of an id; pieces without ids are left out.
+    """
+
+    def __init__(self, texts: pa.Array, packed_of: Callable[[bytes], bytes], code_bytes: int):
+        texts = pc.fill_null(texts, "")
+        parts = pc.ascii_split_whitespace(texts if texts.type == pa.string() else texts.cast(pa.string()))
+        coded = parts.flatten().dictionary_encode()
+        pieces = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.packed = [packed_of(p) if p else b"" for p in pieces]
+        sizes = np.fromiter(map(len, self.packed), np.int64, len(pieces)) // code_bytes
+        codes, offsets = coded.indices.to_numpy(), parts.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        used = sizes[codes] > 0
+        self.codes = codes[used]
+        self.offsets = np.concatenate([[0], np.cumsum(used)])[offsets]
+        ends = np.concatenate([[0], np.cumsum(sizes[self.codes])])
+        self.n_ids = ends[self.offsets[1:]] - ends[self.offsets[:-1]]
+
+    def joined(self, values: list[bytes], between: bytes) -> pa.Array:
+        """Per text, the values of its pieces (given per distinct piece) with ``between`` them."""
+        taken = pa.array(values, pa.large_binary()).take(pa.array(self.codes))
+        lists = pa.LargeListArray.from_arrays(pa.array(self.offsets, pa.int64()), taken)
+        return pc.binary_join(lists.cast(pa.list_(pa.large_binary())), pa.scalar(between, pa.large_binary()))

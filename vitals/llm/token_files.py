@@ -29,19 +29,20 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list
-from vitals.llm.pieces import PieceCache, cuts_into_words
+from vitals.llm.pieces import CutBlock, PieceCache, cuts_into_words
 from vitals.llm.shared_files import folder, fresh_name, mapped
 from vitals.session import scratch_path
 
 CACHE_PIECES = 200_000
 CACHE_WORDS = 600_000
+BLOCK_BYTES = 4 << 20
 
 
 class LibraryEncoder:
     """Ids of the ``tokenizers`` library for whole texts.
 
     Where the file's rules allow it (``pieces``), a text's ids are those of its
-    pieces, which repeat a lot: the library encodes each once per cache filling.
+    pieces, which repeat a lot: each is looked up once per block and encoded once per cache filling.
     """
 
     def __init__(self, path: str):
@@ -51,12 +52,19 @@ class LibraryEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.encode = PieceCache(self.encode_whole, added, CACHE_PIECES, CACHE_WORDS).text if cuts_into_words(path) else self.encode_whole
+        self.pieces = PieceCache(self.encode_whole, added, CACHE_PIECES, CACHE_WORDS) if cuts_into_words(path) else None
 
     def encode_whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return array(self.code, ids).tobytes()
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of every text of a column."""
+        if self.pieces is None:
+            return [self.encode_whole(t) for t in utf8_list(texts)]
+        block = CutBlock(texts, self.pieces.__getitem__, self.dtype.itemsize)
+        return block.joined(block.packed, b"").to_pylist()
+
 
 _LOADED: dict[str, LibraryEncoder] = {}
 
@@ -74,7 +82,7 @@ def _write_shard(fs, path: str, stem: str, batches, encoder: LibraryEncoder, end
     lengths, ids, valid = [], [], []
     with fs.open_output_stream(f"{path}/{name}.bin") as out:
         for b in batches:
-            packed = [encoder.encode(t) + end for t in utf8_list(b.column("__text"))]
+            packed = [ids + end for ids in encoder.encode(b.column("__text"))]
             out.write(b"".join(packed))
             lengths.append(np.fromiter(map(len, packed), np.int64, len(packed)) // size)
             known = b.column("doc_id")
@@ -95,7 +103,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id
         encoder = _load(tokenizer_path)
         fs, path = folder(out_dir)
         shard = TaskContext.get().partitionId()
-        got = _write_shard(fs, path, f"shard-{shard:06d}", text_blocks(batches, "__text"), encoder, end_id)
+        got = _write_shard(fs, path, f"shard-{shard:06d}", text_blocks(batches, "__text", BLOCK_BYTES), encoder, end_id)
         yield pa.RecordBatch.from_pylist(
             [{"shard": shard, "name": got[0], "docs": got[1], "ids": got[2]}],
             pa.schema([("shard", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
