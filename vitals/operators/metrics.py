@@ -2,9 +2,9 @@
 
 Plan shape: one scan of the events, JSON paths read once per row, then a single
 partial+final ``HashAggregate`` keyed by (repo_name, date) for the seven counts.
-PR cycle times come from a self join of closes to earlier opens on
-(repo_name, number); the number is part of the key, so a busy repository is
-spread over many join partitions.
+PR cycle times come from the sorted opens and closes of each pull request, by
+rank counting (``cycles``): no open x close pairs, and a busy repository is
+spread over its pull requests.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json_paths as J
-from ..functions.time import filter_days, hours_between
+from ..functions.time import filter_days
+from .cycles import close_days, cycle_medians
 
 METRIC_COLUMNS = ["star_count", "fork_count", "issue_opened", "issue_closed",
                   "pr_opened", "pr_merged", "pr_median_merge_hours", "commit_count"]
@@ -43,43 +44,31 @@ def daily_counts(events: DataFrame, start=None, end=None) -> DataFrame:
                  F.count_if(t == "PushEvent").alias("commit_count")))
 
 
-def pr_cycle_pairs(events: DataFrame, start=None, end=None, merged_only: bool = False) -> DataFrame:
-    """Every (close, earlier open) pair of the same PR: repo, number, close day,
-    hours open. Only the close side is date-filtered (lookback is unbounded).
+def pr_close_days(events: DataFrame, start=None, end=None, merged_only: bool = False) -> DataFrame:
+    """One row per pull request and close day with its sorted opens and closes.
 
-    By default every close counts (the metric is open->close); with
-    ``merged_only`` a close needs the merged flag (absent flag = merged).
+    Only the close side is date-filtered (lookback is unbounded). By default every
+    close counts (the metric is open->close); with ``merged_only`` a close
+    needs the merged flag (absent flag = merged).
     """
     def typed(df):
-        return df.select("repo_name", "created_at", J.action().alias("action"),
+        return df.select("repo_name", F.col("created_at").alias("ts"), J.action().alias("action"),
                          J.pr_number().alias("number"), J.merged_or_true().alias("merged"))
     prs = events.filter(F.col("type") == "PullRequestEvent")
-    pr = typed(prs)
-    closes = typed(filter_days(prs, start, end)) if start is not None else pr
-    closes = closes.filter(F.col("action") == "closed")
+    closes = typed(filter_days(prs, start, end) if start is not None else prs).filter(F.col("action") == "closed")
     if merged_only:
         closes = closes.filter(F.col("merged"))
-    c = closes.select("repo_name", "number", F.col("created_at").alias("closed_ts"))
-    o = pr.filter(F.col("action") == "opened").select(
-        "repo_name", "number", F.col("created_at").alias("opened_ts"))
-    j = c.join(o, ["repo_name", "number"]).filter(F.col("opened_ts") < F.col("closed_ts"))
-    return j.select("repo_name", "number", F.to_date("closed_ts").alias("close_date"),
-                    "opened_ts", "closed_ts",
-                    hours_between(F.col("opened_ts"), F.col("closed_ts")).alias("hours"))
+    return close_days(typed(prs).filter(F.col("action") == "opened"), closes)
 
 
-def pr_cycles(events: DataFrame, start=None, end=None, exact: bool = True,
-              accuracy: int = 10000, merged_only: bool = False) -> DataFrame:
-    """Median open->close hours per (repo_name, close_date).
+def pr_cycles(events: DataFrame, start=None, end=None, merged_only: bool = False,
+              resolution_bits: int = 0) -> DataFrame:
+    """Median open->close hours per (repo_name, close_date) over every (close, earlier open) pair.
 
-    ``exact`` uses ``median`` (same as PERCENTILE_CONT(0.5)); ``exact=False``
-    switches to ``percentile_approx`` for very large groups.
+    Same as PERCENTILE_CONT(0.5) over the pairs; ``resolution_bits`` trades
+    exactness for fewer rounds (see ``cycle_medians``).
     """
-    p = pr_cycle_pairs(events, start, end, merged_only)
-    med = (F.median("hours") if exact
-           else F.percentile_approx("hours", 0.5, accuracy).cast("double"))
-    return (p.groupBy("repo_name", "close_date")
-            .agg(med.alias("median_hours"), F.count("*").alias("n_pairs")))
+    return cycle_medians(pr_close_days(events, start, end, merged_only), resolution_bits)
 
 
 def daily_metrics(events: DataFrame, start=None, end=None, merged_only: bool = False) -> DataFrame:

@@ -865,9 +865,9 @@ _COUNT_COLS = "repo_name, date, star_count, fork_count, issue_opened, issue_clos
 
 @register("stream_window_counts", O.sql(f"SELECT {_COUNT_COLS} FROM daily_counts", "daily_counts"))
 def q_stream_window_counts(spark, sf):
-    """Daily counts added up over epochs; a new late day (Jan 3) comes second."""
+    """Day windows as state; the second delivery brings a new late day (Jan 3) and a day again (Jan 10)."""
     from ..streaming.streams import day_is, window_counts, window_counts_stream
-    p = _staged(spark, sf, "wcounts", ~day_is("2024-01-03"), day_is("2024-01-03"),
+    p = _staged(spark, sf, "wcounts", ~day_is("2024-01-03"), day_is("2024-01-03") | day_is("2024-01-10"),
                 lambda p: window_counts_stream(spark, p["glob"], p["out"], p["ckpt"]))
     return window_counts(spark, p["out"]).select(*[c.strip() for c in _COUNT_COLS.split(",")])
 
@@ -878,10 +878,10 @@ def q_stream_window_counts(spark, sf):
     "FROM daily_metrics", "daily_metrics"))
 def q_stream_daily_metrics(spark, sf):
     """Exact daily metrics from a stream where Jan 3 and Jan 5 arrive last
-    (late): each epoch refreshes only the dates it can change."""
+    (late) and Jan 10 comes again: each epoch refreshes only the dates that changed."""
     from ..streaming.streams import daily_metrics_stream, day_is
     late = day_is("2024-01-03") | day_is("2024-01-05")
-    p = _staged(spark, sf, "dmetrics", ~late, late,
+    p = _staged(spark, sf, "dmetrics", ~late, late | day_is("2024-01-10"),
                 lambda p: daily_metrics_stream(spark, p["glob"], p["out2"], p["out"], p["ckpt"]))
     from ..operators.metrics import METRIC_COLUMNS
     return rounded(spark.read.parquet(p["out"]).select("repo_name", "date", *METRIC_COLUMNS))

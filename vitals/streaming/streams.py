@@ -1,21 +1,19 @@
 """Structured Streaming: incremental file ingest, keyed de-duplication and the
 daily roll-up, including late data.
 
-* ``ingest_stream`` (K1, K2 exact) — a file stream of archive lines with a
-  fixed schema; each micro-batch is inserted-if-absent into the event table
-  (partitioned by ``event_date``). The write is idempotent, so a replayed
-  epoch after a failure changes nothing; the checkpoint skips done files.
-* ``dedup_stream`` (K2 bounded) — ``dropDuplicatesWithinWatermark`` on the
-  event id: bounded state, duplicates older than the watermark are dropped.
-* ``window_counts_stream`` (K3) — watermarked daily counts per repository in
-  update mode; each epoch replaces the touched (repo, day) rows.
-* ``daily_metrics_stream`` (K4, K5) — exact under late data: each epoch
-  appends its new events, then recomputes the roll-up only for the dates it
-  touched (plus close dates whose PR opens just arrived) and overwrites just
-  those date partitions.
-
-``TIMESTAMP_NTZ`` cannot carry a watermark, so the watermark column is the
-event day cast to TIMESTAMP (day identity is kept in the session zone).
+* ``ingest_stream`` (K1, K2) — a file stream of archive lines with a fixed
+  schema; ids already seen are keyed state, so an epoch looks up its own
+  ids only. The event table (partitioned by ``event_date``) is written by the exactly-once
+  file sink; the checkpoint skips done files.
+* ``window_counts_stream`` (K3) — the same de-duplication before tumbling
+  day windows, whose counts are state. There is no watermark: a row per repository and
+  day is all the state, and late days must count.
+* ``daily_metrics_stream`` (K4, K5) — the event table in turn is the source of
+  day counts and of the opens and closes per pull request, both keyed state; an epoch
+  rewrites the days that changed and reads no others.
+
+State lives in the RocksDB provider (``state_on_disk``), whose snapshots lie in the
+checkpoint folder, so a lost executor's state is loaded by another.
 """
 
 from __future__ import annotations
@@ -27,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import json_paths as J
-from ..operators.ingest import normalize_events
+from ..operators.cycles import close_days, cycle_medians
 from ..operators.detect import SPAN, detect_backfill
+from ..operators.ingest import normalize_events
 from ..operators.metrics import METRIC_COLUMNS
-from ..operators.upsert import first_per_key
 from ..schemas import DEFAULT_Z_THRESHOLD, EVENT, RAW_EVENT
 from ..session import scratch_path
 from ..sources.event_files import TS_FORMAT
@@ -79,32 +77,43 @@ def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         else spark.createDataFrame([], schema)
 
 
+def _days(rows: DataFrame, column: str) -> list[_dt.date]:
+    """The days of ``rows``: one value per calendar day at most."""
+    return [r[0] for r in rows.select(column).distinct().collect()]
+
+
 def replace_partitions(spark: SparkSession, rows: DataFrame, path: str, key: list[str], part_col: str,
                        schema) -> None:
     """Upsert ``rows`` (replace on ``key``) into a Parquet table partitioned by
-    ``part_col``; only the partitions present in ``rows`` are rewritten.
+    the day ``part_col``; only the partitions present in ``rows`` are read and rewritten.
 
     The merged partitions are checkpointed (reliable, in the shared
     checkpoint folder) before the overwrite, so the write never reads the
     files it replaces.
     """
     rows = rows.select(*schema.fieldNames())
-    parts = rows.select(part_col).distinct()
-    old = _read_or_empty(spark, path, schema).join(F.broadcast(parts), part_col, "left_semi")
+    old = _read_or_empty(spark, path, schema).where(F.col(part_col).isin(_days(rows, part_col)))
     merged = old.join(rows.select(*key), key, "left_anti").unionByName(rows).checkpoint()
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part_col).parquet(path))
 
 
-def insert_if_absent(spark: SparkSession, batch: DataFrame, path: str) -> None:
-    """Insert-if-absent of events into the event table. The key is ``id``
-    alone, so an id that comes again under another day stays out too; of the
-    stored events only the id column is read, and only ids of the batch meet."""
-    b = first_per_key(batch, ["id"], ["created_at"]).withColumn("event_date", F.to_date("created_at"))
-    schema = EVENT_TABLE
-    old = _read_or_empty(spark, path, schema).select("id")
-    fresh = b.join(old, "id", "left_anti").checkpoint()
-    fresh.select(*schema.fieldNames()).write.mode("append").partitionBy("event_date").parquet(path)
+def merge_columns(spark: SparkSession, rows: DataFrame, path: str, key: list[str], part_col: str, schema) -> None:
+    """Upsert some columns: those of ``rows`` replace the stored ones on ``key``, the others stay."""
+    old = _read_or_empty(spark, path, schema).where(F.col(part_col).isin(_days(rows, part_col)))
+    new = rows.select(*key, *[F.col(c).alias(f"new_{c}") for c in rows.columns if c not in key], F.lit(True).alias("is_new"))
+    merged = old.join(new, key, "full").select(*[
+        F.when(F.col("is_new"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if f"new_{c}" in new.columns else F.col(c)
+        for c in schema.fieldNames()]).checkpoint()
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(part_col).parquet(path))
+
+
+def state_on_disk(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB where the session names no provider of its own."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(key, None) or ""):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def _run(writer, checkpoint: str) -> None:
@@ -116,102 +125,122 @@ def _run(writer, checkpoint: str) -> None:
 
 # --------------------------------------------------------------------------- jobs
 
+def new_events(spark: SparkSession, glob: str) -> DataFrame:
+    """The file stream with every id once, however late it comes again.
+
+    The ids seen are state keyed by id, without expiry, so no new late event is
+    lost. Of equal ids in one epoch one row stays (they are deliveries of one event).
+    """
+    state_on_disk(spark)
+    return event_file_stream(spark, glob).dropDuplicates(["id"])
+
+
 def ingest_stream(spark: SparkSession, glob: str, table_path: str, checkpoint: str) -> None:
-    """K1/K2: run the file stream up to now into the event table."""
-    ev = event_file_stream(spark, glob)
-    _run(ev.writeStream.foreachBatch(lambda df, _: insert_if_absent(spark, df, table_path)), checkpoint)
+    """K1/K2: run the file stream up to now into the event table, which the stream owns."""
+    ev = new_events(spark, glob).withColumn("event_date", F.to_date("created_at"))
+    _run(ev.writeStream.format("parquet").option("path", table_path).partitionBy("event_date"), checkpoint)
 
 
 def dedup_stream(spark: SparkSession, glob: str, out_path: str, checkpoint: str) -> None:
-    """K2: every id once, however late it comes. The seen ids are the table
-    itself, so no watermark bounds them and no new late event is lost."""
+    """K2: every id once, however late it comes."""
     ingest_stream(spark, glob, out_path, checkpoint)
 
 
 COUNT_COLUMNS = ["star_count", "fork_count", "issue_opened", "issue_closed", "pr_opened", "pr_merged", "commit_count"]
+_COUNTS = T.StructType([T.StructField("repo_name", T.StringType()), T.StructField("date", T.DateType())]
+                       + [T.StructField(c, T.LongType()) for c in COUNT_COLUMNS])
+
+
+def day_counts(events: DataFrame) -> DataFrame:
+    """The seven counts per repository and tumbling UTC day; on a stream, the totals of the days that changed."""
+    t, a = F.col("type"), J.action()
+    pr = t == "PullRequestEvent"
+    return (events.groupBy("repo_name", F.window("created_at", "1 day").alias("day"))
+            .agg(F.count_if(t == "WatchEvent").alias("star_count"),
+                 F.count_if(t == "ForkEvent").alias("fork_count"),
+                 F.count_if((t == "IssuesEvent") & (a == "opened")).alias("issue_opened"),
+                 F.count_if((t == "IssuesEvent") & (a == "closed")).alias("issue_closed"),
+                 F.count_if(pr & (a == "opened")).alias("pr_opened"),
+                 F.count_if(pr & (a == "closed") & J.merged_or_true()).alias("pr_merged"),
+                 F.count_if(t == "PushEvent").alias("commit_count"))
+            .select("repo_name", F.to_date("day.start").alias("date"), *COUNT_COLUMNS))
 
 
 def window_counts_stream(spark: SparkSession, glob: str, out_path: str, checkpoint: str) -> None:
     """K3: daily conditional counts per repository, by tumbling UTC day.
 
-    Every epoch writes the counts of its own events to its own partition, which
-    a retried epoch replaces; ``window_counts`` adds them up. So there is no
-    state to expire and late days count like any other.
+    Ids count once. An epoch's totals replace those of the days they belong to,
+    so a retried epoch changes nothing.
     """
-    t, a = F.col("type"), J.action()
-    pr = t == "PullRequestEvent"
+    def epoch(df: DataFrame, _number: int) -> None:
+        replace_partitions(spark, df.checkpoint(), out_path, ["repo_name", "date"], "date", _COUNTS)
 
-    def epoch(df: DataFrame, number: int) -> None:
-        counts = (df.groupBy("repo_name", F.to_date("created_at").alias("date"))
-                  .agg(F.count_if(t == "WatchEvent").alias("star_count"),
-                       F.count_if(t == "ForkEvent").alias("fork_count"),
-                       F.count_if((t == "IssuesEvent") & (a == "opened")).alias("issue_opened"),
-                       F.count_if((t == "IssuesEvent") & (a == "closed")).alias("issue_closed"),
-                       F.count_if(pr & (a == "opened")).alias("pr_opened"),
-                       F.count_if(pr & (a == "closed") & J.merged_or_true()).alias("pr_merged"),
-                       F.count_if(t == "PushEvent").alias("commit_count")))
-        (counts.withColumn("epoch", F.lit(number)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_path))
-
-    _run(event_file_stream(spark, glob).writeStream.foreachBatch(epoch), checkpoint)
+    _run(day_counts(new_events(spark, glob)).writeStream.outputMode("update").foreachBatch(epoch), checkpoint)
 
 
 def window_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The daily counts over all epochs of ``window_counts_stream``."""
-    return spark.read.parquet(path).groupBy("repo_name", "date").agg(
-        *[F.sum(c).alias(c) for c in COUNT_COLUMNS])
-
-
-def affected_dates(batch: DataFrame, events: DataFrame) -> DataFrame:
-    """Dates whose roll-up a batch can change: its own event dates, plus the
-    close dates of PRs whose opens arrived in the batch (a late open adds
-    open->close pairs to a later day). Only event days from the earliest new
-    open on are read."""
-    own = batch.select(F.to_date("created_at").alias("date"))
-    # Only the earliest new open per PR matters: aggregate first, so the join
-    # below is linear in the PR's closes (no open x close pairs).
-    opens = (batch.filter((F.col("type") == "PullRequestEvent") & (J.action() == "opened"))
-             .groupBy("repo_name", J.pr_number().alias("number"))
-             .agg(F.min("created_at").alias("open_ts")))
-    first = opens.agg(F.min("open_ts")).first()[0]
-    if first is None:
-        return own.distinct()
-    closes = (events.filter((F.col("type") == "PullRequestEvent") & (J.action() == "closed")
-                            & (F.col("event_date") >= F.lit(first.date())))
-              .select("repo_name", J.pr_number().alias("number"), F.col("created_at").alias("close_ts")))
-    later = (opens.join(closes, ["repo_name", "number"]).filter(F.col("close_ts") > F.col("open_ts"))
-             .select(F.to_date("close_ts").alias("date")))
-    return own.unionByName(later).distinct()
+    """The daily counts that ``window_counts_stream`` keeps."""
+    return spark.read.schema(_COUNTS).parquet(path)
+
+
+def pr_histories(events: DataFrame) -> DataFrame:
+    """(repo_name, number, opened, closed): all times of each pull request; on a stream, of those that changed."""
+    pr = events.where(F.col("type") == "PullRequestEvent").select(
+        "repo_name", J.pr_number().alias("number"), J.action().alias("action"), "created_at")
+    when = lambda action: F.collect_list(F.when(F.col("action") == action, F.col("created_at")))
+    return pr.where(F.col("number").isNotNull()).groupBy("repo_name", "number").agg(
+        when("opened").alias("opened"), when("closed").alias("closed"))
+
+
+_CLOSE_DAYS = T.StructType([
+    T.StructField("repo_name", T.StringType()), T.StructField("number", T.IntegerType()),
+    T.StructField("close_date", T.DateType()), T.StructField("closes", T.ArrayType(T.LongType())),
+    T.StructField("opens", T.ArrayType(T.LongType()))])
+_METRICS = T.StructType([T.StructField("repo_name", T.StringType()), T.StructField("date", T.DateType())]
+                        + [T.StructField(c, T.DoubleType() if c == "pr_median_merge_hours" else T.LongType())
+                           for c in METRIC_COLUMNS])
 
 
 def daily_metrics_stream(spark: SparkSession, glob: str, events_path: str, metrics_path: str,
                          checkpoint: str, audit_path: str | None = None,
                          z_threshold: float = DEFAULT_Z_THRESHOLD) -> None:
-    """K4/K5: exact daily metrics under late data, refreshed per epoch; with
-    ``audit_path`` every window end the refreshed days can move (day .. day+34,
-    up to the last day with data) is re-scored and its partition replaced."""
-    out_schema = T.StructType([T.StructField("repo_name", T.StringType()), T.StructField("date", T.DateType())]
-                              + [T.StructField(c, T.DoubleType() if c == "pr_median_merge_hours"
-                                               else T.LongType()) for c in METRIC_COLUMNS])
-    ev_schema = EVENT_TABLE
-
-    def epoch(df: DataFrame, _epoch: int) -> None:
-        batch = df.checkpoint()
-        insert_if_absent(spark, batch, events_path)
-        events = spark.read.schema(ev_schema).parquet(events_path)
-        dates = affected_dates(batch, events).checkpoint()
-        # Counts and close-side medians only for the affected days; the join
-        # on the date is a broadcast semi-join against a list of days.
-        scope = events.join(F.broadcast(dates.withColumnRenamed("date", "event_date")), "event_date",
-                            "left_semi")
-        closes_scope = scope.drop("event_date")
-        m = daily_metrics_for(events.drop("event_date"), closes_scope)
-        replace_partitions(spark, m, metrics_path, ["repo_name", "date"], "date", out_schema)
-        if audit_path is not None:
-            detect_on_arrival(spark, dates, metrics_path, audit_path, z_threshold)
+    """K4/K5: exact daily metrics under late data, refreshed per epoch.
+
+    The new events go to the event table. Its stream feeds the day counts, and the
+    opens and closes per pull request; of the latter the (pull request, close day) rows
+    that changed are stored by close day in ``<events_path>-close-days``, and the medians of those days are computed
+    from that table alone. With ``audit_path`` every window end the refreshed
+    days can move (day .. day+34, up to the last day with data) is re-scored and
+    its partition replaced.
+    """
+    ingest_stream(spark, glob, events_path, f"{checkpoint}/events")
+    key, close_days_path = ["repo_name", "date"], f"{events_path}-close-days"
 
-    ev = event_file_stream(spark, glob)
-    _run(ev.writeStream.foreachBatch(epoch), checkpoint)
+    def refreshed(rows: DataFrame) -> None:
+        merge_columns(spark, rows, metrics_path, key, "date", _METRICS)
+        if audit_path is not None:
+            detect_on_arrival(spark, rows.select("date").distinct(), metrics_path, audit_path, z_threshold)
+
+    def counted(df: DataFrame, _number: int) -> None:
+        refreshed(df.checkpoint())
+
+    def paired(df: DataFrame, _number: int) -> None:
+        pr = df.checkpoint()
+        times = lambda c: pr.select("repo_name", "number", F.explode(c).alias("ts"))
+        units = close_days(times("opened"), times("closed")).select(*_CLOSE_DAYS.fieldNames()).checkpoint()
+        old = _read_or_empty(spark, close_days_path, _CLOSE_DAYS).where(
+            F.col("close_date").isin(_days(units, "close_date")))
+        changed = units.join(old, _CLOSE_DAYS.fieldNames(), "left_anti").checkpoint()
+        # medians first, stored rows last: an epoch that is run again still finds its changes
+        days = _days(changed, "close_date")
+        kept = old.join(changed, ["repo_name", "number", "close_date"], "left_anti").where(F.col("close_date").isin(days))
+        refreshed(cycle_medians(kept.unionByName(changed)).select("repo_name", F.col("close_date").alias("date"),
+                                                                  F.col("median_hours").alias("pr_median_merge_hours")).checkpoint())
+        replace_partitions(spark, changed, close_days_path, ["repo_name", "number", "close_date"], "close_date", _CLOSE_DAYS)
+
+    events = lambda: spark.readStream.schema(EVENT_TABLE).parquet(events_path)
+    _run(day_counts(events()).writeStream.outputMode("update").foreachBatch(counted), f"{checkpoint}/counts")
+    _run(pr_histories(events()).writeStream.outputMode("update").foreachBatch(paired), f"{checkpoint}/cycles")
 
 
 AUDIT_SCHEMA = T.StructType([
@@ -242,25 +271,6 @@ def detect_on_arrival(spark: SparkSession, dates: DataFrame, metrics_path: str,
                        AUDIT_SCHEMA)
 
 
-def daily_metrics_for(all_events: DataFrame, scoped: DataFrame) -> DataFrame:
-    """``daily_metrics`` restricted to the days present in ``scoped``: counts
-    from ``scoped``; cycle medians pair its closes with opens from
-    ``all_events`` (the lookback is unbounded)."""
-    from ..operators.metrics import daily_counts
-    counts = daily_counts(scoped)
-    pr = all_events.filter(F.col("type") == "PullRequestEvent")
-    closes = (scoped.filter((F.col("type") == "PullRequestEvent") & (J.action() == "closed"))
-              .select("repo_name", J.pr_number().alias("number"), F.col("created_at").alias("closed_ts")))
-    opens = (pr.filter(J.action() == "opened")
-             .select("repo_name", J.pr_number().alias("number"), F.col("created_at").alias("opened_ts")))
-    pairs = (closes.join(opens, ["repo_name", "number"]).filter(F.col("opened_ts") < F.col("closed_ts"))
-             .select("repo_name", F.to_date("closed_ts").alias("date"),
-                     (F.timestamp_diff("MICROSECOND", F.col("opened_ts"), F.col("closed_ts")) / 3.6e9)
-                     .alias("hours")))
-    med = pairs.groupBy("repo_name", "date").agg(F.median("hours").alias("pr_median_merge_hours"))
-    return counts.join(med, ["repo_name", "date"], "left").select("repo_name", "date", *METRIC_COLUMNS)
-
-
 # --------------------------------------------------------------------------- fixtures for the registered queries
 
 def stage_day_files(raw: DataFrame, root: str, phase: str, day_filter) -> None:
