@@ -5,12 +5,12 @@ the normaliser and the pre-tokeniser. A pre-token's parts are kept as an array
 of boundaries with the merge rank of each adjacent pair beside it; the smallest
 rank is found by scanning, its boundary is deleted and the two neighbouring
 ranks are refreshed, until no pair has a rank. Words are short, so the scan
-beats a heap; runs of more than ``SCAN_PARTS`` parts use a heap over linked parts,
-with the same merges.
+beats a heap; words are merged many at a time, a row of the two arrays each; runs of more
+than ``SCAN_PARTS`` parts use a heap over linked parts. All make the same merges.
 
-Pre-tokens are those of the library's own pre-tokenizer. Texts are cut into pieces that
-encode alone (``pieces``); each distinct piece of a block is looked up in a
-bounded cache, and a text's ids, digests and decoded text are joined from its pieces.
+Pre-tokens are those of the library's own pre-tokenizer. Texts are cut into words that
+encode alone (``pieces``); each distinct word of a block is looked up in a
+bounded cache, and a text's ids, digests and decoded text are joined from its words.
 Null is the empty text: no ids, empty decoding.
 """
 
@@ -30,10 +30,10 @@ from pyspark.sql.types import DataType
 from tokenizers import Tokenizer
 
 from vitals.llm.blocks import bounded_batches, text_blocks
-from vitals.llm.pieces import CutBlock, PieceCache, cuts_into_words
+from vitals.llm.pieces import CACHE_BYTES, CutBlock, WordTable, cuts_into_words, plain
 
-CACHE_PIECES = 200_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+MANY_WORDS = 4096
 BLOCK_BYTES = 4 << 20
 
 SCAN_PARTS = 400
@@ -94,6 +94,51 @@ def _merge_long(parts: list[int], ranks_of: dict[tuple[int, int], int], merged:
     return [p for p, g in zip(parts, gone) if not g]
 
 
+class PairRanks:
+    """Ranks and merged ids of symbol pairs, looked up many at a time."""
+
+    def __init__(self, ranks_of: dict[tuple[int, int], int], merged: list[int], size: int):
+        keys = np.fromiter((a * size + b for a, b in ranks_of), np.int64, len(ranks_of))
+        order = np.argsort(keys)
+        self.size, self.keys = size, keys[order]
+        self.rank = np.fromiter(ranks_of.values(), np.int64, len(ranks_of))[order]
+        self.merged = np.array(merged, np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], _NO_RANK)
+
+
+def merge_many(parts: np.ndarray, count: np.ndarray, pairs: PairRanks) -> tuple[np.ndarray, np.ndarray]:
+    """``merge_ids`` of many words: a row of ``parts`` holds ``count`` symbol ids."""
+    columns = np.arange(parts.shape[1])
+    ranks = np.full(parts.shape, _NO_RANK)
+    row, col = np.nonzero(columns[None] < count[:, None] - 1)
+    ranks[row, col] = pairs.ranks(parts[row, col], parts[row, col + 1])
+    rows = np.arange(len(parts))
+    while True:
+        at = ranks[rows].argmin(axis=1)
+        low = ranks[rows, at]
+        more = low < _NO_RANK
+        rows, at, low = rows[more], at[more], low[more]
+        if not len(rows):
+            return parts, count
+        # the boundary behind the merged part goes: what follows moves up
+        follows = np.minimum(columns + (columns > at[:, None]), len(columns) - 1)
+        own = np.take_along_axis(parts[rows], follows, axis=1)
+        own_ranks = np.take_along_axis(ranks[rows], np.minimum(columns + (columns >= at[:, None]), len(columns) - 1), axis=1)
+        count[rows] -= 1
+        each = np.arange(len(rows))
+        own[each, at] = pairs.merged[low]
+        own_ranks[columns >= count[rows][:, None] - 1] = _NO_RANK
+        left = np.flatnonzero(at > 0)
+        own_ranks[left, at[left] - 1] = pairs.ranks(own[left, at[left] - 1], own[left, at[left]])
+        right = np.flatnonzero(at + 1 < count[rows])
+        own_ranks[right, at[right]] = pairs.ranks(own[right, at[right]], own[right, at[right] + 1])
+        parts[rows], ranks[rows] = own, own_ranks
+
+
 class WordBPE:
     """Encoder and decoder for a byte-level BPE file with word-end suffixes."""
 
@@ -115,7 +160,6 @@ class WordBPE:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.added_split = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.added_mark = [t.encode() for t in added]
         size = max([*vocab.values(), *added.values()]) + 1
         self.text = [""] * size
         for c, i in [*vocab.items(), *added.items()]:
@@ -124,7 +168,11 @@ class WordBPE:
         self.id_bytes = [str(i).encode() for i in range(size)]
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.code = "H" if size <= 1 << 16 else "I"
-        self.pieces = PieceCache(self.encode_piece, list(added), CACHE_PIECES, CACHE_WORDS)
+        self.pairs = PairRanks(self.ranks_of, self.merged, size)
+        letters = range(max(map(ord, "".join(c for c in vocab if len(c) == 1))) + 2)
+        self.inner_id = np.array([self.symbol.get(chr(c), -1) for c in letters])
+        self.final_id = np.array([self.symbol.get(chr(c) + self.suffix, -1) for c in letters])
+        self.words = WordTable(self.encode_many, self.encode_text, list(added), CACHE_WORDS)
 
     def _word(self, word: str) -> list[int]:
         chars = list(word)
@@ -132,20 +180,64 @@ class WordBPE:
         # a byte letter without an id of its own is left out
         return merge_ids([self.symbol[c] for c in chars if c in self.symbol], self.ranks_of, self.merged)
 
-    def encode_piece(self, piece: bytes) -> bytes:
-        """Packed ids of a piece without ASCII white space."""
-        text = piece.decode("utf-8", "replace")
-        parts = [text]
-        if self.added_split and any(m in piece for m in self.added_mark):
-            parts = self.added_split.split(text)
+    def _values(self, ids: list[int]) -> tuple[bytes, bytes, bytes]:
+        """Packed ids, decimal ids and the decoded text, both parted by a space."""
+        return array(self.code, ids).tobytes(), b" ".join(map(self.id_bytes.__getitem__, ids)), self.decode(ids)
+
+    def encode_text(self, text: bytes) -> tuple[bytes, bytes, bytes]:
+        """Values of a text of any kind, added tokens among it."""
+        whole = text.decode("utf-8", "replace")
         out: list[int] = []
-        for part in parts:
+        for part in self.added_split.split(whole) if self.added_split else [whole]:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
                 for word, _ in self.pretokens(self.normalize(part)):
                     out += self._word(word)
-        return array(self.code, out).tobytes()
+        return self._values(out)
+
+    def _cut(self, words: list[str]) -> list[list[str]]:
+        """The pre-tokens of words without white space and added tokens, all in one call of the library."""
+        normal = self.normalize(" ".join(words))
+        ends = np.cumsum([len(w) + 1 for w in normal.split(" ")])
+        if len(ends) != len(words):  # white space beyond ASCII inside a word
+            return [[t for t, _ in self.pretokens(self.normalize(w))] for w in words]
+        out: list[list[str]] = [[] for _ in words]
+        found = self.pretokens(normal)
+        at = np.searchsorted(ends, [start for _, (start, _) in found], "right")
+        for (t, _), i in zip(found, at.tolist()):
+            out[i].append(t)
+        return out
+
+    def encode_many(self, words: list[bytes]) -> list[tuple[bytes, bytes, bytes]]:
+        """Values of words without white space and added tokens."""
+        out = []
+        for a in range(0, len(words), MANY_WORDS):
+            own = words[a:a + MANY_WORDS]
+            cut = [[w.decode()] if plain(w) else None for w in own]
+            other = [i for i, c in enumerate(cut) if c is None]
+            for i, c in zip(other, self._cut([own[i].decode("utf-8", "replace") for i in other])):
+                cut[i] = c
+            merged = self._merged(list({t for c in cut for t in c}))
+            out += [self._values(merged[c[0]] if len(c) == 1 else [x for t in c for x in merged[t]]) for c in cut]
+        return out
+
+    def _merged(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of pre-tokens."""
+        out = {}
+        short = [w for w in words if len(w) <= CACHE_BYTES and ord(max(w)) < len(self.inner_id)]
+        if short:
+            count = np.fromiter(map(len, short), np.int64, len(short))
+            letters = np.frombuffer("".join(short).encode("utf-32-le"), np.uint32)
+            last = np.cumsum(count) - 1
+            ids = self.inner_id[letters]
+            ids[last] = self.final_id[letters[last]]
+            parts = np.full((len(short), int(count.max())), -1, np.int64)
+            parts[np.arange(parts.shape[1]) < count[:, None]] = ids
+            known = np.minimum.reduceat(ids, np.concatenate([[0], last[:-1] + 1])) >= 0
+            parts, count = merge_many(parts[known], count[known], self.pairs)
+            out = {short[i]: row[:n] for i, row, n in zip(np.flatnonzero(known).tolist(), parts.tolist(), count.tolist())}
+        return {w: out[w] if w in out else self._word(w) for w in words}
 
     def decode(self, ids) -> bytes:
         """The token texts joined by one space, which is what the file's missing decoder means."""
@@ -182,21 +274,19 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     def run(batches):
         bpe = load(path)
         for b in text_blocks(batches, "__text", BLOCK_BYTES):
-            block = CutBlock(b.column("__text"), bpe.pieces.__getitem__, bpe.dtype().itemsize)
+            block = CutBlock(b.column("__text"), bpe.words, bpe.dtype().itemsize)
             columns = [*(b.column(n) for n in keep), pa.array(block.n_ids)]
             if ids:
-                flat = np.frombuffer(b"".join(block.joined(block.packed, b"").to_pylist()), bpe.dtype)
+                flat = np.frombuffer(b"".join(block.joined(0, b"").to_pylist()), bpe.dtype)
                 ends = np.concatenate([[0], np.cumsum(block.n_ids)])
                 columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
             if decoded or digests:
-                listed = [np.frombuffer(p, bpe.dtype).tolist() for p in block.packed]
-                back = block.joined([bpe.decode(x) for x in listed], b" ")
+                back = block.joined(2, b" ")
                 if decoded:
-                    columns.append(back.cast(pa.large_string()).cast(pa.string()))
+                    columns.append(back.cast(pa.string()))
                 if digests:
-                    decimal = block.joined([b" ".join(map(bpe.id_bytes.__getitem__, x)) for x in listed], b" ")
                     columns += [pa.array([sha256(x).hexdigest() for x in texts.to_pylist()], pa.string())
-                                for texts in (decimal, back)]
+                                for texts in (block.joined(1, b" "), back)]
             yield pa.RecordBatch.from_arrays(columns, names)
     bounded_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)

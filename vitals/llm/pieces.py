@@ -1,8 +1,8 @@
-"""Cutting texts into pieces that a word-level tokenizer file encodes alone.
+"""Cutting texts into words that a word-level tokenizer file encodes alone.
 
-A block of texts is cut in Arrow and its pieces are dictionary-encoded, so Python
-sees every distinct piece once per block; what belongs to a text is put together
-from its pieces in Arrow again.
+A block of texts is cut in Arrow and its words are dictionary-encoded, so Python
+sees every distinct word once per block; words not seen before are encoded together, and what belongs to a
+text is put together from its words in Arrow again.
 
 For files whose normaliser is NFC, white space to one space and lower case, and
 whose pre-tokeniser keeps the matches of ``WORD_PATTERN``:
@@ -10,9 +10,9 @@ whose pre-tokeniser keeps the matches of ``WORD_PATTERN``:
 * white space is never part of a match, and nothing composes over it;
 * a match that holds an ASCII letter ends before ASCII punctuation, which does
   not compose with the letter before it either;
-* upper and lower case of ASCII-only text give the same ids.
+* upper and lower case of ASCII letters give the same ids, also beside other letters.
 
-Texts that may hold an added token (by its first letter) are not cut within.
+Texts that hold an added token are encoded whole.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ CACHE_BYTES = 64
 #: Fixed value: the split pattern of the tokenizer files these rules hold for.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_CUT = re.compile(rb"(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
+_CUT = r"([A-Za-z])([!-/:-@\[-`{-~])"
 
 
 def cuts_into_words(path: str) -> bool:
@@ -43,70 +43,77 @@ def cuts_into_words(path: str) -> bool:
             and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
             and split.get("type") == "Split" and split["pattern"] == {"Regex": WORD_PATTERN}
             and split["behavior"] == "Removed" and split["invert"]
-            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]))
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not re.search(_CUT, t["content"])
+                        for t in spec["added_tokens"]))
 
 
-class _Words(dict):
-    def __init__(self, encode: Callable[[bytes], bytes], most: int):
-        super().__init__()
-        self.encode, self.most = encode, most
+class WordTable(dict):
+    """Bounded cache from words to tuples whose first value is the packed ids.
 
-    def __missing__(self, word: bytes) -> bytes:
-        packed = self.encode(word)
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= CACHE_BYTES:
-            self[word] = packed
-        return packed
+    ``encode_many`` encodes the words that are not in it, ``encode_text`` a text with added tokens.
+    """
 
+    def __init__(self, encode_many: Callable[[list[bytes]], list[tuple]], encode_text: Callable[[bytes], tuple],
+                 added: list[str], most: int):
+        super().__init__()
+        self.encode_many, self.encode_text, self.added, self.most = encode_many, encode_text, added, most
 
-class PieceCache(dict):
-    """Bounded cache from pieces to packed ids over an encoder of uncut pieces."""
+    def many(self, words: list[bytes]) -> list[tuple]:
+        found = list(map(self.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            if len(self) + len(new) > self.most:
+                self.clear()
+            for i, x in zip(new, self.encode_many([words[i] for i in new])):
+                found[i] = x
+                if len(words[i]) <= CACHE_BYTES:
+                    self[words[i]] = x
+        return found
 
-    def __init__(self, encode: Callable[[bytes], bytes], added: list[str], pieces: int, words: int):
-        super().__init__()
-        self.encode, self.most = encode, pieces
-        self.marks = bytes({t.encode()[0] for t in added})
-        self.words = _Words(encode, words)
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if piece.isalnum():
-            packed = self.words[piece.lower()]
-        elif piece.translate(None, self.marks) != piece:
-            packed = self.encode(piece)
-        else:
-            words = _CUT.split(piece.lower() if piece.isascii() else piece)
-            packed = self.words[words[0]] if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
-        if len(self) >= self.most:
-            self.clear()
-        if len(piece) <= CACHE_BYTES:
-            self[piece] = packed
-        return packed
 
+def plain(word: bytes) -> bool:
+    """Whether a word is one match of lower-case ASCII letters."""
+    return word.isalpha() and len(word) <= CACHE_BYTES
 
-class CutBlock:
-    """The pieces of a block of texts (``ascii white space`` parts them) and their packed ids.
 
-    ``code_bytes`` is the size of an id; pieces without ids are left out.
-    """
+class CutBlock:
+    """The words of a block of texts and their values; words without ids are left out."""
 
-    def __init__(self, texts: pa.Array, packed_of: Callable[[bytes], bytes], code_bytes: int):
+    def __init__(self, texts: pa.Array, table: WordTable, code_bytes: int):
         texts = pc.fill_null(texts, "")
-        parts = pc.ascii_split_whitespace(texts if texts.type == pa.string() else texts.cast(pa.string()))
-        coded = parts.flatten().dictionary_encode()
-        pieces = coded.dictionary.cast(pa.binary()).to_pylist()
-        self.packed = [packed_of(p) if p else b"" for p in pieces]
-        sizes = np.fromiter(map(len, self.packed), np.int64, len(pieces)) // code_bytes
-        codes, offsets = coded.indices.to_numpy(), parts.offsets.to_numpy()
-        offsets = offsets - offsets[0]
+        texts = texts if texts.type == pa.string() else texts.cast(pa.string())
+        marked = np.zeros(len(texts), bool)
+        for token in table.added:
+            marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(marked)
+        special = [table.encode_text(t) for t in texts.take(pa.array(whole)).cast(pa.binary()).to_pylist()]
+        if len(whole):
+            texts = pc.if_else(pa.array(marked), "", texts)
+        parts = pc.ascii_split_whitespace(texts)
+        coded = pc.ascii_lower(parts.flatten()).dictionary_encode()
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(coded.dictionary, _CUT, r"\1 \2"))
+        words = cut.flatten().dictionary_encode()
+        self.values = table.many(words.dictionary.cast(pa.binary()).to_pylist()) + special
+        sizes = np.fromiter((len(v[0]) for v in self.values), np.int64, len(self.values)) // code_bytes
+
+        # the words of each piece in place of the piece
+        piece, piece_at = coded.indices.to_numpy(), parts.offsets.to_numpy()
+        start, count = cut.offsets.to_numpy()[:-1], np.diff(cut.offsets.to_numpy())
+        n = count[piece]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        codes = words.indices.to_numpy()[np.repeat(start[piece], n) + np.arange(ends[-1]) - np.repeat(ends[:-1], n)]
+        offsets = ends[piece_at - piece_at[0]]
+        if len(whole):
+            codes = np.insert(codes, offsets[whole], len(words.dictionary) + np.arange(len(whole)))
+            offsets = offsets + np.concatenate([[0], np.cumsum(marked)])
         used = sizes[codes] > 0
         self.codes = codes[used]
         self.offsets = np.concatenate([[0], np.cumsum(used)])[offsets]
-        ends = np.concatenate([[0], np.cumsum(sizes[self.codes])])
-        self.n_ids = ends[self.offsets[1:]] - ends[self.offsets[:-1]]
-
-    def joined(self, values: list[bytes], between: bytes) -> pa.Array:
-        """Per text, the values of its pieces (given per distinct piece) with ``between`` them."""
-        taken = pa.array(values, pa.large_binary()).take(pa.array(self.codes))
-        lists = pa.LargeListArray.from_arrays(pa.array(self.offsets, pa.int64()), taken)
-        return pc.binary_join(lists.cast(pa.list_(pa.large_binary())), pa.scalar(between, pa.large_binary()))
+        upto = np.concatenate([[0], np.cumsum(sizes[self.codes])])
+        self.n_ids = upto[self.offsets[1:]] - upto[self.offsets[:-1]]
+
+    def joined(self, value: int, between: bytes) -> pa.Array:
+        """Per text, a value of its words with ``between`` them."""
+        taken = pa.array([v[value] for v in self.values], pa.binary()).take(pa.array(self.codes))
+        lists = pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), taken)
+        return pc.binary_join(lists, pa.scalar(between, pa.binary()))

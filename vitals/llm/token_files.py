@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list
-from vitals.llm.pieces import CutBlock, PieceCache, cuts_into_words
+from vitals.llm.pieces import CutBlock, WordTable, cuts_into_words, plain
 from vitals.llm.shared_files import folder, fresh_name, mapped
 from vitals.session import scratch_path
 
-CACHE_PIECES = 200_000
 CACHE_WORDS = 600_000
+MANY_WORDS = 2000
 BLOCK_BYTES = 4 << 20
 
 
@@ -42,7 +42,8 @@ class LibraryEncoder:
     """Ids of the ``tokenizers`` library for whole texts.
 
     Where the file's rules allow it (``pieces``), a text's ids are those of its
-    pieces, which repeat a lot: each is looked up once per block and encoded once per cache filling.
+    words, which repeat a lot: each is looked up once per block and encoded once per cache filling. Words of
+    ASCII letters, which the normaliser and pre-tokeniser leave alone, go to the library's model directly.
     """
 
     def __init__(self, path: str):
@@ -52,7 +53,8 @@ class LibraryEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = PieceCache(self.encode_whole, added, CACHE_PIECES, CACHE_WORDS) if cuts_into_words(path) else None
+        self.words = WordTable(self.encode_many, lambda t: (self.encode_whole(t),), added, CACHE_WORDS) if cuts_into_words(path) else None
+        self.model = self.tokenizer.model
 
     def encode_whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -60,10 +62,25 @@ class LibraryEncoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of every text of a column."""
-        if self.pieces is None:
+        if self.words is None:
             return [self.encode_whole(t) for t in utf8_list(texts)]
-        block = CutBlock(texts, self.pieces.__getitem__, self.dtype.itemsize)
-        return block.joined(block.packed, b"").to_pylist()
+        return CutBlock(texts, self.words, self.dtype.itemsize).joined(0, b"").to_pylist()
+
+    def encode_many(self, words: list[bytes]) -> list[tuple[bytes]]:
+        """Packed ids of words without white space and added tokens."""
+        out: list = [None] * len(words)
+        other = []
+        for i, w in enumerate(words):
+            if plain(w):
+                out[i] = (array(self.code, [x.id for x in self.model.tokenize(w.decode())]).tobytes(),)
+            else:
+                other.append(i)
+        for a in range(0, len(other), MANY_WORDS):
+            own = other[a:a + MANY_WORDS]
+            for i, e in zip(own, self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in own],
+                                                                  add_special_tokens=False)):
+                out[i] = (array(self.code, e.ids).tobytes(),)
+        return out
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
