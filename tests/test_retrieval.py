@@ -73,16 +73,150 @@ def test_websearch_syntax(spark):
     assert 9 not in got and 10 not in got               # nothing indexed
 
 
-def test_zero_vectors_match_nothing_on_either_path(spark, monkeypatch):
-    from vitals.operators import retrieval
+def test_zero_vectors_match_nothing_in_blocks_of_any_size(spark, monkeypatch):
+    from vitals.operators import vectors
     vecs = [[1.0, 0.0], [0.0, 0.0], [0.6, 0.8], None]
     ch = _chunks(spark, ["w", "x", "y", "z"], vecs)
-    q = spark.createDataFrame([(7, "org/r", [1.0, 0.1]), (8, "org/r", [0.0, 0.0]), (9, "org/r", None)],
+    q = spark.createDataFrame([(7, "org/r", [1.0, 0.1]), (8, "org/r", [0.0, 0.0]), (9, "org/r", None), (6, "org/r", [0.0, 2.0])],
                               "query_id long, repo_name string, query_vec array<float>")
     rows = [sorted((r["query_id"], r["rank"], r["artifact_url"]) for r in vector_search(q, ch, 5).collect())]
-    monkeypatch.setattr(retrieval, "MAX_BLOCK_QUERIES", 0)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 1)
     rows.append(sorted((r["query_id"], r["rank"], r["artifact_url"]) for r in vector_search(q, ch, 5).collect()))
-    assert rows[0] == rows[1] == [(7, 1, "u0"), (7, 2, "u2")]
+    assert rows[0] == rows[1] == [(6, 1, "u2"), (6, 2, "u0"), (7, 1, "u0"), (7, 2, "u2")]
+
+
+def test_the_best_chunk_need_not_be_the_first(spark):
+    from vitals.operators.embedding import embed_chunks, embed_text
+    from vitals.operators.retrieval import chunk_artifacts
+    body = "alpha beta gamma delta " * 120 + "zebra quagga okapi " * 60
+    art = spark.createDataFrame([(1, "org/r", "pull_request", 1, "t", body, "u1"), (2, "org/r", "pull_request", 2, "t", "alpha beta", "u2")],
+                                "artifact_id long, repo_name string, type string, number long, title string, body string, url string")
+    chunks = embed_chunks(chunk_artifacts(art)).checkpoint()
+    assert chunks.select("embedding").distinct().count() == chunks.count() == 4
+    q = embed_text(spark.createDataFrame([(5, "org/r", "zebra quagga okapi")], "query_id long, repo_name string, query_text string"),
+                   "query_text", "query_vec")
+    best = vector_search(q, chunks, 2).where("rank = 1").first()
+    assert best["artifact_url"] == "u1" and best["chunk_index"] > 0
+
+
+def test_embedding_hook_and_nulls(spark):
+    from vitals.operators.embedding import embed_chunks, embed_text, token_slot
+    df = spark.createDataFrame([(1, "B a b"), (2, None), (3, "")], "id long, text string")
+    got = {r["id"]: r["v"] for r in embed_text(df, "text", "v", 8).collect()}
+    want = [0.0] * 8
+    for t in (b"b", b"a", b"b"):
+        slot, sign = token_slot(t, 8)
+        want[slot] += sign
+    assert got == {1: want, 2: None, 3: [0.0] * 8}
+    hooked = embed_chunks(df.where("text is not null"), lambda texts: [[len(t), 1] for t in texts], batch_size=1)
+    assert {r["id"]: r["embedding"] for r in hooked.collect()} == {1: [5.0, 1.0], 3: [0.0, 1.0]}
+
+
+def test_append_missing_embeds_each_artifact_once(spark, tmp_path):
+    from vitals.operators.embedding import append_missing
+    schema = "artifact_id long, repo_name string, type string, number long, title string, body string, url string"
+    rows = [(i, "org/r", "pull_request", i, "t", f"text {i}" if i != 3 else " ", f"u{i}") for i in range(6)]
+    seen = []
+    path = str(tmp_path / "store")
+    for upto in (2, 6, 6):
+        before = spark.read.parquet(path).count() if seen else 0
+        store = append_missing(spark, spark.createDataFrame(rows[:upto], schema), path)
+        seen.append((before, store.count()))
+    assert seen == [(0, 2), (2, 5), (5, 5)]
+    assert sorted(r[0] for r in store.select("artifact_id").collect()) == [0, 1, 2, 4, 5]
+
+
+def test_coded_search_finds_the_nearest_and_ranks_few(spark):
+    import numpy as np
+    from vitals.operators.vectors import Codebook, ann_recall
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    rows = [(i, 0, "t", f"org/r{i % 2}", "pull_request", f"u{i:04d}", x[i].tolist()) for i in range(3000)]
+    rows.append((9999, 0, "t", "org/r0", "pull_request", "zero", [0.0] * 32))
+    ch = spark.createDataFrame(rows, "artifact_id long, chunk_index long, text string, repo_name string, "
+                                     "artifact_type string, artifact_url string, embedding array<float>")
+    q = spark.createDataFrame([(j, f"org/r{j % 2}", (x[j] + rng.normal(size=32) * 0.7).tolist()) for j in range(20)],
+                              "query_id long, repo_name string, query_vec array<float>")
+    got = ann_recall(q, ch, 10).collect()
+    assert len(got) == 20 and all(r["n_exact"] == 10 for r in got)
+    assert sum(r["recall"] for r in got) / 20 >= 0.9
+    assert all(r["share_ranked"] < 0.1 for r in got)
+    book = Codebook(x[:2000].astype(np.float64), 8)
+    codes = book.encode(x[:50].astype(np.float64))
+    assert codes.shape == (50, 8)
+    for v, c in zip(x[:50].astype(np.float64), codes):  # a table adds up the product with the decoded vector
+        decoded = np.concatenate([cs[i] for cs, i in zip(book.centres, c)])
+        assert book.table(v)[np.arange(8), c].sum() == pytest.approx(decoded @ v / np.linalg.norm(v))
+
+
+def test_coded_search_without_vectors(spark):
+    from vitals.operators.vectors import ann_search
+    ch = _chunks(spark, ["x", "y"])
+    q = spark.createDataFrame([(7, "org/r", [1.0, 0.1])], "query_id long, repo_name string, query_vec array<float>")
+    assert ann_search(q, ch).collect() == []
+
+
+def test_lists_against_brute_force_over_many_blocks(spark, monkeypatch):
+    """Terms, phrases, negation and clauses; every block size and any number of results."""
+    import random
+    from vitals.operators import fulltext
+    from vitals.operators.retrieval import build_directory, build_lists
+    rng = random.Random(4)
+    vocab = ["red", "green", "blue", "cyan", "the", "black", "white"]
+    docs = [" ".join(rng.choices(vocab, weights=[9, 6, 4, 1, 5, 2, 1], k=rng.randint(1, 25))) for _ in range(300)]
+    rows = [(i // 2, i % 2, d, f"org/r{i // 2 % 2}", "pull_request", f"u{i // 2:03d}", None) for i, d in enumerate(docs)]
+    ch = spark.createDataFrame(rows, "artifact_id long, chunk_index long, text string, repo_name string, "
+                                     "artifact_type string, artifact_url string, embedding array<float>").repartition(3)
+    texts = ["red green", '"red green"', '"blue the red"', "cyan -black", "white or cyan", "-red -green", '-"red green" blue',
+             '"red red red" or "white cyan" or black white', "nothing", "red nothing or cyan", "the"]
+    q = spark.createDataFrame([(i, f"org/r{i % 2}", t) for i, t in enumerate(texts)],
+                              "query_id long, repo_name string, query_text string")
+    full = {}
+    for span, k in ((1024, 400), (8, 400), (8, 3)):
+        monkeypatch.setattr(fulltext, "BLOCK_SPAN", span)
+        got = {}
+        for r in text_search(q, ch, k, lists=build_lists(ch).checkpoint(), directory=build_directory(ch).checkpoint()).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["artifact_url"], r["chunk_index"], r["score"]))
+        got = {i: sorted(v) for i, v in got.items()}
+        full[span, k] = got
+    assert full[1024, 400] == full[8, 400]
+    assert full[8, 3] == {i: v[:3] for i, v in full[8, 400].items()}
+
+    def occurs(item, words):
+        item = [(o, w) for o, w in enumerate(item.split()) if w != "the"]
+        return any(all(0 <= s + o < len(words) and words[s + o] == w for o, w in item) for s in range(-3, len(words)))
+    for i, t in enumerate(texts):
+        want = set()
+        clauses = fulltext.split_websearch(t)
+        for r in rows:
+            words = r[2].split()
+            for c in {x["clause"] for x in clauses}:
+                items = [x for x in clauses if x["clause"] == c and set(x["text"].split()) - {"the"}]
+                if items and r[3] == f"org/r{i % 2}" and all(occurs(x["text"], words) != x["neg"] for x in items):
+                    want.add(r[5])
+        assert {u for _, u, _, _ in full[8, 400].get(i, [])} == want, t
+
+
+def test_rare_terms_keep_lists_unread(spark, monkeypatch):
+    from vitals.operators import fulltext
+    from vitals.operators.retrieval import build_directory, build_lists
+    monkeypatch.setattr(fulltext, "BLOCK_SPAN", 10)
+    ch = _chunks(spark, ["common words here" + (" rare" if i == 57 else "") for i in range(100)])
+    q = spark.createDataFrame([(1, "org/r", "common rare words"), (2, "org/r", "common words")],
+                              "query_id long, repo_name string, query_text string")
+    got = {r["query_id"]: (r["n_lists"], r["n_read"]) for r in
+           fulltext.lists_read(q, build_lists(ch).checkpoint(), build_directory(ch).checkpoint()).collect()}
+    assert got == {1: (21, 3), 2: (20, 20)}
+
+
+def test_stems_match_inflections(spark):
+    ch = _chunks(spark, ["he was connecting cables", "the connection failed", "connected again", "nothing here"])
+    q = spark.createDataFrame([(1, "org/r", "connects"), (2, "org/r", '"connect cable"'), (3, "org/r", "connects -failing")],
+                              "query_id long, repo_name string, query_text string")
+    plain = {(r["query_id"], r["artifact_url"]) for r in text_search(q, ch, 10).collect()}
+    stems = {(r["query_id"], r["artifact_url"]) for r in text_search(q, ch, 10, stem=True).collect()}
+    assert plain == set()
+    assert stems == {(1, "u0"), (1, "u1"), (1, "u2"), (2, "u0"), (3, "u0"), (3, "u2")}
 
 
 def test_render_hits_and_label_json(spark):

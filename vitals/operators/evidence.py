@@ -5,8 +5,8 @@ anomaly at once, emitted as typed citation rows.
                      window mean) next to baseline / observed.
 * ``artifact_chunk`` the slowest PRs closed in the window (pr_slowdown only),
                      then, for every type, the hybrid-search hits for all terms
-                     of the slowest PR's title (vector = that PR's document
-                     vector); a window without a closed PR has no search.
+                     of the slowest PR's title (and their vector); a window
+                     without a closed PR has no search.
 * ``release_note``   releases published inside the window, newest first.
 
 Window membership is an equi-join on (repo_name, day) over the window's
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.text import query_terms_expr
 from .artifacts import releases, slow_prs, top_k, window_days
 from .detect import metric_long
+from .embedding import embed_text
 from .retrieval import hybrid_search
 
 GITHUB = "https://github.com/"
@@ -32,9 +33,9 @@ def _num(c) -> F.Column:
 
 
 def evidence_bundle(anomalies: DataFrame, daily: DataFrame, artifacts: DataFrame, events: DataFrame,
-                    chunks: DataFrame, vectors: DataFrame, k_prs: int = 10, k_releases: int = 10,
-                    k_hits: int = 5, index: DataFrame | None = None,
-                    doc_len: DataFrame | None = None) -> DataFrame:
+                    chunks: DataFrame, k_prs: int = 10, k_releases: int = 10,
+                    k_hits: int = 5, lists: DataFrame | None = None,
+                    directory: DataFrame | None = None) -> DataFrame:
     """(anomaly_id, source, rank, citation_type, source_url, excerpt)."""
     a = anomalies.select(F.col("id").alias("anomaly_id"), "repo_name", "anomaly_type", "metric_name",
                          "window_start", "window_end", "baseline_value", "observed_value")
@@ -79,10 +80,9 @@ def evidence_bundle(anomalies: DataFrame, daily: DataFrame, artifacts: DataFrame
     # artifact_chunk: hybrid hits for a query built from the slowest PR
     q = prs.filter(F.col("rank") == 1).select(
         F.col("anomaly_id").alias("query_id"), "repo_name",
-        F.array_join(query_terms_expr(F.col("title")), " ").alias("query_text"), "artifact_id")
-    q = q.join(vectors.select("artifact_id", F.col("embedding").alias("query_vec")), "artifact_id", "left") \
-        .drop("artifact_id")
-    hits = hybrid_search(q, chunks, k_hits, index=index, doc_len=doc_len)
+        F.array_join(query_terms_expr(F.col("title")), " ").alias("query_text"))
+    q = embed_text(q, "query_text", "query_vec").checkpoint()
+    hits = hybrid_search(q, chunks, k_hits, lists=lists, directory=directory)
     hit_rows = hits.select(
         F.col("query_id").alias("anomaly_id"), F.lit("search").alias("source"), "rank",
         F.lit("artifact_chunk").alias("citation_type"), F.col("artifact_url").alias("source_url"),

@@ -1,36 +1,26 @@
-"""Chunking, embedding, exact / approximate vector search, BM25 over a
-postings table, and reciprocal-rank fusion — for a whole batch of queries.
+"""Chunking (H1), and search over chunks for a whole batch of queries.
+
+The parts have modules of their own: vectors of chunks (``embedding``), exact and coded
+vector search (``vectors``), postings lists and BM25 (``fulltext``). Here they become searches
+with excerpts and are fused by reciprocal rank.
 
-Plan notes
 * Chunks are produced with ``explode(sequence(..))`` over chunk indices and a
   ``substring`` per row: no per-document arrays of chunk strings.
-* Search joins queries to chunks on ``repo_name`` (the reference filters every
-  search by repository). The query side is broadcast only after its row count
-  is checked against ``BROADCAST_MAX_ROWS``; beyond that the planner's
-  shuffle join is used.
-* "Best chunk per artifact" is a ``max``/``min`` over a struct, i.e. a partial
-  aggregate, so chunk pairs are folded per task before the shuffle.
-* BM25 reads only the postings of the query terms (a semi join on the term);
-  collection statistics (N, average length) are two scalars.
+* Excerpts are joined once, onto the few ranked rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import STOP_WORDS, chunk_header, strip, tokens
+from ..functions.text import chunk_header, strip
 from ..schemas import CHUNK_OVERLAP, CHUNK_SIZE, RRF_K
 from .artifacts import top_k
+from .fulltext import build_directory, build_lists, matches, split_websearch  # noqa: F401
+from .vectors import ann_recall, ann_search, nearest  # noqa: F401
 
 BROADCAST_MAX_ROWS = 1_000_000
-BM25_K1, BM25_B = 1.2, 0.75
-EMBED_DIM = 64
-EMBED_BATCH = 64
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -68,172 +58,29 @@ def chunk_artifacts(artifacts: DataFrame, size: int = CHUNK_SIZE,
                     F.col("type").alias("artifact_type"), F.col("url").alias("artifact_url"))
 
 
-# --------------------------------------------------------------------------- embedding (H3)
-
-def _vectors_from_codes(codes: pd.Series, dim: int) -> pd.Series:
-    """Token codes (slot * 2 + sign bit) of each row -> L2-normalised signed
-    counts, for a whole Arrow batch at once (one ``bincount``)."""
-    import numpy as np
-    lens = codes.map(lambda c: 0 if c is None else len(c)).to_numpy()
-    flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes if c is not None and len(c)] or
-                          [np.zeros(0, dtype=np.int64)])
-    rows = np.repeat(np.arange(len(codes)), lens)
-    counts = np.bincount(rows * (2 * dim) + flat, minlength=len(codes) * 2 * dim).reshape(len(codes), dim, 2)
-    v = (counts[:, :, 0] - counts[:, :, 1]).astype(np.float64)
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    v = np.divide(v, n, out=np.zeros_like(v), where=n > 0).astype(np.float32)
-    return pd.Series(list(v))
-
-
-def hash_embedding(text: Column, dim: int = EMBED_DIM) -> Column:
-    """Deterministic signed feature hashing of the tokens, L2-normalised.
-
-    Tokenising and hashing run JVM-side (one ``xxhash64`` per token); the
-    per-row scatter-add into ``dim`` slots is a vectorised pandas UDF.
-    """
-    codes = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)).cast("int"))
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _embed(c: pd.Series) -> pd.Series:
-        return _vectors_from_codes(c, dim)
-
-    return _embed(codes)
-
-
-def embed_chunks(chunks: DataFrame, embed_fn: Callable | None = None,
-                 batch_size: int = EMBED_BATCH, dim: int = EMBED_DIM) -> DataFrame:
-    """Add ``embedding array<float>`` to each chunk.
-
-    Without ``embed_fn`` the built-in hashing embedder runs JVM-side. With
-    ``embed_fn(list[str]) -> list[list[float]]`` (e.g. a model client) the
-    texts go through ``mapInPandas`` in Arrow batches of ``batch_size``.
-    """
-    if embed_fn is None:
-        return chunks.withColumn("embedding", hash_embedding(F.col("text"), dim))
-    out_schema = T.StructType(chunks.schema.fields + [
-        T.StructField("embedding", T.ArrayType(T.FloatType()))])
-
-    def run(batches):
-        for pdf in batches:
-            vecs = []
-            texts = pdf["text"].tolist()
-            for i in range(0, len(texts), batch_size):
-                vecs.extend(embed_fn(texts[i:i + batch_size]))
-            yield pdf.assign(embedding=pd.Series([list(map(float, v)) for v in vecs], index=pdf.index))
-
-    return chunks.mapInPandas(run, out_schema)
-
-
-# --------------------------------------------------------------------------- vector search
-
-def _cosine_np(a: pd.Series, b: pd.Series) -> pd.Series:
-    import numpy as np
-    x = np.vstack(a.to_numpy()).astype(np.float64)
-    y = np.vstack(b.to_numpy()).astype(np.float64)
-    den = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
-    return pd.Series(np.einsum("ij,ij->i", x, y) / np.where(den > 0, den, np.nan))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two equal-length float arrays (NaN or null for a
-    zero vector), in double precision, vectorised with numpy over Arrow batches (array lambdas are
-    interpreted row by row and cost ~10x more)."""
-    @F.pandas_udf(T.DoubleType())
-    def _cos(x: pd.Series, y: pd.Series) -> pd.Series:
-        return _cosine_np(x, y)
-
-    return _cos(a, b)
-
-
-def _best_per_artifact(pairs: DataFrame, score: str, ascending: bool) -> DataFrame:
-    """Best chunk per (query, artifact_url): ties go to the lower chunk index."""
-    key = F.struct((F.col(score) if ascending else -F.col(score)).alias("s"),
-                   F.col("chunk_index"), F.col("artifact_id"))
-    g = pairs.groupBy("query_id", "artifact_url").agg(F.min(key).alias("_k"))
-    return g.select("query_id", "artifact_url",
-                    (F.col("_k.s") if ascending else -F.col("_k.s")).alias(score),
-                    F.col("_k.chunk_index").alias("chunk_index"),
-                    F.col("_k.artifact_id").alias("artifact_id"))
-
-
-MAX_BLOCK_QUERIES = 50_000
-_CAND_SCHEMA = "query_id long, artifact_url string, artifact_id long, chunk_index long, dist double"
-
-
-def _block_top_k(batches, qs, k: int):
-    """Score one Arrow batch of chunks against the broadcast query vectors of
-    their repository and emit, per query, only the batch's best ``k``
-    artifacts (best chunk per URL; order: distance, URL).
-
-    Dot products are row-wise reductions (not a blocked matrix product), so
-    identical vectors give bit-identical distances in any batch and ties are
-    broken the same way everywhere."""
-    import numpy as np
-    for pdf in batches:
-        out = []
-        for repo, grp in pdf.groupby("repo_name", sort=False):
-            if repo not in qs:
-                continue
-            ids, qm = qs[repo]
-            x = np.vstack(grp["embedding"].to_numpy()).astype(np.float64)
-            nx = np.linalg.norm(x, axis=1)
-            keep = nx > 0
-            if not keep.any():
-                continue
-            g = grp[keep]
-            xk, nk = x[keep], nx[keep]
-            base = pd.DataFrame({"artifact_url": g["artifact_url"].to_numpy(),
-                                 "artifact_id": g["artifact_id"].to_numpy(),
-                                 "chunk_index": g["chunk_index"].to_numpy()})
-            for j, qid in enumerate(ids):
-                c = base.assign(dist=1.0 - (xk * qm[j]).sum(axis=1) / nk)
-                c = (c.sort_values(["artifact_url", "dist", "chunk_index", "artifact_id"])
-                     .drop_duplicates("artifact_url")
-                     .sort_values(["dist", "artifact_url"]).head(k))
-                out.append(c.assign(query_id=qid))
-        if out:
-            yield pd.concat(out)[["query_id", "artifact_url", "artifact_id", "chunk_index", "dist"]]
-
+# --------------------------------------------------------------------------- the two legs (H4, H6, H7)
 
 def vector_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20) -> DataFrame:
     """Exact cosine search: per query, artifacts of its repository ranked by
-    the distance of their best chunk (1 - cosine), first ``search_k``.
+    the distance of their best chunk (1 - cosine), first ``search_k``, with excerpt."""
+    return _with_excerpt(nearest(queries, chunks, search_k), chunks)
+
 
-    Query vectors up to ``MAX_BLOCK_QUERIES`` (checked) are broadcast and each
-    chunk batch is scored in numpy, emitting only its per-query top-k
-    candidates, so query x chunk pairs are never materialised as rows;
-    the global top-k is contained in the union of the batch top-k lists.
-    Above the bound the queries are joined to the chunks on ``repo_name``.
+def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20, lists: DataFrame | None = None,
+                directory: DataFrame | None = None, stem: bool = False) -> DataFrame:
+    """BM25 search over the query's repository: a chunk matches when it meets a
+    clause: all its positive items occur (terms, or phrases at adjacent
+    positions) and none of its negated ones. A clause of negated items alone is
+    met by every chunk of the repository without them. Score = BM25 over the
+    distinct positive terms present, else 0. Best chunk per artifact, first
+    ``search_k``, with excerpt.
+
+    ``lists`` / ``directory`` are the stored ``build_lists`` (of the same ``stem``) / ``build_directory``
+    tables; without them both are derived from ``chunks`` in the same job.
     """
-    import numpy as np
-    q = queries.filter(F.col("query_vec").isNotNull()).select("query_id", "repo_name", "query_vec")
-    c = chunks.filter(F.col("embedding").isNotNull()).select(
-        "artifact_id", "chunk_index", "repo_name", "artifact_url", "embedding")
-    rows = q.limit(MAX_BLOCK_QUERIES + 1).collect()
-    try:
-        sc = queries.sparkSession.sparkContext
-    except Exception:  # noqa: BLE001
-        sc = None
-    if len(rows) <= MAX_BLOCK_QUERIES and sc is not None:
-        by_repo: dict[str, list] = {}
-        for r in rows:
-            v = np.asarray(r["query_vec"], dtype=np.float64)
-            n = np.linalg.norm(v)
-            if n > 0:
-                by_repo.setdefault(r["repo_name"], []).append((r["query_id"], v / n))
-        qs = sc.broadcast({repo: (np.array([i for i, _ in vs]), np.vstack([v for _, v in vs]))
-                           for repo, vs in by_repo.items()})
-        cand = c.mapInPandas(lambda it: _block_top_k(it, qs.value, search_k), _CAND_SCHEMA)
-    else:
-        qb = broadcast_if_small(q)
-        cand = c.join(qb, "repo_name").select(
-            "query_id", "artifact_url", "artifact_id", "chunk_index",
-            (F.lit(1.0) - cosine(F.col("embedding"), F.col("query_vec"))).alias("dist"))
-        # zero vectors have no direction: they match nothing on either path
-        cand = cand.filter(F.col("dist").isNotNull() & ~F.isnan("dist"))
-    best = _best_per_artifact(cand, "dist", ascending=True)
-    ranked = top_k(best, ["query_id"], [F.col("dist").asc(), F.col("artifact_url").asc()], search_k)
-    return _with_excerpt(ranked, chunks)
+    lists = lists if lists is not None else build_lists(chunks, stem)
+    directory = directory if directory is not None else build_directory(chunks)
+    return _with_excerpt(matches(queries, lists, directory, search_k, stem), chunks)
 
 
 def _with_excerpt(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -245,183 +92,19 @@ def _with_excerpt(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return ex.join(broadcast_if_small(r), ["artifact_id", "chunk_index"]).select(*r.columns, "excerpt")
 
 
-# --------------------------------------------------------------------------- full text (H6, H7)
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """Inverted index rows (term, artifact_id, chunk_index, pos, repo_name):
-    lower-cased letter/digit tokens, stop words removed. The URL is not
-    repeated per posting; it is joined onto the few scored chunks.
-
-    Tokens are exploded first and stop words dropped with an ``IN`` filter,
-    which stays in generated code (an array ``filter`` lambda would be
-    interpreted per token). ``pos`` keeps the original token position.
-    """
-    t = chunks.select("artifact_id", "chunk_index", "repo_name",
-                      F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return t.filter(~F.col("term").isin(*STOP_WORDS))
-
-
-INDEX_BUCKETS = 64
-
-
-def term_bucket(term: Column, buckets: int = INDEX_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-MAX_LOOKUP_TERMS = 10_000
-
-
-def build_index(chunks: DataFrame, buckets: int = INDEX_BUCKETS) -> DataFrame:
-    """Postings laid out for storage: hash bucket of the term as partition
-    column (a search reads only its terms' buckets), rows clustered by term.
-
-    The ``REBALANCE`` hint groups rows by bucket (few files per bucket) and
-    lets AQE split a skewed bucket — even a single hot term — over several
-    tasks at runtime, without a sampling pass over the corpus.
-    """
-    p = with_doc_length(postings(chunks)).withColumn("bucket", term_bucket(F.col("term"), buckets))
-    return p.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-
-
-def with_doc_length(post: DataFrame) -> DataFrame:
-    """Postings with their chunk's indexed length ``dl`` (computed once, at
-    index build, so a search needs no join with the document lengths)."""
-    return post.join(doc_lengths(post), ["artifact_id", "chunk_index"])
-
-
-def doc_lengths(post: DataFrame) -> DataFrame:
-    """Indexed tokens per chunk (BM25 document length)."""
-    return post.groupBy("artifact_id", "chunk_index").agg(F.count("*").alias("dl"))
-
-
-def corpus_stats(doc_len: DataFrame) -> tuple[int, float]:
-    """(N chunks, average chunk length in indexed tokens) — two scalars."""
-    r = doc_len.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    return int(r["n"]), float(r["avgdl"] or 0.0)
-
-
-def split_websearch(q: str | None) -> list[dict]:
-    """websearch-style query -> rows (clause, alt, neg, text), a small helper.
-
-    ``or`` separates clauses and binds looser than the items of a clause, which
-    must all match; ``"..."`` is a phrase; a leading ``-`` negates an item (its
-    text must not occur). Tokenising happens in Spark afterwards.
-    """
-    import re
-    clauses: list[list[tuple[bool, str]]] = [[]]
-    for item in re.findall(r'-?"[^"]*"?|[^\s"]+', q or ""):
-        if item.lower() == "or":
-            clauses.append([])
-            continue
-        neg = item.startswith("-")
-        clauses[-1].append((neg, (item[1:] if neg else item).strip('"')))
-    return [{"clause": c, "alt": a, "neg": neg, "text": t}
-            for c, items in enumerate(x for x in clauses if x) for a, (neg, t) in enumerate(items)]
-
-
-_QUERY_ITEMS = T.ArrayType(T.StructType([
-    T.StructField("clause", T.IntegerType()), T.StructField("alt", T.IntegerType()),
-    T.StructField("neg", T.BooleanType()), T.StructField("text", T.StringType())]))
-
-
-@F.pandas_udf(_QUERY_ITEMS)
-def _query_items(q: pd.Series) -> pd.Series:
-    return q.map(split_websearch)
-
-
-def query_alternatives(queries: DataFrame) -> DataFrame:
-    """(query_id, repo_name, clause, alt, neg, offset, term, n_alt_terms):
-    one row per indexed token of each alternative; ``offset`` is the token's
-    position in the alternative (stop words keep their slot, as in the index)."""
-    items = queries.select("query_id", "repo_name", F.explode(_query_items("query_text")).alias("i")) \
-        .select("query_id", "repo_name", "i.*")
-    toks = items.select("query_id", "repo_name", "clause", "alt", "neg",
-                        F.posexplode(tokens(F.col("text"))).alias("offset", "term")) \
-        .filter(~F.col("term").isin(*STOP_WORDS))
-    n = toks.groupBy("query_id", "clause", "alt").agg(F.count_distinct("offset").alias("n_alt_terms"))
-    return toks.join(n, ["query_id", "clause", "alt"])
-
-
-def text_search(queries: DataFrame, chunks: DataFrame, search_k: int = 20,
-                k1: float = BM25_K1, b: float = BM25_B,
-                index: DataFrame | None = None, doc_len: DataFrame | None = None) -> DataFrame:
-    """BM25 search over the query's repository: a chunk matches when it meets a
-    clause: all its positive items occur (terms, or phrases at adjacent
-    positions) and none of its negated ones. A clause of negated items alone is
-    met by every chunk of the repository without them. Score = BM25 over the
-    distinct positive terms present, else 0. Best chunk per artifact, first
-    ``search_k``.
-
-    ``index`` / ``doc_len`` are the stored ``build_index`` / ``doc_lengths``
-    tables; without them both are derived from ``chunks`` in the same job.
-    A stored index is read only for the query terms (bucket pruning plus
-    Parquet statistics on the term-clustered files).
-    """
-    post = index if index is not None else with_doc_length(postings(chunks))
-    dlen = doc_len if doc_len is not None else doc_lengths(post)
-    n_docs, avgdl = corpus_stats(dlen)
-    qa = broadcast_if_small(query_alternatives(queries).checkpoint())
-    wanted = qa.groupBy("query_id", "repo_name", "clause").agg(
-        F.count_distinct(F.when(~F.col("neg"), F.col("alt"))).alias("n_items"))
-    qterms = qa.select("term").distinct()
-    if "bucket" in post.columns:
-        listed = qterms.select("term", term_bucket(F.col("term")).alias("b")) \
-            .limit(MAX_LOOKUP_TERMS + 1).collect()
-        if len(listed) <= MAX_LOOKUP_TERMS:
-            buckets = sorted({r["b"] for r in listed})
-            post = post.filter(F.col("bucket").isin(buckets) & F.col("term").isin([r["term"] for r in listed]))
-    chunk_key = ["artifact_id", "chunk_index"]
-    hits = post.join(qa, ["term", "repo_name"]).select(
-        "query_id", "clause", "alt", "neg", "n_alt_terms", "offset", "term", "pos", "dl", *chunk_key)
-    # an alternative occurs where all its tokens line up from one start position
-    occ = (hits.groupBy("query_id", "clause", "alt", "neg", "n_alt_terms", *chunk_key,
-                        (F.col("pos") - F.col("offset")).alias("start"))
-           .agg(F.count_distinct("offset").alias("k"))
-           .filter(F.col("k") == F.col("n_alt_terms"))
-           .select("query_id", "clause", "alt", "neg", *chunk_key).distinct())
-    clause_key = ["query_id", "clause"]
-    met = (occ.filter(~F.col("neg")).groupBy(*clause_key, *chunk_key)
-           .agg(F.count("*").alias("n_ok")).join(wanted.drop("repo_name"), clause_key)
-           .filter(F.col("n_ok") == F.col("n_items")).select(*clause_key, *chunk_key))
-    negated = wanted.filter(F.col("n_items") == 0).select("repo_name", *clause_key)
-    met = met.union(chunks.select("repo_name", *chunk_key).join(broadcast_if_small(negated.checkpoint()), "repo_name")
-                    .select(*clause_key, *chunk_key))
-    ok = met.join(occ.filter(F.col("neg")).select(*clause_key, *chunk_key).distinct(),
-                  [*clause_key, *chunk_key], "left_anti").select("query_id", *chunk_key).distinct()
-    qt = qa.filter(~F.col("neg")).select("query_id", "term").distinct()
-    # df per query term; the planner broadcasts it where its size allows
-    df_t = (post.join(qt.select("term").distinct(), "term", "left_semi")
-            .groupBy("term").agg(F.count_distinct("artifact_id", "chunk_index").alias("df")))
-    tf = (hits.filter(~F.col("neg")).select("query_id", "term", "pos", "dl", *chunk_key).distinct()
-          .join(ok, ["query_id", *chunk_key], "left_semi")
-          .groupBy("query_id", "term", "dl", *chunk_key).agg(F.count("*").alias("tf")))
-    scored = tf.join(df_t, "term")
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tfc = F.col("tf").cast("double")
-    part = idf * tfc * (k1 + 1) / (tfc + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
-    # added as decimals, so that equal texts tie whatever the order of their terms
-    summed = scored.groupBy("query_id", *chunk_key).agg(
-        F.sum(part.cast("decimal(38,18)")).cast("double").alias("score"))
-    per_chunk = broadcast_if_small(
-        ok.join(summed, ["query_id", *chunk_key], "left").fillna(0.0, ["score"]).checkpoint())
-    urls = chunks.select("artifact_id", "chunk_index", "artifact_url")
-    per_chunk = per_chunk.join(urls, chunk_key)
-    best = _best_per_artifact(per_chunk, "score", ascending=False)
-    ranked = top_k(best, ["query_id"], [F.col("score").desc(), F.col("artifact_url").asc()], search_k)
-    return _with_excerpt(ranked, chunks)
-
-
 # --------------------------------------------------------------------------- fusion
 
-def rrf_fuse(vec: DataFrame, txt: DataFrame, k: int = 5, rrf_k: int = RRF_K) -> DataFrame:
+def rrf_fuse(vec: DataFrame, txt: DataFrame, k: int = 5, rrf_k: int = RRF_K,
+             carry: tuple[str, ...] = ("excerpt",)) -> DataFrame:
     """Reciprocal-rank fusion of two ranked legs (FULL OUTER JOIN on url);
-    a missing leg contributes 0. The vector leg's excerpt is preferred."""
-    v = vec.select("query_id", "artifact_url", F.col("rank").alias("v_rank"), F.col("excerpt").alias("v_ex"))
-    t = txt.select("query_id", "artifact_url", F.col("rank").alias("t_rank"), F.col("excerpt").alias("t_ex"))
+    a missing leg contributes 0. The vector leg's ``carry`` columns are preferred."""
+    v = vec.select("query_id", "artifact_url", F.col("rank").alias("v_rank"), *[F.col(c).alias(f"v_{c}") for c in carry])
+    t = txt.select("query_id", "artifact_url", F.col("rank").alias("t_rank"), *[F.col(c).alias(f"t_{c}") for c in carry])
     j = v.join(t, ["query_id", "artifact_url"], "full")
     score = (F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col("v_rank")), F.lit(0.0))
              + F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col("t_rank")), F.lit(0.0)))
-    f = j.select("query_id", "artifact_url", F.coalesce("v_ex", "t_ex").alias("excerpt"),
+    one = F.col("v_rank").isNotNull()
+    f = j.select("query_id", "artifact_url", *[F.when(one, F.col(f"v_{c}")).otherwise(F.col(f"t_{c}")).alias(c) for c in carry],
                  score.alias("rrf_score"), "v_rank", "t_rank")
     return top_k(f, ["query_id"], [F.col("rrf_score").desc(), F.col("artifact_url").asc()], k)
 
@@ -436,51 +119,11 @@ def render_hits(hits: DataFrame) -> DataFrame:
                                  lambda x: x["l"]), "\n\n---\n\n").alias("text"))
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, index: DataFrame | None = None,
-                  doc_len: DataFrame | None = None) -> DataFrame:
-    """Vector + BM25 legs over-fetched to 4k each, fused by RRF, first k."""
-    return rrf_fuse(vector_search(queries, chunks, 4 * k),
-                    text_search(queries, chunks, 4 * k, index=index, doc_len=doc_len), k)
-
-
-# --------------------------------------------------------------------------- approximate search (H5)
-
-def ann_search(queries: DataFrame, chunks: DataFrame, k: int = 10, bucket_length: float = 0.5,
-               num_tables: int = 8, threshold: float = 1.5, seed: int = 7) -> DataFrame:
-    """Approximate search with random-projection LSH on unit vectors
-    (Euclidean distance is monotone in cosine distance for unit vectors)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(c):
-        n = F.sqrt(F.aggregate(c, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double")))
-        # CASE keeps the vector conversion away from NULL arrays even if the
-        # optimiser evaluates the projection before the NOT NULL filter.
-        return F.when(c.isNotNull() & (n > 0), array_to_vector(F.transform(c, lambda x: x.cast("double") / n)))
-
-    # Checkpointed (reliably, into spark.checkpoint.dir) so the optimiser
-    # cannot move the LSH hash UDF below the NOT NULL filter.
-    ch = chunks.select("artifact_id", "chunk_index", "artifact_url", "repo_name",
-                       unit(F.col("embedding")).alias("v")).filter(F.col("v").isNotNull()).checkpoint()
-    q = queries.select("query_id", F.col("repo_name").alias("q_repo"),
-                       unit(F.col("query_vec")).alias("v")).filter(F.col("v").isNotNull()).checkpoint()
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(ch)
-    pairs = model.approxSimilarityJoin(q, ch, threshold, distCol="d").select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetA.q_repo").alias("q_repo"),
-        F.col("datasetB.repo_name").alias("repo_name"), F.col("datasetB.artifact_url").alias("artifact_url"),
-        F.col("datasetB.chunk_index").alias("chunk_index"), F.col("datasetB.artifact_id").alias("artifact_id"),
-        F.col("d"))
-    pairs = pairs.filter(F.col("q_repo") == F.col("repo_name"))
-    best = _best_per_artifact(pairs, "d", ascending=True)
-    return top_k(best, ["query_id"], [F.col("d").asc(), F.col("artifact_url").asc()], k)
-
-
-def ann_recall(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """recall@k of the LSH search against exact search, per query."""
-    exact = vector_search(queries, chunks, k).select("query_id", "artifact_url")
-    approx = ann_search(queries, chunks, k).select("query_id", "artifact_url", F.lit(1).alias("hit"))
-    j = exact.join(approx, ["query_id", "artifact_url"], "left")
-    return j.groupBy("query_id").agg(
-        F.count("*").alias("n_exact"), F.count("hit").alias("n_found"),
-        (F.count("hit") / F.count("*")).alias("recall"))
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, lists: DataFrame | None = None,
+                  directory: DataFrame | None = None) -> DataFrame:
+    """Vector + BM25 legs over-fetched to 4k each, fused by RRF, first k; excerpts are joined after the fusion."""
+    lists = lists if lists is not None else build_lists(chunks)
+    directory = directory if directory is not None else build_directory(chunks)
+    fused = rrf_fuse(nearest(queries, chunks, 4 * k), matches(queries, lists, directory, 4 * k), k,
+                     carry=("artifact_id", "chunk_index"))
+    return _with_excerpt(fused, chunks)

@@ -272,9 +272,31 @@ def chunks_cte(name: str, source: str, *deps: str) -> None:
 
 chunks_cte("doc_chunks", "doc_artifacts", "doc_artifacts")
 
+EMBED_DIM = 64
+
+
+def vectors_cte(name: str, key: str, tokens_of: str, *deps: str) -> None:
+    """``name``: (key columns, embedding): signed counts per slot of the tokens (key columns, tok) of ``tokens_of``."""
+    cte(name + "_slots", f"""
+  SELECT {key}, v % {EMBED_DIM} AS slot, sum(CASE WHEN (v // {EMBED_DIM}) % 2 = 0 THEN 1 ELSE -1 END) AS c
+  FROM (SELECT {key}, CAST('0x' || substr(md5(tok), 1, 4) AS INTEGER) AS v FROM ({tokens_of})) GROUP BY ALL""", *deps)
+    cte(name, f"""
+  SELECT {key}, list(CAST(coalesce(s.c, 0) AS DOUBLE) ORDER BY slot) AS embedding
+  FROM (SELECT {key}, unnest(range({EMBED_DIM})) AS slot FROM (SELECT DISTINCT {key} FROM {name}_slots)) k
+  LEFT JOIN {name}_slots s USING ({key}, slot) GROUP BY ALL""", name + "_slots")
+
+
+vectors_cte("chunk_vectors", "artifact_id, chunk_index",
+            f"SELECT artifact_id, chunk_index, unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) AS tok FROM doc_chunks",
+            "doc_chunks")
 cte("chunk_vecs", """
-  SELECT c.*, e.embedding FROM doc_chunks c LEFT JOIN embeddings e ON e.vec_id = c.artifact_id""",
-    "doc_chunks")
+  SELECT c.*, e.embedding FROM doc_chunks c LEFT JOIN chunk_vectors e USING (artifact_id, chunk_index)""",
+    "doc_chunks", "chunk_vectors")
+
+chunks_cte("art_chunks", "bound_artifacts", "bound_artifacts")
+vectors_cte("art_vectors", "artifact_id, chunk_index",
+            f"SELECT artifact_id, chunk_index, unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) AS tok FROM art_chunks",
+            "art_chunks")
 
 STOP_SQL = f"[{_STOP_LIST}]"
 
@@ -292,12 +314,16 @@ cte("q_terms", """
   SELECT DISTINCT item_id AS query_id, 'org/repo' || CAST(item_id % 10 AS VARCHAR) AS repo_name, term
   FROM q_tok""", "q_tok")
 
-cte("q_vecs", """
-  SELECT b.item_id AS query_id, 'org/repo' || CAST(b.item_id % 10 AS VARCHAR) AS repo_name,
-         e.embedding AS query_vec
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id""")
 
 
+def query_vectors(name: str, terms: str) -> None:
+    """Vectors of queries given by their distinct terms (query_id, repo_name, term)."""
+    vectors_cte(name + "_v", "query_id, repo_name", f"SELECT query_id, repo_name, term AS tok FROM {terms}", terms)
+    cte(name, f"  SELECT query_id, repo_name, embedding AS query_vec FROM {name}_v", name + "_v")
+
+
+query_vectors("q_vecs", "q_terms")
+
 cte("c_tok", f"""
   SELECT artifact_id, chunk_index, repo_name, artifact_url, text, {toks('text')} AS tk FROM doc_chunks""",
     "doc_chunks")
@@ -325,8 +351,10 @@ def search_ctes(p: str, q_terms: str, q_vecs: str, limit: int = 20) -> None:
     (chunks with all terms) and ``{p}a_ranked`` (chunks with any term)."""
     cte(p + "v_pairs", f"""
   SELECT q.query_id, c.artifact_url, c.artifact_id, c.chunk_index, c.text,
-         1.0 - list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.query_vec AS DOUBLE[])) AS dist
-  FROM chunk_vecs c JOIN {q_vecs} q USING (repo_name) WHERE c.embedding IS NOT NULL""", "chunk_vecs", q_vecs)
+         CAST(1 AS DOUBLE) - list_dot_product(c.embedding, q.query_vec) / sqrt(
+           list_dot_product(c.embedding, c.embedding) * list_dot_product(q.query_vec, q.query_vec)) AS dist
+  FROM chunk_vecs c JOIN {q_vecs} q USING (repo_name)
+  WHERE list_dot_product(c.embedding, c.embedding) > 0 AND list_dot_product(q.query_vec, q.query_vec) > 0""", "chunk_vecs", q_vecs)
     ranked_cte(p + "v_ranked", p + "v_pairs", "dist", True, limit)
     cte(p + "q_n", f"  SELECT query_id, count(*) AS n_terms FROM {q_terms} GROUP BY 1", q_terms)
     cte(p + "t_df", f"""
@@ -489,9 +517,6 @@ cte("ev_q_tok", f"""
   FROM (SELECT anomaly_id, repo_name, {toks('title')} AS tk FROM slow WHERE rank = 1)""", "slow")
 cte("ev_q_terms", """
   SELECT DISTINCT anomaly_id AS query_id, repo_name, term FROM ev_q_tok""", "ev_q_tok")
-cte("ev_q_vecs", """
-  SELECT s.anomaly_id AS query_id, s.repo_name, e.embedding AS query_vec
-  FROM slow s JOIN embeddings e ON e.vec_id = s.artifact_id
-  WHERE s.rank = 1""", "slow")
+query_vectors("ev_q_vecs", "ev_q_terms")
 search_ctes("ev_", "ev_q_terms", "ev_q_vecs")
 cte("ev_hits", hybrid_sql("ev_", 5, "query_id, rank, artifact_url, excerpt"), "ev_v_ranked", "ev_t_ranked")

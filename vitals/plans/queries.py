@@ -348,10 +348,7 @@ _STRIPPED = "length(regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g'))"
 def q_unembedded_artifacts(spark, sf):
     """Chunk store = artifacts embedded by a run on Jan 15; the rest is due."""
     from ..operators.artifacts import unembedded_artifacts
-    from ..operators.retrieval import chunk_artifacts
-    art = _artifacts(spark, sf)
-    chunks = chunk_artifacts(art.filter(F.col("created_at") < F.lit("2024-01-15 00:00:00")))
-    return unembedded_artifacts(art, chunks, 100)
+    return unembedded_artifacts(_artifacts(spark, sf), B.load(spark, sf, "early_chunks"), 100)
 
 
 @register("unenriched_windows", O.sql(
@@ -384,12 +381,22 @@ def _doc_chunks(spark, sf):
 
 
 def _chunk_vecs(spark, sf):
-    """The stored chunk table with document vectors (built once per session)."""
+    """The stored chunk table, a vector per chunk (built once per session)."""
     return B.load(spark, sf, "chunk_store")
 
 
 def _index(spark, sf):
-    return {"index": B.load(spark, sf, "postings"), "doc_len": B.load(spark, sf, "doc_lengths")}
+    return {"lists": B.load(spark, sf, "postings"), "directory": B.load(spark, sf, "directory")}
+
+
+_VECTOR_SQL = ("CAST(len(embedding) AS INTEGER) AS dim, round(sqrt(list_dot_product(embedding, embedding)), 4) AS norm, "
+               "array_to_string(list_transform(embedding, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ' ') AS vector")
+
+
+def _vector_columns():
+    whole = F.transform("embedding", lambda x: x.cast("long").cast("string"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda s, x: s + x * x))
+    return F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"), F.array_join(whole, " ").alias("vector")
 
 
 @register("chunk_documents", O.sql(
@@ -399,14 +406,24 @@ def q_chunk_documents(spark, sf):
     return _doc_chunks(spark, sf)
 
 
-@register("embed_chunks", None)
+@register("embed_chunks", O.sql(
+    f"SELECT artifact_id, chunk_index, {_VECTOR_SQL} FROM chunk_vectors", "chunk_vectors"))
 def q_embed_chunks(spark, sf):
     """Built-in hashing embedder over every chunk (the pluggable hook)."""
-    from ..operators.retrieval import embed_chunks
-    e = embed_chunks(_doc_chunks(spark, sf))
-    return e.select("artifact_id", "chunk_index", F.size("embedding").alias("dim"),
-                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"),
-                                               lambda s, x: s + x * x)), 4).alias("norm"))
+    from ..operators.embedding import embed_chunks
+    return embed_chunks(_doc_chunks(spark, sf)).select("artifact_id", "chunk_index", *_vector_columns())
+
+
+@register("embed_missing", O.sql(
+    f"SELECT artifact_id, chunk_index, {_VECTOR_SQL} FROM art_vectors", "art_vectors"))
+def q_embed_missing(spark, sf):
+    """Two embedding runs, on Jan 15 and at the end: the second appends the artifacts that the store lacks."""
+    from ..operators.embedding import append_missing
+    from ..session import scratch_path
+    path = scratch_path(spark, "artifact-chunks")
+    art = _artifacts(spark, sf)
+    append_missing(spark, art.where(F.col("created_at") < F.lit("2024-01-15 00:00:00")), path)
+    return append_missing(spark, art, path).select("artifact_id", "chunk_index", *_vector_columns())
 
 
 @register("vector_search", O.sql(
@@ -441,6 +458,30 @@ def q_text_search_any(spark, sf):
                             "excerpt"))
 
 
+@register("text_search_lists", O.sql(
+    "SELECT query_id, count(*) AS n_lists, count(*) FILTER (WHERE feasible) AS n_read FROM ("
+    "SELECT l.query_id, l.term, l.repo_name, l.block, bool_or(f.query_id IS NOT NULL) AS feasible FROM ("
+    "SELECT DISTINCT q.query_id, q.term, p.repo_name, p.artifact_id // 1024 AS block FROM q_terms q "
+    "JOIN c_post p ON p.term = q.term AND p.repo_name = q.repo_name) l LEFT JOIN ("
+    "SELECT query_id, block FROM (SELECT DISTINCT q.query_id, q.term, p.artifact_id // 1024 AS block FROM q_terms q "
+    "JOIN c_post p ON p.term = q.term AND p.repo_name = q.repo_name) JOIN q_n USING (query_id) "
+    "GROUP BY query_id, block HAVING count(*) = any_value(n_terms)) f ON f.query_id = l.query_id AND f.block = l.block "
+    "GROUP BY 1, 2, 3, 4) GROUP BY query_id", "q_terms", "c_post", "q_n"))
+def q_text_search_lists(spark, sf):
+    """What ``text_search`` reads of the index: postings lists of the queries' terms, and those it needs."""
+    from ..operators.fulltext import lists_read
+    return lists_read(B.load(spark, sf, "queries"), **_index(spark, sf))
+
+
+@register("text_search_stems", None)
+def q_text_search_stems(spark, sf):
+    """The searches over English stems: chunks with any inflection of all terms."""
+    from ..operators.retrieval import text_search
+    r = text_search(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 20, stem=True,
+                    lists=B.load(spark, sf, "stemmed_postings"), directory=B.load(spark, sf, "directory"))
+    return rounded(r.select("query_id", "rank", "artifact_url", "artifact_id", "chunk_index", "score", "excerpt"))
+
+
 @register("hybrid_search", O.sql(_rank_sql(
     "SELECT coalesce(v.query_id, t.query_id) AS query_id, "
     "coalesce(v.artifact_url, t.artifact_url) AS artifact_url, coalesce(v.excerpt, t.excerpt) AS excerpt, "
@@ -468,8 +509,8 @@ def q_render_hits(spark, sf):
 
 @register("ann_recall", None)
 def q_ann_recall(spark, sf):
-    """recall@10 of LSH search against exact search, per query."""
-    from ..operators.retrieval import ann_recall
+    """recall@10 of search by product-quantised codes against exact search, and the share ranked exactly, per query."""
+    from ..operators.vectors import ann_recall
     return rounded(ann_recall(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 10))
 
 
@@ -723,7 +764,7 @@ def q_ensure_anomalies(spark, sf):
 def q_evidence_bundle(spark, sf):
     from ..operators.evidence import evidence_bundle
     return evidence_bundle(_anoms(spark, sf), _daily(spark, sf), _artifacts(spark, sf), _events(spark, sf),
-                           _chunk_vecs(spark, sf), B.load(spark, sf, "vectors"), **_index(spark, sf))
+                           _chunk_vecs(spark, sf), **_index(spark, sf))
 
 
 # ============================================================================ checks

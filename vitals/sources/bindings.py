@@ -174,24 +174,18 @@ def document_artifacts(documents: DataFrame) -> DataFrame:
     )
 
 
-def document_vectors(embeddings: DataFrame) -> DataFrame:
-    """Document-level vectors: ``embeddings.vec_id`` is the artifact id."""
-    return embeddings.select(F.col("vec_id").alias("artifact_id"), F.col("embedding"))
-
-
-def search_queries(benchmark: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """One search per benchmark item: query text = all its distinct
-    non-stop tokens, vector = ``embeddings`` row ``vec_id = item_id``, repo
-    ``org/repo(item_id % 10)``."""
+def search_queries(benchmark: DataFrame) -> DataFrame:
+    """One search per benchmark item: query text = all its distinct non-stop tokens, vector =
+    that of the query text, repo ``org/repo(item_id % 10)``."""
     from ..functions.text import query_terms_expr
+    from ..operators.embedding import embed_text
     terms = query_terms_expr(F.col("text"))
     q = benchmark.select(
         F.col("item_id").alias("query_id"),
         _repo_of(F.col("item_id") % N_REPOS).alias("repo_name"),
         F.array_join(terms, " ").alias("query_text"),
     )
-    v = embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return q.join(v, "query_id", "left")
+    return embed_text(q, "query_text", "query_vec")
 
 
 # --------------------------------------------------------------------------- anomalies, reports, cases
@@ -332,6 +326,19 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str
     return spark.read.parquet(path)
 
 
+def early_chunks(spark: SparkSession, sf_dir: str) -> str:
+    """The chunk store after an embedding run over the artifacts created before Jan 15 (once per session)."""
+    from ..operators.embedding import append_missing
+    from ..session import scratch_path, session_key
+    key = (session_key(spark), sf_dir, "early-chunks")
+    if key not in _STORED:
+        path = scratch_path(spark, "early-chunks")
+        early = load(spark, sf_dir, "artifacts").where(F.col("created_at") < F.lit("2024-01-15 00:00:00"))
+        append_missing(spark, early, path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Bound table by name, read from ``sf_dir``."""
     t = lambda n: _t.table(spark, sf_dir, n)
@@ -348,20 +355,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "doc_artifacts":
         return document_artifacts(t("documents"))
     if name == "chunk_store":
+        from ..operators.embedding import embed_chunks
         from ..operators.retrieval import chunk_artifacts
-        return stored(spark, sf_dir, "chunk-store", lambda: chunk_artifacts(document_artifacts(t("documents")))
-                      .join(document_vectors(t("embeddings")), "artifact_id", "left"))
+        return stored(spark, sf_dir, "chunk-store", lambda: embed_chunks(chunk_artifacts(document_artifacts(t("documents")))))
     if name == "postings":
-        from ..operators.retrieval import build_index
-        return stored(spark, sf_dir, "postings", lambda: build_index(load(spark, sf_dir, "chunk_store")),
+        from ..operators.fulltext import build_lists
+        return stored(spark, sf_dir, "postings", lambda: build_lists(load(spark, sf_dir, "chunk_store")),
+                      partition_by="bucket")
+    if name == "stemmed_postings":
+        from ..operators.fulltext import build_lists
+        return stored(spark, sf_dir, "stemmed-postings", lambda: build_lists(load(spark, sf_dir, "chunk_store"), stem=True),
                       partition_by="bucket")
-    if name == "doc_lengths":
-        from ..operators.retrieval import doc_lengths
-        return stored(spark, sf_dir, "doc-lengths", lambda: doc_lengths(load(spark, sf_dir, "postings")))
-    if name == "vectors":
-        return document_vectors(t("embeddings"))
+    if name == "directory":
+        from ..operators.fulltext import build_directory
+        return stored(spark, sf_dir, "directory", lambda: build_directory(load(spark, sf_dir, "chunk_store")))
+    if name == "early_chunks":
+        return spark.read.parquet(early_chunks(spark, sf_dir))
     if name == "queries":
-        return search_queries(t("benchmark"), t("embeddings"))
+        return search_queries(t("benchmark"))
     if name == "anomalies":
         return bound_anomalies(spark)
     if name == "reports":
