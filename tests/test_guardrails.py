@@ -36,7 +36,7 @@ def test_gate_column_matches_single_statement_gate(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, q string")
     got = {r["i"]: r["is_safe"] for r in statement_audit(df, "q", ["i"]).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == is_safe_statement(t), t
+        assert got[i] == is_safe_statement(spark, t), t
     assert all(got[i] for i in range(len(SAFE)))
     assert not any(got[i] for i in range(len(SAFE), len(SAFE) + len(UNSAFE) + len(PAYLOADS)))
 

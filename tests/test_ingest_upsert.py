@@ -91,7 +91,8 @@ def test_reingest_is_insert_if_absent(spark, tmp_path):
 
 def test_feed_and_detail_sinks(spark, tmp_path):
     from vitals.plans.queries import REGISTRY
-    from vitals.operators.reports import report_detail, write_details, write_feed, latest_reports, flatten_citations
+    from vitals.operators.reports import (flatten_citations, latest_reports, read_details, report_detail, write_details,
+                                          write_feed)
     from vitals.sources import bindings as B
     sf = "/root/testdata/sf0.001"
     feed = REGISTRY["report_feed"][0](spark, sf)
@@ -101,5 +102,27 @@ def test_feed_and_detail_sinks(spark, tmp_path):
     reps = B.load(spark, sf, "reports")
     det = report_detail(latest_reports(reps, B.load(spark, sf, "anomalies")), flatten_citations(reps))
     write_details(det, str(tmp_path / "detail"))
-    d = spark.read.json(str(tmp_path / "detail"))
-    assert d.select("id").distinct().count() == det.count()
+    want = sorted(r["id"] for r in det.select("id").collect())
+    assert sorted(r["id"] for r in read_details(spark, str(tmp_path / "detail"), det.schema).collect()) == want
+    one = read_details(spark, str(tmp_path / "detail"), det.schema, [want[0]]).collect()
+    assert [r["id"] for r in one] == want[:1] and len(one[0]["citations"]) == det.where(F.col("id") == want[0]).first()["citations"].__len__()
+
+
+def test_integrity_rules_in_one_pass(spark):
+    from vitals.operators import integrity as I
+    rules = [*I.not_null("child", "a"), *I.check("child", "kinds", "kind", ["x", "y"]), *I.unique("child", "pair", "a", "kind"),
+             *I.foreign("child", "parent", "a", "parent", "id"), *I.unique("parent", "id", "id")]
+    child = spark.createDataFrame([(1, "x"), (1, "x"), (2, "z"), (3, None), (None, "y"), (None, "y"), (9, "x")], "a long, kind string")
+    parent = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id long")
+    got = {(r["table_name"], r["rule"]): r["violations"] for r in I.constraint_violations({"child": child, "parent": parent}, rules).collect()}
+    assert got == {("child", "not_null_a"): 2, ("child", "kinds"): 1, ("child", "pair"): 1, ("child", "parent"): 2, ("parent", "id"): 1}
+    empty = I.constraint_violations({"child": child.limit(0), "parent": parent.limit(0)}, rules)
+    assert [r["violations"] for r in empty.collect()] == [0] * 5
+
+
+def test_upserts_plan_without_sorted_aggregates(spark):
+    from vitals.operators.upsert import first_per_key
+    df = spark.createDataFrame([(1, "a", 1, "w")], "k long, v string, ver long, wide string").repartition(3)
+    for plan in (first_per_key(df, ["k"], ["ver"]), upsert_partial(df, ["k"], "ver", ["v"])):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in text and text.count("Exchange hashpartitioning") == 1

@@ -65,10 +65,12 @@ def release_lookup(anomalies: DataFrame, events: DataFrame, k: int = 10) -> Data
     The newest ``k`` releases on/after a date are always among the
     repository's newest ``k`` overall (same order), so the per-repository
     top-k is taken first and only those rows meet the anomalies: the join
-    is bounded by anomalies x k instead of anomalies x releases.
+    is bounded by anomalies x k instead of anomalies x releases. Days before the
+    earliest window start are not read.
     """
     order = [F.col("created_at").desc(), F.col("tag").asc()]
-    newest = top_k(releases(events), ["repo_name"], order, k).drop("rank")
+    since = anomalies.agg(F.min("window_start")).first()[0]
+    newest = top_k(releases(events.where(event_day(events) >= F.lit(since))), ["repo_name"], order, k).drop("rank")
     a = anomalies.select(F.col("id").alias("anomaly_id"), "repo_name", "window_start")
     j = a.join(newest, "repo_name").filter(F.col("release_date") >= F.col("window_start"))
     return top_k(j, ["anomaly_id"], order, k) \

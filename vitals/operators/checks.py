@@ -1,25 +1,21 @@
-"""Statement audit (B21), ad-hoc read-only SQL rendered as text (A15) and
-integrity checks reported as violation counts (A16).
-
-Spark enforces no keys, so primary keys, uniques, foreign keys and CHECK
-enumerations become aggregate / anti-join jobs that report how many rows (or
-keys) break each rule — every rule yields a row, with 0 when it holds.
-"""
+"""Statement audit (B21) and ad-hoc read-only SQL rendered as text."""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-# Read-only gate: after stripping whitespace and any leading "-", "–", space or
-# newline characters, a statement must start with SELECT or WITH as a whole
-# word, and must contain no ";" anywhere.
-_LEAD = r"^[\-– \n]+"
-_HEAD = r"^(SELECT|WITH)([^\p{L}\p{N}_]|$)"
+# Fixed values of the read-only gate: characters dropped from the front, allowed first words, forbidden character.
+GATE_LEADING = "-– \n"
+GATE_FIRST_WORDS = ["SELECT", "WITH"]
+GATE_FORBIDDEN = ";"
+
+_LEAD = "^[" + re.escape(GATE_LEADING) + "]+"
+_HEAD = "^(" + "|".join(GATE_FIRST_WORDS) + r")([^\p{L}\p{N}_]|$)"
 
 
 def statement_verdict(query: Column) -> tuple[Column, Column]:
@@ -27,7 +23,7 @@ def statement_verdict(query: Column) -> tuple[Column, Column]:
     ``not_select``, ``semicolon`` or NULL."""
     norm = F.upper(F.regexp_replace(strip(query), _LEAD, ""))
     starts = F.coalesce(norm.rlike(_HEAD), F.lit(False))
-    semi = F.coalesce(query.contains(";"), F.lit(False))
+    semi = F.coalesce(query.contains(GATE_FORBIDDEN), F.lit(False))
     reason = F.when(~starts, "not_select").when(semi, "semicolon")
     return reason.isNull(), reason
 
@@ -37,12 +33,9 @@ def statement_audit(texts: DataFrame, text_col: str, keys: list[str]) -> DataFra
     return texts.select(*keys, ok.alias("is_safe"), reason.alias("reason"))
 
 
-def is_safe_statement(query: str) -> bool:
-    """Driver-side twin of the gate for a single statement (used before
-    handing a statement to ``spark.sql``)."""
-    import re
-    norm = re.sub(r"^[\-– \n]+", "", query.strip()).upper()
-    return bool(re.match(r"^(SELECT|WITH)\b", norm)) and ";" not in query
+def is_safe_statement(spark: SparkSession, query: str) -> bool:
+    """The gate for a single statement, by the same expression (used before it goes to ``spark.sql``)."""
+    return spark.range(1).select(statement_verdict(F.lit(query))[0]).first()[0]
 
 
 def _as_text(c: Column, dtype: str) -> Column:
@@ -55,42 +48,10 @@ def adhoc_table_text(spark: SparkSession, tables: dict[str, DataFrame], statemen
                      max_rows: int = 50) -> DataFrame:
     """Run a read-only statement over named tables; at most ``max_rows`` rows,
     each rendered as ``v1 | v2 | ...`` with NULL shown as ``None``."""
-    if not is_safe_statement(statement):
+    if not is_safe_statement(spark, statement):
         raise ValueError("only SELECT queries are permitted")
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     res = spark.sql(statement).limit(max_rows)
     parts = [_as_text(F.col(f"`{n}`"), t) for n, t in res.dtypes]
     return res.select(F.concat_ws(" | ", *parts).alias("line"))
-
-
-# --------------------------------------------------------------------------- integrity
-
-def _rule(table: str, rule: str, n: DataFrame) -> DataFrame:
-    return n.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                    F.col("n").cast("long").alias("violations"))
-
-
-def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
-    """Number of key values that occur more than once."""
-    return df.groupBy(*key).count().filter(F.col("count") > 1).agg(F.count("*").alias("n"))
-
-
-def rows_where(df: DataFrame, cond: Column) -> DataFrame:
-    return df.agg(F.count_if(cond).alias("n"))
-
-
-def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Child rows whose (non-NULL) key has no parent row."""
-    p = parent.select(F.col(parent_key).alias(key)).distinct()
-    return child.filter(F.col(key).isNotNull()).join(p, key, "left_anti").agg(F.count("*").alias("n"))
-
-
-def not_in(c: Column, values: list[str]) -> Column:
-    """CHECK (c IN values): NULL passes, as in SQL."""
-    return c.isNotNull() & ~c.isin(*values)
-
-
-def constraint_violations(rules: list[tuple[str, str, DataFrame]]) -> DataFrame:
-    """Union of per-rule counts: (table_name, rule, violations)."""
-    return reduce(DataFrame.unionByName, [_rule(t, r, n) for t, r, n in rules])

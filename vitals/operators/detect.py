@@ -6,10 +6,10 @@ median / MAD of the prior 28, for every repository x check at once.
 * The MAD needs the group's own median first; that median is a window
   aggregate over the (repo, check[, window_end]) partition, so the following
   group-by reuses the same hash partitioning: one shuffle in total.
-* ``detect_backfill`` scores every window end in one job: each daily value is
-  fanned out to the 35 window ends it belongs to (offset 0..34), which is
-  exact (a median of deviations from a frame's own median is not a frame
-  aggregate). Groups hold at most 35 values, so skew cannot build up here.
+* ``detect_backfill`` scores every window end in one job: a range frame gathers the
+  values of the 35 days up to each day, and median and MAD come from that
+  array, so a row of the roll-up is shuffled once and not copied to the window ends it
+  belongs to. Arrays hold at most 35 values, so skew cannot build up here.
 """
 
 from __future__ import annotations
@@ -47,6 +47,26 @@ def robust_z(n_prior: Column, n_recent: Column, median: Column, mad: Column,
             .otherwise(F.lit(0.6745) * (observed - median) / mad))
 
 
+def _median(values: Column) -> Column:
+    """Median of an array of doubles; null for an empty one."""
+    s = F.array_sort(values)
+    n = F.size(s)
+    low = F.get(s, F.floor((n - 1) / 2).cast("int"))
+    return F.when(n > 0, (low + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+
+def _verdict(g: DataFrame, keys: list[str], z_threshold: float) -> DataFrame:
+    """z and status of keys + min_baseline, n_prior, n_recent, baseline_value, mad and _obs."""
+    observed = F.coalesce(F.col("_obs"), F.lit(0.0))
+    z = robust_z(F.col("n_prior"), F.col("n_recent"), F.col("baseline_value"), F.col("mad"), observed)
+    status = (F.when(F.col("n_prior") < MIN_PRIOR_DAYS, "insufficient_history")
+              .when(F.col("baseline_value") < F.col("min_baseline"), "low_baseline")
+              .when(z >= F.lit(float(z_threshold)), "anomaly")
+              .otherwise("normal"))
+    return g.select(*keys, "min_baseline", "n_prior", "n_recent", "baseline_value", "mad",
+                    observed.alias("observed_value"), z.alias("z_score"), status.alias("status"))
+
+
 def _score(series: DataFrame, keys: list[str], z_threshold: float) -> DataFrame:
     """series: keys + min_baseline + value + is_prior (bool)."""
     w = Window.partitionBy(*keys)
@@ -60,14 +80,7 @@ def _score(series: DataFrame, keys: list[str], z_threshold: float) -> DataFrame:
         F.median(F.abs(prior_v - F.col("_med"))).alias("mad"),
         F.avg(F.when(~F.col("is_prior"), F.col("value"))).alias("_obs"),
     )
-    observed = F.coalesce(F.col("_obs"), F.lit(0.0))
-    z = robust_z(F.col("n_prior"), F.col("n_recent"), F.col("baseline_value"), F.col("mad"), observed)
-    status = (F.when(F.col("n_prior") < MIN_PRIOR_DAYS, "insufficient_history")
-              .when(F.col("baseline_value") < F.col("min_baseline"), "low_baseline")
-              .when(z >= F.lit(float(z_threshold)), "anomaly")
-              .otherwise("normal"))
-    return g.select(*keys, "min_baseline", "n_prior", "n_recent", "baseline_value", "mad",
-                    observed.alias("observed_value"), z.alias("z_score"), status.alias("status"))
+    return _verdict(g, keys, z_threshold)
 
 
 COUNT_METRICS = ["star_count", "fork_count", "issue_opened", "issue_closed", "pr_opened", "pr_merged",
@@ -164,13 +177,32 @@ def detect_backfill(daily: DataFrame, first_end, last_end,
     d = daily.filter(F.col("date").between(F.lit(f - _dt.timedelta(days=SPAN - 1)), F.lit(l)))
     if zero_fill:
         d = zero_filled(d, f - _dt.timedelta(days=SPAN - 1), l)
-    long = metric_long(d, checks)
-    fan = (long.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPAN - 1))).alias("off"))
-           .withColumn("window_end", F.date_add(F.col("date"), F.col("off")))
-           .filter(F.col("window_end").between(F.lit(f), F.lit(l)))
-           .withColumn("is_prior", F.col("off") >= RECENT_DAYS))
-    keys = ["repo_name", "anomaly_type", "metric_name", "window_end"]
-    scored = _score(fan.select(*keys, "min_baseline", "value", "is_prior"), keys, z_threshold)
+    series = ["repo_name", "anomaly_type", "metric_name"]
+    number = F.datediff("date", F.lit(_dt.date(1970, 1, 1)))
+    w = Window.partitionBy(*series).orderBy(number)
+    held = metric_long(d, checks).select(
+        *series, "min_baseline", "date",
+        F.collect_list(F.struct("date", "value")).over(w.rangeBetween(-(SPAN - 1), 0)).alias("held"),
+        F.lead("date").over(w).alias("next"))
+    # between two days with a value, window ends hold the values of the earlier one that are young enough
+    until = F.least(F.date_add("date", SPAN - 1), F.coalesce(F.date_sub("next", 1), F.date_add("date", SPAN - 1)), F.lit(l))
+    since = F.greatest("date", F.lit(f))
+    ends = held.where(since <= until).select(
+        *series, "min_baseline", "held", F.explode(F.sequence(since, until)).alias("window_end"))
+    first_prior = F.date_sub("window_end", SPAN - 1)
+    last_prior = F.date_sub("window_end", RECENT_DAYS)
+    values = ends.select(
+        *series, "window_end", "min_baseline",
+        F.transform(F.filter("held", lambda x: (x["date"] >= first_prior) & (x["date"] <= last_prior)), lambda x: x["value"]).alias("prior"),
+        F.transform(F.filter("held", lambda x: x["date"] > last_prior), lambda x: x["value"]).alias("recent"))
+    middle = values.withColumn("baseline_value", _median(F.col("prior")))
+    keys = [*series, "window_end"]
+    n_recent = F.size("recent")
+    total = F.aggregate("recent", F.lit(0.0).cast("double"), lambda a, x: a + x)
+    scored = _verdict(middle.select(
+        *keys, "min_baseline", F.size("prior").cast("long").alias("n_prior"), n_recent.cast("long").alias("n_recent"),
+        "baseline_value", _median(F.transform("prior", lambda x: F.abs(x - F.col("baseline_value")))).alias("mad"),
+        F.when(n_recent > 0, total / n_recent).alias("_obs")), keys, z_threshold)
     return scored.select(
         "repo_name", "anomaly_type", "metric_name",
         F.date_sub(F.col("window_end"), RECENT_DAYS - 1).alias("window_start"), "window_end",

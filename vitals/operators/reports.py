@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import CITATION_TYPES, CONFIDENCES, REPORT
 from .artifacts import top_k
@@ -145,9 +146,23 @@ def write_feed(feed: DataFrame, path: str) -> None:
     feed_order(feed).write.mode("overwrite").json(path)
 
 
+DETAIL_SPAN = 10_000
+
+
 def write_details(detail: DataFrame, path: str) -> None:
-    """Detail sink: one JSON document per report id (``id=<n>/`` folders)."""
-    detail.repartition("id").write.mode("overwrite").partitionBy("id").json(path)
+    """Detail sink: one JSON document per report, a line each, in id order within a folder per
+    ``DETAIL_SPAN`` ids (``part=<n>/``), so a lookup opens one folder and millions of reports do not make as many."""
+    part = F.floor(F.col("id") / DETAIL_SPAN)
+    (detail.withColumn("part", part).hint("rebalance", "part").sortWithinPartitions("part", "id")
+     .write.mode("overwrite").partitionBy("part").json(path))
+
+
+def read_details(spark: SparkSession, path: str, schema, ids: list[int] | None = None) -> DataFrame:
+    """The stored documents; of ``ids`` only, where given, reading their folders alone."""
+    df = spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.LongType())])).json(path)
+    if ids is not None:
+        df = df.where(F.col("part").isin(sorted({i // DETAIL_SPAN for i in ids})) & F.col("id").isin(ids))
+    return df.drop("part")
 
 
 # --------------------------------------------------------------------------- presentation
@@ -161,7 +176,7 @@ def _fmt(v: Column, metric: Column) -> Column:
 
 
 def feed_cards(feed: DataFrame) -> DataFrame:
-    """Card columns: owner/name, change multiplier label and detail, headline,
+    """Card columns: owner/name, change multiplier label and detail, delta arrow, headline,
     high-severity flag (z > 5). An observed 0 is ``100% below normal``."""
     # label and headline wordings are fixed values: the feed page shows them
     b, o = F.col("baseline"), F.col("observed")
@@ -184,6 +199,9 @@ def feed_cards(feed: DataFrame) -> DataFrame:
           .when(hm > 1.05, F.concat(F.lit("+"), pct(hm - 1), F.lit("%"))).otherwise(F.lit("")))
     short = F.try_element_at(F.split(F.col("repo"), "/"), F.lit(2))
     t = F.col("anomaly_type")
+    delta = (F.when(~has_base, F.lit("")).when(mult >= 2, F.concat(F.lit("↑"), times(mult), F.lit("×")))
+             .when(mult > 1, F.concat(F.lit("↑"), pct(mult - 1), F.lit("%")))
+             .when(mult < 1, F.concat(F.lit("↓"), pct(1 - mult), F.lit("%"))).otherwise(F.lit("")))
     with_mx = mx != ""
     headline = (F.when(t == "pr_slowdown", F.when(with_mx, F.concat(short, F.lit(": PR merge time was "), mx,
                                                                     F.lit(" slower than normal")))
@@ -197,7 +215,7 @@ def feed_cards(feed: DataFrame) -> DataFrame:
                 .otherwise(F.concat(short, F.lit(": "), t, F.lit(" detected"))))
     return feed.select(
         "id", F.try_element_at(F.split(F.col("repo"), "/"), F.lit(1)).alias("owner"), short.alias("name"),
-        label.alias("change_label"), detail.alias("change_detail"), headline.alias("headline"),
+        label.alias("change_label"), detail.alias("change_detail"), delta.alias("delta"), headline.alias("headline"),
         (F.col("z_score") > 5).alias("high_severity"))
 
 

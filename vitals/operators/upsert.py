@@ -13,19 +13,18 @@ the partitions present in the batch (dynamic partition overwrite).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def first_per_key(df: DataFrame, key: list[str], order_cols: list[str]) -> DataFrame:
     """Deterministic ``dropDuplicates``: the first row per key by ``order_cols``.
 
-    ``min_by`` is a partial aggregate, so duplicates of a hot key are already
-    folded map-side, before the shuffle.
+    The filter on ``row_number`` keeps one row per key and task before the shuffle
+    (``WindowGroupLimit``), so duplicates of a hot key are not sent.
     """
-    vals = [c for c in df.columns if c not in key]
-    g = df.groupBy(*key).agg(F.min_by(F.struct(*vals), F.struct(*order_cols)).alias("_r"))
-    return g.select(*key, "_r.*").select(*df.columns)
+    w = Window.partitionBy(*key).orderBy(*order_cols)
+    return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
 def upsert_ignore(target: DataFrame, batch: DataFrame, key: list[str],
@@ -47,12 +46,13 @@ def upsert_partial(versions: DataFrame, key: list[str], version_col: str,
                    update_cols: list[str]) -> DataFrame:
     """Fold all versions of a row: ``update_cols`` from the latest version,
     every other column from the first one (NULL values are kept as values)."""
-    others = [c for c in versions.columns if c not in key and c not in update_cols]
-    aggs = ([F.max_by(c, version_col).alias(c) for c in update_cols if c != version_col]
-            + [F.min_by(c, version_col).alias(c) for c in others if c != version_col]
-            + [F.max(version_col).alias(version_col)])
-    out = versions.groupBy(*key).agg(*aggs)
-    return out.select(*versions.columns)
+    others = [c for c in versions.columns if c not in key and c not in update_cols and c != version_col]
+    newest = Window.partitionBy(*key).orderBy(F.col(version_col).desc())
+    whole = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # one shuffle and one sort: the newest row, with the other columns of the oldest
+    out = versions.withColumn("_place", F.row_number().over(newest)).withColumn(
+        "_oldest", F.last(F.struct(*others)).over(whole)).where("_place = 1")
+    return out.select(*[F.col(f"_oldest.{c}").alias(c) if c in others else F.col(c) for c in versions.columns])
 
 
 def write_replace(df: DataFrame, path: str, partition_col: str = "date") -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.integrity import RULES
 from ..sources import bindings as B
 from ..sources import tables as _tables
 from . import oracle as O
@@ -631,6 +632,9 @@ _SHORT = "split_part(repo, '/', 2)"
     "CASE WHEN baseline IS NULL OR baseline = 0 THEN NULL "
     f"WHEN {_M} >= 2 OR {_M} > 1.1 OR {_M} < 0.9 THEN {_OBS} || ' vs ' || {_BASE} || ' typical' "
     f"ELSE 'vs ' || {_BASE} || ' typical' END AS change_detail, "
+    "CASE WHEN baseline IS NULL OR baseline = 0 THEN '' "
+    f"WHEN {_M} >= 2 THEN '↑' || {_T.format(x=_M)} || '×' WHEN {_M} > 1 THEN '↑' || {_P.format(x=_M + ' - 1')} || '%' "
+    f"WHEN {_M} < 1 THEN '↓' || {_P.format(x='1 - ' + _M)} || '%' ELSE '' END AS delta, "
     "CASE anomaly_type "
     f"WHEN 'pr_slowdown' THEN CASE WHEN {_MX} <> '' THEN {_SHORT} || ': PR merge time was ' || {_MX} "
     f"|| ' slower than normal' ELSE {_SHORT} || ': PR merge time anomaly detected' END "
@@ -795,73 +799,44 @@ def q_statement_audit(spark, sf):
     return statement_audit(_tables.table(spark, sf, "conversations"), "text", ["conv_id", "turn"])
 
 
-_RULES_SQL = [
-    ("events", "pk_id_unique",
-     "SELECT count(*) AS n FROM (SELECT id FROM bound_events GROUP BY id HAVING count(*) > 1)"),
-    ("events", "not_null",
-     "SELECT count(*) FILTER (WHERE id IS NULL OR type IS NULL OR repo_name IS NULL OR created_at IS NULL) "
-     "AS n FROM bound_events"),
-    ("repo_metrics_daily", "unique_repo_date",
-     "SELECT count(*) AS n FROM (SELECT 1 FROM daily_metrics GROUP BY repo_name, date HAVING count(*) > 1)"),
-    ("github_artifacts", "unique_repo_type_number",
-     "SELECT count(*) AS n FROM (SELECT 1 FROM bound_artifacts GROUP BY repo_name, type, number "
-     "HAVING count(*) > 1)"),
-    ("github_artifacts", "check_type",
-     "SELECT count(*) FILTER (WHERE type NOT IN ('issue', 'pull_request')) AS n FROM bound_artifacts"),
-    ("artifact_chunks", "unique_artifact_chunk",
-     "SELECT count(*) AS n FROM (SELECT 1 FROM doc_chunks GROUP BY artifact_id, chunk_index "
-     "HAVING count(*) > 1)"),
-    ("artifact_chunks", "fk_artifact",
-     "SELECT count(*) AS n FROM doc_chunks WHERE artifact_id NOT IN (SELECT artifact_id FROM doc_artifacts)"),
-    ("anomalies", "check_type",
-     "SELECT count(*) FILTER (WHERE anomaly_type NOT IN ('issue_spike', 'pr_slowdown', 'star_spike')) AS n "
-     "FROM bound_anomalies"),
-    ("anomalies", "check_status",
-     "SELECT count(*) FILTER (WHERE status NOT IN ('pending', 'investigating', 'done')) AS n FROM bound_anomalies"),
-    ("investigation_reports", "check_confidence",
-     "SELECT count(*) FILTER (WHERE confidence NOT IN ('high', 'medium', 'low')) AS n FROM bound_reports"),
-    ("investigation_reports", "fk_anomaly",
-     "SELECT count(*) AS n FROM bound_reports WHERE anomaly_id NOT IN (SELECT id FROM bound_anomalies)"),
-    ("report_citations", "check_type",
-     "SELECT count(*) FILTER (WHERE citation_type NOT IN ('sql_result', 'artifact_chunk', 'release_note')) "
-     "AS n FROM bound_citations"),
-    ("report_citations", "fk_report",
-     "SELECT count(*) AS n FROM bound_citations WHERE report_id NOT IN (SELECT id FROM bound_reports)"),
-    ("embeddings", "fk_document",
-     "SELECT count(*) AS n FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)"),
-]
+_RULE_VIEWS = {
+    "repos": "SELECT range + 1 AS id, 'org/repo' || CAST(range AS VARCHAR) AS name FROM range(0, 10)",
+    "events": "bound_events", "repo_metrics_daily": "daily_metrics", "github_artifacts": "bound_artifacts",
+    "artifact_chunks": "doc_chunks", "documents": "doc_artifacts", "anomalies": "bound_anomalies",
+    "investigation_reports": "bound_reports", "report_citations": "bound_citations", "embeddings": "embeddings",
+}
+
+
+def _rule_sql(r) -> str:
+    """The count of one rule in plain SQL, over the view of its table."""
+    view = lambda t: f"({_RULE_VIEWS[t]})" if " " in _RULE_VIEWS[t] else _RULE_VIEWS[t]
+    c = r.columns[0]
+    if r.kind == "not_null":
+        return f"SELECT count(*) AS n FROM {view(r.table)} WHERE {c} IS NULL"
+    if r.kind == "check":
+        return f"SELECT count(*) AS n FROM {view(r.table)} WHERE {c} NOT IN ({', '.join(repr(v) for v in r.values)})"
+    if r.kind == "unique":
+        known = " AND ".join(f"{x} IS NOT NULL" for x in r.columns)
+        return (f"SELECT count(*) AS n FROM (SELECT 1 FROM {view(r.table)} WHERE {known} "
+                f"GROUP BY {', '.join(r.columns)} HAVING count(*) > 1)")
+    return (f"SELECT count(*) AS n FROM {view(r.table)} WHERE {c} IS NOT NULL AND {c} NOT IN "
+            f"(SELECT {r.parent[1]} FROM {view(r.parent[0])} WHERE {r.parent[1]} IS NOT NULL)")
 
 
 @register("constraint_violations", O.sql(" UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{r}' AS rule, CAST(n AS BIGINT) AS violations FROM ({q})"
-    for t, r, q in _RULES_SQL),
+    f"SELECT '{r.table}' AS table_name, '{r.name}' AS rule, CAST(n AS BIGINT) AS violations FROM ({_rule_sql(r)})"
+    for r in RULES),
     "bound_events", "daily_metrics", "bound_artifacts", "doc_chunks", "doc_artifacts", "bound_anomalies",
     "bound_reports", "bound_citations"))
 def q_constraint_violations(spark, sf):
-    from ..operators.checks import constraint_violations, duplicate_keys, not_in, orphans, rows_where
-    from ..schemas import ANOMALY_STATUSES, ANOMALY_TYPES, CITATION_TYPES, CONFIDENCES
-    ev, daily, art = _events(spark, sf), _daily(spark, sf), _artifacts(spark, sf)
-    chunks, docart = _doc_chunks(spark, sf), B.load(spark, sf, "doc_artifacts")
-    an, rep, cit = _anoms(spark, sf), _reports(spark, sf), _citations(spark, sf)
-    emb, docs = _tables.table(spark, sf, "embeddings"), _tables.table(spark, sf, "documents")
-    c = F.col
-    return constraint_violations([
-        ("events", "pk_id_unique", duplicate_keys(ev, ["id"])),
-        ("events", "not_null", rows_where(ev, c("id").isNull() | c("type").isNull() | c("repo_name").isNull()
-                                          | c("created_at").isNull())),
-        ("repo_metrics_daily", "unique_repo_date", duplicate_keys(daily, ["repo_name", "date"])),
-        ("github_artifacts", "unique_repo_type_number", duplicate_keys(art, ["repo_name", "type", "number"])),
-        ("github_artifacts", "check_type", rows_where(art, not_in(c("type"), ["issue", "pull_request"]))),
-        ("artifact_chunks", "unique_artifact_chunk", duplicate_keys(chunks, ["artifact_id", "chunk_index"])),
-        ("artifact_chunks", "fk_artifact", orphans(chunks, "artifact_id", docart, "artifact_id")),
-        ("anomalies", "check_type", rows_where(an, not_in(c("anomaly_type"), ANOMALY_TYPES))),
-        ("anomalies", "check_status", rows_where(an, not_in(c("status"), ANOMALY_STATUSES))),
-        ("investigation_reports", "check_confidence", rows_where(rep, not_in(c("confidence"), CONFIDENCES))),
-        ("investigation_reports", "fk_anomaly", orphans(rep, "anomaly_id", an, "id")),
-        ("report_citations", "check_type", rows_where(cit, not_in(c("citation_type"), CITATION_TYPES))),
-        ("report_citations", "fk_report", orphans(cit, "report_id", rep, "id")),
-        ("embeddings", "fk_document", orphans(emb, "vec_id", docs, "doc_id")),
-    ])
+    """All integrity rules over all tables, one scan per table; the chunks are those of the stored chunk table."""
+    from ..operators.integrity import constraint_violations
+    return constraint_violations({
+        "repos": B.repos(spark), "events": _events(spark, sf), "repo_metrics_daily": _daily(spark, sf),
+        "github_artifacts": _artifacts(spark, sf), "artifact_chunks": _chunk_vecs(spark, sf),
+        "documents": B.load(spark, sf, "doc_artifacts"), "anomalies": _anoms(spark, sf),
+        "investigation_reports": _reports(spark, sf), "report_citations": _citations(spark, sf),
+        "embeddings": _tables.table(spark, sf, "embeddings")})
 
 
 # ============================================================================ streaming

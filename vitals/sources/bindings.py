@@ -104,6 +104,11 @@ def raw_events(events: DataFrame) -> DataFrame:
     )
 
 
+def repos(spark: SparkSession) -> DataFrame:
+    """The watched repositories (id, name)."""
+    return spark.range(N_REPOS).select((F.col("id") + 1).alias("id"), _repo_of(F.col("id")).alias("name"))
+
+
 # --------------------------------------------------------------------------- artifacts
 
 def bound_artifacts(events: DataFrame, documents: DataFrame) -> DataFrame:
