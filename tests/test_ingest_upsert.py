@@ -94,7 +94,7 @@ def test_feed_and_detail_sinks(spark, tmp_path):
     from vitals.operators.reports import (flatten_citations, latest_reports, read_details, report_detail, write_details,
                                           write_feed)
     from vitals.sources import bindings as B
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     feed = REGISTRY["report_feed"][0](spark, sf)
     write_feed(feed, str(tmp_path / "feed"))
     back = spark.read.json(str(tmp_path / "feed"))

@@ -5,8 +5,10 @@ anomaly at once, emitted as typed citation rows.
                      window mean) next to baseline / observed.
 * ``artifact_chunk`` the slowest PRs closed in the window (pr_slowdown only),
                      then, for every type, the hybrid-search hits for all terms
-                     of the slowest PR's title (and their vector); a window
-                     without a closed PR has no search.
+                     of the slowest PR's title (and their vector). Where no PR closed
+                     in the window, any of the five rarest terms of its releases' tags and
+                     of the titles of PRs opened in it, else the words of
+                     the anomaly's type.
 * ``release_note``   releases published inside the window, newest first.
 
 Window membership is an equi-join on (repo_name, day) over the window's
@@ -23,6 +25,7 @@ from ..functions.text import query_terms_expr
 from .artifacts import releases, slow_prs, top_k, window_days
 from .detect import metric_long
 from .embedding import embed_text
+from .fulltext import build_directory, build_lists
 from .retrieval import hybrid_search
 
 GITHUB = "https://github.com/"
@@ -77,11 +80,16 @@ def evidence_bundle(anomalies: DataFrame, daily: DataFrame, artifacts: DataFrame
         F.concat(F.lit(GITHUB), F.col("repo_name"), F.lit("/releases/tag/"), F.col("tag")).alias("source_url"),
         F.left(F.col("notes"), F.lit(100)).alias("excerpt"))
 
-    # artifact_chunk: hybrid hits for a query built from the slowest PR
-    q = prs.filter(F.col("rank") == 1).select(
+    # artifact_chunk: hybrid hits for a query built from the slowest PR, or from the window itself
+    lists = lists if lists is not None else build_lists(chunks)
+    directory = directory if directory is not None else build_directory(chunks)
+    slowest = prs.where((F.col("rank") == 1) & (F.size(query_terms_expr(F.col("title"))) > 0)).select(
         F.col("anomaly_id").alias("query_id"), "repo_name",
-        F.array_join(query_terms_expr(F.col("title")), " ").alias("query_text"))
-    q = embed_text(q, "query_text", "query_vec").checkpoint()
+        F.array_join(query_terms_expr(F.col("title")), " ").alias("words"), F.lit(False).alias("any"))
+    q = slowest.unionByName(_window_queries(
+        a.join(slowest.select(F.col("query_id").alias("anomaly_id")), "anomaly_id", "left_anti"), days, rj, artifacts, lists))
+    q = embed_text(q, "words", "query_vec").withColumn(
+        "query_text", F.when(F.col("any"), F.replace("words", F.lit(" "), F.lit(" or "))).otherwise(F.col("words"))).checkpoint()
     hits = hybrid_search(q, chunks, k_hits, lists=lists, directory=directory)
     hit_rows = hits.select(
         F.col("query_id").alias("anomaly_id"), F.lit("search").alias("source"), "rank",
@@ -89,3 +97,20 @@ def evidence_bundle(anomalies: DataFrame, daily: DataFrame, artifacts: DataFrame
         F.left(F.col("excerpt"), F.lit(100)).alias("excerpt"))
 
     return sql_rows.unionByName(pr_rows).unionByName(rel_rows).unionByName(hit_rows)
+
+
+def _window_queries(anomalies: DataFrame, days: DataFrame, released: DataFrame, artifacts: DataFrame,
+                    lists: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, repo_name, words, any): the ``k`` terms with the fewest chunks, else the words of the type."""
+    own = days.join(anomalies.select("anomaly_id"), "anomaly_id", "left_semi")
+    tags = released.join(anomalies.select("anomaly_id"), "anomaly_id", "left_semi").select(
+        "anomaly_id", F.explode(query_terms_expr(F.col("tag"))).alias("term"))
+    opened = artifacts.select("repo_name", F.to_date("created_at").alias("day"), "title")
+    titles = own.join(opened, ["repo_name", "day"]).select("anomaly_id", F.explode(query_terms_expr(F.col("title"))).alias("term"))
+    terms = tags.unionByName(titles).distinct()
+    df = lists.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    rare = top_k(terms.join(df, "term"), ["anomaly_id"], [F.col("df").asc(), F.col("term").asc()], k, "place")
+    words = rare.groupBy("anomaly_id").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("rare"))
+    return anomalies.join(words, "anomaly_id", "left").select(
+        F.col("anomaly_id").alias("query_id"), "repo_name",
+        F.coalesce("rare", F.replace("anomaly_type", F.lit("_"), F.lit(" "))).alias("words"), F.lit(True).alias("any"))

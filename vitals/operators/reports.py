@@ -7,7 +7,7 @@ citations table is grouped once by report id and joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,6 +146,20 @@ def write_feed(feed: DataFrame, path: str) -> None:
     feed_order(feed).write.mode("overwrite").json(path)
 
 
+def read_feed_order(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The stored feed with a place per row: lines count on along the part files (one size per file is gathered)."""
+    file = F.col("_metadata.file_path")
+    rows = spark.read.schema(schema).json(path).select("*", file.alias("file"), F.monotonically_increasing_id().alias("line"))
+    sizes = {r["file"]: r["n"] for r in rows.groupBy("file").agg(F.count("*").alias("n")).collect()}
+    before, start = 0, []
+    for name in sorted(sizes):
+        start.append((name, before))
+        before += sizes[name]
+    base = spark.createDataFrame(start or [("", 0)], "file string, before long")
+    w = Window.partitionBy("file").orderBy("line")
+    return rows.join(base, "file").withColumn("place", F.col("before") + F.row_number().over(w)).drop("file", "line", "before")
+
+
 DETAIL_SPAN = 10_000
 
 

@@ -171,19 +171,19 @@ def detection_sql(window_end, z_threshold: float, final: str) -> str:
     return f"{head},{body}{final}"
 
 
-def backfill_sql(first_end, last_end, z_threshold: float, final: str, *extra: str) -> str:
-    """All window ends in [first_end, last_end], exposed as CTE ``backfill``."""
-    body = f"""
-  fan AS (
+BACKFILL_FIRST, BACKFILL_LAST = "2024-01-01", "2024-01-30"
+
+cte("fan2", f"""
+  SELECT * FROM (
     SELECT m.*, CAST(m.date + INTERVAL (o.off) DAY AS DATE) AS window_end, o.off >= 7 AS is_prior
     FROM metric_long m, (SELECT range AS off FROM range(0, 35)) o
-    WHERE m.date BETWEEN {shift(first_end, -34)} AND {d(last_end)}),
-  fan2 AS (SELECT * FROM fan WHERE window_end BETWEEN {d(first_end)} AND {d(last_end)}),
-  bmed AS (
-    SELECT repo_name, anomaly_type, metric_name, window_end,
-           median(value) FILTER (WHERE is_prior) AS baseline_value
-    FROM fan2 GROUP BY 1, 2, 3, 4),
-  bscored AS (
+    WHERE m.date BETWEEN {shift(BACKFILL_FIRST, -34)} AND {d(BACKFILL_LAST)})
+  WHERE window_end BETWEEN {d(BACKFILL_FIRST)} AND {d(BACKFILL_LAST)}""", "metric_long")
+cte("bmed", """
+  SELECT repo_name, anomaly_type, metric_name, window_end, median(value) FILTER (WHERE is_prior) AS baseline_value
+  FROM fan2 GROUP BY 1, 2, 3, 4""", "fan2")
+cte("bz", f"""
+  SELECT *, {z_expr()} AS z_score, CAST(window_end - INTERVAL 6 DAY AS DATE) AS window_start FROM (
     SELECT f.repo_name, f.anomaly_type, f.metric_name, f.window_end,
            any_value(f.min_baseline) AS min_baseline,
            count(f.value) FILTER (WHERE f.is_prior) AS n_prior,
@@ -192,20 +192,27 @@ def backfill_sql(first_end, last_end, z_threshold: float, final: str, *extra: st
            median(abs(f.value - m.baseline_value)) FILTER (WHERE f.is_prior) AS mad,
            coalesce(avg(f.value) FILTER (WHERE NOT f.is_prior), 0.0) AS observed_value
     FROM fan2 f JOIN bmed m USING (repo_name, anomaly_type, metric_name, window_end)
-    GROUP BY 1, 2, 3, 4),
-  bz AS (SELECT *, {z_expr()} AS z_score FROM bscored),
+    GROUP BY 1, 2, 3, 4)""", "fan2", "bmed")
+
+
+def backfill_sql(z_threshold: float, final: str, *extra: str) -> str:
+    """The audit of every window end of the data, exposed as CTE ``backfill``."""
+    body = f"""
   backfill AS (
-    SELECT repo_name, anomaly_type, metric_name,
-           CAST(window_end - INTERVAL 6 DAY AS DATE) AS window_start, window_end,
+    SELECT repo_name, anomaly_type, metric_name, window_start, window_end,
            n_prior, n_recent, baseline_value, mad, observed_value, z_score,
            {status_expr(z_threshold)} AS status
     FROM bz)
 """
-    base = sql("SELECT 1", "metric_long", *extra)
+    base = sql("SELECT 1", "bz", *extra)
     head = base[: base.rfind("\nSELECT 1")]
     return f"{head},{body}{final}"
 
 
+def anomaly_id(repo: str, kind: str, window_end: str) -> str:
+    return f"CAST('0x' || substr(md5({repo} || '|' || {kind} || '|' || CAST({window_end} AS VARCHAR)), 1, 12) AS BIGINT)"
+
+
 def artifacts_cte(name: str, cutoff: str | None = None) -> None:
     """``bound_artifacts`` over events before ``cutoff`` (all when None)."""
     where = f" AND created_at < TIMESTAMP '{cutoff}'" if cutoff else ""
@@ -233,18 +240,12 @@ artifacts_cte("bound_artifacts")
 
 # --------------------------------------------------------------------------- anomalies, reports, cases
 
-cte("bound_anomalies", """
-  SELECT id, 'org/repo' || CAST(id % 10 AS VARCHAR) AS repo_name,
-         ['pr_slowdown', 'issue_spike', 'star_spike'][id % 3 + 1] AS anomaly_type,
-         TIMESTAMP '2024-01-31 00:00:00' AS detected_at,
-         CAST(DATE '2024-01-30' - INTERVAL (id % 14) DAY - INTERVAL 6 DAY AS DATE) AS window_start,
-         CAST(DATE '2024-01-30' - INTERVAL (id % 14) DAY AS DATE) AS window_end,
-         CASE id % 3 WHEN 0 THEN 'pr_median_merge_hours' WHEN 1 THEN 'issue_opened' ELSE 'star_count' END
-           AS metric_name,
-         CAST(1 + id % 7 AS DOUBLE) AS baseline_value,
-         CAST(1 + id % 7 AS DOUBLE) * (1 + (id % 9) / 2.0) AS observed_value,
-         (id % 17) / 2.0 AS z_score, 'pending' AS status
-  FROM (SELECT range AS id FROM range(0, 50))""")
+cte("bound_anomalies", f"""
+  SELECT {anomaly_id('repo_name', 'anomaly_type', 'window_end')} AS id, repo_name, anomaly_type,
+         CAST(window_end + INTERVAL 1 DAY AS TIMESTAMP) AS detected_at, window_start, window_end, metric_name,
+         round(baseline_value, 6) AS baseline_value, round(observed_value, 6) AS observed_value,
+         round(z_score, 6) AS z_score, 'pending' AS status
+  FROM bz WHERE {status_expr(1.5)} = 'anomaly'""", "bz")
 
 # --------------------------------------------------------------------------- chunks and search
 
@@ -346,9 +347,9 @@ def ranked_cte(name: str, pairs: str, score: str, asc: bool, limit: int) -> None
   QUALIFY rank <= {limit}""", pairs)
 
 
-def search_ctes(p: str, q_terms: str, q_vecs: str, limit: int = 20) -> None:
+def search_ctes(p: str, q_terms: str, q_vecs: str, limit: int = 20, any_of: str | None = None) -> None:
     """Vector and BM25 legs for a query set: ``{p}v_ranked``, ``{p}t_ranked``
-    (chunks with all terms) and ``{p}a_ranked`` (chunks with any term)."""
+    (chunks with all terms, for queries of ``any_of`` with any) and ``{p}a_ranked`` (chunks with any term)."""
     cte(p + "v_pairs", f"""
   SELECT q.query_id, c.artifact_url, c.artifact_id, c.chunk_index, c.text,
          CAST(1 AS DOUBLE) - list_dot_product(c.embedding, q.query_vec) / sqrt(
@@ -373,7 +374,8 @@ def search_ctes(p: str, q_terms: str, q_vecs: str, limit: int = 20) -> None:
        JOIN doc_chunks c ON c.artifact_id = h.artifact_id AND c.chunk_index = h.chunk_index,
        c_stats s
   GROUP BY 1, 2, 3, 4""", p + "t_hits", p + "t_df", p + "q_n", "c_stats", "doc_chunks")
-    cte(p + "t_pairs", f"  SELECT * FROM {p}a_pairs WHERE matched = n_terms", p + "a_pairs")
+    some = f" OR query_id IN (SELECT query_id FROM {any_of})" if any_of else ""
+    cte(p + "t_pairs", f"  SELECT * FROM {p}a_pairs WHERE matched = n_terms{some}", p + "a_pairs", *([any_of] if any_of else []))
     ranked_cte(p + "a_ranked", p + "a_pairs", "score", False, limit)
     ranked_cte(p + "t_ranked", p + "t_pairs", "score", False, limit)
 
@@ -414,8 +416,12 @@ cte("comments_agg", """
 
 # --------------------------------------------------------------------------- reports and cases
 
-cte("bound_reports", """
-  SELECT doc_id AS id, doc_id % 40 AS anomaly_id,
+_DOC_REPO = "'org/repo' || CAST((doc_id // 100) % 10 AS VARCHAR)"
+_DOC_ANOMALY = anomaly_id(_DOC_REPO, "['pr_slowdown', 'issue_spike', 'star_spike'][(doc_id // 10) % 3 + 1]",
+                          "CAST(DATE '2024-01-30' - INTERVAL (doc_id % 10) DAY AS DATE)")
+
+cte("bound_reports", f"""
+  SELECT doc_id AS id, {_DOC_ANOMALY} AS anomaly_id, {_DOC_REPO} AS doc_repo,
          TIMESTAMP '2024-02-01 00:00:00' + INTERVAL (doc_id) MINUTE AS created_at,
          string_split(text, chr(10))[1] AS summary,
          coalesce(string_split(text, chr(10))[2], '') AS root_cause,
@@ -430,7 +436,7 @@ cte("bound_reports", """
 cte("bound_citations", """
   SELECT id AS report_id, anomaly_id, CAST(i AS BIGINT) AS pos,
          CASE WHEN i < 3 THEN 'artifact_chunk' ELSE 'sql_result' END AS citation_type,
-         CASE WHEN i < 3 THEN 'https://github.com/org/repo' || CAST(anomaly_id % 10 AS VARCHAR) || '/pull/'
+         CASE WHEN i < 3 THEN 'https://github.com/' || doc_repo || '/pull/'
                               || CAST((anomaly_id * 7 + (i + id % 3) * 13) % 100 AS VARCHAR)
               ELSE 'SQL: daily metrics' END AS source_url,
          CASE WHEN i < 3 THEN substring(text, CAST(i * 50 + 1 AS INTEGER), 100) ELSE left(text, 60) END AS excerpt
@@ -455,22 +461,15 @@ cte("feed", """
                            WHERE citation_type IS NOT NULL GROUP BY 1) c ON c.report_id = l.id""",
     "latest", "bound_citations")
 
-cte("bound_cases", """
-  SELECT 'case_' || CAST(id AS VARCHAR) AS id, id AS anomaly_ref, 'org/repo' || CAST(id % 10 AS VARCHAR) AS repo_name,
-         ['pr_slowdown', 'issue_spike', 'star_spike'][id % 3 + 1] AS anomaly_type,
-         CASE id % 3 WHEN 0 THEN 'pr_median_merge_hours' WHEN 1 THEN 'issue_opened' ELSE 'star_count' END AS metric_name,
-         CAST(DATE '2024-01-30' - INTERVAL (id % 14) DAY - INTERVAL 6 DAY AS DATE) AS window_start,
-         CAST(DATE '2024-01-30' - INTERVAL (id % 14) DAY AS DATE) AS window_end,
+cte("bound_cases", f"""
+  SELECT 'case_' || CAST(id AS VARCHAR) AS id, id AS anomaly_ref, repo_name, anomaly_type, metric_name, window_start, window_end,
          CASE WHEN id % 6 = 4 THEN CAST([] AS VARCHAR[]) ELSE
-           [ 'https://github.com/org/repo' || CAST(id % 10 AS VARCHAR) || '/pull/' || CAST((id * 7) % 100 AS VARCHAR),
-             'https://github.com/org/repo' || CAST(id % 10 AS VARCHAR) || '/pull/' || CAST((id * 7 + 13) % 100 AS VARCHAR),
-             'https://github.com/org/repo' || CAST(id % 10 AS VARCHAR) || '/pull/' || CAST((id * 7 + 26) % 100 AS VARCHAR)]
+           list_transform([0, 13, 26], lambda j: 'https://github.com/' || repo_name || '/pull/' || CAST((id * 7 + j) % 100 AS VARCHAR))
          END AS expected_evidence_urls,
          CASE WHEN id % 2 = 0 THEN ['high', 'medium'] ELSE ['low', 'medium'] END AS expected_confidences,
-         CAST(1 + id % 7 AS DOUBLE) AS baseline_value,
-         CAST(1 + id % 7 AS DOUBLE) * (1 + (id % 9) / 2.0) AS observed_value,
-         (id % 17) / 2.0 AS z_score
-  FROM (SELECT range AS id FROM range(0, 60))""")
+         round(baseline_value, 6) AS baseline_value, round(observed_value, 6) AS observed_value, round(z_score, 6) AS z_score
+  FROM (SELECT *, {anomaly_id('repo_name', 'anomaly_type', 'window_end')} AS id FROM bz WHERE {status_expr(1.0)} = 'anomaly')""",
+    "bz")
 
 cte("resolved", """
   SELECT c.*, a.id AS anomaly_id, r.id AS report_id, r.confidence, r.tool_calls_used, r.duration_seconds,
@@ -512,11 +511,31 @@ cte("slow", """
            AND CAST(g.closed_at AS DATE) BETWEEN a.window_start AND a.window_end))
   WHERE rank <= 10""", "bound_anomalies", "bound_artifacts")
 
-cte("ev_q_tok", f"""
-  SELECT anomaly_id, repo_name, unnest(tk) AS term
-  FROM (SELECT anomaly_id, repo_name, {toks('title')} AS tk FROM slow WHERE rank = 1)""", "slow")
+cte("ev_titles", f"""
+  SELECT DISTINCT anomaly_id, repo_name, unnest({toks('title')}) AS term FROM slow WHERE rank = 1""", "slow")
+cte("ev_lack", """
+  SELECT a.* FROM bound_anomalies a WHERE a.id NOT IN (SELECT anomaly_id FROM ev_titles)""", "bound_anomalies", "ev_titles")
+cte("ev_own", f"""
+  SELECT DISTINCT id, repo_name, term FROM (
+    SELECT l.id, l.repo_name, unnest({toks('e.release_tag')}) AS term
+    FROM ev_lack l JOIN bound_events e ON e.repo_name = l.repo_name AND e.type = 'ReleaseEvent'
+     AND CAST(e.created_at AS DATE) BETWEEN l.window_start AND l.window_end
+    UNION ALL
+    SELECT l.id, l.repo_name, unnest({toks('g.title')}) AS term
+    FROM ev_lack l JOIN bound_artifacts g ON g.repo_name = l.repo_name
+     AND CAST(g.created_at AS DATE) BETWEEN l.window_start AND l.window_end)""", "ev_lack", "bound_events", "bound_artifacts")
+cte("ev_rare", """
+  SELECT id, repo_name, term FROM (
+    SELECT o.*, row_number() OVER (PARTITION BY o.id ORDER BY f.df, o.term) AS place
+    FROM ev_own o JOIN (SELECT term, count(DISTINCT (artifact_id, chunk_index)) AS df FROM c_post GROUP BY 1) f USING (term))
+  WHERE place <= 5""", "ev_own", "c_post")
+cte("ev_any", """
+  SELECT id AS query_id, repo_name, term FROM ev_rare
+  UNION
+  SELECT id, repo_name, unnest(string_split(anomaly_type, '_')) FROM ev_lack WHERE id NOT IN (SELECT id FROM ev_rare)""",
+    "ev_lack", "ev_rare")
 cte("ev_q_terms", """
-  SELECT DISTINCT anomaly_id AS query_id, repo_name, term FROM ev_q_tok""", "ev_q_tok")
+  SELECT anomaly_id AS query_id, repo_name, term FROM ev_titles UNION ALL SELECT * FROM ev_any""", "ev_titles", "ev_any")
 query_vectors("ev_q_vecs", "ev_q_terms")
-search_ctes("ev_", "ev_q_terms", "ev_q_vecs")
+search_ctes("ev_", "ev_q_terms", "ev_q_vecs", any_of="ev_any")
 cte("ev_hits", hybrid_sql("ev_", 5, "query_id, rank, artifact_url, excerpt"), "ev_v_ranked", "ev_t_ranked")

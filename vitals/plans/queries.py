@@ -19,8 +19,8 @@ from ..sources import tables as _tables
 from . import oracle as O
 
 WINDOW_END = "2024-01-30"
-BACKFILL_FIRST, BACKFILL_LAST = "2024-01-01", "2024-01-30"
-LOW_Z = 1.5
+BACKFILL_FIRST, BACKFILL_LAST = O.BACKFILL_FIRST, O.BACKFILL_LAST
+LOW_Z = B.LOW_Z
 DP = 6
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -117,7 +117,7 @@ def q_detect_anomalies(spark, sf):
 
 
 @register("detect_backfill", O.backfill_sql(
-    BACKFILL_FIRST, BACKFILL_LAST, 3.5, "SELECT " + _AUDIT_COLS + " FROM backfill"))
+    3.5, "SELECT " + _AUDIT_COLS + " FROM backfill"))
 def q_detect_backfill(spark, sf):
     from ..operators.detect import detect_backfill
     return rounded(detect_backfill(_daily(spark, sf), BACKFILL_FIRST, BACKFILL_LAST, 3.5))
@@ -367,8 +367,8 @@ def q_unenriched_windows(spark, sf):
 
 @register("investigation_queue", O.sql(
     "SELECT id, repo_name, anomaly_type, z_score FROM bound_anomalies "
-    "WHERE id NOT IN (SELECT doc_id % 40 FROM documents) ORDER BY z_score DESC, id LIMIT 5",
-    "bound_anomalies"))
+    "WHERE id NOT IN (SELECT anomaly_id FROM bound_reports) ORDER BY z_score DESC, id LIMIT 5",
+    "bound_anomalies", "bound_reports"))
 def q_investigation_queue(spark, sf):
     from ..operators.artifacts import investigation_queue
     return investigation_queue(_anoms(spark, sf), B.load(spark, sf, "reports"), 5)
@@ -551,6 +551,42 @@ def q_report_contract(spark, sf):
     return report_contract(_reports(spark, sf))
 
 
+@register("artifact_labels", O.sql(
+    "SELECT artifact_id, CASE WHEN doc.doc_id IS NULL THEN '[]' ELSE '[\"' || doc.lang || '\",\"' || doc.source || '\"]' END AS labels "
+    "FROM bound_artifacts g LEFT JOIN documents doc ON doc.doc_id = g.artifact_id", "bound_artifacts"))
+def q_artifact_labels(spark, sf):
+    """Label objects of the artifacts as a JSON array of their names."""
+    return _artifacts(spark, sf).select("artifact_id", "labels")
+
+
+@register("golden_cases", O.sql(
+    "SELECT id, repo_name AS repo, anomaly_type, metric_name, window_start, window_end, "
+    "array_to_string(expected_evidence_urls, ' ') AS expected_urls, array_to_string(expected_confidences, ' ') AS confidences, "
+    "z_score, baseline_value, observed_value FROM bound_cases", "bound_cases"))
+def q_golden_cases(spark, sf):
+    """The golden cases written as multi-line JSON arrays, one per file, and read back by the golden-case source."""
+    from ..session import scratch_path
+    from ..sources.event_files import read_golden_cases, write_golden_cases
+    path = scratch_path(spark, "golden-cases")
+    write_golden_cases(_cases(spark, sf).drop("anomaly_ref"), path)
+    return read_golden_cases(spark, path).select(
+        "id", "repo", "anomaly_type", "metric_name", "window_start", "window_end",
+        F.array_join("expected_evidence_urls", " ").alias("expected_urls"),
+        F.array_join("expected_confidences", " ").alias("confidences"), "z_score", "baseline_value", "observed_value")
+
+
+@register("feed_order", O.sql(
+    "SELECT row_number() OVER (ORDER BY window_end DESC, anomaly_id) AS place, id, anomaly_id, window_end FROM feed", "feed"))
+def q_feed_order(spark, sf):
+    """The feed as its sink stores it: part files in order, and a place per line counted along them."""
+    from ..operators.reports import read_feed_order, write_feed
+    from ..session import scratch_path
+    path = scratch_path(spark, "feed")
+    feed = _feed(spark, sf)
+    write_feed(feed, path)
+    return read_feed_order(spark, path, feed.schema).select("place", "id", "anomaly_id", "window_end")
+
+
 @register("flatten_citations", O.sql(
     "SELECT report_id, anomaly_id, pos, citation_type, source_url, excerpt FROM bound_citations",
     "bound_citations"))
@@ -723,7 +759,7 @@ _NK = "a.repo_name = c.repo_name AND a.anomaly_type = c.anomaly_type AND a.windo
 
 
 @register("ensure_anomalies", O.backfill_sql(
-    BACKFILL_FIRST, BACKFILL_LAST, LOW_Z,
+    LOW_Z,
     "SELECT repo_name, anomaly_type, window_start, window_end, metric_name, round(baseline_value, 6) AS "
     "baseline_value, round(observed_value, 6) AS observed_value, round(z_score, 6) AS z_score, "
     "false AS inserted FROM backfill WHERE status = 'anomaly' UNION ALL "
@@ -904,7 +940,7 @@ def q_stream_daily_metrics(spark, sf):
 
 
 @register("stream_detect", O.backfill_sql(
-    BACKFILL_FIRST, BACKFILL_LAST, LOW_Z, "SELECT " + _AUDIT_COLS + " FROM backfill WHERE status = 'anomaly'"))
+    LOW_Z, "SELECT " + _AUDIT_COLS + " FROM backfill WHERE status = 'anomaly'"))
 def q_stream_detect(spark, sf):
     """Detect on arrival: the late-data stream re-scores every window end its
     refreshed days reach; the anomaly rows equal a full backfill."""

@@ -122,8 +122,9 @@ def artifacts_from_events(events: DataFrame, documents: DataFrame) -> DataFrame:
 
     created_at = first open, closed_at = last close when it is later than the
     open; body = the document ``artifact_key(repo, number)`` (may be absent),
-    title = its first 80 characters.
+    title = its first 80 characters, labels = its language and source.
     """
+    from ..functions.json_paths import label_names_json
     pr = (events
           .filter(F.col("type") == "PullRequestEvent")
           .select("repo_name", "actor_login", "created_at",
@@ -136,7 +137,7 @@ def artifacts_from_events(events: DataFrame, documents: DataFrame) -> DataFrame:
               F.min_by(F.when(F.col("action") == "opened", F.col("actor_login")), opened)
               .alias("author_login"))
          .filter(F.col("created_at").isNotNull()))
-    docs = documents.select(F.col("doc_id"), F.col("text").alias("body"))
+    docs = documents.select(F.col("doc_id"), F.col("text").alias("body"), "lang", "source")
     a = g.withColumn("artifact_id", artifact_key(F.col("repo_name"), F.col("number")))
     a = a.join(docs, a["artifact_id"] == docs["doc_id"], "left")
     closed_at = F.when(F.col("last_close") > F.col("created_at"), F.col("last_close"))
@@ -145,7 +146,8 @@ def artifacts_from_events(events: DataFrame, documents: DataFrame) -> DataFrame:
         F.left("body", F.lit(80)).alias("title"), "body",
         F.when(closed_at.isNotNull(), "closed").otherwise("open").alias("state"),
         "author_login", "created_at", closed_at.alias("closed_at"),
-        F.array().cast("array<string>").alias("labels"),
+        label_names_json(F.when(F.col("doc_id").isNotNull(), F.array(
+            F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name"))))).alias("labels"),
         pr_url(F.col("repo_name"), F.col("number")).alias("url"),
     )
 
@@ -195,30 +197,41 @@ def search_queries(benchmark: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- anomalies, reports, cases
 
-def bound_anomalies(spark: SparkSession, n: int = 50) -> DataFrame:
-    """Anomaly rows 0..n-1 (ids 40.. have no report)."""
-    i = F.col("id")
-    atype = F.element_at(F.array(F.lit("pr_slowdown"), F.lit("issue_spike"), F.lit("star_spike")),
-                         (i % 3 + 1).cast("int"))
-    metric = (F.when(atype == "pr_slowdown", "pr_median_merge_hours")
-              .when(atype == "issue_spike", "issue_opened").otherwise("star_count"))
-    wend = F.date_sub(F.lit("2024-01-30").cast("date"), (i % 14).cast("int"))
-    base = (1 + i % 7).cast("double")
-    return spark.range(n).select(
-        i.alias("id"), _repo_of(i % N_REPOS).alias("repo_name"), atype.alias("anomaly_type"),
-        F.lit("2024-01-31 00:00:00").cast("timestamp_ntz").alias("detected_at"),
-        F.date_sub(wend, 6).alias("window_start"), wend.alias("window_end"),
-        metric.alias("metric_name"), base.alias("baseline_value"),
-        (base * (1 + (i % 9) / 2.0)).alias("observed_value"),
-        ((i % 17) / 2.0).alias("z_score"), F.lit("pending").alias("status"),
-    )
+LOW_Z, CASE_Z = 1.5, 1.0
+REPORT_TYPES = ["pr_slowdown", "issue_spike", "star_spike"]
+
+
+def anomaly_id(repo_name: Column, anomaly_type: Column, window_end: Column) -> Column:
+    """The id of an anomaly: 48 bits of the MD5 of its natural key."""
+    key = F.concat_ws("|", repo_name, anomaly_type, window_end.cast("string"))
+    return F.conv(F.substring(F.md5(F.encode(key, "UTF-8")), 1, 12), 16, 10).cast("long")
+
 
+def _scored(daily: DataFrame, z_threshold: float) -> DataFrame:
+    """Checks of every window end with data whose z reaches the threshold, numbers to 6 places."""
+    from ..operators.detect import detect_backfill
+    first, last = daily.agg(F.min("date"), F.max("date")).first()
+    audit = detect_backfill(daily, first, last, z_threshold).where(F.col("status") == "anomaly")
+    return audit.select(
+        anomaly_id(F.col("repo_name"), F.col("anomaly_type"), F.col("window_end")).alias("id"), "repo_name", "anomaly_type",
+        "window_start", "window_end", "metric_name",
+        *[F.round(c, 6).alias(c) for c in ("baseline_value", "observed_value", "z_score")])
 
-def _citation(doc: Column, aid: Column, i: int, text: Column) -> Column:
+
+def bound_anomalies(daily: DataFrame) -> DataFrame:
+    """The anomalies detected in the daily metrics (z >= 1.5, every window end)."""
+    return _scored(daily, LOW_Z).select(
+        "id", "repo_name", "anomaly_type",
+        F.timestamp_add("DAY", F.lit(1), F.col("window_end").cast("timestamp_ntz")).alias("detected_at"),
+        "window_start", "window_end", "metric_name", "baseline_value", "observed_value", "z_score",
+        F.lit("pending").alias("status"))
+
+
+def _citation(doc: Column, aid: Column, repo: Column, i: int, text: Column) -> Column:
     num = (aid * 7 + (F.lit(i) + doc % 3) * 13) % 100
     return F.struct(
         F.lit("artifact_chunk").alias("citation_type"),
-        pr_url(_repo_of(aid % N_REPOS), num).alias("source_url"),
+        pr_url(repo, num).alias("source_url"),
         F.substring(text, i * 50 + 1, 100).alias("excerpt"),
     )
 
@@ -226,21 +239,25 @@ def _citation(doc: Column, aid: Column, i: int, text: Column) -> Column:
 def bound_reports(documents: DataFrame) -> DataFrame:
     """Investigation reports, one per document, in the nested report shape.
 
-    anomaly_id = doc_id % 40; created 2024-02-01 + doc_id minutes; confidence
+    The anomaly is that of the document's repository, of type ``doc_id div 10 % 3`` and of the window
+    that ends ``doc_id % 10`` days before Jan 30 (not every such anomaly exists); created
+    2024-02-01 + doc_id minutes; confidence
     cycles high/medium/low/NULL; evidence = every line; no citations
     when doc_id % 5 = 0 (those break the contract), else three artifact
     citations and one SQL citation.
     """
     d, text = F.col("doc_id"), F.col("text")
-    aid = d % 40
+    repo = _repo_of(F.floor(d / 100).cast("long") % N_REPOS)
+    kind = F.element_at(F.array(*[F.lit(t) for t in REPORT_TYPES]), (F.floor(d / 10) % 3 + 1).cast("int"))
+    aid = anomaly_id(repo, kind, F.date_sub(F.lit("2024-01-30").cast("date"), (d % 10).cast("int")))
     conf = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low"),
                                 F.lit(None).cast("string")),
                         ((F.floor(d / 40) + d) % 4 + 1).cast("int"))
     lines = F.split(text, "\n")
     cites = F.when(d % 5 == 0, F.array().cast("array<struct<citation_type:string,"
                                               "source_url:string,excerpt:string>>")) \
-        .otherwise(F.array(_citation(d, aid, 0, text), _citation(d, aid, 1, text),
-                           _citation(d, aid, 2, text),
+        .otherwise(F.array(_citation(d, aid, repo, 0, text), _citation(d, aid, repo, 1, text),
+                           _citation(d, aid, repo, 2, text),
                            F.struct(F.lit("sql_result").alias("citation_type"),
                                     F.lit("SQL: daily metrics").alias("source_url"),
                                     F.left(text, F.lit(60)).alias("excerpt"))))
@@ -270,15 +287,14 @@ def stored_reports(documents: DataFrame) -> DataFrame:
         "id", "anomaly_id", F.when(F.col("id") % 11 == 7, "model stopped: no report").otherwise(raw).alias("raw_output"))
 
 
-def bound_cases(spark: SparkSession, n: int = 60) -> DataFrame:
-    """Golden cases for anomaly ids 0..n-1 (ids 50.. have no anomaly row)."""
-    a = bound_anomalies(spark, n)
+def bound_cases(daily: DataFrame) -> DataFrame:
+    """Golden cases: the checks with z >= 1.0 (those below 1.5 have no anomaly row)."""
     i = F.col("id")
     urls = F.when(i % 6 == 4, F.array().cast("array<string>")).otherwise(
         F.array(*[pr_url(F.col("repo_name"), (i * 7 + j * 13) % 100) for j in range(3)]))
     confs = F.when(i % 2 == 0, F.array(F.lit("high"), F.lit("medium"))) \
         .otherwise(F.array(F.lit("low"), F.lit("medium")))
-    return a.select(
+    return _scored(daily, CASE_Z).select(
         F.concat(F.lit("case_"), i.cast("string")).alias("id"), i.alias("anomaly_ref"),
         F.col("repo_name").alias("repo"), "anomaly_type", "metric_name",
         "window_start", "window_end", urls.alias("expected_evidence_urls"),
@@ -379,11 +395,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "queries":
         return search_queries(t("benchmark"))
     if name == "anomalies":
-        return bound_anomalies(spark)
+        return stored(spark, sf_dir, "anomalies", lambda: bound_anomalies(load(spark, sf_dir, "daily")))
     if name == "reports":
         return bound_reports(t("documents"))
     if name == "stored_reports":
         return stored_reports(t("documents"))
     if name == "cases":
-        return bound_cases(spark)
+        return stored(spark, sf_dir, "cases", lambda: bound_cases(load(spark, sf_dir, "daily")))
     raise KeyError(name)

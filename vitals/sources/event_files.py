@@ -52,3 +52,12 @@ def read_golden_cases(spark: SparkSession, path: str) -> DataFrame:
     """Golden cases stored as one multi-line JSON array."""
     from ..schemas import GOLDEN_CASE
     return spark.read.schema(GOLDEN_CASE).option("multiLine", True).json(path)
+
+
+def write_golden_cases(cases: DataFrame, path: str) -> None:
+    """Golden cases as multi-line JSON arrays, one array per part file."""
+    line = F.to_json(F.struct(*cases.columns))
+    part = F.pmod(F.xxhash64("line"), F.lit(16)).alias("part")
+    parts = cases.select(line.alias("line")).groupBy(part).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.sort_array(F.collect_list("line")), ",\n"), F.lit("\n]")).alias("value"))
+    parts.write.mode("overwrite").partitionBy("part").text(path)
