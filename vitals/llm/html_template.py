@@ -7,23 +7,26 @@ a commutative hash of (page, count), so equal vectors meet in a group-by without
 any host's pages being gathered, however many it has.
 
 1. Tokens of a host with equal vectors form an equivalence class. Classes that
-   are frequent (``SUPPORT`` of the host's pages) and large (``CLASS_SIZE``
-   tokens) are template parts; a class is valid where its tokens hang below
+   are frequent (on ``SUPPORT`` of the host's pages, or on ``ENOUGH_PAGES`` of them, so that a layout of a large host
+   has a template too) and large (``CLASS_SIZE`` tokens) are template parts; a class is valid where its tokens hang below
    tokens of valid classes, from the document's root down.
 2. Valid classes nest by these paths into the template. Its element tokens open
-   slots. The content slots are its article (else main) elements; without any,
-   the smallest element that holds ``CONTENT_SHARE`` of the host's text.
+   slots. The content slots are its article elements, for a page without any its main
+   elements; without those, the smallest element that holds ``CONTENT_SHARE`` of the host's text.
 3. A text token in the same class as the element around it is constant: template
    text and no data (from ``TEXT_PAGES`` pages and ``TEXT_ARTICLES`` different
    article texts on). A slot that is nearly all links is a menu.
 4. What remains in the content slots of a page is its text. Elements of the kinds
-   that never hold the article (navigation, forms ...) are left out by name, also
+   that never hold the article (navigation, hidden ones ...) are left out by name, also
    where a host has too few pages for a template; there the page's own article,
-   main or body is the content.
+   main or body is the content. A form is left out unless it holds ``CONTENT_SHARE`` of the page's text.
 5. The slots decide before the list of class words (adverts, comments ...): it
    takes out elements beside or below a slot, never one around it, html, body,
    main or article, one that holds the page's only articles or mains, or one with
-   ``CONTENT_SHARE`` of the text.
+   ``CONTENT_SHARE`` of the text. An article within an article is a comment to it, and taken out likewise.
+
+Only block elements part texts: all others, known or not, run on. Work is linear in
+the page, however deep its elements nest. Without rows the result is empty.
 
 Null html gives the empty text, a null or odd url the empty host. Rows are
 extracted one by one; copies of a page count as one page of their host in the
@@ -44,6 +47,7 @@ from pyspark.sql import functions as F
 from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list, written
 
 SUPPORT = 0.05
+ENOUGH_PAGES = 50
 MIN_PAGES = 3
 CLASS_SIZE = 2
 CONTENT_SHARE = 0.6
@@ -58,23 +62,26 @@ _TAG = re.compile(
 _ATTR = re.compile(r"""([^\s"'=>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
+_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 
 # fixed values: HTML element kinds
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
-VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
-          "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
-          "tt", "u", "var"}
+VOID = {"hr"}
+BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "col", "colgroup", "dd", "details",
+         "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2",
+         "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol",
+         "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead",
+         "tr", "ul"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
-NOT_CONTENT = {"head", "nav", "footer", "aside", "form", "button", "select", "svg", "canvas", "object", "audio",
-               "video", "template", "dialog", "menu", "map", "math", *RAW}
+NOT_CONTENT = {"head", "nav", "footer", "aside", "dialog", "menu"}
+SKIPPED = {"button", "select", "svg", "canvas", "object", "audio", "video", "template", "map", "datalist"}
 NOT_CONTENT_WORDS = {
     "ad", "ads", "advert", "advertisement", "adverts", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment",
     "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "login", "menu", "modal", "nav",
     "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related",
     "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe",
-    "widget", "contentinfo", "complementary", "alert"}
+    "widget", "contentinfo", "complementary", "alert", "replies", "responses", "discussion"}
 WHOLE = {"html", "body", "main", "article"}
 
 ROOT = 0
@@ -87,23 +94,37 @@ def _signed(x: int) -> int:
 class Page:
     """Element tokens and text blocks of one page.
 
-    ``tokens``: key -> [parent, name, outside, count, chars, link chars], where
+    ``tokens``: key -> [parent, name, outside, count, chars, link chars], parents first, where
     ``outside`` says that the element or one around it never holds the article.
-    ``blocks``: (keys of the open elements, outside, text) in page order.
+    ``blocks``: (key of the innermost element, outside, text) in page order.
     ``listed``: keys of the elements that the word list takes out where no slot
     says otherwise.
     """
 
     def __init__(self, source: str):
         self.tokens: dict[int, list] = {ROOT: [ROOT, "", False, 1, 0, 0]}
-        self.blocks: list[tuple[tuple[int, ...], bool, str]] = []
-        self._stack: list[tuple[str, int, bool]] = [("", ROOT, False)]
+        self.blocks: list[tuple[int, bool, str]] = []
+        # name, key, outside, whether its text is skipped; those that are skipped part no text
+        self._stack: list[tuple[str, int, bool, bool]] = [("", ROOT, False, False)]
+        self._open_names: dict[str, int] = defaultdict(int)
         self._text: list[str] = []
         self._links = 0
         self._in_link = 0
-        self._hidden: list[str] = []
         self._worded: set[int] = set()
+        self._nested: set[int] = set()
+        self._forms: set[int] = set()
         self._parse(source)
+        # what an element holds is in the elements around it too
+        for key, token in reversed(self.tokens.items()):
+            if key != ROOT:
+                self.tokens[token[0]][4] += token[4]
+                self.tokens[token[0]][5] += token[5]
+        enough = CONTENT_SHARE * self.tokens[ROOT][4]
+        out = {k for k in self._forms if self.tokens[k][4] < enough}
+        if out:
+            for key, token in self.tokens.items():
+                token[2] = token[2] or key in out or self.tokens[token[0]][2]
+            self.blocks = [(k, self.tokens[k][2] or o, t) for k, o, t in self.blocks]
         self.listed = self._listed()
 
     def _flush(self) -> None:
@@ -111,46 +132,56 @@ class Page:
             return
         text = " ".join(html.unescape("".join(self._text)).split())
         if text:
-            keys = tuple(k for _, k, _ in self._stack)
-            for k in set(keys):
-                self.tokens[k][4] += len(text)
-                self.tokens[k][5] += min(self._links, len(text))
-            self.blocks.append((keys, self._stack[-1][2], text))
+            _, key, outside, _ = next(e for e in reversed(self._stack) if not e[3])
+            self.tokens[key][4] += len(text)
+            self.tokens[key][5] += min(self._links, len(text))
+            self.blocks.append((key, outside, text))
         self._text, self._links = [], 0
 
     def _add(self, text: str) -> None:
-        if text and not self._hidden:
+        if text and not self._stack[-1][3]:
             self._text.append(text)
             if self._in_link:
                 self._links += len(text)
 
+    def _push(self, name: str, key: int, outside: bool, skipped: bool) -> None:
+        self._stack.append((name, key, outside, skipped))
+        self._open_names[name] += 1
+
+    def _pop(self) -> None:
+        self._open_names[self._stack.pop()[0]] -= 1
+
     def _open(self, name: str, attrs: str) -> None:
         sig, words, hidden = name, set(), False
         if attrs.strip():
             found = {}
             for key, value in _ATTR.findall(attrs):
                 found.setdefault(key.lower(), value.strip("\"'").lower())
-            hidden = "hidden" in found
+            hidden = "hidden" in found or bool(_HIDING.search(found.get("style", "")))
             named = [found[k] for k in ("class", "id", "role") if found.get(k)]
             words = {w for v in named for w in _SPLIT.split(v)}
             sig = ".".join([name, *(_DIGITS.sub("0", v) for v in named)])
-        _, parent, outside = self._stack[-1]
+        _, parent, outside, skipped = self._stack[-1]
         # a header outside an article is the site's
-        outside = (outside or hidden or name in NOT_CONTENT
-                   or (name == "header" and not any(n in ("article", "main") for n, _, _ in self._stack)))
+        outside = (outside or skipped or hidden or name in NOT_CONTENT
+                   or (name == "header" and not self._open_names["article"] and not self._open_names["main"]))
         key = _signed(xxhash.xxh64_intdigest(sig.encode(), parent & 0xFFFFFFFFFFFFFFFF))
         token = self.tokens.setdefault(key, [parent, name, outside, 0, 0, 0])
         token[3] += 1
         if words & NOT_CONTENT_WORDS:
             self._worded.add(key)
+        if name == "article" and self._open_names["article"]:
+            self._nested.add(key)
+        if name == "form":
+            self._forms.add(key)
         if name not in VOID:
-            self._stack.append((name, key, outside))
+            self._push(name, key, outside, skipped)
 
     def _close(self, name: str) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] == name:
-                del self._stack[i:]
-                return
+        if self._open_names[name]:
+            while self._stack[-1][0] != name:
+                self._pop()
+            self._pop()
 
     def _parse(self, source: str) -> None:
         at = 0
@@ -166,7 +197,20 @@ class Page:
             end, name, attrs = bool(m[1]), m[2].lower(), m[3]
             if name == "br":
                 self._add(" ")
-            elif name in INLINE:
+            elif name in RAW:
+                if not end and not attrs.endswith("/"):
+                    close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                    at = close.end() if close else len(source)
+            elif name in SKIPPED:
+                if not end and not attrs.endswith("/"):
+                    _, key, outside, _ = self._stack[-1]
+                    self._push(name, key, outside, True)
+                elif end and self._stack[-1][0] == name:
+                    self._pop()
+                elif end and self._open_names[name]:
+                    self._flush()
+                    self._close(name)
+            elif name not in BLOCK:
                 if name == "a":
                     self._in_link = 0 if end else 1
             else:
@@ -175,44 +219,43 @@ class Page:
                 if end:
                     self._close(name)
                     continue
-                top = self._stack[-1][0]
-                if top == "p":
-                    self._stack.pop()
-                    top = self._stack[-1][0]
-                while top in CLOSES.get(name, ()):
-                    self._stack.pop()
-                    top = self._stack[-1][0]
+                if self._stack[-1][0] == "p":
+                    self._pop()
+                while self._stack[-1][0] in CLOSES.get(name, ()):
+                    self._pop()
                 self._open(name, attrs)
-                if name in RAW and not attrs.endswith("/"):
-                    close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                    at = close.end() if close else len(source)
-                    self._close(name)
         self._flush()
 
     def _listed(self) -> set[int]:
         listed = {k for k in self._worded if self.tokens[k][1] not in WHOLE}
         for name in ("article", "main") if listed else ():
-            around = {}
-            for key, token in self.tokens.items():
-                if token[1] == name and not token[2]:
-                    at, above = key, set()
-                    while at != ROOT:
-                        at = self.tokens[at][0]
-                        above.add(at)
-                    around[key] = above & listed
+            within = self._below(listed)
+            own = [k for k, t in self.tokens.items() if t[1] == name and not t[2]]
             # with one elsewhere, those within are cards or comments; so are those with a listed word of their own
-            if all(around.values()):
-                listed = listed.difference(*(a for k, a in around.items() if k not in self._worded))
-        return listed
-
-    def own(self, spared: set[int] = frozenset()) -> list[tuple[tuple[int, ...], bool, str]]:
+            if all(within[self.tokens[k][0]] for k in own):
+                holds = {k for k in own if k not in self._worded}
+                for key, token in reversed(self.tokens.items()):
+                    if key in holds and key != ROOT:
+                        holds.add(token[0])
+                listed = listed - (holds - set(own))
+        return listed | self._nested
+
+    def _below(self, keys: set[int]) -> dict[int, bool]:
+        """Per element whether it or one around it is among the keys."""
+        out = {ROOT: ROOT in keys}
+        for key, token in self.tokens.items():
+            if key != ROOT:
+                out[key] = out[token[0]] or key in keys
+        return out
+
+    def own(self, spared: set[int] = frozenset()) -> list[tuple[int, bool, str]]:
         """The blocks of the page's own article, main or body."""
         enough = CONTENT_SHARE * self.tokens[ROOT][4]
-        cut = {k for k in self.listed - spared if self.tokens[k][4] < enough}
-        own = [b for b in self.blocks if not b[1] and cut.isdisjoint(b[0])]
+        cut = self._below({k for k in self.listed - spared if self.tokens[k][4] < enough})
+        own = [b for b in self.blocks if not b[1] and not cut[b[0]]]
         for name in ("article", "main"):
-            keys = {k for k, v in self.tokens.items() if v[1] == name and not v[2]}
-            kept = [b for b in own if not keys.isdisjoint(b[0])]
+            inside = self._below({k for k, v in self.tokens.items() if v[1] == name and not v[2]})
+            kept = [b for b in own if inside[b[0]]]
             if kept:
                 return kept
         return own
@@ -221,17 +264,21 @@ class Page:
         """One of 64 bits, by the text of the page's own article."""
         return 1 << xxhash.xxh64_intdigest(" ".join(t for _, _, t in self.own()).encode()) % 64
 
-    def text(self, roots: set[int], menus: set[int], constant: set[int], spared: set[int] = frozenset()) -> str:
-        """The content slots' text; falls back on the page's own article, main or body."""
+    def _slot_blocks(self, roots: set[int], cut: set[int]) -> list[tuple[int, bool, str]]:
+        """The blocks within the slots and not below a cut element in them."""
+        state = {ROOT: (ROOT in roots, False)}
+        for key, token in self.tokens.items():
+            if key != ROOT:
+                slot, gone = state[token[0]]
+                state[key] = (True, gone or key in cut) if slot else (key in roots, False)
+        return [b for b in self.blocks if not b[1] and state[b[0]] == (True, False)]
+
+    def text(self, roots: list[set[int]], menus: set[int], constant: set[int], spared: set[int] = frozenset()) -> str:
+        """The text of the first kind of content slots that has any; else of the page's own article, main or body."""
         cut = self.listed - spared
-        kept = []
-        for b in self.blocks:
-            slot = next((i for i, k in enumerate(b[0]) if k in roots), None)
-            if slot is not None and not b[1] and cut.isdisjoint(b[0][slot + 1:]):
-                kept.append(b)
-        kept = kept or self.own(spared)
-        return " ".join(t for k, _, t in kept
-                        if menus.isdisjoint(k) and (not constant or text_key(k[-1], t) not in constant))
+        kept = next((b for b in (self._slot_blocks(r, cut) for r in roots if r) if b), None) or self.own(spared)
+        menu = self._below(menus)
+        return " ".join(t for k, _, t in kept if not menu[k] and (not constant or text_key(k, t) not in constant))
 
 
 def text_key(path: int, text: str) -> int:
@@ -267,9 +314,9 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                 counts = [(k, p, n, o, k in page.listed, c, ch, li)
                           for k, (p, n, o, c, ch, li) in page.tokens.items()]
                 texts: dict[tuple[int, int, bool], int] = defaultdict(int)
-                for keys, outside, text in page.blocks:
+                for key, outside, text in page.blocks:
                     if not outside:
-                        texts[text_key(keys[-1], text), keys[-1], outside] += 1
+                        texts[text_key(key, text), key, outside] += 1
                 counts += [(k, p, "#text", o, False, c, 0, 0) for (k, p, o), c in texts.items()]
                 for k, p, n, o, listed, c, ch, li in counts:
                     h = xxhash.xxh64_intdigest(c.to_bytes(8, "little"), page_key)
@@ -302,7 +349,8 @@ def templates(tokens: DataFrame) -> DataFrame:
                                                      F.col("chars").alias("all_chars"))
     # a fixed bound first: the texts that are a page's own never reach the join
     repeated = tokens.where(F.col("support") >= F.when(F.col("name") == "#text", TEXT_PAGES).otherwise(MIN_PAGES))
-    frequent = repeated.join(size, "host").where(F.col("support") >= F.col("pages") * SUPPORT)
+    frequent = repeated.join(size, "host").where(
+        F.col("support") >= F.least(F.col("pages") * SUPPORT, F.lit(float(ENOUGH_PAGES))))
     classes = frequent.groupBy("host", "support", "vec", "vec_sum").agg(F.count("*").alias("members"))
     large = written(frequent.join(classes.where(F.col("members") >= CLASS_SIZE),
                                   ["host", "support", "vec", "vec_sum"]), "template-tokens")
@@ -321,15 +369,17 @@ def templates(tokens: DataFrame) -> DataFrame:
     per_host = Window.partitionBy("host")
     ranked = inside.withColumn("kind", F.when(F.col("name") == "article", 1).when(F.col("name") == "main", 2)
                                .when(enough & ~F.col("name").isin("html", "body"), 3))
-    ranked = ranked.withColumn("best", F.min("kind").over(per_host))
     least = F.min(F.when(F.col("kind") == 3, F.col("chars"))).over(per_host)
     ranked = ranked.withColumn("least", least)
-    content = (F.col("kind") == F.col("best")) & ((F.col("kind") < 3) | (F.col("chars") == F.col("least")))
+
+    def slot(kind: int) -> Column:
+        own = (F.col("kind") == kind) & ((F.lit(kind) < 3) | (F.col("chars") == F.col("least")))
+        return F.collect_list(F.when(own, F.col("key")))
     menu = ((F.col("links") >= LINK_SHARE * F.col("chars")) & (F.col("chars") > 0)
             & (F.col("support") >= 0.5 * F.col("pages")) & F.col("kind").isNull()
             & ~F.col("name").isin("html", "body"))
     slots = ranked.groupBy("host").agg(
-        F.collect_list(F.when(content, F.col("key"))).alias("roots"),
+        F.array(slot(1), slot(2), slot(3)).alias("roots"),
         F.collect_list(F.when(menu, F.col("key"))).alias("menus"),
         F.collect_list(F.when(F.col("listed") & enough, F.col("key"))).alias("spared"))
     around = elements.select("host", F.col("key").alias("parent"), F.col("vec").alias("p_vec"),
@@ -352,8 +402,8 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in text_blocks(batches, "html"):
             slots = zip(*(b.column(c).to_pylist() for c in ("roots", "menus", "constant", "spared")))
-            out = [Page(source.decode()).text(*(set(x or ()) for x in keys))
-                   for source, keys in zip(utf8_list(b.column("html")), slots)]
+            out = [Page(source.decode()).text([set(r) for r in roots or ()], *(set(x or ()) for x in keys))
+                   for source, (roots, *keys) in zip(utf8_list(b.column("html")), slots)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())],
                                              ["page_id", "url", "text"])
     return rows.mapInArrow(run, src.select("page_id", "url").schema.add("text", "string"))
