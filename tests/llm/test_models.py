@@ -1,3 +1,4 @@
+import numpy as np
 """Classifiers: held-out accuracy, unlabelled and empty input; the pipeline; every query's schema."""
 
 import random
@@ -138,3 +139,13 @@ def test_registered(spark, name):
     table = "pages" if name.startswith(("op6", "op9")) else "documents"
     if name != "pipeline":
         assert df.count() == spark.read.parquet(f"{SF_SMALL}/{table}.parquet").count()
+
+
+def test_rows_without_language_do_not_set_the_common_threshold():
+    from vitals.llm.toxicity_cnn import _thresholds
+    s = np.array([0.9, 0.8, 0.2, 0.1, 0.15, 0.12, 0.05, 0.01])
+    y = np.array([1, 1, 0, 0, 1, 1, 0, 0])
+    langs = ["en"] * 4 + [""] * 4
+    own, common = _thresholds(s, y, np.ones(8), langs)
+    assert set(own) == {"en", ""} and own[""] < common <= own["en"] + 1
+    assert _thresholds(s, y, np.ones(8), ["xx"] * 8)[1] == common

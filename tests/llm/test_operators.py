@@ -160,6 +160,32 @@ def test_winnowing_keeps_a_shared_gram(k):
     assert inside_a & inside_b
 
 
+def test_repeated_phrases_join_as_classes(spark):
+    """A phrase that repeats within items and documents: equal results, and a join of distinct seeds only."""
+    words = [f"w{i}" for i in range(9)]
+    phrase = " ".join(words * 200)
+    items = [(1, phrase), (2, phrase + " end"), (3, "other " + phrase), (4, "short one")]
+    rows = [(i, phrase if i else phrase + " short one") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = winnowing.contamination(docs, bench).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == [
+        (i, *B.contamination(t, items)) for i, t in rows]
+    seeds = winnowing.item_seeds(bench)
+    assert seeds.count() < 100
+    assert seeds.select("size", "hash", "left", "right").distinct().count() < 60
+
+
+def test_columns_named_like_results(spark):
+    rows = [(1, "some words of a text that is long enough to have a window here", 7, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, seeds int, fp int, spans int, n_words int")
+    near = simhash_vp.near_duplicates(docs, keep=("doc_id", "seeds", "spans"))
+    assert near.select("doc_id", "seeds", "spans", "component_id").first()[:] == (1, 7, 9, 1)
+    bench = spark.createDataFrame([(5, rows[0][1])], "item_id long, text string")
+    hit = winnowing.contamination(docs, bench, keep=("doc_id", "seeds", "fp", "spans"))
+    assert hit.select("doc_id", "seeds", "fp", "spans", "items").first()[:] == (1, 7, 8, 9, ["5"])
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 def test_bpe_round_trip(docs, doc_rows, library):
@@ -396,6 +422,19 @@ def test_token_files(docs, doc_rows, library):
 
 # 9 ------------------------------------------------------------------------------------------------
 
+def test_records_have_the_fields_that_the_format_requires():
+    import re as _re
+    a = warc.record("response", 7, "http://h/x", b"body", "d", None, "2024-01-01T00:00:00Z", "f:0")
+    b = warc.record("revisit", None, None, b"body", "d", 7, "2024-01-01T00:00:00Z", "f:0")
+    c = warc.record("revisit", None, None, b"body", "d", 7, "2024-01-01T00:00:00Z", "f:99")
+    for r in (a, b, c):
+        fields, _ = warc.parse(r)
+        assert _re.fullmatch(r"<urn:[^<>]+>", fields["WARC-Record-ID"])
+        assert {"WARC-Type", "WARC-Date", "Content-Length", "WARC-Payload-Digest"} <= set(fields)
+    ids = [warc.parse(r)[0]["WARC-Record-ID"] for r in (a, b, c)]
+    assert len(set(ids)) == 3 and warc.parse(b)[0]["WARC-Refers-To"] == ids[0]
+
+
 @pytest.mark.parametrize("split", [97, 4096, 1 << 22])
 def test_warc_round_trip(spark, split):
     rng = random.Random(4)

@@ -173,7 +173,7 @@ def cutoffs(docs: DataFrame, text: str = "text") -> dict[int, int]:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """``docs`` with ``out``: an array of (start, rank, kind, end) by start, then kind."""
+    """``docs`` with ``out`` (in place of a column of that name): an array of (start, rank, kind, end) by start, then kind."""
     cut = cutoffs(docs, text)
     pairs = [F.lit(x) for kv in sorted(cut.items()) for x in kv]
     limit = F.create_map(*pairs) if pairs else F.create_map(F.lit(-1), F.lit(0))

@@ -14,7 +14,7 @@
    shard, and each cell returns a spanning forest of its links, not the pairs.
 6. Components of the forest edges give each document its class.
 
-Null or blank texts have fingerprint zero and are linked like any other. Rows
+Without rows the result is empty. Null or blank texts have fingerprint zero and are linked like any other. Rows
 without doc_id get a class but never name one; repeated rows each get a row.
 """
 
@@ -221,14 +221,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2,
     class, ``component_id`` its smallest non-null doc_id: the smallest that is
     reachable over links of at most ``radius`` bits.
     """
-    rows = written(with_simhash(docs, words, keep), "simhash")
-    codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-codes")
+    kept = [f"__keep{n}" for n in range(len(keep))]
+    rows = written(with_simhash(docs.select(*[F.col(c).alias(n) for c, n in zip(keep, kept)], F.col("text").alias("text")),
+                                words, tuple(kept)), "simhash")
+    codes = written(rows.groupBy("fp").agg(F.min(kept[keep.index("doc_id")]).alias("low")), "simhash-codes")
     roots = connected_components(near_links(codes, radius))
     classes = written(codes.join(roots, codes.fp == roots.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("component")), "simhash-classes")
     ids = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     by_code = classes.select("fp", "component").join(ids, "component")
-    return rows.join(by_code, "fp").select(*keep, "fp", "component", "component_id")
+    return rows.join(by_code, "fp").select(*[F.col(n).alias(c) for c, n in zip(keep, kept)], "fp", "component", "component_id")
 
 
 def fp_hex(fp: Column) -> Column:

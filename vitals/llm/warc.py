@@ -6,21 +6,24 @@ smallest page_id is the ``response``, the others are ``revisit`` records that
 carry the digest and length in their headers and refer to it. Only digests that
 occur more than once are joined back.
 
-Reading: archives are cut into byte ranges. A task seeks to its range, looks for
+Reading: archives are cut into byte ranges, of which a task takes several. It seeks to a range, looks for
 the gzip magic, accepts a candidate only if the member inflates to a WARC
 header, and owns the records that start inside its range; the last one may end
 beyond it.
 
 Null html is an empty payload, null urls are left out. Rows that repeat the
 smallest page_id are all responses; where all ids of a payload are null, all
-rows are responses. A null page_id has no Page-Id header.
+rows are responses. A null page_id has no X-Page-ID header, and a record id of its archive and
+place. Without rows there are no archives and no records.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,6 +36,7 @@ from vitals.session import scratch_path
 
 MIN_BYTES = 100
 SPLIT_BYTES = 4 << 20
+TASK_BYTES = 128 << 20
 READ_BYTES = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -40,14 +44,15 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str,
-           refers_to: int | None) -> bytes:
-    """One WARC record, uncompressed."""
+           refers_to: int | None, date: str, place: str) -> bytes:
+    """One WARC record, uncompressed; ``place`` names it where it has no page_id."""
     body = payload if kind == "response" else b""
-    head = [("WARC-Type", kind), ("WARC-Payload-Digest", f"sha256:{digest}"),
+    urn = f"<urn:page:{page_id}>" if page_id is not None else f"<{uuid.uuid5(uuid.NAMESPACE_URL, place).urn}>"
+    head = [("WARC-Type", kind), ("WARC-Record-ID", urn), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}"),
             ("X-Payload-Length", str(len(payload))), ("Content-Type", "text/html; charset=utf-8"),
             ("Content-Length", str(len(body)))]
     if page_id is not None:
-        head.insert(1, ("WARC-Record-ID", f"<urn:page:{page_id}>"))
+        head.append(("X-Page-ID", str(page_id)))
     if url is not None:
         head.append(("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url)))
     if kind == "revisit":
@@ -73,6 +78,8 @@ def write_archives(pages: DataFrame, out_dir: str) -> list[tuple[str, int]]:
         "page_id", "url", "html", "digest",
         F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def run(batches):
         fs, path = folder(out_dir)
         name = fresh_name(f"part-{TaskContext.get().partitionId():06d}", ".warc.gz")
@@ -83,7 +90,7 @@ def write_archives(pages: DataFrame, out_dir: str) -> list[tuple[str, int]]:
             cols = [b.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to")]
             for page_id, url, digest, refers, payload in zip(*cols, utf8_list(b.column("html"))):
                 kind = "response" if refers is None else "revisit"
-                member = gzip_member(record(kind, page_id, url, payload, digest, refers))
+                member = gzip_member(record(kind, page_id, url, payload, digest, refers, date, f"{name}:{size}"))
                 out.write(member)
                 size += len(member)
         if out is not None:
@@ -184,10 +191,12 @@ def read_archives(spark: SparkSession, out_dir: str, files: list[tuple[str, int]
     names = [c.split()[0] for c in schema.split(", ")]
     types = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64()}
     arrow = pa.schema([(n, types.get(n, pa.string())) for n in names])
-    total = sum(-(-size // split_bytes) for _, size in files)
-    ranges = (spark.createDataFrame(files, "name string, bytes long")
+    # several ranges a task on large sets, all slots in use on small ones
+    ranges = sum(-(-size // split_bytes) for _, size in files)
+    tasks = max(-(-sum(size for _, size in files) // TASK_BYTES), min(ranges, 2 * spark.sparkContext.defaultParallelism))
+    cut = (spark.createDataFrame(files, "name string, bytes long")
               .select("name", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("at"))
-              .repartition(total))
+              .repartition(tasks))
 
     def run(batches):
         for b in batches:
@@ -198,7 +207,7 @@ def read_archives(spark: SparkSession, out_dir: str, files: list[tuple[str, int]
                         h, body = parse(data)
                         full = h["WARC-Type"] == "response"
                         rows.append({
-                            "page_id": _page_of(h.get("WARC-Record-ID")), "url": h.get("WARC-Target-URI"),
+                            "page_id": int(h["X-Page-ID"]) if "X-Page-ID" in h else None, "url": h.get("WARC-Target-URI"),
                             "payload_bytes": len(body) if full else int(h["X-Payload-Length"]),
                             "payload_digest": hashlib.sha256(body).hexdigest() if full
                             else h["WARC-Payload-Digest"].removeprefix("sha256:"),
@@ -211,7 +220,7 @@ def read_archives(spark: SparkSession, out_dir: str, files: list[tuple[str, int]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return ranges.mapInArrow(run, schema)
+    return cut.mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, out_dir: str | None = None, split_bytes: int = SPLIT_BYTES,

@@ -11,11 +11,14 @@ k-gram on both sides, so the join on kept k-grams misses no such span.
 * Each kept k-gram carries the few words around it (as 64-bit hashes) that decide
   whether it lies in a shared window. After the equi-join, the hit is extended over equal words
   to both sides and kept if it reaches ``window`` words.
+* Equal seeds (k-gram and words around it) form a class, on both sides: the join is between
+  distinct seeds, and its result is expanded to the documents' places and the classes' items, so
+  a phrase that repeats in an item, or in many items and documents, joins once.
 * An item shorter than ``window`` words is one window: for every such length in
   the benchmark (``window - 1`` values at most) all document n-grams of that
   length are matched.
 
-Null or word-free texts have no words and no hits. Benchmark rows without
+Without documents the result is empty, without items nothing is hit. Null or word-free texts have no words and no hits. Benchmark rows without
 item_id or words are ignored; items with equal ids count once. Each document
 row is handled alone, also rows that repeat a doc_id.
 """
@@ -108,7 +111,7 @@ def _seeds(w: Words, h: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarra
 
 def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text",
                window: int = WINDOW, k: int = KGRAM) -> DataFrame:
-    """One row per kept k-gram of the benchmark (or per whole short item)."""
+    """(item, size, hash, left, right): the distinct seeds of each item: kept k-grams, or a whole short item."""
     src = items.where(F.col(item_id).isNotNull()).select(
         F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
 
@@ -124,7 +127,7 @@ def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text",
         return pa.RecordBatch.from_arrays([block.column("item"), _seeds(w, h, found, window)], ["item", "seeds"])
 
     return (map_blocks(src, "text", fn, f"item string, seeds {_SEED}")
-            .select("item", F.explode("seeds").alias("s")).select("item", "s.*").distinct())
+            .select("item", F.explode("seeds").alias("s")).select("item", "s.*").drop("pos").distinct())
 
 
 def hash_map(seeds: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
@@ -175,33 +178,42 @@ def _common(a: str, b: str) -> Column:
     return F.when(at == 0, F.size(eq)).otherwise(at - 1).cast("int")
 
 
-def hits(doc_seeds: DataFrame, seeds: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
-    """(key, lo, hi, item): word ranges of documents that occur in an item, extended."""
+_CLASS = ["size", "hash", "left", "right"]
+
+
+def hits(doc_seeds: DataFrame, seeds: DataFrame, key: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(key, lo, hi): word ranges of documents that occur in an item, extended; and (key, item)."""
+    classes = written(seeds.select(*_CLASS).distinct().withColumn("seed", F.monotonically_increasing_id()), "bench-classes")
+    members = seeds.join(classes, _CLASS).select("seed", "item")
     d = doc_seeds.select(key, F.explode("seeds").alias("s")).select(key, "s.*")
-    i = seeds.select("item", "size", "hash", F.col("left").alias("i_left"), F.col("right").alias("i_right"))
-    j = (d.join(i, ["size", "hash"])
-         .withColumn("l", _common("left", "i_left")).withColumn("r", _common("right", "i_right"))
-         .where((F.col("size") < 0) | (F.col("l") + F.col("size") + F.col("r") >= window)))
-    return j.select(key, (F.col("pos") - F.col("l")).alias("lo"),
-                    (F.col("pos") + F.abs("size") + F.col("r")).alias("hi"), "item").distinct()
+    i = classes.select("seed", "size", "hash", F.col("left").alias("i_left"), F.col("right").alias("i_right"))
+    met = (d.select(*_CLASS).distinct().join(i, ["size", "hash"])
+           .withColumn("l", _common("left", "i_left")).withColumn("r", _common("right", "i_right"))
+           .where((F.col("size") < 0) | (F.col("l") + F.col("size") + F.col("r") >= window)))
+    met = written(met.select(*_CLASS, "l", "r", "seed"), "bench-met")
+    found = written(d.join(met, _CLASS).select(
+        key, (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.abs("size") + F.col("r")).alias("hi"), "seed"), "bench-hits")
+    return (found.select(key, "lo", "hi").distinct(),
+            found.select(key, "seed").distinct().join(members, "seed").select(key, "item").distinct())
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",),
                   text: str = "text", window: int = WINDOW, k: int = KGRAM) -> DataFrame:
     """Per row: the ``keep`` columns, n_words, n_hit, n_items and the sorted item ids."""
+    kept = [f"__keep{n}" for n in range(len(keep))]
+    docs = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, kept)], F.col(text).alias("__text"))
     i_seeds = written(item_seeds(items, window=window, k=k), "bench-seeds")
     short = sorted(-r[0] for r in i_seeds.where("size < 0").select("size").distinct().collect())
-    marked = document_seeds(docs.select(*keep, text), hash_map(i_seeds), short, text, window, k)
+    marked = document_seeds(docs, hash_map(i_seeds), short, "__text", window, k)
     table = written(marked.withColumn("__row", F.monotonically_increasing_id()), "doc-seeds")
-    found = written(hits(table, i_seeds, "__row", window), "bench-hits")
+    spans, found = hits(table, i_seeds, "__row", window)
     before = Window.partitionBy("__row").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.greatest("lo", F.coalesce(F.max("hi").over(before), F.lit(0)))
-    covered = (found.select("__row", "lo", "hi").distinct()
-               .select("__row", F.greatest(F.col("hi") - reach, F.lit(0)).alias("new"))
+    covered = (spans.select("__row", F.greatest(F.col("hi") - reach, F.lit(0)).alias("new"))
                .groupBy("__row").agg(F.sum("new").alias("n_hit")))
-    ids = (found.select("__row", "item").distinct().groupBy("__row")
+    ids = (found.groupBy("__row")
            .agg(F.array_sort(F.collect_list("item")).alias("items")))
     out = (table.drop("seeds").join(covered.join(ids, "__row"), "__row", "left"))
     none = F.array().cast("array<string>")
-    return out.select(*keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, kept)], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("items", none).alias("items"))
