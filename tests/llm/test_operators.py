@@ -131,6 +131,37 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert {got[1000 + i] for i in range(300)} == {1000}
 
 
+def test_large_shards_split_by_trees_of_their_own(spark, monkeypatch):
+    """Forests of finer and finer shards join what all pairs join."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    flips = [base]
+    for _ in range(12):
+        bits = np.uint64(1) << rng.integers(0, 64, len(base), dtype=np.uint64)
+        flips.append(flips[-1] ^ bits)
+    codes = np.unique(np.concatenate(flips))
+    pairs = np.bitwise_count(codes[:, None] ^ codes) <= 2
+    label = np.arange(len(codes))
+    while True:
+        low = np.array([label[row].min() for row in pairs])
+        if (low == label).all():
+            break
+        label = low
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long").repartition(3)
+    monkeypatch.setattr(simhash_vp, "MAX_SAMPLE", 64)  # a coarse first tree
+    monkeypatch.setattr(simhash_vp, "SPLIT_ROWS", 500)
+    made = []
+    for most in (1 << 30, 200, 40):
+        monkeypatch.setattr(simhash_vp, "SPLIT_OWN", most)
+        roots = components.connected_components(simhash_vp.near_links(df, 2)).collect()
+        made.append({r["node"]: r["root"] for r in roots})
+    want = {}
+    for c, x in zip(codes.view(np.int64).tolist(), label.tolist()):
+        want.setdefault(x, []).append(c)
+    expected = {c: min(own) for own in want.values() if len(own) > 1 for c in own}
+    assert made[0] == made[1] == made[2] == expected
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 def test_contamination(spark, docs, doc_rows):

@@ -9,10 +9,13 @@
    point is within the radius of the border, also to the shards beyond; the
    triangle inequality rules the other branches out. So of two linked
    fingerprints at least one reaches the other's shard.
-5. Each shard compares its own rows with its visitors exactly. Shards with many
+5. Shards that hold more than ``SPLIT_OWN`` rows of their own, as the sample's tree cannot be
+   finer than its sample, are split by further trees, each built on the executors from a sample of its shard's
+   own rows, until none is left. So the comparisons per row do not grow with the rows.
+6. Each shard compares its own rows with its visitors exactly. Shards with many
    rows are cut into cells (own rows x visitors), so no task grows with a hot
    shard, and each cell returns a spanning forest of its links, not the pairs.
-6. Components of the forest edges give each document its class.
+7. Components of the forest edges give each document its class.
 
 Without rows the result is empty. Null or blank texts have fingerprint zero and are linked like any other. Rows
 without doc_id get a class but never name one; repeated rows each get a row.
@@ -35,6 +38,9 @@ from vitals.llm.components import connected_components
 SAMPLE_EVERY = 16
 MAX_SAMPLE = 1 << 16
 LEAF_ROWS = 512
+SPLIT_OWN = 1024
+SPLIT_SAMPLE = 2048
+SPLIT_ROWS = 100_000
 CELL_OWN = 4096
 CELL_VISITORS = 1 << 17
 
@@ -168,6 +174,44 @@ def _forest(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndar
     return nodes[label[moved]], nodes[moved]
 
 
+def _split(placed: DataFrame, large: DataFrame, radius: int) -> DataFrame:
+    """The rows of ``large`` shards (shard, n_own, n_rows) placed in finer ones (shard is the path of numbers).
+
+    Every part of a shard's rows builds the shard's tree again from the same sample, so
+    neither rows nor trees of a shard meet in one place.
+    """
+    every = F.greatest(F.lit(1), F.ceil(F.col("n_own") / SPLIT_SAMPLE)).cast("int")
+    parts = F.ceil(F.col("n_rows") / SPLIT_ROWS).cast("int")
+    rows = placed.join(large, "shard").withColumn("every", every).withColumn(
+        "part", F.pmod(F.xxhash64("fp", F.lit(12)), parts).cast("int"))
+    sample = rows.where(F.col("own") & (F.pmod(F.xxhash64("fp", F.lit(11)), F.col("every")) == 0)).groupBy(
+        "shard", "every", "n_rows").agg(F.collect_list("fp").alias("sample"))
+    trees = written(sample.select("shard", "every", "sample", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), "vp-trees")
+
+    def place(own_rows: pd.DataFrame, tree_rows: pd.DataFrame) -> pd.DataFrame:
+        if own_rows.empty:
+            return pd.DataFrame({"shard": [], "fp": [], "own": []})
+        points = own_rows["fp"].to_numpy().view(np.uint64)
+        mine = own_rows["own"].to_numpy()
+        tree = VPTree(np.array([], np.uint64), 1, radius) if tree_rows.empty else VPTree(
+            np.asarray(tree_rows["sample"].iloc[0], np.int64).view(np.uint64), max(8, LEAF_ROWS // int(tree_rows["every"].iloc[0])), radius)
+        i, sub, at_home = tree.place(points)
+        home = np.zeros(len(points), np.int32)
+        home[i[at_home]] = sub[at_home]
+        # rows of the shard's own visit as in the first tree; visitors of the shard meet them wherever they may be
+        use = ~mine[i] | (sub >= home[i])
+        i, sub, at_home = i[use], sub[use], at_home[use]
+        name = own_rows["shard"].iloc[0]
+        return pd.DataFrame({"shard": [f"{name}.{x}" for x in sub.tolist()], "fp": own_rows["fp"].to_numpy()[i], "own": at_home & mine[i]})
+
+    return rows.groupBy("shard", "part").cogroup(trees.groupBy("shard", "part")).applyInPandas(
+        place, "shard string, fp long, own boolean")
+
+
+def _sizes(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("shard").agg(F.count_if("own").alias("n_own"), F.count("*").alias("n_rows"))
+
+
 def near_links(codes: DataFrame, radius: int = 2) -> DataFrame:
     """Forest links (u, v) of all distinct codes (column fp) within ``radius`` bits."""
     spark = codes.sparkSession
@@ -185,15 +229,23 @@ def near_links(codes: DataFrame, radius: int = 2) -> DataFrame:
             home[i[own]] = shard[own]
             use = shard >= home[i]  # one of two linked rows visits the other's shard
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[use]), pa.array(fp[i[use]]), pa.array(own[use])], ["shard", "fp", "own"])
-
-    placed = written(codes.select("fp").mapInArrow(place, "shard int, fp long, own boolean"), "vp-placed")
-    # one row per shard; the tree bounds their number by its sample
-    cells = placed.groupBy("shard").agg(
-        F.ceil(F.count_if("own") / F.lit(CELL_OWN)).cast("int").alias("cut_own"),
-        F.ceil(F.count("*") / F.lit(CELL_VISITORS)).cast("int").alias("cut_vis"))
-    cells = written(cells.coalesce(1), "vp-cells")
-    rows = placed.join(F.broadcast(cells), "shard")
+                [pa.array(shard[use]).cast(pa.string()), pa.array(fp[i[use]]), pa.array(own[use])], ["shard", "fp", "own"])
+
+    placed = written(codes.select("fp").mapInArrow(place, "shard string, fp long, own boolean"), "vp-placed")
+    sizes = written(_sizes(placed), "vp-sizes")
+    kept = []
+    while not (large := sizes.where(F.col("n_own") > SPLIT_OWN)).isEmpty():
+        finer = written(_split(placed, large, radius), "vp-placed")
+        finer_sizes = written(_sizes(finer), "vp-sizes")
+        if finer_sizes.agg(F.max("n_own")).first()[0] > 0.7 * large.agg(F.max("n_own")).first()[0]:
+            break  # trees hardly part the largest shard: cells do
+        kept.append((placed.join(large, "shard", "left_anti"), sizes.where(F.col("n_own") <= SPLIT_OWN)))
+        placed, sizes = finer, finer_sizes
+    for more, more_sizes in kept:
+        placed, sizes = placed.unionByName(more), sizes.unionByName(more_sizes)
+    cells = sizes.select("shard", F.ceil(F.col("n_own") / F.lit(CELL_OWN)).cast("int").alias("cut_own"),
+                         F.ceil(F.col("n_rows") / F.lit(CELL_VISITORS)).cast("int").alias("cut_vis"))
+    rows = placed.join(cells, "shard")
     own_cell = F.pmod(F.xxhash64("fp"), F.greatest(F.col("cut_own"), F.lit(1))).cast("int")
     vis_cell = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("cut_vis")).cast("int")
     zero = F.lit(0)
