@@ -476,9 +476,10 @@ def q_text_search_lists(spark, sf):
 
 @register("text_search_stems", None)
 def q_text_search_stems(spark, sf):
-    """The searches over English stems: chunks with any inflection of all terms."""
+    """The searches over English stems: chunks with an inflection of any term."""
     from ..operators.retrieval import text_search
-    r = text_search(B.load(spark, sf, "queries"), _chunk_vecs(spark, sf), 20, stem=True,
+    q = B.load(spark, sf, "queries").withColumn("query_text", F.replace("query_text", F.lit(" "), F.lit(" or ")))
+    r = text_search(q, _chunk_vecs(spark, sf), 20, stem=True,
                     lists=B.load(spark, sf, "stemmed_postings"), directory=B.load(spark, sf, "directory"))
     return rounded(r.select("query_id", "rank", "artifact_url", "artifact_id", "chunk_index", "score", "excerpt"))
 
