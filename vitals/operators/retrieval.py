@@ -20,11 +20,11 @@ from .artifacts import top_k
 from .fulltext import build_directory, build_lists, matches, split_websearch  # noqa: F401
 from .vectors import ann_recall, ann_search, nearest  # noqa: F401
 
-BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_ROWS = 200_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven small."""
+    """Broadcast ``df`` (narrow rows: ids, ranks and a URL) only when its row count is proven small."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 

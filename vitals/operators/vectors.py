@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .artifacts import top_k
@@ -222,8 +222,8 @@ def encoded(chunks: DataFrame, book: Codebook) -> DataFrame:
 def candidates(queries: DataFrame, codes: DataFrame, book: Codebook, k: int) -> DataFrame:
     """(query_id, artifact_url, artifact_id, chunk_index, dist): the codes nearest to each query by table lookups.
 
-    Per query: the share ``RERANK_SHARE`` of its repository's vectors, ``RERANK_MOST`` at most
-    and ``k`` at least.
+    Per query: the share ``RERANK_SHARE`` of its repository's vectors, ``RERANK_MOST`` at most and ``k`` at
+    least; of an artifact no more than leaves room for some 4 ``k`` artifacts (one at least).
     """
     sizes = codes.groupBy("repo_name").agg(F.count("*").alias("n"))
     most = {r[0]: int(min(max(k, r[1] * RERANK_SHARE), RERANK_MOST)) for r in sizes.collect()}  # one row per repository
@@ -253,10 +253,13 @@ def candidates(queries: DataFrame, codes: DataFrame, book: Codebook, k: int) ->
                         parts = (dist, urls, artifact, chunk)
                         if old is not None:
                             parts = tuple(np.concatenate(p) for p in zip(old, parts))
-                        if len(parts[0]) > r:
-                            use = np.lexsort((parts[3], parts[1], parts[0]))[:r]
-                            parts = tuple(p[use] for p in parts)
-                        held[qid] = parts
+                        use = np.lexsort((parts[3], parts[0], parts[1]))  # by artifact
+                        own = parts[1][use]
+                        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                        nth = np.arange(len(own)) - np.repeat(head, np.diff([*head, len(own)]))
+                        use = use[nth < max(1, r // (4 * k))]
+                        use = use[np.lexsort((parts[3][use], parts[1][use], parts[0][use]))[:r]]
+                        held[qid] = tuple(p[use] for p in parts)
             for qid, (dist, urls, artifact, chunk) in held.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(dist), qid)), pa.array(urls, pa.string()), pa.array(artifact), pa.array(chunk), pa.array(dist)],
@@ -269,8 +272,12 @@ def candidates(queries: DataFrame, codes: DataFrame, book: Codebook, k: int) ->
     repo_of = queries.select("query_id", "repo_name")
     per_repo = codes.sparkSession.createDataFrame([*most.items()] or [("", 0)], "repo_name string, most long")
     limits = repo_of.join(per_repo, "repo_name").select("query_id", "most")
-    ranked = top_k(found, ["query_id"], [F.col("dist").asc(), F.col("artifact_url").asc(), F.col("chunk_index").asc()], RERANK_MOST, "place")
-    return ranked.join(limits, "query_id").where(F.col("place") <= F.col("most")).select(*_KEYS, "dist")
+    asked = found.join(limits, "query_id")
+    nth = Window.partitionBy("query_id", "artifact_url").orderBy("dist", "chunk_index")
+    some = asked.withColumn("nth", F.row_number().over(nth)).where(
+        F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("most") / (4 * k))))
+    ranked = top_k(some, ["query_id"], [F.col("dist").asc(), F.col("artifact_url").asc(), F.col("chunk_index").asc()], RERANK_MOST, "place")
+    return ranked.where(F.col("place") <= F.col("most")).select(*_KEYS, "dist")
 
 
 def ann_search(queries: DataFrame, chunks: DataFrame, k: int = 10, codes: DataFrame | None = None,
