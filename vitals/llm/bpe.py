@@ -11,7 +11,7 @@ than ``SCAN_PARTS`` parts use a heap over linked parts. All make the same merges
 Pre-tokens are those of the library's own pre-tokenizer. Texts are cut into words that
 encode alone (``pieces``); each distinct word of a block is looked up in a
 bounded cache, and a text's ids, digests and decoded text are joined from its words.
-Null is the empty text: no ids, empty decoding.
+Null is the empty text: no ids, empty decoding. Without rows the result is empty.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ never the verdict.
 
 Words are runs of characters other than space and U+0009 to U+000D. Null has no
 words and is rejected by the first rule that applies to few words. Every row is
-judged alone. All work is column expressions.
+judged alone; without rows the result is empty. All work is column expressions.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ files into memory and works shard by shard.
 
 Order: doc_id ascending, null ids first, then a hash of the text and the text,
 so rows with equal ids have a defined place. Null is the empty text and holds
-the end id alone.
+the end id alone. Without rows there are no files and no documents.
 """
 
 from __future__ import annotations
