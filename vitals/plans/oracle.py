@@ -427,7 +427,7 @@ cte("bound_reports", f"""
          coalesce(string_split(text, chr(10))[2], '') AS root_cause,
          ['high', 'medium', 'low', NULL][(doc_id // 40 + doc_id) % 4 + 1] AS confidence,
          string_split(text, chr(10)) AS evidence,
-         CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 4 END AS n_citations,
+         CASE WHEN doc_id % 5 = 0 THEN 0 ELSE len(string_split(text, chr(10))) + 1 END AS n_citations,
          'Inline review comments were not fetched.' AS limitations,
          CAST(1 + doc_id % 10 AS INTEGER) AS tool_calls_used,
          (n_chars % 1200) / CAST(10.0 AS DOUBLE) AS duration_seconds, text
@@ -435,12 +435,12 @@ cte("bound_reports", f"""
 
 cte("bound_citations", """
   SELECT id AS report_id, anomaly_id, CAST(i AS BIGINT) AS pos,
-         CASE WHEN i < 3 THEN 'artifact_chunk' ELSE 'sql_result' END AS citation_type,
-         CASE WHEN i < 3 THEN 'https://github.com/' || doc_repo || '/pull/'
+         CASE WHEN i < len(evidence) THEN 'artifact_chunk' ELSE 'sql_result' END AS citation_type,
+         CASE WHEN i < len(evidence) THEN 'https://github.com/' || doc_repo || '/pull/'
                               || CAST((anomaly_id * 7 + (i + id % 3) * 13) % 100 AS VARCHAR)
               ELSE 'SQL: daily metrics' END AS source_url,
-         CASE WHEN i < 3 THEN substring(text, CAST(i * 50 + 1 AS INTEGER), 100) ELSE left(text, 60) END AS excerpt
-  FROM bound_reports, (SELECT range AS i FROM range(0, 4)) r WHERE n_citations > 0
+         CASE WHEN i < len(evidence) THEN evidence[i + 1] ELSE summary END AS excerpt
+  FROM (SELECT *, unnest(range(0, len(evidence) + 1)) AS i FROM bound_reports WHERE n_citations > 0)
   UNION ALL
   SELECT id, anomaly_id, NULL, NULL, NULL, NULL FROM bound_reports WHERE n_citations = 0""", "bound_reports")
 

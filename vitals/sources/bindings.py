@@ -227,15 +227,6 @@ def bound_anomalies(daily: DataFrame) -> DataFrame:
         F.lit("pending").alias("status"))
 
 
-def _citation(doc: Column, aid: Column, repo: Column, i: int, text: Column) -> Column:
-    num = (aid * 7 + (F.lit(i) + doc % 3) * 13) % 100
-    return F.struct(
-        F.lit("artifact_chunk").alias("citation_type"),
-        pr_url(repo, num).alias("source_url"),
-        F.substring(text, i * 50 + 1, 100).alias("excerpt"),
-    )
-
-
 def bound_reports(documents: DataFrame) -> DataFrame:
     """Investigation reports, one per document, in the nested report shape.
 
@@ -243,8 +234,8 @@ def bound_reports(documents: DataFrame) -> DataFrame:
     that ends ``doc_id % 10`` days before Jan 30 (not every such anomaly exists); created
     2024-02-01 + doc_id minutes; confidence
     cycles high/medium/low/NULL; evidence = every line; no citations
-    when doc_id % 5 = 0 (those break the contract), else three artifact
-    citations and one SQL citation.
+    when doc_id % 5 = 0 (those break the contract), else an artifact citation for every line
+    and one SQL citation.
     """
     d, text = F.col("doc_id"), F.col("text")
     repo = _repo_of(F.floor(d / 100).cast("long") % N_REPOS)
@@ -254,13 +245,13 @@ def bound_reports(documents: DataFrame) -> DataFrame:
                                 F.lit(None).cast("string")),
                         ((F.floor(d / 40) + d) % 4 + 1).cast("int"))
     lines = F.split(text, "\n")
-    cites = F.when(d % 5 == 0, F.array().cast("array<struct<citation_type:string,"
-                                              "source_url:string,excerpt:string>>")) \
-        .otherwise(F.array(_citation(d, aid, repo, 0, text), _citation(d, aid, repo, 1, text),
-                           _citation(d, aid, repo, 2, text),
-                           F.struct(F.lit("sql_result").alias("citation_type"),
-                                    F.lit("SQL: daily metrics").alias("source_url"),
-                                    F.left(text, F.lit(60)).alias("excerpt"))))
+    cited = F.transform(lines, lambda line, i: F.struct(
+        F.lit("artifact_chunk").alias("citation_type"),
+        pr_url(repo, (aid * 7 + (i + d % 3) * 13) % 100).alias("source_url"), line.alias("excerpt")))
+    queried = F.array(F.struct(F.lit("sql_result").alias("citation_type"), F.lit("SQL: daily metrics").alias("source_url"),
+                               F.try_element_at(lines, F.lit(1)).alias("excerpt")))
+    cites = F.when(d % 5 == 0, F.array().cast("array<struct<citation_type:string,source_url:string,excerpt:string>>")) \
+        .otherwise(F.concat(cited, queried))
     return documents.select(
         d.alias("id"), aid.alias("anomaly_id"),
         F.timestamp_add("MINUTE", d, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).alias("created_at"),
