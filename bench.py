@@ -24,7 +24,7 @@ HEADLINE = [
     "eval_scores", "constraint_violations",
 ]
 
-BUILDS = ["daily", "anomalies", "cases", "artifacts", "chunk_store", "postings", "directory"]
+BUILDS = ["daily", "scored_checks", "artifacts", "chunk_store", "postings", "directory"]
 
 
 def main() -> None:

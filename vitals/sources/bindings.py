@@ -207,24 +207,26 @@ def anomaly_id(repo_name: Column, anomaly_type: Column, window_end: Column) -> C
     return F.conv(F.substring(F.md5(F.encode(key, "UTF-8")), 1, 12), 16, 10).cast("long")
 
 
-def _scored(daily: DataFrame, z_threshold: float) -> DataFrame:
-    """Checks of every window end with data whose z reaches the threshold, numbers to 6 places."""
+def scored_checks(daily: DataFrame) -> DataFrame:
+    """The checks of every window end with data whose z reaches ``CASE_Z``, with the id of their anomaly."""
     from ..operators.detect import detect_backfill
     first, last = daily.agg(F.min("date"), F.max("date")).first()
-    audit = detect_backfill(daily, first, last, z_threshold).where(F.col("status") == "anomaly")
+    audit = detect_backfill(daily, first, last, CASE_Z).where(F.col("status") == "anomaly")
     return audit.select(
         anomaly_id(F.col("repo_name"), F.col("anomaly_type"), F.col("window_end")).alias("id"), "repo_name", "anomaly_type",
-        "window_start", "window_end", "metric_name",
-        *[F.round(c, 6).alias(c) for c in ("baseline_value", "observed_value", "z_score")])
+        "window_start", "window_end", "metric_name", "baseline_value", "observed_value", "z_score")
 
 
-def bound_anomalies(daily: DataFrame) -> DataFrame:
-    """The anomalies detected in the daily metrics (z >= 1.5, every window end)."""
-    return _scored(daily, LOW_Z).select(
+def _numbers() -> list[Column]:
+    return [F.round(c, 6).alias(c) for c in ("baseline_value", "observed_value", "z_score")]
+
+
+def bound_anomalies(scored: DataFrame) -> DataFrame:
+    """The detected anomalies: scored checks with z >= 1.5, numbers to 6 places."""
+    return scored.where(F.col("z_score") >= LOW_Z).select(
         "id", "repo_name", "anomaly_type",
         F.timestamp_add("DAY", F.lit(1), F.col("window_end").cast("timestamp_ntz")).alias("detected_at"),
-        "window_start", "window_end", "metric_name", "baseline_value", "observed_value", "z_score",
-        F.lit("pending").alias("status"))
+        "window_start", "window_end", "metric_name", *_numbers(), F.lit("pending").alias("status"))
 
 
 def bound_reports(documents: DataFrame) -> DataFrame:
@@ -278,20 +280,20 @@ def stored_reports(documents: DataFrame) -> DataFrame:
         "id", "anomaly_id", F.when(F.col("id") % 11 == 7, "model stopped: no report").otherwise(raw).alias("raw_output"))
 
 
-def bound_cases(daily: DataFrame) -> DataFrame:
-    """Golden cases: the checks with z >= 1.0 (those below 1.5 have no anomaly row)."""
+def bound_cases(scored: DataFrame) -> DataFrame:
+    """Golden cases: all scored checks (those with z below 1.5 have no anomaly row)."""
     i = F.col("id")
     urls = F.when(i % 6 == 4, F.array().cast("array<string>")).otherwise(
         F.array(*[pr_url(F.col("repo_name"), (i * 7 + j * 13) % 100) for j in range(3)]))
     confs = F.when(i % 2 == 0, F.array(F.lit("high"), F.lit("medium"))) \
         .otherwise(F.array(F.lit("low"), F.lit("medium")))
-    return _scored(daily, CASE_Z).select(
+    baseline, observed, z = _numbers()
+    return scored.select(
         F.concat(F.lit("case_"), i.cast("string")).alias("id"), i.alias("anomaly_ref"),
         F.col("repo_name").alias("repo"), "anomaly_type", "metric_name",
         "window_start", "window_end", urls.alias("expected_evidence_urls"),
         F.lit("").alias("accepted_explanation"), confs.alias("expected_confidences"),
-        "z_score", "baseline_value", "observed_value",
-        F.lit("").alias("limitation_notes"),
+        z, baseline, observed, F.lit("").alias("limitation_notes"),
     )
 
 
@@ -386,11 +388,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "queries":
         return search_queries(t("benchmark"))
     if name == "anomalies":
-        return stored(spark, sf_dir, "anomalies", lambda: bound_anomalies(load(spark, sf_dir, "daily")))
+        return bound_anomalies(load(spark, sf_dir, "scored_checks"))
+    if name == "scored_checks":
+        return stored(spark, sf_dir, "scored-checks", lambda: scored_checks(load(spark, sf_dir, "daily")))
     if name == "reports":
         return bound_reports(t("documents"))
     if name == "stored_reports":
         return stored_reports(t("documents"))
     if name == "cases":
-        return stored(spark, sf_dir, "cases", lambda: bound_cases(load(spark, sf_dir, "daily")))
+        return bound_cases(load(spark, sf_dir, "scored_checks"))
     raise KeyError(name)
