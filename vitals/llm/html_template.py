@@ -394,8 +394,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of ``pages`` (page_id, url, html)."""
     src = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     # copies of a page are one page of the template, or its own text would pass as constant
-    distinct = src.select("host", "html").distinct()
-    vectors = token_vectors(distinct.withColumn("page", F.xxhash64("html")))
+    each = src.select("host", "html", F.xxhash64("html").alias("page"))
+    copied = written(each.groupBy("host", "page").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "template-copies")
+    # pages that occur once are not shuffled
+    distinct = each.join(copied, ["host", "page"], "left_anti").unionByName(
+        each.join(copied, ["host", "page"], "left_semi").distinct())
+    vectors = token_vectors(distinct)
     template = written(templates(written(vectors, "template-vectors")), "templates")
     rows = src.join(template, "host", "left").select("page_id", "url", "html", "roots", "menus", "constant", "spared")
 
