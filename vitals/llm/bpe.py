@@ -32,9 +32,9 @@ from tokenizers import Tokenizer
 from vitals.llm.blocks import bounded_batches, text_blocks
 from vitals.llm.pieces import CACHE_BYTES, CutBlock, WordTable, cuts_into_words, plain
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 MANY_WORDS = 4096
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 SCAN_PARTS = 400
 
@@ -164,8 +164,8 @@ class WordBPE:
         self.text = [""] * size
         for c, i in [*vocab.items(), *added.items()]:
             self.text[i] = c
-        self.text_bytes = [c.encode() for c in self.text]
-        self.id_bytes = [str(i).encode() for i in range(size)]
+        self.id_text = pa.array([c.encode() for c in self.text], pa.binary())
+        self.id_number = pa.array([str(i).encode() for i in range(size)], pa.binary())
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.code = "H" if size <= 1 << 16 else "I"
         self.pairs = PairRanks(self.ranks_of, self.merged, size)
@@ -180,12 +180,11 @@ class WordBPE:
         # a byte letter without an id of its own is left out
         return merge_ids([self.symbol[c] for c in chars if c in self.symbol], self.ranks_of, self.merged)
 
-    def _values(self, ids: list[int]) -> tuple[bytes, bytes, bytes]:
-        """Packed ids, decimal ids and the decoded text, both parted by a space."""
-        return array(self.code, ids).tobytes(), b" ".join(map(self.id_bytes.__getitem__, ids)), self.decode(ids)
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def encode_text(self, text: bytes) -> tuple[bytes, bytes, bytes]:
-        """Values of a text of any kind, added tokens among it."""
+    def encode_text(self, text: bytes) -> bytes:
+        """Packed ids of a text of any kind, added tokens among it."""
         whole = text.decode("utf-8", "replace")
         out: list[int] = []
         for part in self.added_split.split(whole) if self.added_split else [whole]:
@@ -194,7 +193,7 @@ class WordBPE:
             elif part:
                 for word, _ in self.pretokens(self.normalize(part)):
                     out += self._word(word)
-        return self._values(out)
+        return self._packed(out)
 
     def _cut(self, words: list[str]) -> list[list[str]]:
         """The pre-tokens of words without white space and added tokens, all in one call of the library."""
@@ -209,8 +208,8 @@ class WordBPE:
             out[i].append(t)
         return out
 
-    def encode_many(self, words: list[bytes]) -> list[tuple[bytes, bytes, bytes]]:
-        """Values of words without white space and added tokens."""
+    def encode_many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words without white space and added tokens."""
         out = []
         for a in range(0, len(words), MANY_WORDS):
             own = words[a:a + MANY_WORDS]
@@ -219,7 +218,7 @@ class WordBPE:
             for i, c in zip(other, self._cut([own[i].decode("utf-8", "replace") for i in other])):
                 cut[i] = c
             merged = self._merged(list({t for c in cut for t in c}))
-            out += [self._values(merged[c[0]] if len(c) == 1 else [x for t in c for x in merged[t]]) for c in cut]
+            out += [self._packed(merged[c[0]] if len(c) == 1 else [x for t in c for x in merged[t]]) for c in cut]
         return out
 
     def _merged(self, words: list[str]) -> dict[str, list[int]]:
@@ -239,10 +238,6 @@ class WordBPE:
             out = {short[i]: row[:n] for i, row, n in zip(np.flatnonzero(known).tolist(), parts.tolist(), count.tolist())}
         return {w: out[w] if w in out else self._word(w) for w in words}
 
-    def decode(self, ids) -> bytes:
-        """The token texts joined by one space, which is what the file's missing decoder means."""
-        return b" ".join(map(self.text_bytes.__getitem__, ids))
-
 
 _LOADED: dict[str, WordBPE] = {}
 
@@ -276,17 +271,21 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
         for b in text_blocks(batches, "__text", BLOCK_BYTES):
             block = CutBlock(b.column("__text"), bpe.words, bpe.dtype().itemsize)
             columns = [*(b.column(n) for n in keep), pa.array(block.n_ids)]
+            packed = pa.array(block.packed, pa.binary())
             if ids:
-                flat = np.frombuffer(b"".join(block.joined(0, b"").to_pylist()), bpe.dtype)
+                flat = np.frombuffer(b"".join(block.joined(packed, b"").to_pylist()), bpe.dtype)
                 ends = np.concatenate([[0], np.cumsum(block.n_ids)])
                 columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
             if decoded or digests:
-                back = block.joined(2, b" ")
+                of_words = np.frombuffer(b"".join(block.packed), bpe.dtype)
+                # the file has no decoder, which means the token texts joined by one space
+                back = block.joined(block.texts_of_ids(of_words, bpe.id_text), b" ")
                 if decoded:
                     columns.append(back.cast(pa.string()))
                 if digests:
+                    decimal = block.joined(block.texts_of_ids(of_words, bpe.id_number), b" ")
                     columns += [pa.array([sha256(x).hexdigest() for x in texts.to_pylist()], pa.string())
-                                for texts in (block.joined(1, b" "), back)]
+                                for texts in (decimal, back)]
             yield pa.RecordBatch.from_arrays(columns, names)
     bounded_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)

@@ -48,17 +48,17 @@ def cuts_into_words(path: str) -> bool:
 
 
 class WordTable(dict):
-    """Bounded cache from words to tuples whose first value is the packed ids.
+    """Bounded cache from words to packed ids.
 
     ``encode_many`` encodes the words that are not in it, ``encode_text`` a text with added tokens.
     """
 
-    def __init__(self, encode_many: Callable[[list[bytes]], list[tuple]], encode_text: Callable[[bytes], tuple],
+    def __init__(self, encode_many: Callable[[list[bytes]], list[bytes]], encode_text: Callable[[bytes], bytes],
                  added: list[str], most: int):
         super().__init__()
         self.encode_many, self.encode_text, self.added, self.most = encode_many, encode_text, added, most
 
-    def many(self, words: list[bytes]) -> list[tuple]:
+    def many(self, words: list[bytes]) -> list[bytes]:
         found = list(map(self.get, words))
         new = [i for i, x in enumerate(found) if x is None]
         if new:
@@ -77,7 +77,7 @@ def plain(word: bytes) -> bool:
 
 
 class CutBlock:
-    """The words of a block of texts and their values; words without ids are left out."""
+    """The words of a block of texts; ``packed`` has the ids of each distinct one. Words without ids are left out."""
 
     def __init__(self, texts: pa.Array, table: WordTable, code_bytes: int):
         texts = pc.fill_null(texts, "")
@@ -93,8 +93,8 @@ class CutBlock:
         coded = pc.ascii_lower(parts.flatten()).dictionary_encode()
         cut = pc.ascii_split_whitespace(pc.replace_substring_regex(coded.dictionary, _CUT, r"\1 \2"))
         words = cut.flatten().dictionary_encode()
-        self.values = table.many(words.dictionary.cast(pa.binary()).to_pylist()) + special
-        sizes = np.fromiter((len(v[0]) for v in self.values), np.int64, len(self.values)) // code_bytes
+        self.packed = table.many(words.dictionary.cast(pa.binary()).to_pylist()) + special
+        self.sizes = sizes = np.fromiter(map(len, self.packed), np.int64, len(self.packed)) // code_bytes
 
         # the words of each piece in place of the piece
         piece, piece_at = coded.indices.to_numpy(), parts.offsets.to_numpy()
@@ -112,8 +112,12 @@ class CutBlock:
         upto = np.concatenate([[0], np.cumsum(sizes[self.codes])])
         self.n_ids = upto[self.offsets[1:]] - upto[self.offsets[:-1]]
 
-    def joined(self, value: int, between: bytes) -> pa.Array:
-        """Per text, a value of its words with ``between`` them."""
-        taken = pa.array([v[value] for v in self.values], pa.binary()).take(pa.array(self.codes))
-        lists = pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), taken)
+    def joined(self, values: pa.Array, between: bytes) -> pa.Array:
+        """Per text, the values of its words (given per distinct word) with ``between`` them."""
+        lists = pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), values.take(pa.array(self.codes)))
         return pc.binary_join(lists, pa.scalar(between, pa.binary()))
+
+    def texts_of_ids(self, ids: np.ndarray, text: pa.Array) -> pa.Array:
+        """Per distinct word, the texts of its ids with a space between them; ``ids`` are those of all ``packed``."""
+        ends = pa.array(np.concatenate([[0], np.cumsum(self.sizes)]), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(ends, text.take(pa.array(ids))), pa.scalar(b" ", pa.binary()))

@@ -33,9 +33,9 @@ from vitals.llm.pieces import CutBlock, WordTable, cuts_into_words, plain
 from vitals.llm.shared_files import folder, fresh_name, mapped
 from vitals.session import scratch_path
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 MANY_WORDS = 2000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 class LibraryEncoder:
@@ -53,7 +53,7 @@ class LibraryEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = WordTable(self.encode_many, lambda t: (self.encode_whole(t),), added, CACHE_WORDS) if cuts_into_words(path) else None
+        self.words = WordTable(self.encode_many, self.encode_whole, added, CACHE_WORDS) if cuts_into_words(path) else None
         self.model = self.tokenizer.model
 
     def encode_whole(self, text: bytes) -> bytes:
@@ -64,22 +64,23 @@ class LibraryEncoder:
         """Packed ids of every text of a column."""
         if self.words is None:
             return [self.encode_whole(t) for t in utf8_list(texts)]
-        return CutBlock(texts, self.words, self.dtype.itemsize).joined(0, b"").to_pylist()
+        block = CutBlock(texts, self.words, self.dtype.itemsize)
+        return block.joined(pa.array(block.packed, pa.binary()), b"").to_pylist()
 
-    def encode_many(self, words: list[bytes]) -> list[tuple[bytes]]:
+    def encode_many(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of words without white space and added tokens."""
         out: list = [None] * len(words)
         other = []
         for i, w in enumerate(words):
             if plain(w):
-                out[i] = (array(self.code, [x.id for x in self.model.tokenize(w.decode())]).tobytes(),)
+                out[i] = array(self.code, [x.id for x in self.model.tokenize(w.decode())]).tobytes()
             else:
                 other.append(i)
         for a in range(0, len(other), MANY_WORDS):
             own = other[a:a + MANY_WORDS]
             for i, e in zip(own, self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in own],
                                                                   add_special_tokens=False)):
-                out[i] = (array(self.code, e.ids).tobytes(),)
+                out[i] = array(self.code, e.ids).tobytes()
         return out
 
 
