@@ -155,3 +155,22 @@ def test_rows_without_language_do_not_set_the_common_threshold():
     own, common = _thresholds(s, y, np.ones(8), langs)
     assert set(own) == {"en", ""} and own[""] < common <= own["en"] + 1
     assert _thresholds(s, y, np.ones(8), ["xx"] * 8)[1] == common
+
+
+@pytest.mark.parametrize("module,label", [(compress_classifier, "quality"), (toxicity_cnn, "toxic")])
+def test_long_labelled_texts_are_learnt_and_shards_are_averaged(spark, module, label, monkeypatch):
+    """Only long texts have label 1; every labelled row counts, in however many shards."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aeioubcdlmnrst", k=5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=60)), "en") for i in range(12)]
+    rows += [(100 + i, " ".join(rng.choices([*words, "vilex", "GRUB!"], k=5500)), "en") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], int(r[0] >= 100)) for r in rows], f"doc_id long, {label} int")
+    monkeypatch.setattr(module, "SHARD_ROWS", 6)
+    with compress_classifier.LabelledRows(docs, labels, label, F.lit(True), ("lang",), 6) as found:
+        assert found.shards == 3 and found.count(1) == 4 and found.count(0) == 12
+        assert found.rows.agg(F.max(F.length("text"))).first()[0] > 32 << 10
+    got = {r["doc_id"]: r["score"] for r in module.score(docs, module.train(docs, labels, label, F.lit(True))).collect()}
+    assert len(set(got.values())) > 1
+    if module is toxicity_cnn:
+        assert min(v for k, v in got.items() if k >= 100) > max(v for k, v in got.items() if k < 100)

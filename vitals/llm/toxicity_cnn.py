@@ -3,9 +3,12 @@
 Words are hashed to embeddings, the sum of one for the word and one for its
 first bytes, so that forms of a stem share what is learned; filters of several
 widths slide over them, each keeps its largest activation in the text (max pooling), and a logistic layer
-turns these into a score. Training is Adam on mini-batches over a bounded
-sample (``SAMPLE_ROWS`` labelled rows per class by the smallest hash of the id,
-``SAMPLE_BYTES`` long at most); a fifth of it is set aside to calibrate the
+turns these into a score. Training is Adam on mini-batches over every labelled
+row and its whole text: the rows are dealt to shards of some ``SHARD_ROWS`` (at most
+``MAX_SHARDS``, which grow with the rows), each shard trains from the same
+model over its rows in chunks, and the shards' models are averaged, an embedding
+over the shards that moved it; ``ROUNDS`` times where there are several shards.
+A fifth of the rows is set aside to calibrate the
 score to the classes' shares and to set a threshold per language. The language
 is no input of the score.
 
@@ -19,18 +22,27 @@ without labels.
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitals.llm.blocks import Words, bounded_batches, lower_ascii, mix64, text_blocks, utf8_buffer
-from vitals.llm.compress_classifier import fit_logistic, labelled_sample
-
-SAMPLE_ROWS = 2500
-SAMPLE_BYTES = 32 << 10
+from vitals.llm.blocks import Words, bounded_batches, lower_ascii, mix64, text_blocks, utf8_buffer, utf8_list
+from vitals.llm.compress_classifier import LabelledRows, fit_logistic, prior
+
+SHARD_ROWS = 8000
+MAX_SHARDS = 64
+ROUNDS = 3
+CHUNK_ROWS = 4000
+CHUNK_BYTES = 16 << 20
+BATCH_BYTES = 128 << 10
+LOGIT_STEPS = 64
+LOGIT_MOST = 64
+SLICE_ROWS = 4096
 BUCKETS = 1 << 16
 PREFIX_BYTES = 4
 DIM = 8
@@ -160,44 +172,160 @@ def _train_step(model: ToxicityModel, adam: _Adam, h, first, end, y, weight) ->
     model.const = float(const[0])
 
 
-def fit(rows, shares: dict[int, int], epochs: int = EPOCHS, seed: int = 11) -> ToxicityModel:
-    """Fit on (text, y, lang) rows; ``shares`` are the row counts of the labels."""
+def _initial(seed: int) -> ToxicityModel:
     rng = np.random.default_rng(seed)
     width = len(WIDTHS) * FILTERS
-    model = ToxicityModel(
+    return ToxicityModel(
         np.vstack([rng.normal(0, 0.1, (2 * BUCKETS, DIM)), np.zeros((1, DIM))]),
         [rng.normal(0, 0.4, (FILTERS, k, DIM)) for k in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS],
         rng.normal(0, 0.3, width))
-    total = shares.get(0, 0) + shares.get(1, 0)
-    prior = (shares.get(1, 0) + 0.5) / (total + 1)
-    by = {y: [r for r in rows if r["y"] == y] for y in (0, 1)}
-    if min(map(len, by.values())) < 2:
-        model.prior = prior
-        return model
-    held = [r for y in (0, 1) for r in by[y][::5]]
-    seen = [r for y in (0, 1) for i, r in enumerate(by[y]) if i % 5]
-    if not {r["y"] for r in seen} == {0, 1}:
-        seen = held
-    y = np.array([r["y"] for r in seen], float)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    hashed = [padded_buckets(*_block([r["text"].encode()]))[0] for r in seen]
-    adam = _Adam(0.01)
-    for _ in range(max(epochs, MIN_STEPS // -(-len(seen) // BATCH))):
-        order = rng.permutation(len(seen))
-        for a in range(0, len(order), BATCH):
-            pick = order[a:a + BATCH]
+
+
+def _small(model: ToxicityModel) -> np.ndarray:
+    """All parameters but the embeddings in a row."""
+    return np.concatenate([*(c.ravel() for c in model.conv), *model.bias, model.out, [model.const]])
+
+
+def _with_small(model: ToxicityModel, values: np.ndarray) -> None:
+    at = 0
+    for group in (model.conv, model.bias, [model.out]):
+        for x in group:
+            x[...] = values[at:at + x.size].reshape(x.shape)
+            at += x.size
+    model.const = float(values[at])
+
+
+def _chunk_passes(model: ToxicityModel, adam: _Adam, rng, texts: list[bytes], y: np.ndarray, weight: np.ndarray,
+                  passes: int, touched: np.ndarray) -> None:
+    """Mini-batches over a chunk of texts, of ``BATCH`` texts and some ``BATCH_BYTES`` at most."""
+    hashed = [padded_buckets(*_block([t]))[0] for t in texts]
+    for h in hashed:
+        touched[h] = True
+    sizes = np.array([len(t) for t in texts])
+    for _ in range(passes):
+        order = rng.permutation(len(texts))
+        a = 0
+        while a < len(order):
+            fits = int(np.searchsorted(np.cumsum(sizes[order[a:a + BATCH]]), BATCH_BYTES, "right"))
+            pick = order[a:a + max(1, fits)]
+            a += len(pick)
             h = np.concatenate([hashed[i] for i in pick], 1)
             size = np.array([hashed[i].shape[1] for i in pick])
             first = np.cumsum(size) - size
             _train_step(model, adam, h, first, first + size - _PAD + max(WIDTHS) - 1, y[pick], weight[pick])
-    z = model.logits(*_block([r["text"].encode() for r in held]))
-    yh = np.array([r["y"] for r in held], float)
-    wh = np.where(yh == 1, prior / max(1, (yh == 1).sum()), (1 - prior) / max(1, (yh == 0).sum())) * len(yh)
-    scale = max(float(z.std()), 1e-6)
+
+
+_UPDATE = "slice int, shard int, n long, at binary, rows binary"
+
+
+def _round(seen: DataFrame, model: ToxicityModel, weight: dict[int, float], passes: int, seed: tuple[int, ...]) -> None:
+    """One round: every shard trains from ``model`` over its rows; the averages go into ``model``."""
+    shared = seen.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        shard = TaskContext.get().partitionId()
+        own = copy.deepcopy(shared.value)
+        adam, rng = _Adam(0.01), np.random.default_rng((*seed, shard))
+        touched = np.zeros(PAD_ROW + 1, bool)
+        texts, ys, used, n = [], [], 0, 0
+
+        def train_chunk():
+            y = np.array(ys, float)
+            _chunk_passes(own, adam, rng, texts, y, np.where(y == 1, weight[1], weight[0]), passes, touched)
+            texts.clear()
+            ys.clear()
+
+        for b in batches:
+            for text, y in zip(utf8_list(b.column("text")), b.column("y").to_pylist()):
+                texts.append(text)
+                ys.append(y)
+                used, n = used + len(text), n + 1
+                if len(texts) >= CHUNK_ROWS or used >= CHUNK_BYTES:
+                    train_chunk()
+                    used = 0
+        if texts:
+            train_chunk()
+        if not n:
+            return
+        touched[PAD_ROW] = False
+        parts = [(-1, b"", _small(own).tobytes())]
+        for s in range(0, PAD_ROW, SLICE_ROWS):
+            at = np.flatnonzero(touched[s:s + SLICE_ROWS]).astype(np.int32)
+            if len(at):
+                parts.append((s // SLICE_ROWS, at.tobytes(), own.embed[s + at].tobytes()))
+        for part, at, rows in parts:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()),
+                 pa.array([at], pa.binary()), pa.array([rows], pa.binary())], ["slice", "shard", "n", "at", "rows"])
+
+    def averaged(key, table):
+        found = sorted(table.to_pylist(), key=lambda r: r["shard"])
+        n = np.array([r["n"] for r in found], float)
+        if key[0].as_py() < 0:
+            at, rows = b"", np.average([np.frombuffer(r["rows"]) for r in found], axis=0, weights=n)
+        else:
+            total, by = np.zeros((SLICE_ROWS, DIM)), np.zeros(SLICE_ROWS)
+            for r in found:
+                own = np.frombuffer(r["at"], np.int32)
+                total[own] += r["n"] * np.frombuffer(r["rows"]).reshape(-1, DIM)
+                by[own] += r["n"]
+            moved = np.flatnonzero(by).astype(np.int32)
+            at, rows = moved.tobytes(), total[moved] / by[moved, None]
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([at], pa.binary()),
+                         "rows": pa.array([rows.tobytes()], pa.binary())})
+
+    updates = seen.select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, _UPDATE)
+    # the model's own size at most comes to the driver, however many rows and shards there are
+    for r in updates.groupBy("slice").applyInArrow(averaged, "slice int, at binary, rows binary").toLocalIterator():
+        values = np.frombuffer(r["rows"])
+        if r["slice"] < 0:
+            _with_small(model, values)
+        else:
+            model.embed[r["slice"] * SLICE_ROWS + np.frombuffer(r["at"], np.int32)] = values.reshape(-1, DIM)
+    shared.unpersist()
+
+
+def _logit_counts(held: DataFrame, model: ToxicityModel) -> list:
+    """(lang, z, y, n): how many of the held rows have a logit, to 1 / ``LOGIT_STEPS``; all rows count."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        tables = shared.value.tables()
+        for b in text_blocks(batches, "text"):
+            z = shared.value.logits(*utf8_buffer(b.column("text")), tables)
+            z = np.rint(np.clip(z, -LOGIT_MOST, LOGIT_MOST) * LOGIT_STEPS) / LOGIT_STEPS
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(z), b.column("y")], ["lang", "z", "y"])
+
+    rows = held.select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.col("y").cast("int").alias("y"))
+    found = rows.mapInArrow(run, "lang string, z double, y int").groupBy("lang", "z", "y").agg(F.count("*").alias("n"))
+    return sorted((r["lang"], r["z"], r["y"], r["n"]) for r in found.collect())
+
+
+def fit(labelled: LabelledRows, epochs: int = EPOCHS, seed: int = 11) -> ToxicityModel:
+    """Fit on all labelled rows."""
+    model = _initial(seed)
+    share = prior(labelled.shares)
+    if min(labelled.count(0), labelled.count(1)) < 2:
+        model.prior = share
+        return model
+    seen, held, seen_folds, _ = labelled.split([0, 5])
+    n = {y: labelled.count(y, seen_folds) for y in (0, 1)}
+    total = n[0] + n[1]
+    weight = {y: 0.5 * total / n[y] for y in (0, 1)}
+    steps = -(-max(total * BATCH_BYTES, labelled.bytes * BATCH) // (BATCH * BATCH_BYTES * labelled.shards))
+    passes, rounds = max(epochs, MIN_STEPS // steps), 1 if labelled.shards == 1 else ROUNDS
+    for k in range(rounds):
+        _round(seen, model, weight, -(-passes // rounds), (seed, k))
+    langs, z, yh, count = (np.array(c) for c in zip(*_logit_counts(held, model)))
+    yh, count = yh.astype(float), count.astype(float)
+    per = {1: share / count[yh == 1].sum(), 0: (1 - share) / count[yh == 0].sum()}
+    wh = np.where(yh == 1, per[1], per[0]) * count * count.sum()
+    mean = np.average(z, weights=count)
+    scale = max(float(np.sqrt(np.average((z - mean) ** 2, weights=count))), 1e-6)
     a, b = fit_logistic((z / scale)[:, None], yh, wh, ridge=1e-2)
     model.calibration = (float(a) / scale, float(b))
-    model.thresholds, model.common = _thresholds(model.score(*_block([r["text"].encode() for r in held])), yh, wh,
-                                   [r["lang"] or "" for r in held])
+    scores = 1 / (1 + np.exp(-np.clip(z * model.calibration[0] + model.calibration[1], -30, 30)))
+    model.thresholds, model.common = _thresholds(scores, yh, wh, langs.tolist())
     return model
 
 
@@ -210,6 +338,7 @@ def _thresholds(s: np.ndarray, y: np.ndarray, w: np.ndarray, langs: list[str]) -
         ss, yy, ww = s[mask][order], y[mask][order], w[mask][order]
         hit, used = np.cumsum(yy * ww), np.cumsum(ww)
         f1 = 2 * hit / (used + (yy * ww).sum())
+        f1[:-1][ss[1:] == ss[:-1]] = -1  # equal scores are flagged together
         k = int(np.argmax(f1))
         below = ss[k + 1] if k + 1 < len(ss) else 0.0
         return float((ss[k] + below) / 2)
@@ -223,9 +352,9 @@ def _thresholds(s: np.ndarray, y: np.ndarray, w: np.ndarray, langs: list[str]) -
     return out, common
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column,
-          rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    return fit(*labelled_sample(docs, labels, label, train_rows, rows, SAMPLE_BYTES, ("lang",)))
+def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column) -> ToxicityModel:
+    with LabelledRows(docs, labels, label, train_rows, ("lang",), SHARD_ROWS, MAX_SHARDS) as labelled:
+        return fit(labelled)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",),
