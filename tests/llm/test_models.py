@@ -174,3 +174,19 @@ def test_long_labelled_texts_are_learnt_and_shards_are_averaged(spark, module, l
     assert len(set(got.values())) > 1
     if module is toxicity_cnn:
         assert min(v for k, v in got.items() if k >= 100) > max(v for k, v in got.items() if k < 100)
+
+
+def test_labelled_rows_join_by_id_and_few_other_texts_are_shuffled(spark):
+    """Every (document, label) pair of an id once, whatever repeats or is null; rows without a label are left out before the shuffle."""
+    rows = [(i % 50 if i < 60 else i, f"text {i % 55}" if i % 7 else None) for i in range(3000)] + [(None, "no id")]
+    labels = [(i, i % 2) for i in range(0, 100, 3)] + [(3, 1), (6, 0), (6, 0), (None, 1), (9, None), (12, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id int, quality int")
+    want = Counter((t or "", y) for d, t in rows for e, y in labels if d is not None and d == e and y in (0, 1))
+    with compress_classifier.LabelledRows(docs, known, "quality", F.lit(True), (), 10) as found:
+        assert Counter((r["text"], r["y"]) for r in found.rows.collect()) == want
+        assert found.rows.rdd.getNumPartitions() == found.shards > 1
+    ids = {e for e, y in labels if y in (0, 1)} - {None}
+    read = compress_classifier._perhaps_labelled(docs, known.where("doc_id is not null")).collect()
+    assert sum(r["doc_id"] in ids for r in read) == sum(d in ids for d, _ in rows)
+    assert len(read) < len(rows) / 10

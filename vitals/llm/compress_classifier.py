@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitals.llm.blocks import bounded_batches, text_blocks, utf8_list, written
@@ -38,13 +38,24 @@ SHARD_ROWS = 32_000
 DICT_BYTES = 112 << 10
 LEVEL = 3
 THRESHOLD = 0.3
+MAP_BITS = 24
+
+
+def _perhaps_labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id has a label, and some others: read by a bit map of ``MAP_BITS`` bits, so no text is shuffled."""
+    bit = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    own = F.expr("shiftleft(1L, cast(map_bit & 63 as int))")
+    words = known.select(bit.alias("map_bit")).groupBy(F.shiftright("map_bit", 6).alias("map_word")).agg(F.bit_or(own).alias("map_bits"))
+    at = docs.withColumn("map_bit", bit).withColumn("map_word", F.shiftright("map_bit", 6))
+    return at.join(F.broadcast(words), "map_word").where(F.col("map_bits").bitwiseAND(own) != 0).select(*docs.columns)
 
 
 class LabelledRows:
     """Every labelled training row, kept on the executors' disks for the passes over it.
 
     ``rows``: text, y, ``extra`` and ``fold`` (0 to 9, by the hash of doc_id), dealt to ``shards`` partitions and
-    ordered by a hash; ``shares``: label counts, of labels without a document too; ``counts``: rows by y and fold; ``bytes``: those
+    ordered by a hash. Texts are shuffled once, at every size, and only those that a bit map of the labelled
+    ids holds. ``shares``: label counts, of labels without a document too; ``counts``: rows by y and fold; ``bytes``: those
     of all texts.
     """
 
@@ -55,12 +66,15 @@ class LabelledRows:
         self.shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
         total = sum(self.shares.values())
         self.shards = max(1, min(-(-total // shard_rows), max_shards or total))
-        hashed = F.xxhash64("doc_id")
-        rows = docs.select("doc_id", "text", *extra).join(known, "doc_id").select(
-            F.coalesce("text", F.lit("")).alias("text"), "y", *extra, F.pmod(hashed, F.lit(10)).cast("int").alias("fold"),
-            F.xxhash64(F.lit(1), "doc_id", "text").alias("at"))
-        self.rows = rows.repartition(self.shards, "at").sortWithinPartitions("at", "y", "text").drop("at").persist(
-            StorageLevel.DISK_ONLY)
+        read = _perhaps_labelled(docs.select("doc_id", "text", *extra), known).withColumn("at", F.xxhash64(F.lit(1), "doc_id", "text"))
+        ids = read.select("doc_id", "at").distinct().join(known, "doc_id")
+        # a window takes the partitions as they are dealt, where a join may deal the texts anew
+        own = F.collect_list("y").over(Window.partitionBy("at", "doc_id"))
+        dealt = read.withColumn("is_row", F.lit(True)).unionByName(ids, allowMissingColumns=True).repartition(self.shards, "at")
+        rows = dealt.withColumn("ys", own).where("is_row").select(
+            F.coalesce("text", F.lit("")).alias("text"), F.explode("ys").alias("y"), *extra,
+            F.pmod(F.xxhash64("doc_id"), F.lit(10)).cast("int").alias("fold"), "at")
+        self.rows = rows.sortWithinPartitions("at", "y", "text").drop("at").persist(StorageLevel.DISK_ONLY)
         bounded_batches(docs.sparkSession)
         found = self.rows.groupBy("y", "fold").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
         self.counts = {(r["y"], r["fold"]): r["n"] for r in found}
