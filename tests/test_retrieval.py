@@ -227,3 +227,31 @@ def test_render_hits_and_label_json(spark):
     assert render_hits(h).first()["text"] == "[score=0.0325] u1\na\n\n---\n\n[score=0.0161] u2\nb"
     lab = spark.createDataFrame([([("bug",), ("docs",)],), (None,)], "labels array<struct<name:string>>")
     assert [r[0] for r in lab.select(label_names_json("labels")).collect()] == ['["bug","docs"]', "[]"]
+
+
+def test_lists_and_directory_shuffle_once(spark):
+    """The text goes to its block once; packed lists stay there, and lengths are counted before the shuffle."""
+    from vitals.operators.retrieval import build_directory, build_lists
+    ch = spark.createDataFrame([(1, 0, "org/r", "u1", "red fox the red"), (1, 1, "org/r", "u1", None), (2, 0, "org/r", "u2", "the of"),
+                                (2000, 0, "org/r", "u3", "blue fox")],
+                               "artifact_id long, chunk_index long, repo_name string, artifact_url string, text string")
+    for df in (build_lists(ch), build_directory(ch)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    lists = build_lists(ch)
+    assert lists.orderBy("term", "block").select("term", "block", "n", "max_tf", "ats", "tfs", "positions").collect() == [
+        ("blue", 1, 1, 1, [0], [1], [0]), ("fox", 0, 1, 1, [0], [1], [1]), ("fox", 1, 1, 1, [0], [1], [1]), ("red", 0, 1, 2, [0], [2], [0, 3])]
+    d = build_directory(ch).orderBy("block").select("block", "n", "min_dl", "sum_dl", "artifact_ids", "chunk_indexes", "urls", "dls").collect()
+    assert d == [(0, 3, 0, 3, [1, 1, 2], [0, 1, 0], ["u1", "u1", "u2"], [3, 0, 0]), (1, 1, 2, 2, [2000], [0], ["u3"], [2])]
+
+
+def test_artifact_heads_shuffle_no_text(spark):
+    from vitals.sources.bindings import artifacts_from_events
+    ev = spark.createDataFrame([("PullRequestEvent", "org/repo1", "a", "2024-01-02 00:00:00", '{"action": "opened", "number": 3}')],
+                               "type string, repo_name string, actor_login string, created_at string, payload string") \
+        .selectExpr("type", "repo_name", "actor_login", "cast(created_at as timestamp_ntz) created_at", "payload")
+    docs = spark.createDataFrame([(103, "x" * 100, "en", "web")], "doc_id long, text string, lang string, source string")
+    whole = artifacts_from_events(ev, docs)
+    heads = whole.drop("body")
+    assert [r.title for r in heads.collect()] == ["x" * 80] and [r.body for r in whole.collect()] == ["x" * 100]
+    joined = heads._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "AS title" in joined and "body" not in joined  # cut below the join

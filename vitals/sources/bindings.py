@@ -122,7 +122,8 @@ def artifacts_from_events(events: DataFrame, documents: DataFrame) -> DataFrame:
 
     created_at = first open, closed_at = last close when it is later than the
     open; body = the document ``artifact_key(repo, number)`` (may be absent),
-    title = its first 80 characters, labels = its language and source.
+    title = its first 80 characters, labels = its language and source. The title is
+    cut before the join, so a caller that drops ``body`` has no text shuffled.
     """
     from ..functions.json_paths import label_names_json
     pr = (events
@@ -137,13 +138,13 @@ def artifacts_from_events(events: DataFrame, documents: DataFrame) -> DataFrame:
               F.min_by(F.when(F.col("action") == "opened", F.col("actor_login")), opened)
               .alias("author_login"))
          .filter(F.col("created_at").isNotNull()))
-    docs = documents.select(F.col("doc_id"), F.col("text").alias("body"), "lang", "source")
+    docs = documents.select(F.col("doc_id"), F.left("text", F.lit(80)).alias("title"), F.col("text").alias("body"), "lang", "source")
     a = g.withColumn("artifact_id", artifact_key(F.col("repo_name"), F.col("number")))
     a = a.join(docs, a["artifact_id"] == docs["doc_id"], "left")
     closed_at = F.when(F.col("last_close") > F.col("created_at"), F.col("last_close"))
     return a.select(
         "artifact_id", "repo_name", F.lit("pull_request").alias("type"), "number",
-        F.left("body", F.lit(80)).alias("title"), "body",
+        "title", "body",
         F.when(closed_at.isNotNull(), "closed").otherwise("open").alias("state"),
         "author_login", "created_at", closed_at.alias("closed_at"),
         label_names_json(F.when(F.col("doc_id").isNotNull(), F.array(
@@ -317,7 +318,7 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         (bound_events(_t.table(spark, sf_dir, "events"))
          .withColumn("event_date", F.to_date("created_at"))
          .sortWithinPartitions("event_date")
-         .write.mode("overwrite").partitionBy("event_date").parquet(path))
+         .write.mode("overwrite").option("compression", "zstd").partitionBy("event_date").parquet(path))
         _EVENT_TABLES[key] = path
     schema = T.StructType(EVENT.fields + [T.StructField("event_date", T.DateType())])
     return spark.read.schema(schema).parquet(path)
@@ -326,7 +327,7 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None = None) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Write ``build()`` once per session into the shared scratch folder and
     read it back (the engine's persisted tables: chunk store, index)."""
     from ..session import scratch_path, session_key
@@ -334,8 +335,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str
     path = _STORED.get(key)
     if path is None:
         path = scratch_path(spark, name)
-        w = build().write.mode("overwrite")
-        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
         _STORED[key] = path
     return spark.read.parquet(path)
 
@@ -364,6 +364,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "artifacts":
         return stored(spark, sf_dir, "artifacts",
                       lambda: artifacts_from_events(event_table(spark, sf_dir), t("documents")))
+    if name == "artifact_heads":  # without their texts
+        return stored(spark, sf_dir, "artifact-heads",
+                      lambda: artifacts_from_events(event_table(spark, sf_dir), t("documents")).drop("body"))
     if name == "comments":
         return bound_comments(t("conversations"))
     if name == "doc_artifacts":
@@ -374,12 +377,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return stored(spark, sf_dir, "chunk-store", lambda: embed_chunks(chunk_artifacts(document_artifacts(t("documents")))))
     if name == "postings":
         from ..operators.fulltext import build_lists
-        return stored(spark, sf_dir, "postings", lambda: build_lists(load(spark, sf_dir, "chunk_store")),
-                      partition_by="bucket")
+        return stored(spark, sf_dir, "postings", lambda: build_lists(load(spark, sf_dir, "chunk_store")))
     if name == "stemmed_postings":
         from ..operators.fulltext import build_lists
-        return stored(spark, sf_dir, "stemmed-postings", lambda: build_lists(load(spark, sf_dir, "chunk_store"), stem=True),
-                      partition_by="bucket")
+        return stored(spark, sf_dir, "stemmed-postings", lambda: build_lists(load(spark, sf_dir, "chunk_store"), stem=True))
     if name == "directory":
         from ..operators.fulltext import build_directory
         return stored(spark, sf_dir, "directory", lambda: build_directory(load(spark, sf_dir, "chunk_store")))
