@@ -25,7 +25,7 @@ from ..functions.text import query_terms_expr
 from .artifacts import releases, slow_prs, top_k, window_days
 from .detect import metric_long
 from .embedding import embed_text
-from .fulltext import build_directory, build_lists
+from .fulltext import build_directory, build_lists, lookup
 from .retrieval import hybrid_search
 
 GITHUB = "https://github.com/"
@@ -107,8 +107,9 @@ def _window_queries(anomalies: DataFrame, days: DataFrame, released: DataFrame,
         "anomaly_id", F.explode(query_terms_expr(F.col("tag"))).alias("term"))
     opened = artifacts.select("repo_name", F.to_date("created_at").alias("day"), "title")
     titles = own.join(opened, ["repo_name", "day"]).select("anomaly_id", F.explode(query_terms_expr(F.col("title"))).alias("term"))
-    terms = tags.unionByName(titles).distinct()
-    df = lists.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    terms = tags.unionByName(titles).distinct().checkpoint()
+    df = lookup(lists, terms).select("term", "n").join(terms.select("term").distinct(), "term", "left_semi") \
+        .groupBy("term").agg(F.sum("n").alias("df"))
     rare = top_k(terms.join(df, "term"), ["anomaly_id"], [F.col("df").asc(), F.col("term").asc()], k, "place")
     words = rare.groupBy("anomaly_id").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("rare"))
     return anomalies.join(words, "anomaly_id", "left").select(

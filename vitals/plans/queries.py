@@ -804,7 +804,7 @@ def q_ensure_anomalies(spark, sf):
     "bound_anomalies", "metric_long", "slow", "bound_events", "ev_hits"))
 def q_evidence_bundle(spark, sf):
     from ..operators.evidence import evidence_bundle
-    return evidence_bundle(_anoms(spark, sf), _daily(spark, sf), _artifacts(spark, sf), _events(spark, sf),
+    return evidence_bundle(_anoms(spark, sf), _daily(spark, sf), B.load(spark, sf, "artifact_heads"), _events(spark, sf),
                            _chunk_vecs(spark, sf), **_index(spark, sf))
 
 
