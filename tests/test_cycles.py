@@ -92,3 +92,25 @@ def test_coarse_medians_are_within_their_resolution(spark):
     exact = {r["close_date"]: r["median_hours"] for r in pr_cycles(df).collect()}
     for r in pr_cycles(df, resolution_bits=20).collect():
         assert abs(r["median_hours"] - exact[r["close_date"]]) <= 2 ** 20 / 3.6e9
+
+
+def test_counts_of_many_rows_together():
+    """A batch's rows of few pairs are counted at once, the same as one by one."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from vitals.operators import cycles as C
+    rng = np.random.default_rng(5)
+    times = lambda n: np.sort(rng.integers(0, 2 ** 43, n)).tolist()
+    rows = [(times(rng.integers(0, 8)), times(rng.integers(0, 8))) for _ in range(200)] + [(times(100), times(100)), ([], [1]), ([7], [7])]
+    sides = [C._flat(pa.array([r[i] for r in rows], pa.list_(pa.int64()))) for i in (0, 1)]
+    n = len(rows)
+    for low, bits, shift in ((0, 63, C.FIRST_SHIFT), (5 << 36, 36, 24), (5 << 36, 36, 0)):
+        got, want = Counter(), Counter()
+        for r, a, s, k, m in zip(*C._batch_counts(*sides, np.arange(n), np.full(n, low), np.full(n, bits), np.full(n, shift))):
+            got[r, a, s, k] += m
+        for r, (o, c) in enumerate(rows):
+            for k, m in zip(*C.key_counts(np.array(o, np.int64), np.array(c, np.int64), shift, low, bits)):
+                want[r, low, shift, k] += m
+        assert got == want and got

@@ -7,8 +7,8 @@ counting:
 
 1. One row per (pull request, close day): its sorted opens and the day's sorted closes.
 2. Durations are counted by key (duration >> shift, in microseconds) from the sorted
-   lists: where a close has more opens than there are keys, by binary search of
-   the key borders, so the work is closes x keys and not closes x opens.
+   lists, the pull requests of few pairs many at a time in numpy; where a close has more
+   opens than there are keys, by binary search of the key borders, so the work is closes x keys and not closes x opens.
 3. Counts are added up per group (partial aggregation first); the keys that
    hold the two middle ranks become the ranges of the next round. A range with few
    durations is counted by its exact values at once, a fuller one by keys of
@@ -95,6 +95,48 @@ def _spans(sizes: np.ndarray):
         a = b
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, starts, lengths) of a list column."""
+    lens = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lens) - lens, lens
+
+
+def _groups(b: pa.RecordBatch, key: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """The number of each row's key in the batch, and a row with that key by number."""
+    code = np.zeros(b.num_rows, np.int64)
+    for c in key:
+        words = b.column(c).dictionary_encode("encode")
+        code = code * (len(words.dictionary) + 1) + words.indices.to_numpy(zero_copy_only=False)
+    _, place, group = np.unique(code, return_index=True, return_inverse=True)
+    return group, pa.array(place)
+
+
+def _batch_counts(opens: tuple, closes: tuple, row: np.ndarray, low: np.ndarray, bits: np.ndarray,
+                  shift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, low, shift, key, count) of the durations of many rows, each within its range: rows of few pairs
+    together, ``CELLS`` pairs at a time, fuller ones by ``key_counts``."""
+    (o, o_at, o_len), (c, c_at, c_len) = opens, closes
+    pairs = o_len[row] * c_len[row]
+    parts = []
+    few = np.flatnonzero((pairs > 0) & (pairs <= FEW))
+    for a, z in _spans(pairs[few]):
+        own = few[a:z]
+        n = pairs[own]
+        which = np.repeat(own, n)
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        r = row[which]
+        span = c[c_at[r] + nth // o_len[r]] - o[o_at[r] + nth % o_len[r]]
+        beyond = span - low[which] >> np.minimum(bits[which], 62)  # 0 within the range
+        use = np.flatnonzero((span > 0) & (span >= low[which]) & ((beyond == 0) | (bits[which] >= 63)))
+        which, span = which[use], span[use]
+        parts.append((row[which], low[which], shift[which], span >> shift[which], np.ones(len(use), np.int64)))
+    for j in np.flatnonzero(pairs > FEW).tolist():
+        r = row[j]
+        k, n = key_counts(o[o_at[r]:o_at[r] + o_len[r]], c[c_at[r]:c_at[r] + c_len[r]], int(shift[j]), int(low[j]), int(bits[j]))
+        parts.append((np.full(len(k), r), np.full(len(k), low[j]), np.full(len(k), shift[j]), k, n))
+    return tuple(np.concatenate(p).astype(np.int64) if parts else np.empty(0, np.int64) for p in (zip(*parts) if parts else [()] * 5))
+
+
 _COUNTS = "repo_name string, close_date date, low long, shift int, key long, n long"
 
 
@@ -108,21 +150,21 @@ def _counted(units: DataFrame, ranges: DataFrame | None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows, lows, shifts, keys, counts = [], [], [], [], []
-            opens, closes = b.column("opens"), b.column("closes")
-            spans = b.column("ranges").to_pylist() if narrowed else None
-            for i in range(b.num_rows):
-                o, c = opens[i].values.to_numpy(), closes[i].values.to_numpy()
-                for low, bits, shift in ([(0, 63, FIRST_SHIFT)] if not narrowed else
-                                         [(r["low"], r["bits"], r["next"]) for r in spans[i]]):
-                    k, n = key_counts(o, c, shift, low, bits)
-                    rows.append(np.full(len(k), i)), lows.append(np.full(len(k), low)), shifts.append(np.full(len(k), shift))
-                    keys.append(k), counts.append(n)
-            at = pa.array(np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64))
-            whole = [pa.array(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)) for x in (lows, shifts, keys, counts)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("repo_name").take(at), b.column("close_date").take(at), whole[0], whole[1].cast(pa.int32()), *whole[2:]],
-                ["repo_name", "close_date", "low", "shift", "key", "n"])
+            opens, closes = (_flat(b.column(c)) for c in ("opens", "closes"))
+            row = np.arange(b.num_rows)
+            low, bits, shift = np.zeros(len(row), np.int64), np.full(len(row), 63), np.full(len(row), FIRST_SHIFT)
+            if narrowed:
+                spans = b.column("ranges")
+                row = np.repeat(row, np.diff(spans.offsets.to_numpy()))
+                low, bits, shift = (spans.flatten().field(f).to_numpy().astype(np.int64) for f in ("low", "bits", "next"))
+            at, *counted = _batch_counts(opens, closes, row, low, bits, shift)
+            # one row per group of the batch, range and key: pull requests of one day meet here already
+            group, place = _groups(b, key)
+            t = pa.table([group[at], *counted], ["group", "low", "shift", "key", "n"])
+            t = t.group_by(["group", "low", "shift", "key"]).aggregate([("n", "sum")]).combine_chunks()
+            own = place.take(t.column("group").combine_chunks())
+            yield from pa.table([*(b.column(c).take(own) for c in key), t.column("low"), t.column("shift").cast(pa.int32()), t.column("key"),
+                                 t.column("n_sum")], [*key, "low", "shift", "key", "n"]).to_batches()
 
     return (src.mapInArrow(run, _COUNTS).groupBy(*key, "low", "shift", "key").agg(F.sum("n").alias("n")))
 
