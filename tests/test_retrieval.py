@@ -244,6 +244,26 @@ def test_lists_and_directory_shuffle_once(spark):
     assert d == [(0, 3, 0, 3, [1, 1, 2], [0, 1, 0], ["u1", "u1", "u2"], [3, 0, 0]), (1, 1, 2, 2, [2000], [0], ["u3"], [2])]
 
 
+def test_stemmed_lists_shuffle_once_and_store_nothing(spark):
+    """Terms are stemmed on their way to the packed lists, whatever blocks a task has."""
+    import os
+    from vitals.operators.retrieval import build_lists
+    from vitals.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = os.listdir(folder)
+    ch = spark.createDataFrame([(1, 0, "org/r", "connected foxes the connection fox"), (1, 1, "org/r", None), (2, 0, "org/r", "the of"),
+                                (3, 0, "org/r", "foxes connects"), (2000, 0, "org/r", "connecting"), (2000, 0, None, "x1 connecting")],
+                               "artifact_id long, chunk_index long, repo_name string, text string")
+    lists = build_lists(ch, stem=True)
+    assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert os.listdir(folder) == before
+    got = lists.orderBy("term", "repo_name", "block").select("term", "repo_name", "block", "n", "max_tf", "ats", "tfs", "positions").collect()
+    assert got == [
+        ("connect", None, 1, 1, 1, [0], [1], [1]), ("connect", "org/r", 0, 2, 2, [0, 3], [2, 1], [0, 3, 1]),
+        ("connect", "org/r", 1, 1, 1, [0], [1], [0]), ("fox", "org/r", 0, 2, 2, [0, 3], [2, 1], [1, 4, 0]),
+        ("x1", None, 1, 1, 1, [0], [1], [0])]
+
+
 def test_artifact_heads_shuffle_no_text(spark):
     from vitals.sources.bindings import artifacts_from_events
     ev = spark.createDataFrame([("PullRequestEvent", "org/repo1", "a", "2024-01-02 00:00:00", '{"action": "opened", "number": 3}')],

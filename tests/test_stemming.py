@@ -36,3 +36,21 @@ def test_other_words_stay(spark):
     words = ["", "x1", "42", "日本語", "é"]
     got = with_stems(spark.createDataFrame([(w,) for w in words], "term string")).collect()
     assert [r["stem"] for r in got] == words
+
+
+def test_rules_of_regions_and_last_letters(spark):
+    pairs = {"yyyy": "yyyi", "enjoyyed": "enjoyi", "played": "play", "analogi": "analog", "ogi": "ogi", "singli": "sing", "mildli": "mild",
+             "ali": "ali", "station": "station", "opinion": "opinion", "creed": "creed", "agreedly": "agre", "sized": "size", "hissing": "hiss",
+             "native": "nativ", "relative": "relat", "proceed": "proceed", "succeeds": "succeed", "ring": "ring", "seing": "se", "us": "us",
+             "buses": "buse", "gus": "gus"}
+    got = {r["term"]: r["stem"] for r in with_stems(spark.createDataFrame([(w,) for w in [*pairs, None]], "term string")).collect()}
+    assert got == {**pairs, None: None}
+
+
+def test_code_is_short_enough_for_the_jvm_to_compile(spark):
+    """A row with a term, its block and its occurrences; longer methods run interpreted, at twice the time or more."""
+    df = with_stems(spark.range(1).selectExpr("cast(id as string) term", "cast(id as string) repo_name", "id block", "cast(cast(id as string) as binary) pairs"))
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    parts = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    assert sizes and max(sizes) < 8000
