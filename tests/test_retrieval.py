@@ -264,6 +264,34 @@ def test_stemmed_lists_shuffle_once_and_store_nothing(spark):
         ("x1", None, 1, 1, 1, [0], [1], [0])]
 
 
+def test_stemmed_lists_of_many_blocks_and_few_remembered_terms(spark, monkeypatch):
+    """The lists of a stem are those of its terms, however many terms a task remembers and whatever blocks it has."""
+    import random
+    from vitals.operators import fulltext
+    from vitals.operators.retrieval import build_lists
+    from vitals.operators.stemming import with_stems
+    monkeypatch.setattr(fulltext, "BLOCK_SPAN", 4)
+    rng = random.Random(6)
+    words = ["connect", "connects", "connected", "fox", "foxes", "the", "running", "run", "runs", "x1", "日本", "skies", "sky"]
+    docs = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(90)]
+    ch = spark.createDataFrame([(i // 2, i % 2, f"org/r{i % 3}", d) for i, d in enumerate(docs)],
+                               "artifact_id long, chunk_index long, repo_name string, text string").coalesce(1)
+    stems = {r["term"]: r["stem"] for r in with_stems(spark.createDataFrame([(w,) for w in words], "term string")).collect()}
+    at, want = {}, {}
+    for i, d in enumerate(docs):  # artifacts in order, so chunks are numbered as they come
+        block = f"org/r{i % 3}", i // 2 // 4
+        at[block] = at.get(block, -1) + 1
+        for p, w in enumerate(d.split()):
+            if w != "the":
+                want.setdefault((stems[w], *block), {}).setdefault(at[block], []).append(p)
+    want = {k: (list(v), [len(p) for p in v.values()], [x for p in v.values() for x in p]) for k, v in want.items()}
+    for limit in (262_144, 9, 1):
+        monkeypatch.setattr(fulltext, "STEM_TERMS", limit)
+        rows = build_lists(ch, stem=True).collect()
+        assert {(r["term"], r["repo_name"], r["block"]): (r["ats"], r["tfs"], r["positions"]) for r in rows} == want
+        assert len(rows) == len(want)
+
+
 def test_artifact_heads_shuffle_no_text(spark):
     from vitals.sources.bindings import artifacts_from_events
     ev = spark.createDataFrame([("PullRequestEvent", "org/repo1", "a", "2024-01-02 00:00:00", '{"action": "opened", "number": 3}')],

@@ -1,4 +1,4 @@
-"""English stems as column expressions (H6), meant for the distinct terms of a block.
+"""English stems as column expressions (H6), meant for distinct terms.
 
 The steps of the English Snowball stemmer: regions R1 and R2, plural and
 past endings, the three suffix lists and the final e and l. A region is
